@@ -198,12 +198,21 @@ FACT_DATES = {
 }
 
 
+_TYPES = {
+    "date": T.DateType(),
+    "int": T.IntegerType(),
+    "string": T.StringType(),
+    "boolean": T.BooleanType(),
+    **{f"decimal({p},2)": T.DecimalType(p, 2) for p in (5, 10, 12, 14)},
+}
+
+
 def _schema(layout: str) -> T.StructType:
     fields = []
     for line in layout.strip().splitlines():
         declared, comment = (part.strip() for part in line.split("|"))
         name, kind = declared.split()
-        fields.append(T.StructField(name, T.DataType.fromDDL(kind), True, {"comment": comment}))
+        fields.append(T.StructField(name, _TYPES[kind], True, {"comment": comment}))
     return T.StructType(fields)
 
 

@@ -22,6 +22,17 @@ from cashtide.sources.tables import stacked
 
 SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
+# Shares of a day's cash in and out by category.
+CASH_IN_SHARES = {"SALES_RECEIPTS": "0.74", "WHOLESALE_COLLECTIONS": "0.26"}
+CASH_OUT_SHARES = {
+    "SUPPLIER_PAYMENTS": "0.47",
+    "PAYROLL": "0.20",
+    "RENT": "0.07",
+    "OTHER_OPEX": "0.16",
+    "TAX": "0.06",
+    "CAPEX": "0.04",
+}
+
 # How long a receipt counts as stock, and how many snapshots are kept.
 STOCK_DAYS = 160
 SNAPSHOT_WEEKS = 12

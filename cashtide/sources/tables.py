@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +11,29 @@ from pyspark.sql import functions as F
 from cashtide.schemas import FACT_DATES, SCHEMAS, TABLE_COMMENTS, conform
 
 
-def read_tables(spark: SparkSession, folder: str, names: Iterable[str]) -> dict[str, DataFrame]:
-    """Parquet tables ``<folder>/<name>.parquet`` by name."""
-    return {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in names}
+class ParquetTables(Mapping):
+    """Parquet tables ``<folder>/<name>.parquet`` by name, each opened when first asked for."""
+
+    def __init__(self, spark: SparkSession, folder: str, names: Iterable[str]):
+        self._spark, self._folder, self._names = spark, folder, tuple(names)
+        self._open: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._names:
+            raise KeyError(name)
+        if name not in self._open:
+            self._open[name] = self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+        return self._open[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._names)
+
+    def __len__(self) -> int:
+        return len(self._names)
+
+
+def read_tables(spark: SparkSession, folder: str, names: Iterable[str]) -> Mapping[str, DataFrame]:
+    return ParquetTables(spark, folder, names)
 
 
 def read_catalog(spark: SparkSession, names: Iterable[str] = SCHEMAS) -> dict[str, DataFrame]:
