@@ -1,4 +1,7 @@
-"""Money, ratios and bands. Money stays DECIMAL so that totals tie out to the cent."""
+"""Money, ratios and bands. Money stays DECIMAL so that totals tie out to the cent.
+
+Arguments are SQL expressions over the columns at hand.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +10,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(12,2)"
-TOTAL = "decimal(28,2)"
-_WIDE = "decimal(38,0)"
+MONEY = "DECIMAL(12,2)"
+RATE = "DECIMAL(4,2)"
+TOTAL = "DECIMAL(28,2)"
+_WHOLE = "DECIMAL(38,0)"
 
 # Age bands in days.
 AGE_BOUNDS = (30, 60, 90)
@@ -18,61 +22,61 @@ PAST_DUE_BOUNDS = (0, 30, 60, 90)
 PAST_DUE_LABELS = ("current", "1-30", "31-60", "61-90", "90+")
 
 
-def _column(value: Column | str) -> Column:
-    return value if isinstance(value, Column) else F.col(value)
-
+def total_sql(value: str, where: str | None = None) -> str:
+    kept = f" FILTER (WHERE {where})" if where else ""
+    return f"CAST(sum({value}){kept} AS {TOTAL})"
 
-def money(column: Column | str) -> Column:
-    return _column(column).cast(MONEY)
 
+def total(value: str, where: str | None = None) -> Column:
+    """Sum of money, of one type in every query; NULL when no row meets ``where``."""
+    return F.expr(total_sql(value, where))
 
-def rate(column: Column | str) -> Column:
-    return _column(column).cast("decimal(4,2)")
 
+def total_or_zero(value: str, where: str | None = None) -> Column:
+    return F.expr(f"coalesce({total_sql(value, where)}, CAST(0 AS {TOTAL}))")
 
-def total(column: Column | str) -> Column:
-    """Sum of money, wide enough for 10^26 and of one type in every query."""
-    return F.sum(_column(column)).cast(TOTAL)
 
+def ratio_sql(part: str, whole: str, digits: int | None = None) -> str:
+    quotient = f"CAST({part} AS DOUBLE) / nullif(CAST({whole} AS DOUBLE), 0D)"
+    return quotient if digits is None else f"round({quotient}, {digits})"
 
-def total_where(column: Column | str, condition: Column) -> Column:
-    """Sum over the rows that meet a condition; NULL when there are none."""
-    return total(F.when(condition, _column(column)))
 
-
-def ratio(part: Column | str, whole: Column | str, digits: int | None = None) -> Column:
+def ratio(part: str, whole: str, digits: int | None = None) -> Column:
     """Quotient in DOUBLE, NULL where the divisor is zero."""
-    divisor = F.nullif(_column(whole).cast("double"), F.lit(0.0))
-    quotient = _column(part).cast("double") / divisor
-    return quotient if digits is None else F.round(quotient, digits)
+    return F.expr(ratio_sql(part, whole, digits))
 
 
-def portion(amount: Column, part: Column, whole: Column) -> Column:
+def portion_sql(amount: str, part: str, whole: str) -> str:
     """``amount * part / whole`` to the cent, halves away from zero, in whole-number arithmetic.
 
-    ``part`` and ``whole`` are whole numbers or decimals of one scale, ``whole`` above zero.
+    ``part`` and ``whole`` are whole numbers; NULL where ``whole`` is zero.
     """
-    cents = (F.abs(amount) * 100).cast(_WIDE)
-    above, below = part.cast(_WIDE), F.nullif(whole.cast(_WIDE), F.lit(0).cast(_WIDE))
-    doubled = (F.lit(2).cast(_WIDE) * cents * above + below).cast(_WIDE)
-    quotient = F.call_function("div", doubled, (F.lit(2).cast(_WIDE) * below).cast(_WIDE))
-    signed = F.when(amount < 0, -quotient).otherwise(quotient).cast("decimal(20,0)")
-    return (signed * F.lit("0.01").cast("decimal(3,2)")).cast(TOTAL)
+    above = f"2 * CAST(abs({amount}) * 100 AS {_WHOLE}) * CAST({part} AS {_WHOLE})"
+    below = f"nullif(CAST({whole} AS {_WHOLE}), 0)"
+    cents = f"(CAST({above} + {below} AS {_WHOLE}) div CAST(2 * {below} AS {_WHOLE}))"
+    return f"CAST(CAST(if({amount} < 0, -{cents}, {cents}) AS DECIMAL(20,0)) * 0.01BD AS {TOTAL})"
+
 
+def portion(amount: str, part: str, whole: str) -> Column:
+    return F.expr(portion_sql(amount, part, whole))
 
-def bucketize(column: Column | str, bounds: Sequence[int], labels: Sequence[str]) -> Column:
+
+def band_sql(value: str, bounds: Sequence[int], labels: Sequence[str]) -> str:
     """The band a number falls in: ``labels[n]`` up to and with ``bounds[n]``, the last one above all."""
-    value = _column(column)
-    band = F.when(value > bounds[-1], labels[-1])
-    for bound, label in reversed(list(zip(bounds[:-1], labels[1:-1], strict=True))):
-        band = band.when(value > bound, label)
-    return band.when(value.isNotNull(), labels[0])
+    if len(labels) != len(bounds) + 1:
+        raise ValueError("one label more than bounds is needed")
+    steps = " ".join(f"WHEN {value} <= {bound} THEN '{label}'" for bound, label in zip(bounds, labels, strict=False))
+    return f"CASE {steps} WHEN {value} IS NOT NULL THEN '{labels[-1]}' END"
+
+
+def bucketize(value: str, bounds: Sequence[int], labels: Sequence[str]) -> Column:
+    return F.expr(band_sql(value, bounds, labels))
 
 
-def padded_id(prefix: str, number: Column | str, width: int) -> Column:
+def padded_id(prefix: str, number: str, width: int) -> Column:
     """Ids such as ``SKU-00042``."""
-    return F.format_string(f"{prefix}-%0{width}d", _column(number))
+    return F.expr(f"format_string('{prefix}-%0{width}d', {number})")
 
 
-def swap_prefix(column: Column | str, old: str, new: str) -> Column:
-    return F.regexp_replace(_column(column), f"^{old}-", f"{new}-")
+def swap_prefix(code: Column, old: str, new: str) -> Column:
+    return F.regexp_replace(code, f"^{old}-", f"{new}-")

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cashtide.functions.amounts import TOTAL, portion
+from cashtide.functions.amounts import TOTAL, portion_sql
 from cashtide.operators.ordered import position
 
 
@@ -21,11 +21,9 @@ def allocate_exact(
     """
     weights = rows.groupBy(*by).agg(F.sum(weight).alias("__whole"))
     targets = totals.select(*by, F.col(total).cast(TOTAL).alias("__total")).join(weights, [*by])
-    # One scale for both weights lets the shares be computed in whole numbers.
-    part, whole = F.col(weight) * 100, F.col("__whole") * 100
-    shares = rows.join(targets, [*by]).withColumn(
-        name, F.coalesce(portion(F.col("__total"), part, whole), F.lit(0).cast(TOTAL))
-    )
+    # Both weights in hundredths let the shares be computed in whole numbers.
+    share = portion_sql("__total", f"{weight} * 100", "__whole * 100")
+    shares = rows.join(targets, [*by]).withColumn(name, F.expr(f"coalesce({share}, CAST(0 AS {TOTAL}))"))
     leftover = shares.groupBy(*by).agg(
         (F.max("__total") - F.sum(name)).cast(TOTAL).alias("__leftover"), F.max(key).alias(key)
     )
@@ -60,14 +58,9 @@ def even_split(
 
 def split_by_share(df: DataFrame, amount: str, shares: Mapping[str, str], name: str, label: str) -> DataFrame:
     """Each amount over fixed shares (decimal text by label), each part rounded to the cent."""
-    parts = F.array(
-        *(
-            F.struct(
-                F.lit(who).alias(label),
-                F.round(F.col(amount) * F.lit(share).cast("decimal(6,4)"), 2).cast(TOTAL).alias(name),
-            )
-            for who, share in shares.items()
-        )
+    parts = ", ".join(
+        f"named_struct('{label}', '{who}', '{name}', CAST(round({amount} * CAST('{share}' AS DECIMAL(6,4)), 2) AS {TOTAL}))"
+        for who, share in shares.items()
     )
     kept = [c for c in df.columns if c != amount]
-    return df.select(*kept, F.explode(parts).alias("__part")).select(*kept, f"__part.{label}", f"__part.{name}")
+    return df.selectExpr(*kept, f"inline(array({parts}))")

@@ -5,9 +5,9 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from cashtide.functions.amounts import TOTAL, portion
+from cashtide.functions.amounts import TOTAL, portion_sql
+from cashtide.functions.dates import date_sql
 
 # Drivers of a forecast.
 BASELINE = "BASELINE"
@@ -21,34 +21,23 @@ def forecast_rows(amounts: DataFrame, quarter_end: dt.date, horizon: dt.date) ->
     are the Saturdays after the run up to ``horizon``. In week ``i`` of ``n`` the baseline stands at
     94% plus 6% of ``i/n``, a driver's plan at its full amount and its projection at ``i/n``.
     """
-    run = F.col("forecast_run_date")
-    saturday = F.next_day(run, "SAT")
-    count = F.call_function("div", F.datediff(F.lit(horizon), saturday) + 7, F.lit(7))
-    paths = amounts.withColumn("n", F.greatest(F.lit(0), count).cast("int"))
-    weeks = F.transform(
-        F.when(F.col("n") > 0, F.sequence(F.lit(1), F.greatest(F.col("n"), F.lit(1)))).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(F.date_add(saturday, 7 * (i - 1)).alias("week"), i.alias("i")),
+    end, saturday = date_sql(quarter_end), "next_day(forecast_run_date, 'SAT')"
+    # Week 0 stands for the quarter-end. One that falls on a Saturday is not listed twice.
+    weekly = (
+        f"filter(transform(if(n > 0, sequence(1, n), CAST(array() AS ARRAY<INT>)), "
+        f"i -> named_struct('week', date_add({saturday}, 7 * (i - 1)), 'i', i)), w -> w.week <> {end})"
     )
-    last = F.array(F.struct(F.lit(quarter_end).alias("week"), F.lit(0).alias("i")))
-    # A quarter that ends on a Saturday has one row for that day, not two.
-    weekly = F.filter(weeks, lambda w: w["week"] != F.lit(quarter_end))
-    spread = paths.select("*", F.explode(F.concat(weekly, last)).alias("point"))
-    step, n = F.col("point.i"), F.col("n")
-    base = F.col("driver") == BASELINE
-    planned, projected = F.col("planned_amt"), F.col("projected_amt")
-
-    def baseline(amount):
-        return portion(amount, 94 * n + 6 * step, 100 * n)
-
-    checkpoint = step == 0
-    return spread.select(
-        run,
-        F.col("point.week").alias("forecast_week_ending"),
+    spread = amounts.selectExpr(
+        "*", f"CAST(greatest(0, (datediff({date_sql(horizon)}, {saturday}) + 7) div 7) AS INT) AS n"
+    ).selectExpr("*", f"inline(concat({weekly}, array(named_struct('week', {end}, 'i', 0))))")
+    ramp = "94 * n + 6 * i", "100 * n"
+    return spread.selectExpr(
+        "forecast_run_date",
+        "week AS forecast_week_ending",
         "driver",
-        F.when(checkpoint | ~base, planned).otherwise(baseline(planned)).cast(TOTAL).alias("planned_cash_amt"),
-        F.when(checkpoint, projected)
-        .when(base, baseline(projected))
-        .otherwise(portion(projected, step, n))
-        .cast(TOTAL)
-        .alias("projected_cash_amt"),
-    ).withColumn("variance_amt", (F.col("projected_cash_amt") - F.col("planned_cash_amt")).cast(TOTAL))
+        f"CAST(CASE WHEN i = 0 OR driver <> '{BASELINE}' THEN planned_amt "
+        f"ELSE {portion_sql('planned_amt', *ramp)} END AS {TOTAL}) AS planned_cash_amt",
+        f"CAST(CASE WHEN i = 0 THEN projected_amt WHEN driver = '{BASELINE}' "
+        f"THEN {portion_sql('projected_amt', *ramp)} "
+        f"ELSE {portion_sql('projected_amt', 'i', 'n')} END AS {TOTAL}) AS projected_cash_amt",
+    ).selectExpr("*", f"CAST(projected_cash_amt - planned_cash_amt AS {TOTAL}) AS variance_amt")

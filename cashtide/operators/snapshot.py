@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cashtide.functions.amounts import AGE_BOUNDS, AGE_LABELS, TOTAL, bucketize, rate
+from cashtide.functions.amounts import AGE_BOUNDS, AGE_LABELS, TOTAL, band_sql
+from cashtide.functions.dates import date_sql, trailing, trailing_sql
 
 
 def inventory_snapshot(
@@ -21,41 +22,34 @@ def inventory_snapshot(
     a row per group and not one per receipt and week it covers.
     """
     weeks = sorted(weeks)
-    received = F.col("receipt_date")
-    span = received.between(
-        F.lit(weeks[0] - dt.timedelta(days=window_days - 1)), F.lit(weeks[-1])
-    )
-    aggregates = []
+    span = window_days + (weeks[-1] - weeks[0]).days
+    aggregates, entries = [], []
     for n, week in enumerate(weeks):
-        counted = (received > F.lit(week - dt.timedelta(days=window_days))) & (received <= F.lit(week))
-        aggregates.append(F.sum(F.when(counted, F.col("units"))).alias(f"__units{n}"))
-        aggregates.append(F.max(F.when(counted, received)).alias(f"__newest{n}"))
-    wide = receipts.filter(span).groupBy(*by).agg(*aggregates)
-    entries = F.array(
-        *(
-            F.struct(
-                F.lit(week).alias("week_ending_date"),
-                F.col(f"__units{n}").alias("on_hand_units"),
-                F.col(f"__newest{n}").alias("last_receipt_date"),
-            )
-            for n, week in enumerate(weeks)
+        counted = f"FILTER (WHERE {trailing_sql('receipt_date', week, window_days)})"
+        aggregates += [f"sum(units) {counted} AS units{n}", f"max(receipt_date) {counted} AS newest{n}"]
+        entries.append(
+            f"named_struct('week_ending_date', {date_sql(week)}, "
+            f"'on_hand_units', units{n}, 'last_receipt_date', newest{n})"
         )
-    )
-    return wide.select(*by, F.inline(entries)).filter(F.col("on_hand_units").isNotNull())
+    wide = receipts.filter(trailing("receipt_date", weeks[-1], span)).groupBy(*by).agg(*map(F.expr, aggregates))
+    return wide.selectExpr(*by, f"inline(array({', '.join(entries)}))").filter("on_hand_units IS NOT NULL")
 
 
 def valued_snapshot(snapshot: DataFrame, products: DataFrame) -> DataFrame:
     """A snapshot with cost, age, band and expected markdown, from the products' unit cost."""
-    age = F.col("days_on_hand")
-    costs = products.select("product_id", "unit_cost")
-    # Markdown expected on aged and on other stock.
-    markdown = F.when(F.col("is_aged"), rate(F.lit("0.45"))).otherwise(rate(F.lit("0.05")))
+    columns = [c for c in snapshot.columns]
+    cost = f"CAST(on_hand_units * unit_cost AS {TOTAL})"
+    aged = f"days_on_hand > {AGE_BOUNDS[-1]}"
     return (
-        snapshot.join(costs, "product_id", "left")
-        .withColumn("on_hand_cost", (F.col("on_hand_units") * F.col("unit_cost")).cast(TOTAL))
-        .withColumn("days_on_hand", F.datediff("week_ending_date", "last_receipt_date"))
-        .withColumn("aging_bucket", bucketize(age, AGE_BOUNDS, AGE_LABELS))
-        .withColumn("is_aged", age > AGE_BOUNDS[-1])
-        .withColumn("markdown_liability_amt", F.round(F.col("on_hand_cost") * markdown, 2).cast(TOTAL))
-        .drop("unit_cost")
+        snapshot.join(products.select("product_id", "unit_cost"), "product_id", "left")
+        .selectExpr(
+            *columns, f"{cost} AS on_hand_cost", "datediff(week_ending_date, last_receipt_date) AS days_on_hand"
+        )
+        .selectExpr(
+            "*",
+            f"{band_sql('days_on_hand', AGE_BOUNDS, AGE_LABELS)} AS aging_bucket",
+            f"{aged} AS is_aged",
+            # Markdown expected on aged and on other stock.
+            f"CAST(round(on_hand_cost * if({aged}, 0.45BD, 0.05BD), 2) AS {TOTAL}) AS markdown_liability_amt",
+        )
     )

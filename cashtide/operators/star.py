@@ -58,10 +58,10 @@ class Partial:
         return {"sum": F.sum, "min": F.min, "max": F.max}[self.again](F.col(self.name)).alias(self.name)
 
 
-def sums(**inputs: str | Column) -> list[Partial]:
-    """Named sums of fact columns, given by name or as an expression on ``fact.column``."""
+def sums(**inputs: str) -> list[Partial]:
+    """Named sums of SQL expressions on ``fact.column``; a plain name means that column of the fact."""
     return [
-        Partial(name, F.sum(F.col(f"{FACT}.{value}") if isinstance(value, str) else value), "sum")
+        Partial(name, F.expr(f"sum({FACT}.{value})" if value.isidentifier() else f"sum({value})"), "sum")
         for name, value in inputs.items()
     ]
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cashtide.functions.amounts import TOTAL, total, total_where
-from cashtide.functions.dates import trailing
+from cashtide.functions.amounts import total, total_or_zero
+from cashtide.functions.dates import date_sql, trailing
 
 
 def cancel_orders(
@@ -19,37 +19,34 @@ def cancel_orders(
     Order lines add up per product and supplier before categories are looked up.
     """
     inbound = (
-        purchase_orders.filter((F.col("status") == "OPEN") & (F.col("expected_receipt_date") > F.lit(as_of)))
+        purchase_orders.filter(f"status = 'OPEN' AND expected_receipt_date > {date_sql(as_of)}")
         .groupBy("product_id", "supplier_id")
         .agg(
-            F.count(F.lit(1)).alias("open_lines"),
-            F.sum("ordered_units").cast("bigint").alias("open_units"),
+            F.expr("count(1) AS open_lines"),
+            F.expr("CAST(sum(ordered_units) AS BIGINT) AS open_units"),
             total("committed_cost").alias("committed_cost"),
-            F.min("expected_receipt_date").alias("next_receipt_date"),
+            F.expr("min(expected_receipt_date) AS next_receipt_date"),
         )
     )
-    weak = rates.filter(F.col("sell_through_rate") < below).select("department", "category", "sell_through_rate")
+    weak = rates.filter(f"sell_through_rate < {float(below)}D").select("department", "category", "sell_through_rate")
     placed = products.select("product_id", "department", "category").join(weak, ["department", "category"])
     return inbound.join(placed, "product_id").orderBy(F.desc("committed_cost"), "product_id", "supplier_id")
 
 
 def defer_payments(payables: DataFrame, suppliers: DataFrame, as_of: dt.date, quarter_end: dt.date) -> DataFrame:
     """Payments about to leave early: the cash kept by paying on schedule, and what of it stays past quarter-end."""
+    end = date_sql(quarter_end)
     due = (
-        payables.filter((F.col("days_early") > 0) & (F.col("actual_pay_date") > F.lit(as_of)))
+        payables.filter(f"days_early > 0 AND actual_pay_date > {date_sql(as_of)}")
         .groupBy("supplier_id")
         .agg(
-            F.count(F.lit(1)).alias("payments"),
+            F.expr("count(1) AS payments"),
             total("invoice_amt").alias("deferrable_cash"),
-            F.coalesce(
-                total_where(
-                    "invoice_amt",
-                    (F.col("actual_pay_date") <= F.lit(quarter_end)) & (F.col("scheduled_pay_date") > F.lit(quarter_end)),
-                ),
-                F.lit(0).cast(TOTAL),
-            ).alias("kept_past_quarter_end"),
+            total_or_zero("invoice_amt", f"actual_pay_date <= {end} AND scheduled_pay_date > {end}").alias(
+                "kept_past_quarter_end"
+            ),
             total("cash_impact_vs_plan_amt").alias("avoidable_cost"),
-            F.min("actual_pay_date").alias("next_pay_date"),
+            F.expr("min(actual_pay_date) AS next_pay_date"),
         )
     )
     names = suppliers.select("supplier_id", "supplier_name")
@@ -58,35 +55,32 @@ def defer_payments(payables: DataFrame, suppliers: DataFrame, as_of: dt.date, qu
 
 def chase_collections(receivables: DataFrame, customers: DataFrame, as_of: dt.date) -> DataFrame:
     """Overdue and undisputed: what each customer owes, and for how long."""
-    late = (F.col("status") == "OPEN") & ~F.col("dispute_flag") & (F.col("due_date") < F.lit(as_of))
+    today = date_sql(as_of)
     owed = (
-        receivables.filter(late)
+        receivables.filter(f"status = 'OPEN' AND NOT dispute_flag AND due_date < {today}")
         .groupBy("customer_id")
         .agg(
-            F.count(F.lit(1)).alias("invoices"),
+            F.expr("count(1) AS invoices"),
             total("amount").alias("overdue_amount"),
-            F.min("due_date").alias("oldest_due_date"),
+            F.expr("min(due_date) AS oldest_due_date"),
+            F.expr(f"datediff({today}, min(due_date)) AS days_past_due"),
         )
-        .withColumn("days_past_due", F.datediff(F.lit(as_of), F.col("oldest_due_date")))
     )
     names = customers.select("customer_id", "customer_name")
     return owed.join(names, "customer_id", "left").orderBy(F.desc("overdue_amount"), "customer_id")
 
 
-def stock_balance(inventory_latest: DataFrame, sales: DataFrame, as_of: dt.date, weeks: int, target_weeks: int) -> DataFrame:
+def stock_balance(
+    inventory_latest: DataFrame, sales: DataFrame, as_of: dt.date, weeks: int, target_weeks: int
+) -> DataFrame:
     """Units above (or, negative, below) the target cover, per product and location."""
-    sold = (
-        sales.filter(trailing("date_key", as_of, 7 * weeks))
-        .groupBy("product_id", "store_id")
-        .agg(F.sum("units_sold").cast("bigint").alias("sold"))
+    held = inventory_latest.selectExpr("product_id", "store_id", "CAST(on_hand_units AS BIGINT) AS held", "0L AS sold")
+    sold = sales.filter(trailing("date_key", as_of, 7 * weeks)).selectExpr(
+        "product_id", "store_id", "0L AS held", "CAST(units_sold AS BIGINT) AS sold"
     )
-    held = inventory_latest.select("product_id", "store_id", F.col("on_hand_units").cast("bigint").alias("held"))
-    # Both sides come as rows of one shape, so a sum replaces a full outer join.
-    none = F.lit(0).cast("bigint")
-    both = held.withColumn("sold", none).unionByName(sold.withColumn("held", none))
-    summed = both.groupBy("product_id", "store_id").agg(F.sum("held").alias("held"), F.sum("sold").alias("sold"))
-    target = F.call_function("div", F.col("sold") * F.lit(target_weeks) + F.lit(weeks - 1), F.lit(weeks))
-    return summed.select("product_id", "store_id", (F.col("held") - target).cast("bigint").alias("over"))
+    # Both sides come as rows of one shape, so one grouped sum replaces a full outer join.
+    cover = f"(sum(sold) * {target_weeks} + {weeks - 1}) div {weeks}"
+    return held.unionByName(sold).groupBy("product_id", "store_id").agg(F.expr(f"sum(held) - {cover} AS over"))
 
 
 def reflow(balance: DataFrame) -> DataFrame:
@@ -97,19 +91,18 @@ def reflow(balance: DataFrame) -> DataFrame:
     segments, and each segment belongs to the next surplus end and the next deficit end. No pairs
     are formed. A group holds one row per location of one product.
     """
-    over = F.col("over")
-    sides = balance.filter(over != 0).select(
-        "product_id", "store_id", (over > 0).alias("gives"), F.abs(over).alias("units")
-    )
-    laid = Window.partitionBy("product_id", "gives").orderBy(F.desc("units"), "store_id")
-    ends = sides.withColumn("end", F.sum("units").over(laid.rowsBetween(Window.unboundedPreceding, 0)))
-    line = Window.partitionBy("product_id").orderBy("end", "gives")
-    ahead = line.rowsBetween(0, Window.unboundedFollowing)
-    cut = (
-        ends.withColumn("from_store_id", F.first(F.when(F.col("gives"), F.col("store_id")), ignorenulls=True).over(ahead))
-        .withColumn("to_store_id", F.first(F.when(~F.col("gives"), F.col("store_id")), ignorenulls=True).over(ahead))
-        .withColumn("units", (F.col("end") - F.lag("end", 1, 0).over(line)).cast("bigint"))
+    laid = "PARTITION BY product_id, gives ORDER BY units DESC, store_id ROWS UNBOUNDED PRECEDING"
+    line = "PARTITION BY product_id ORDER BY stop, gives"
+    ahead = f"OVER ({line} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    return (
+        balance.filter("over <> 0")
+        .selectExpr("product_id", "store_id", "over > 0 AS gives", "abs(over) AS units")
+        .selectExpr("*", f"sum(units) OVER ({laid}) AS stop")
+        .selectExpr(
+            "product_id",
+            f"first(if(gives, store_id, NULL), true) {ahead} AS from_store_id",
+            f"first(if(gives, NULL, store_id), true) {ahead} AS to_store_id",
+            f"CAST(stop - lag(stop, 1, 0L) OVER ({line}) AS BIGINT) AS units",
+        )
+        .filter("units > 0 AND from_store_id IS NOT NULL AND to_store_id IS NOT NULL")
     )
-    return cut.filter(
-        (F.col("units") > 0) & F.col("from_store_id").isNotNull() & F.col("to_store_id").isNotNull()
-    ).select("product_id", "from_store_id", "to_store_id", "units")

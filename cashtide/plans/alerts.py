@@ -5,10 +5,10 @@ from __future__ import annotations
 import datetime as dt
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from cashtide.functions.amounts import TOTAL, total
+from cashtide.functions.dates import date_sql
 
 
 def cash_alert(
@@ -21,25 +21,26 @@ def cash_alert(
     last condition needs two earlier changes and is waived until there are.
     """
     runs = (
-        forecast.filter(F.col("forecast_week_ending") == F.lit(quarter_end))
+        forecast.filter(f"forecast_week_ending = {date_sql(quarter_end)}")
         .groupBy("forecast_run_date")
         .agg(total("variance_amt").alias("variance"), total("projected_cash_amt").alias("projected"))
     )
-    order = Window.orderBy("forecast_run_date")
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    change = F.col("deterioration").cast("double")
-    changes = runs.withColumn(
-        "deterioration", (F.col("projected") - F.lag("projected").over(order)).cast(TOTAL)
-    ).withColumn("control_limit", F.round(F.avg(change).over(earlier) - k * F.stddev_samp(change).over(earlier), 0))
-    low = F.col("variance") <= -F.lit(level).cast(TOTAL)
-    fast = F.coalesce(F.col("deterioration") <= -F.lit(velocity).cast(TOTAL), F.lit(False))
-    unusual = F.coalesce(change < F.col("control_limit"), F.lit(True))
-    return changes.select(
-        "forecast_run_date",
-        "variance",
-        "deterioration",
-        F.col("control_limit").cast(TOTAL).alias("control_limit"),
-        low.alias("level_breach"),
-        fast.alias("velocity_breach"),
-        (low & fast & unusual).alias("alert"),
-    ).orderBy("forecast_run_date")
+    # One row per run from here on.
+    order = "ORDER BY forecast_run_date"
+    earlier = f"OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    change = "CAST(deterioration AS DOUBLE)"
+    low, fast = f"variance <= -CAST({level} AS {TOTAL})", f"coalesce(deterioration <= -CAST({velocity} AS {TOTAL}), false)"
+    return (
+        runs.selectExpr("*", f"CAST(projected - lag(projected) OVER ({order}) AS {TOTAL}) AS deterioration")
+        .selectExpr("*", f"round(avg({change}) {earlier} - {float(k)}D * stddev_samp({change}) {earlier}, 0) AS floor_")
+        .selectExpr(
+            "forecast_run_date",
+            "variance",
+            "deterioration",
+            f"CAST(floor_ AS {TOTAL}) AS control_limit",
+            f"{low} AS level_breach",
+            f"{fast} AS velocity_breach",
+            f"{low} AND {fast} AND coalesce({change} < floor_, true) AS alert",
+        )
+        .orderBy("forecast_run_date")
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cashtide.functions.amounts import TOTAL, total
@@ -29,42 +29,37 @@ def briefing(
     ``levels`` and ``cycle`` are one row; the lists are added up to one row each and all come side
     by side, so nothing is joined.
     """
+    days = ("dso_days", "dpo_days", "dio_days", "ccc_days")
     row = side_by_side(
         [
             levels,
-            cycle.select(*(F.col(c).cast(TOTAL).alias(c) for c in ("dso_days", "dpo_days", "dio_days", "ccc_days"))),
+            cycle.selectExpr(*(f"CAST({c} AS {TOTAL}) AS {c}" for c in days)),
             cancellable.agg(total("committed_cost").alias("cancel")),
             deferrable.agg(total("deferrable_cash").alias("defer"), total("avoidable_cost").alias("avoid")),
             collectable.agg(total("overdue_amount").alias("chase")),
-            movable.agg(F.sum("units").cast(TOTAL).alias("move")),
+            movable.agg(F.expr(f"CAST(sum(units) AS {TOTAL}) AS move")),
         ]
     )
-    c = F.col
-    lines: list[tuple[str, str, str | None, Column]] = [
-        ("ALERT", "planned quarter-end cash", None, c("plan")),
-        ("ALERT", "projected quarter-end cash", None, c("projected")),
-        ("ALERT", "gap to plan", None, c("projected") - c("plan")),
-        ("ALERT", "change since the last forecast", None, c("projected") - c("prior_projected")),
-        *(("DRIVER", driver, lever, c(driver)) for driver, lever in LEVERS.items()),
-        ("KPI", "days sales outstanding", None, c("dso_days")),
-        ("KPI", "days payable outstanding", None, c("dpo_days")),
-        ("KPI", "days inventory outstanding", None, c("dio_days")),
-        ("KPI", "cash conversion cycle", None, c("ccc_days")),
-        ("ACTION", "open orders in weak categories", "cancel open orders", c("cancel")),
-        ("ACTION", "payments leaving early", "defer payments", c("defer")),
-        ("ACTION", "cost of paying early", "defer payments", c("avoid")),
-        ("ACTION", "overdue and undisputed invoices", "chase collections", c("chase")),
-        ("ACTION", "units to move between locations", "move stock", c("move")),
+    lines: list[tuple[str, str, str | None, str]] = [
+        ("ALERT", "planned quarter-end cash", None, "plan"),
+        ("ALERT", "projected quarter-end cash", None, "projected"),
+        ("ALERT", "gap to plan", None, "projected - plan"),
+        ("ALERT", "change since the last forecast", None, "projected - prior_projected"),
+        *(("DRIVER", driver, lever, driver) for driver, lever in LEVERS.items()),
+        ("KPI", "days sales outstanding", None, "dso_days"),
+        ("KPI", "days payable outstanding", None, "dpo_days"),
+        ("KPI", "days inventory outstanding", None, "dio_days"),
+        ("KPI", "cash conversion cycle", None, "ccc_days"),
+        ("ACTION", "open orders in weak categories", "cancel open orders", "cancel"),
+        ("ACTION", "payments leaving early", "defer payments", "defer"),
+        ("ACTION", "cost of paying early", "defer payments", "avoid"),
+        ("ACTION", "overdue and undisputed invoices", "chase collections", "chase"),
+        ("ACTION", "units to move between locations", "move stock", "move"),
     ]
-    entries = F.array(
-        *(
-            F.struct(
-                F.lit(section).alias("section"),
-                F.lit(item).alias("item"),
-                F.lit(lever).cast("string").alias("lever"),
-                F.coalesce(value, F.lit(0)).cast(TOTAL).alias("value"),
-            )
-            for section, item, lever, value in lines
-        )
+    entries = ", ".join(
+        f"named_struct('section', '{section}', 'item', '{item}', "
+        f"'lever', {f'{lever!r}' if lever else 'CAST(NULL AS STRING)'}, "
+        f"'value', CAST(coalesce({value}, 0) AS {TOTAL}))"
+        for section, item, lever, value in lines
     )
-    return row.select(F.inline(entries))
+    return row.selectExpr(f"inline(array({entries}))")

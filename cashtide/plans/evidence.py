@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,19 +13,24 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Rule:
-    """What to look for: a regular expression and the group to keep, or a fixed finding."""
+    """What to look for: a regular expression and the group to keep, or a fixed finding.
+
+    ``signs`` are texts of which every match has at least one: a document without any is not
+    searched with the slower pattern.
+    """
 
     name: str
     pattern: str
     group: int = 0
     finding: str | None = None
+    signs: tuple[str, ...] = ()
 
 
 # Rules for dispute letters, remittance notes, and supplier contracts.
 FINANCE_RULES = (
-    Rule("amount", r"(?:\$|USD )[0-9][0-9,]*(?:\.[0-9]{2})?"),
-    Rule("terms_days", r"[Nn]et[ -]([0-9]{1,3})", 1),
-    Rule("discount_pct", r"([0-9]+(?:\.[0-9]+)?) ?%", 1),
+    Rule("amount", r"(?:\$|USD )[0-9][0-9,]*(?:\.[0-9]{2})?", signs=("$", "USD ")),
+    Rule("terms_days", r"[Nn]et[ -]([0-9]{1,3})", 1, signs=("et ", "et-")),
+    Rule("discount_pct", r"([0-9]+(?:\.[0-9]+)?) ?%", 1, signs=("%",)),
     Rule("reason", r"(?i)short[- ]ship(?:ped|ment)?", finding="short-ship"),
     Rule("reason", r"(?i)(?:quality (?:defect|issue)|defective)", finding="quality defect"),
     Rule("reason", r"(?i)pric(?:e|ing) (?:discrepancy|difference|error)", finding="pricing discrepancy"),
@@ -31,14 +38,22 @@ FINANCE_RULES = (
 
 # Rules for what general prose holds.
 CONTACT_RULES = (
-    Rule("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    Rule("phone", r"[0-9]{3}-[0-9]{3}-[0-9]{4}"),
-    Rule("licence", r"(?:MIT License|Apache License|GNU General Public License|Creative Commons)"),
+    Rule("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", signs=("@",)),
+    Rule("phone", r"[0-9]{3}-[0-9]{3}-[0-9]{4}", signs=("-",)),
+    Rule(
+        "licence",
+        r"(?:MIT License|Apache License|GNU General Public License|Creative Commons)",
+        signs=("License", "Creative Commons"),
+    ),
 )
 
 
 def _hits(rule: Rule, text: str) -> Column:
-    return F.regexp_extract_all(F.col(text), F.lit(rule.pattern), F.lit(rule.group))
+    hits = F.regexp_extract_all(F.col(text), F.lit(rule.pattern), F.lit(rule.group))
+    if not rule.signs:
+        return hits
+    seen = reduce(operator.or_, (F.contains(F.col(text), F.lit(sign)) for sign in rule.signs))
+    return F.when(seen, hits).otherwise(F.array().cast("array<string>"))
 
 
 def _entry(rule: Rule) -> Callable[[Column, Column], Column]:

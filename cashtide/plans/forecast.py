@@ -9,20 +9,18 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cashtide.functions.amounts import TOTAL
-from cashtide.functions.dates import week_ending
+from cashtide.functions.amounts import TOTAL, total
+from cashtide.functions.dates import date_sql, week_ending
 from cashtide.operators.ordered import daily_balance
-from cashtide.sources.tables import stacked
 
 ALL = "ALL"
-_EXACT = "decimal(38,0)"
 
 
 def balance_series(ledger: DataFrame, by_category: bool) -> DataFrame:
     """``(segment, day, balance)``: end-of-day balance of all cash, or of each category's flows."""
-    segment = F.col("cash_category") if by_category else F.lit(ALL)
-    daily = ledger.groupBy(segment.alias("segment"), F.col("ledger_date").alias("day")).agg(
-        F.sum("net_cash_amt").alias("net")
+    segment = "cash_category" if by_category else f"'{ALL}'"
+    daily = ledger.groupBy(F.expr(f"{segment} AS segment"), F.expr("ledger_date AS day")).agg(
+        F.expr("sum(net_cash_amt) AS net")
     )
     return daily_balance(daily, "day", "net", by=["segment"]).drop("net")
 
@@ -33,32 +31,36 @@ def trend(series: DataFrame, first_day: dt.date) -> DataFrame:
     The sums are taken in whole numbers (balances to the unit), so they do not depend on the order
     of rows, and the line is the same on every run.
     """
-    x = F.datediff("day", F.lit(first_day)).cast("bigint")
-    y = F.round("balance", 0).cast("decimal(20,0)")
-    sums = series.groupBy("segment").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(x).alias("sx"),
-        F.sum(x * x).alias("sxx"),
-        F.sum(y).cast(_EXACT).alias("sy"),
-        F.sum((x * y).cast("decimal(28,0)")).cast(_EXACT).alias("sxy"),
-        F.sum((y * y).cast(_EXACT)).cast(_EXACT).alias("syy"),
+    whole = "DECIMAL(38,0)"
+    points = series.selectExpr(
+        "segment",
+        f"CAST(datediff(day, {date_sql(first_day)}) AS BIGINT) AS x",
+        "CAST(round(balance, 0) AS DECIMAL(18,0)) AS y",
+    )
+    sums = points.groupBy("segment").agg(
+        F.expr("count(1) AS n"),
+        F.expr("sum(x) AS sx"),
+        F.expr("sum(x * x) AS sxx"),
+        *(F.expr(f"CAST(sum(CAST({v} AS {whole})) AS {whole}) AS {name}") for v, name in (("y", "sy"), ("x * y", "sxy"), ("y * y", "syy"))),
     )
-    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
     return (
-        sums.filter(n > 2)
-        .withColumn("dxx", (n * F.col("sxx") - sx * sx).cast("double"))
-        .withColumn("dxy", ((n * F.col("sxy")).cast(_EXACT) - (sx * sy).cast(_EXACT)).cast("double"))
-        .withColumn("dyy", ((n * F.col("syy")).cast(_EXACT) - (sy * sy).cast(_EXACT)).cast("double"))
-        .filter(F.col("dxx") > 0)
-        .withColumn("slope", F.col("dxy") / F.col("dxx"))
-        .withColumn("intercept", (sy.cast("double") - F.col("slope") * sx) / n)
-        .withColumn(
-            "spread",
-            F.sqrt(
-                F.greatest(F.lit(0.0), F.col("dyy") - F.col("dxy") * F.col("dxy") / F.col("dxx")) / n / (n - 2)
-            ),
+        sums.filter("n > 2")
+        .selectExpr(
+            "*",
+            "CAST(n * sxx - sx * sx AS DOUBLE) AS dxx",
+            f"CAST(CAST(n * sxy AS {whole}) - CAST(sx * sy AS {whole}) AS DOUBLE) AS dxy",
+            f"CAST(CAST(n * syy AS {whole}) - CAST(sy * sy AS {whole}) AS DOUBLE) AS dyy",
+        )
+        .filter("dxx > 0")
+        .selectExpr(
+            "segment",
+            "n",
+            "sx",
+            "dxx",
+            "dxy / dxx AS slope",
+            "(CAST(sy AS DOUBLE) - (dxy / dxx) * sx) / n AS intercept",
+            "sqrt(greatest(0D, dyy - dxy * dxy / dxx) / n / (n - 2)) AS spread",
         )
-        .select("segment", "n", "sx", "dxx", "slope", "intercept", "spread")
     )
 
 
@@ -77,27 +79,28 @@ def predict_cash_flow(
     category, or everything.
     """
     first_day = as_of - dt.timedelta(days=history_days - 1)
-    series = balance_series(ledger.filter(F.col("ledger_date") <= F.lit(as_of)), by_category or segment is not None)
+    series = balance_series(ledger.filter(f"ledger_date <= {date_sql(as_of)}"), by_category or segment is not None)
     if segment is not None:
         series = series.filter(F.col("segment") == segment)
-    lines = trend(series.filter(F.col("day") >= F.lit(first_day)), first_day)
-    points = lines.select(
-        "*", F.inline(F.array(*(F.struct(F.lit(d).alias("forecast_date"), F.lit((d - first_day).days).alias("x")) for d in horizon)))
-    )
-    x, n = F.col("x"), F.col("n")
-    off_centre = x - F.col("sx").cast("double") / n
-    width = (
-        F.lit(NormalDist().inv_cdf(0.5 + level / 2))
-        * F.col("spread")
-        * F.sqrt(1 + F.lit(1.0) / n + off_centre * off_centre / (F.col("dxx") / n))
-    )
-    centre = F.col("intercept") + F.col("slope") * x
-    return points.select(
-        "segment",
-        "forecast_date",
-        F.round(centre, 0).cast(TOTAL).alias("projected_balance"),
-        F.round(centre - width, 0).cast(TOTAL).alias("lower_bound"),
-        F.round(centre + width, 0).cast(TOTAL).alias("upper_bound"),
+    points = ", ".join(f"named_struct('d', {date_sql(d)}, 'x', {float((d - first_day).days)}D)" for d in horizon)
+    z = NormalDist().inv_cdf(0.5 + level / 2)
+    off_centre = "(x - CAST(sx AS DOUBLE) / n)"
+    return (
+        trend(series.filter(f"day >= {date_sql(first_day)}"), first_day)
+        .selectExpr("*", f"inline(array({points}))")
+        .selectExpr(
+            "segment",
+            "d AS forecast_date",
+            "intercept + slope * x AS middle",
+            f"{z!r}D * spread * sqrt(1 + 1D / n + {off_centre} * {off_centre} / (dxx / n)) AS width",
+        )
+        .selectExpr(
+            "segment",
+            "forecast_date",
+            f"CAST(round(middle, 0) AS {TOTAL}) AS projected_balance",
+            f"CAST(round(middle - width, 0) AS {TOTAL}) AS lower_bound",
+            f"CAST(round(middle + width, 0) AS {TOTAL}) AS upper_bound",
+        )
     )
 
 
@@ -106,25 +109,21 @@ def rolling_weeks(ledger: DataFrame, as_of: dt.date, weeks: int = 13, history_da
     saturday = as_of + dt.timedelta(days=(5 - as_of.weekday()) % 7)
     ahead = [saturday + dt.timedelta(weeks=n) for n in range(1, weeks + 1)]
     first = saturday - dt.timedelta(weeks=weeks)
-    seen = ledger.filter((F.col("ledger_date") <= F.lit(as_of)) & (F.col("ledger_date") > F.lit(first)))
+    seen = ledger.filter(f"ledger_date <= {date_sql(as_of)} AND ledger_date > {date_sql(first)}")
     actual = seen.groupBy(week_ending("ledger_date").alias("week_ending_date")).agg(
-        F.lit("ACTUAL").alias("kind"),
-        F.sum("cash_in_amt").cast(TOTAL).alias("cash_in"),
-        F.sum("cash_out_amt").cast(TOTAL).alias("cash_out"),
-        F.max_by("running_cash_balance", "ledger_date").cast(TOTAL).alias("closing_balance"),
-        F.lit(None).cast(TOTAL).alias("lower_bound"),
-        F.lit(None).cast(TOTAL).alias("upper_bound"),
+        F.expr("'ACTUAL' AS kind"),
+        total("cash_in_amt").alias("cash_in"),
+        total("cash_out_amt").alias("cash_out"),
+        F.expr(f"CAST(max_by(running_cash_balance, ledger_date) AS {TOTAL}) AS closing_balance"),
     )
-    projected = predict_cash_flow(ledger, as_of, ahead, history_days=history_days).select(
-        F.col("forecast_date").alias("week_ending_date"),
-        F.lit("FORECAST").alias("kind"),
-        F.lit(None).cast(TOTAL).alias("cash_in"),
-        F.lit(None).cast(TOTAL).alias("cash_out"),
-        F.col("projected_balance").alias("closing_balance"),
+    projected = predict_cash_flow(ledger, as_of, ahead, history_days=history_days).selectExpr(
+        "forecast_date AS week_ending_date",
+        "'FORECAST' AS kind",
+        "projected_balance AS closing_balance",
         "lower_bound",
         "upper_bound",
     )
-    return stacked([actual, projected]).orderBy("week_ending_date")
+    return actual.unionByName(projected, allowMissingColumns=True).orderBy("week_ending_date")
 
 
 def register_forecast(predictions: DataFrame, name: str = "predict_cash_flow") -> None:

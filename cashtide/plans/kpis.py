@@ -4,33 +4,30 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cashtide.functions.amounts import TOTAL, ratio, total
-from cashtide.functions.dates import open_as_of, trailing
+from cashtide.functions.amounts import TOTAL, ratio_sql, total
+from cashtide.functions.dates import date_sql, open_as_of, trailing
 from cashtide.operators.star import Lookup, aggregate_by_attributes, at_latest, side_by_side, sums
 
 
 def deterioration(forecast: DataFrame, quarter_end: dt.date) -> DataFrame:
     """How far quarter-end cash moved from each forecast run to the next; the first run has no row."""
     runs = (
-        forecast.filter(F.col("forecast_week_ending") == F.lit(quarter_end))
+        forecast.filter(f"forecast_week_ending = {date_sql(quarter_end)}")
         .groupBy("forecast_run_date")
-        .agg(total("projected_cash_amt").alias("projected_quarter_end_cash"))
+        .agg(total("projected_cash_amt").alias("now"))
     )
     # One row per run by now, so an unpartitioned window is small at any scale.
-    before = F.lag("projected_quarter_end_cash").over(Window.orderBy("forecast_run_date"))
     return (
-        runs.withColumn("prior_projected_quarter_end_cash", before)
-        .filter(F.col("prior_projected_quarter_end_cash").isNotNull())
-        .select(
-            F.col("forecast_run_date").alias("current_run_date"),
-            "projected_quarter_end_cash",
-            "prior_projected_quarter_end_cash",
-            (F.col("projected_quarter_end_cash") - F.col("prior_projected_quarter_end_cash"))
-            .cast(TOTAL)
-            .alias("deterioration_2wk"),
+        runs.selectExpr("*", "lag(now) OVER (ORDER BY forecast_run_date) AS before")
+        .filter("before IS NOT NULL")
+        .selectExpr(
+            "forecast_run_date AS current_run_date",
+            "now AS projected_quarter_end_cash",
+            "before AS prior_projected_quarter_end_cash",
+            f"CAST(now - before AS {TOTAL}) AS deterioration_2wk",
         )
     )
 
@@ -54,7 +51,7 @@ def cycle_inputs(
     )
     paid = payables.filter(trailing("actual_pay_date", as_of, days)).agg(
         total("invoice_amt").alias("paid_amt"),
-        total(F.col("invoice_amt") * (F.col("terms_days") - F.col("days_early"))).alias("paid_amt_days"),
+        total("invoice_amt * (terms_days - days_early)").alias("paid_amt_days"),
     )
     return side_by_side([flows, stock, owed, paid])
 
@@ -69,33 +66,33 @@ def working_capital_cycle(
     latest: dt.date | None = None,
 ) -> DataFrame:
     """Days of sales outstanding, payables, inventory, and the cash conversion cycle, as of a day."""
-    sums_ = cycle_inputs(sales, inventory, receivables, payables, as_of, days, latest)
-    dso = ratio("outstanding_ar", F.col("net_sales").cast("double") / F.lit(float(days)))
-    dio = ratio("ending_inventory_cost", F.col("cogs").cast("double") / F.lit(float(days)))
-    dpo = ratio("paid_amt_days", "paid_amt")
-    return sums_.select(
-        F.round(dso, 1).alias("dso_days"),
-        F.round(dpo, 1).alias("dpo_days"),
-        F.round(dio, 1).alias("dio_days"),
-        F.round(dso + dio - dpo, 1).alias("ccc_days"),
+    inputs = cycle_inputs(sales, inventory, receivables, payables, as_of, days, latest)
+    dso = ratio_sql("outstanding_ar", f"(CAST(net_sales AS DOUBLE) / {float(days)}D)")
+    dio = ratio_sql("ending_inventory_cost", f"(CAST(cogs AS DOUBLE) / {float(days)}D)")
+    return inputs.selectExpr(
+        f"{dso} AS dso", f"{ratio_sql('paid_amt_days', 'paid_amt')} AS dpo", f"{dio} AS dio"
+    ).selectExpr(
+        "round(dso, 1) AS dso_days",
+        "round(dpo, 1) AS dpo_days",
+        "round(dio, 1) AS dio_days",
+        "round(dso + dio - dpo, 1) AS ccc_days",
     )
 
 
 def units_by_category(sales: DataFrame, products: DataFrame, as_of: dt.date, weeks: int = 8) -> DataFrame:
     """Units sold in the weeks that end with ``as_of``, by department and category."""
-    recent = sales.filter(trailing("date_key", as_of, 7 * weeks))
-    return _by_category(recent, products, units_8wk="units_sold")
+    return _by_category(sales.filter(trailing("date_key", as_of, 7 * weeks)), products, "units_sold", "units_8wk")
 
 
-def _by_category(fact: DataFrame, products: DataFrame, **measures: str) -> DataFrame:
+def _by_category(fact: DataFrame, products: DataFrame, units: str, name: str) -> DataFrame:
     grouped = aggregate_by_attributes(
         fact,
         [Lookup("product", products, "product_id", "product_id")],
         [("department", "product.department"), ("category", "product.category")],
-        sums(**measures),
+        sums(**{name: units}),
         how="inner",
     )
-    return grouped.select("department", "category", *(F.col(name).cast("bigint").alias(name) for name in measures))
+    return grouped.selectExpr("department", "category", f"CAST({name} AS BIGINT) AS {name}")
 
 
 def sell_through(
@@ -106,14 +103,16 @@ def sell_through(
     A category in stock that sold nothing has a sell-through of 0 and no weeks of supply; one that
     sold but holds no stock is left out.
     """
-    stock = _by_category(at_latest(inventory, "week_ending_date", latest), products, on_hand_units="on_hand_units")
+    stock = _by_category(
+        at_latest(inventory, "week_ending_date", latest), products, "on_hand_units", "on_hand_units"
+    )
     sold = units_by_category(sales, products, latest, weeks)
-    units, held = F.coalesce("units_8wk", F.lit(0)), F.col("on_hand_units")
-    return stock.join(sold, ["department", "category"], "left").select(
+    units = "coalesce(units_8wk, 0)"
+    return stock.join(sold, ["department", "category"], "left").selectExpr(
         "department",
         "category",
-        held,
-        units.alias("units_sold_8wk"),
-        ratio(units, units + held, 3).alias("sell_through_rate"),
-        ratio(held, F.col("units_8wk").cast("double") / F.lit(float(weeks)), 1).alias("weeks_of_supply"),
+        "on_hand_units",
+        f"{units} AS units_sold_8wk",
+        f"{ratio_sql(units, f'({units} + on_hand_units)', 3)} AS sell_through_rate",
+        f"{ratio_sql('on_hand_units', f'(CAST(units_8wk AS DOUBLE) / {float(weeks)}D)', 1)} AS weeks_of_supply",
     )

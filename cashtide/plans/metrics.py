@@ -46,26 +46,22 @@ class Measure:
     synonyms: tuple[str, ...] = ()
     format: str = ""
 
-    def _input(self) -> Column:
-        value = F.lit(1) if self.column is None else F.col(f"fact.{self.column}")
-        return value if self.where is None else F.when(F.expr(self.where), value)
-
     def partials(self) -> list[Partial]:
-        value = self._input()
+        value = "1" if self.column is None else f"fact.{self.column}"
+        kept = f" FILTER (WHERE {self.where})" if self.where else ""
         if self.kind == "count":
-            return [Partial(self.name, F.count(value), "sum")]
-        parts = [Partial(self.name, F.sum(value), "sum")]
+            return [Partial(self.name, F.expr(f"count({value}){kept}"), "sum")]
+        parts = [Partial(self.name, F.expr(f"sum({value}){kept}"), "sum")]
         if self.kind == "avg":
-            parts.append(Partial(f"{self.name}__n", F.count(value), "sum"))
+            parts.append(Partial(f"{self.name}__n", F.expr(f"count({value}){kept}"), "sum"))
         return parts
 
-    def result(self) -> Column:
-        value = F.col(self.name)
+    def result(self) -> str:
         if self.kind == "count":
-            return F.coalesce(value, F.lit(0)).cast("bigint")
+            return f"CAST(coalesce({self.name}, 0) AS BIGINT) AS {self.name}"
         if self.kind == "avg":
-            return value.cast("double") / F.nullif(F.col(f"{self.name}__n"), F.lit(0))
-        return value.cast(self.type)
+            return f"CAST({self.name} AS DOUBLE) / nullif({self.name}__n, 0) AS {self.name}"
+        return f"CAST({self.name} AS {self.type}) AS {self.name}"
 
 
 @dataclass(frozen=True)
@@ -219,7 +215,7 @@ def metric_query(
         [partial for atom in atoms for partial in atom.partials()],
         keep=outer,
     )
-    plain = grouped.select(*dims, *(atom.result().alias(atom.name) for atom in atoms))
+    plain = grouped.selectExpr(*dims, *(atom.result() for atom in atoms))
     evaluated = _evaluate(view, plain, measures, set())
     return evaluated.select(
         *(F.col(name).alias(name, metadata=_metadata(view.field(name))) for name in dims),

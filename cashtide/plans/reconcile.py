@@ -6,33 +6,28 @@ import datetime as dt
 from collections.abc import Mapping, Sequence
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cashtide.functions.amounts import TOTAL, total, total_where
+from cashtide.functions.amounts import TOTAL, total, total_or_zero
+from cashtide.functions.dates import date_sql
 from cashtide.operators.projection import BASELINE, DRIVERS
 from cashtide.operators.star import at_latest, side_by_side
 from cashtide.plans.kpis import deterioration
 from cashtide.sources.tables import stacked
 
 
-def _or_zero(column: Column) -> Column:
-    return F.coalesce(column, F.lit(0)).cast(TOTAL)
-
-
-def quarter_end_totals(
-    forecast: DataFrame, run: dt.date, prior_run: dt.date, quarter_end: dt.date
-) -> DataFrame:
+def quarter_end_totals(forecast: DataFrame, run: dt.date, prior_run: dt.date, quarter_end: dt.date) -> DataFrame:
     """Plan, projection, prior projection and each driver's variance at quarter-end, in one row."""
-    current, prior = F.col("forecast_run_date") == F.lit(run), F.col("forecast_run_date") == F.lit(prior_run)
-    return forecast.filter(F.col("forecast_week_ending") == F.lit(quarter_end)).agg(
-        total_where("planned_cash_amt", current).alias("plan"),
-        total_where("projected_cash_amt", current).alias("projected"),
-        total_where("projected_cash_amt", prior).alias("prior_projected"),
+    current, prior = (f"forecast_run_date = {date_sql(d)}" for d in (run, prior_run))
+    return forecast.filter(f"forecast_week_ending = {date_sql(quarter_end)}").agg(
+        total("planned_cash_amt", current).alias("plan"),
+        total("projected_cash_amt", current).alias("projected"),
+        total("projected_cash_amt", prior).alias("prior_projected"),
         *(
-            _or_zero(total_where("variance_amt", current & (F.col("driver") == d))).alias(d)
-            for d in DRIVERS
-            if d != BASELINE
+            total_or_zero("variance_amt", f"{current} AND driver = '{driver}'").alias(driver)
+            for driver in DRIVERS
+            if driver != BASELINE
         ),
     )
 
@@ -41,7 +36,7 @@ def reconcile(
     inventory: DataFrame,
     receivables: DataFrame,
     payables: DataFrame,
-    ledger: DataFrame,
+    ledger: DataFrame | None,
     forecast: DataFrame,
     run: dt.date,
     prior_run: dt.date,
@@ -52,55 +47,52 @@ def reconcile(
 ) -> DataFrame:
     """``(check, actual, expected, diff, ok)``: facts against the forecast, or against given targets.
 
-    ``receivables`` and ``payables`` hold what the forecast counts. Each table is read once.
+    ``receivables`` and ``payables`` hold what the forecast counts. Each fact is read once. Without
+    a ledger the plan needs a target.
     """
-    stock = at_latest(inventory, "week_ending_date", latest).agg(
-        _or_zero(total_where("on_hand_cost", F.col("is_aged"))).alias("aged")
-    )
     impact = "cash_impact_vs_plan_amt"
-    owed = receivables.agg(
-        _or_zero(total_where(impact, F.col("status") == "DISPUTED")).alias("disputed"),
-        _or_zero(total_where(impact, F.col("status") == "SLIPPED")).alias("slipped"),
-    )
-    paid = payables.agg(
-        _or_zero(total_where(impact, F.col("payment_category") == "ACCELERATED")).alias("accelerated")
-    )
-    cash = ledger.filter(F.col("ledger_date") <= F.lit(run)).agg(
-        F.max_by("running_cash_balance", "ledger_date").cast(TOTAL).alias("balance")
-    )
-    levels = quarter_end_totals(forecast, run, prior_run, quarter_end)
-    moved = (
+    facts = [
+        at_latest(inventory, "week_ending_date", latest).agg(total_or_zero("on_hand_cost", "is_aged").alias("aged")),
+        receivables.agg(
+            total_or_zero(impact, "status = 'DISPUTED'").alias("disputed"),
+            total_or_zero(impact, "status = 'SLIPPED'").alias("slipped"),
+        ),
+        payables.agg(total_or_zero(impact, "payment_category = 'ACCELERATED'").alias("accelerated")),
+        quarter_end_totals(forecast, run, prior_run, quarter_end),
         deterioration(forecast, quarter_end)
-        .filter(F.col("current_run_date") == F.lit(run))
-        .agg(F.max("deterioration_2wk").alias("moved"))
-    )
-    row = side_by_side([stock, owed, paid, cash, levels, moved])
-    c = F.col
-    drivers = c("aged") + c("disputed") + c("slipped") + c("accelerated")
-    checks = {
-        "aged_inventory": (c("aged"), -c("INVENTORY_TRAP")),
-        "disputed_receivables": (c("disputed"), -c("COLLECTIONS_SLOWDOWN") - c("slipped")),
-        "slipped_receivables": (c("slipped"), -c("COLLECTIONS_SLOWDOWN") - c("disputed")),
-        "collections_total": (c("disputed") + c("slipped"), -c("COLLECTIONS_SLOWDOWN")),
-        "accelerated_payments": (c("accelerated"), -c("AP_ACCELERATION")),
-        "drivers_total": (drivers, c("plan") - c("projected")),
-        "plan_at_quarter_end": (c("plan"), c("balance")),
-        "projected_at_quarter_end": (c("projected"), c("plan") - drivers),
-        "prior_projected_at_quarter_end": (c("prior_projected"), c("projected") - c("moved")),
-        "deterioration": (c("prior_projected") - c("projected"), -c("moved")),
-    }
-    given = {name: F.lit(value) for name, value in (targets or {}).items()}
-    entries = F.array(
-        *(
-            F.struct(
-                F.lit(name).alias("check"),
-                actual.cast(TOTAL).alias("actual"),
-                given.get(name, expected).cast(TOTAL).alias("expected"),
+        .filter(f"current_run_date = {date_sql(run)}")
+        .agg(F.expr("max(deterioration_2wk) AS moved")),
+    ]
+    balance = f"CAST(NULL AS {TOTAL})"
+    if ledger is not None:
+        balance = "balance"
+        facts.append(
+            ledger.filter(f"ledger_date <= {date_sql(run)}").agg(
+                F.expr(f"CAST(max_by(running_cash_balance, ledger_date) AS {TOTAL}) AS balance")
             )
-            for name, (actual, expected) in checks.items()
         )
+    checks = {
+        "aged_inventory": ("aged", "-INVENTORY_TRAP"),
+        "disputed_receivables": ("disputed", "-COLLECTIONS_SLOWDOWN - slipped"),
+        "slipped_receivables": ("slipped", "-COLLECTIONS_SLOWDOWN - disputed"),
+        "collections_total": ("disputed + slipped", "-COLLECTIONS_SLOWDOWN"),
+        "accelerated_payments": ("accelerated", "-AP_ACCELERATION"),
+        "drivers_total": ("aged + disputed + slipped + accelerated", "plan - projected"),
+        "plan_at_quarter_end": ("plan", balance),
+        "projected_at_quarter_end": ("projected", "plan - (aged + disputed + slipped + accelerated)"),
+        "prior_projected_at_quarter_end": ("prior_projected", "projected - moved"),
+        "deterioration": ("prior_projected - projected", "-moved"),
+    }
+    unknown = set(targets or {}) - set(checks)
+    if unknown:
+        raise KeyError(f"no such check: {sorted(unknown)}")
+    given = {name: str(Decimal(value)) for name, value in (targets or {}).items()}
+    entries = ", ".join(
+        f"named_struct('check', '{name}', 'actual', CAST({actual} AS {TOTAL}), "
+        f"'expected', CAST({given.get(name, expected)} AS {TOTAL}))"
+        for name, (actual, expected) in checks.items()
     )
-    return _judged(row.select(F.inline(entries)), tolerance)
+    return _judged(side_by_side(facts).selectExpr(f"inline(array({entries}))"), tolerance)
 
 
 def same_result(name: str, one: DataFrame, other: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -109,16 +101,16 @@ def same_result(name: str, one: DataFrame, other: DataFrame, keys: Sequence[str]
     Both are stacked with opposite signs and added up; a group missing on one side stands for 0.
     """
     signed = stacked(
-        df.select(*keys, (F.coalesce(F.col(value), F.lit(0)) * sign).cast(TOTAL).alias("v"))
-        for df, sign in ((one, 1), (other, -1))
+        df.selectExpr(*keys, f"CAST({sign}coalesce({value}, 0) AS {TOTAL}) AS v")
+        for df, sign in ((one, ""), (other, "-"))
     )
-    groups = signed.groupBy(*keys).agg(F.sum("v").alias("v"))
-    differing = groups.agg(F.count_if(F.col("v") != 0).cast(TOTAL).alias("actual"))
-    return _judged(differing.select(F.lit(name).alias("check"), "actual", F.lit(0).cast(TOTAL).alias("expected")), 0)
+    differing = signed.groupBy(*keys).agg(F.expr("sum(v) AS v")).agg(F.expr(f"CAST(count_if(v <> 0) AS {TOTAL}) AS actual"))
+    return _judged(differing.selectExpr(f"'{name}' AS check", "actual", f"CAST(0 AS {TOTAL}) AS expected"), 0)
 
 
 def _judged(checks: DataFrame, tolerance: Decimal | int) -> DataFrame:
-    diff = (F.col("actual") - F.col("expected")).cast(TOTAL)
-    return checks.withColumn("diff", diff).withColumn(
-        "ok", F.coalesce(F.abs("diff") <= F.lit(tolerance).cast(TOTAL), F.lit(False))
+    return checks.selectExpr(
+        "*",
+        f"CAST(actual - expected AS {TOTAL}) AS diff",
+        f"coalesce(abs(actual - expected) <= CAST({tolerance} AS {TOTAL}), false) AS ok",
     )

@@ -5,11 +5,20 @@ from __future__ import annotations
 import datetime as dt
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cashtide.functions.amounts import AGE_LABELS, PAST_DUE_BOUNDS, PAST_DUE_LABELS, TOTAL, bucketize, ratio, total, total_where
-from cashtide.functions.dates import open_as_of, trailing, week_ending
+from cashtide.functions.amounts import (
+    AGE_LABELS,
+    PAST_DUE_BOUNDS,
+    PAST_DUE_LABELS,
+    TOTAL,
+    band_sql,
+    ratio_sql,
+    total,
+    total_or_zero,
+)
+from cashtide.functions.dates import date_sql, open_as_of, trailing, week_ending
 from cashtide.operators.projection import BASELINE, DRIVERS
 from cashtide.operators.star import Lookup, aggregate_by_attributes, at_latest, sums
 
@@ -17,58 +26,50 @@ from cashtide.operators.star import Lookup, aggregate_by_attributes, at_latest,
 def waterfall(forecast: DataFrame, run: dt.date, quarter_end: dt.date) -> DataFrame:
     """From plan to projection at quarter-end: plan, each driver (worst first), the rest, projection."""
     named = [d for d in DRIVERS if d != BASELINE]
-    current = (F.col("forecast_run_date") == F.lit(run)) & (F.col("forecast_week_ending") == F.lit(quarter_end))
-    zero = F.lit(0).cast(TOTAL)
+    current = f"forecast_run_date = {date_sql(run)} AND forecast_week_ending = {date_sql(quarter_end)}"
     totals = forecast.filter(current).agg(
-        F.coalesce(total("planned_cash_amt"), zero).alias("plan"),
-        F.coalesce(total("projected_cash_amt"), zero).alias("projected"),
-        *(F.coalesce(total_where("variance_amt", F.col("driver") == d), zero).alias(d) for d in named),
+        total_or_zero("planned_cash_amt").alias("plan"),
+        total_or_zero("projected_cash_amt").alias("projected"),
+        *(total_or_zero("variance_amt", f"driver = '{d}'").alias(d) for d in named),
     )
-    rest = F.col("projected") - F.col("plan")
-    for d in named:
-        rest = rest - F.col(d)
-
-    def bar(section, amount, item):
-        return F.struct(F.lit(section).alias("section"), amount.cast(TOTAL).alias("amount"), F.lit(item).alias("item"))
-
-    bars = F.array_sort(
-        F.array(
-            bar(0, F.col("plan"), "PLAN"),
-            *(bar(1, F.col(d), d) for d in named),
-            bar(2, rest, "OTHER"),
-            bar(3, F.col("projected"), "PROJECTED"),
+    rest = "projected - plan - " + " - ".join(named)
+    bars = [(0, "plan", "PLAN"), *((1, d, d) for d in named), (2, rest, "OTHER"), (3, "projected", "PROJECTED")]
+    entries = ", ".join(
+        f"named_struct('section', {section}, 'amount', CAST({amount} AS {TOTAL}), 'item', '{item}')"
+        for section, amount, item in bars
+    )
+    return (
+        totals.selectExpr(f"posexplode(array_sort(array({entries}))) AS (step, bar)")
+        .selectExpr(
+            "step",
+            "bar.item AS item",
+            "bar.amount AS amount",
+            f"CAST(sum(if(bar.section = 3, 0, bar.amount)) OVER (ORDER BY step) AS {TOTAL}) AS running",
         )
+        .orderBy("step")
     )
-    moved = F.when(F.col("section") == 3, zero).otherwise(F.col("amount"))
-    steps = totals.select(F.posexplode(bars).alias("step", "bar")).select("step", "bar.*")
-    return steps.select(
-        "step", "item", "amount", F.sum(moved).over(Window.orderBy("step")).cast(TOTAL).alias("running")
-    ).orderBy("step")
 
 
 def ar_aging(receivables: DataFrame, as_of: dt.date) -> DataFrame:
     """Open invoices by channel and days past due."""
-    past_due = F.datediff(F.lit(as_of), F.col("due_date"))
+    past_due = band_sql(f"datediff({date_sql(as_of)}, due_date)", PAST_DUE_BOUNDS, PAST_DUE_LABELS)
     return (
         receivables.filter(open_as_of("invoice_date", "paid_date", as_of))
-        .groupBy("channel", bucketize(past_due, PAST_DUE_BOUNDS, PAST_DUE_LABELS).alias("past_due_bucket"))
-        .agg(F.count(F.lit(1)).alias("invoices"), total("amount").alias("open_amount"))
+        .groupBy("channel", F.expr(f"{past_due} AS past_due_bucket"))
+        .agg(F.expr("count(1) AS invoices"), total("amount").alias("open_amount"))
     )
 
 
 def ap_schedule(payables: DataFrame, as_of: dt.date) -> DataFrame:
     """Payments due after ``as_of`` by week, and how much of each week was or will be paid early."""
-    early = F.col("payment_category") == "ACCELERATED"
     return (
-        payables.filter(F.col("scheduled_pay_date") > F.lit(as_of))
+        payables.filter(f"scheduled_pay_date > {date_sql(as_of)}")
         .groupBy(week_ending("scheduled_pay_date").alias("pay_week"))
         .agg(
-            F.count(F.lit(1)).alias("payments"),
+            F.expr("count(1) AS payments"),
             total("invoice_amt").alias("scheduled_amt"),
-            F.coalesce(total_where("invoice_amt", early), F.lit(0).cast(TOTAL)).alias("accelerated_amt"),
-            F.coalesce(
-                total_where("invoice_amt", F.col("actual_pay_date") <= F.lit(as_of)), F.lit(0).cast(TOTAL)
-            ).alias("already_paid_amt"),
+            total_or_zero("invoice_amt", "payment_category = 'ACCELERATED'").alias("accelerated_amt"),
+            total_or_zero("invoice_amt", f"actual_pay_date <= {date_sql(as_of)}").alias("already_paid_amt"),
         )
         .orderBy("pay_week")
     )
@@ -78,27 +79,18 @@ def inventory_aging(
     inventory: DataFrame, products: DataFrame, stores: DataFrame, latest: dt.date | None = None
 ) -> DataFrame:
     """Stock at cost by department, category and region, one column per age band."""
+    bands = dict(zip(AGE_LABELS, ("days_0_30", "days_31_60", "days_61_90", "days_over_90"), strict=True))
     banded = aggregate_by_attributes(
         at_latest(inventory, "week_ending_date", latest),
         [Lookup("product", products, "product_id", "product_id"), Lookup("store", stores, "store_id", "store_id")],
         [("department", "product.department"), ("category", "product.category"), ("region", "store.region")],
         sums(
-            **{
-                f"days_{label}": F.when(F.col("fact.aging_bucket") == label, F.col("fact.on_hand_cost"))
-                for label in AGE_LABELS
-            },
+            **{name: f"if(fact.aging_bucket = '{label}', fact.on_hand_cost, 0)" for label, name in bands.items()},
             on_hand_cost="on_hand_cost",
         ),
     )
-    names = {"days_0-30": "days_0_30", "days_31-60": "days_31_60", "days_61-90": "days_61_90", "days_90+": "days_over_90"}
-    zero = F.lit(0).cast(TOTAL)
-    return banded.select(
-        "department",
-        "category",
-        "region",
-        *(F.coalesce(F.col(f"`{old}`").cast(TOTAL), zero).alias(new) for old, new in names.items()),
-        F.col("on_hand_cost").cast(TOTAL).alias("on_hand_cost"),
-    )
+    money = (f"CAST({c} AS {TOTAL}) AS {c}" for c in (*bands.values(), "on_hand_cost"))
+    return banded.selectExpr("department", "category", "region", *money)
 
 
 def sell_through_gap(rates: DataFrame, plan: DataFrame | Decimal | float) -> DataFrame:
@@ -107,12 +99,8 @@ def sell_through_gap(rates: DataFrame, plan: DataFrame | Decimal | float) -> Dat
         planned = rates.join(plan.select("department", "category", "plan_rate"), ["department", "category"], "left")
     else:
         planned = rates.withColumn("plan_rate", F.lit(float(plan)))
-    return planned.select(
-        "department",
-        "category",
-        "sell_through_rate",
-        "plan_rate",
-        F.round(F.col("sell_through_rate") - F.col("plan_rate"), 3).alias("gap"),
+    return planned.selectExpr(
+        "department", "category", "sell_through_rate", "plan_rate", "round(sell_through_rate - plan_rate, 3) AS gap"
     ).orderBy("gap")
 
 
@@ -122,24 +110,25 @@ def terms_variance(payables: DataFrame, suppliers: DataFrame) -> DataFrame:
     Payments add up per supplier before the supplier is looked up, so a supplier with a third of
     all payments is one row in the join.
     """
-    amount = F.col("invoice_amt")
     paid = payables.groupBy("supplier_id").agg(
-        F.count(F.lit(1)).alias("payments"),
+        F.expr("count(1) AS payments"),
         total("invoice_amt").alias("invoice_amt"),
-        total(amount * F.col("terms_days")).alias("applied"),
-        total(amount * (F.col("terms_days") - F.col("days_early"))).alias("kept"),
+        total("invoice_amt * terms_days").alias("applied"),
+        total("invoice_amt * (terms_days - days_early)").alias("kept"),
     )
-    applied, kept = ratio("applied", "invoice_amt", 2), ratio("kept", "invoice_amt", 2)
     terms = suppliers.select("supplier_id", "supplier_name", "default_terms_days")
-    return paid.join(terms, "supplier_id", "left").select(
-        "supplier_id",
-        "supplier_name",
-        "payments",
-        "invoice_amt",
-        "default_terms_days",
-        applied.alias("applied_terms_days"),
-        kept.alias("kept_terms_days"),
-        F.round(kept - F.col("default_terms_days"), 2).alias("variance_days"),
+    return (
+        paid.join(terms, "supplier_id", "left")
+        .selectExpr(
+            "supplier_id",
+            "supplier_name",
+            "payments",
+            "invoice_amt",
+            "default_terms_days",
+            f"{ratio_sql('applied', 'invoice_amt', 2)} AS applied_terms_days",
+            f"{ratio_sql('kept', 'invoice_amt', 2)} AS kept_terms_days",
+        )
+        .selectExpr("*", "round(kept_terms_days - default_terms_days, 2) AS variance_days")
     )
 
 
@@ -148,12 +137,9 @@ def open_ar_target(
 ) -> DataFrame:
     """The open receivables that a target DSO implies, after other receivables, never under a floor."""
     sold = sales.filter(trailing("date_key", as_of, days)).agg(total("net_sales_amt").alias("net_sales"))
-    implied = F.round(
-        F.col("net_sales") * F.lit(dso_days).cast("decimal(6,2)") / F.lit(days).cast("decimal(4,0)"), 2
-    ).cast(TOTAL)
-    return sold.withColumn("outstanding_target", implied).withColumn(
-        "open_target",
-        F.greatest(
-            F.lit(floor).cast(TOTAL), (F.col("outstanding_target") - F.lit(other_ar).cast(TOTAL)).cast(TOTAL)
-        ),
+    implied = f"round(net_sales * CAST({dso_days} AS DECIMAL(6,2)) / CAST({days} AS DECIMAL(4,0)), 2)"
+    return sold.selectExpr("*", f"CAST({implied} AS {TOTAL}) AS outstanding_target").selectExpr(
+        "*",
+        f"greatest(CAST({floor} AS {TOTAL}), CAST(outstanding_target - CAST({other_ar} AS {TOTAL}) AS {TOTAL})) "
+        "AS open_target",
     )

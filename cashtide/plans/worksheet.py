@@ -7,70 +7,61 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cashtide.functions.amounts import total
+from cashtide.functions.amounts import TOTAL, total, total_sql
+from cashtide.functions.dates import date_sql
 from cashtide.operators.star import Lookup, Partial, aggregate_by_attributes, at_latest, sums
 
 
 def plan_vs_projected(forecast: DataFrame, quarter_end: dt.date) -> DataFrame:
-    """Plan, projection and variance at quarter-end, by run."""
+    """Plan, projection and variance at quarter-end, by run, in whole units of money."""
+    names = {"planned_cash_amt": "plan_cash", "projected_cash_amt": "projected_cash", "variance_amt": "variance"}
     return (
-        forecast.filter(F.col("forecast_week_ending") == F.lit(quarter_end))
+        forecast.filter(f"forecast_week_ending = {date_sql(quarter_end)}")
         .groupBy("forecast_run_date")
-        .agg(
-            F.round(total("planned_cash_amt")).cast("bigint").alias("plan_cash"),
-            F.round(total("projected_cash_amt")).cast("bigint").alias("projected_cash"),
-            F.round(total("variance_amt")).cast("bigint").alias("variance"),
-        )
+        .agg(*(F.expr(f"CAST(round({total_sql(c)}) AS BIGINT) AS {name}") for c, name in names.items()))
         .orderBy("forecast_run_date")
     )
 
 
 def driver_variance(forecast: DataFrame, run: dt.date, quarter_end: dt.date) -> DataFrame:
     """One run's variance at quarter-end, by driver."""
-    current = (F.col("forecast_run_date") == F.lit(run)) & (F.col("forecast_week_ending") == F.lit(quarter_end))
+    current = f"forecast_run_date = {date_sql(run)} AND forecast_week_ending = {date_sql(quarter_end)}"
     return forecast.filter(current).groupBy("driver").agg(total("variance_amt").alias("variance")).orderBy("variance")
 
 
 def aged_inventory(inventory: DataFrame, products: DataFrame, latest: dt.date | None = None) -> DataFrame:
     """Cost and expected markdown of aged stock at the newest snapshot, by department and category."""
     grouped = aggregate_by_attributes(
-        at_latest(inventory.filter("is_aged"), "week_ending_date", latest)
-        if latest
-        else at_latest(inventory, "week_ending_date").filter("is_aged"),
+        at_latest(inventory, "week_ending_date", latest).filter("is_aged"),
         [Lookup("product", products, "product_id", "product_id")],
         [("department", "product.department"), ("category", "product.category")],
         sums(aged_on_hand_cost="on_hand_cost", markdown_liability="markdown_liability_amt"),
         how="inner",
     )
-    return grouped.select(
-        "department",
-        "category",
-        F.col("aged_on_hand_cost").cast("decimal(28,2)").alias("aged_on_hand_cost"),
-        F.col("markdown_liability").cast("decimal(28,2)").alias("markdown_liability"),
-    ).orderBy(F.desc("aged_on_hand_cost"))
+    money = (f"CAST({c} AS {TOTAL}) AS {c}" for c in ("aged_on_hand_cost", "markdown_liability"))
+    return grouped.selectExpr("department", "category", *money).orderBy(F.desc("aged_on_hand_cost"))
 
 
 def po_by_status(purchase_orders: DataFrame) -> DataFrame:
     """Lines and committed cost, by status."""
-    return (
-        purchase_orders.groupBy("status")
-        .agg(F.count(F.lit(1)).alias("po_lines"), total("committed_cost").alias("committed_cost"))
-        .orderBy(F.desc("committed_cost"))
+    grouped = purchase_orders.groupBy("status").agg(
+        F.expr("count(1) AS po_lines"), total("committed_cost").alias("committed_cost")
     )
+    return grouped.orderBy(F.desc("committed_cost"))
 
 
 def collections_by_channel(receivables: DataFrame) -> DataFrame:
     """Cash at risk, invoices and recent flips, by channel."""
-    return (
-        receivables.filter(F.col("cash_impact_vs_plan_amt") > 0)
+    grouped = (
+        receivables.filter("cash_impact_vs_plan_amt > 0")
         .groupBy("channel")
         .agg(
             total("cash_impact_vs_plan_amt").alias("collections_at_risk"),
-            F.count(F.lit(1)).alias("invoices"),
-            F.count_if("flipped_last_2wk").alias("flipped_last_2wk"),
+            F.expr("count(1) AS invoices"),
+            F.expr("count_if(flipped_last_2wk) AS flipped_last_2wk"),
         )
-        .orderBy(F.desc("collections_at_risk"))
     )
+    return grouped.orderBy(F.desc("collections_at_risk"))
 
 
 def disputes(receivables: DataFrame, customers: DataFrame) -> DataFrame:
@@ -81,13 +72,13 @@ def disputes(receivables: DataFrame, customers: DataFrame) -> DataFrame:
         [("customer_name", "customer.customer_name"), ("dispute_reason", "fact.dispute_reason")],
         [
             *sums(disputed_amount="amount"),
-            Partial("flipped_last_2wk", F.max("fact.flipped_last_2wk"), "max"),
+            Partial("flipped_last_2wk", F.expr("max(fact.flipped_last_2wk)"), "max"),
         ],
         how="inner",
     )
-    return grouped.withColumn("disputed_amount", F.col("disputed_amount").cast("decimal(28,2)")).orderBy(
-        F.desc("disputed_amount")
-    )
+    return grouped.selectExpr(
+        "customer_name", "dispute_reason", f"CAST(disputed_amount AS {TOTAL}) AS disputed_amount", "flipped_last_2wk"
+    ).orderBy(F.desc("disputed_amount"))
 
 
 def ap_components(payables: DataFrame) -> DataFrame:
@@ -95,17 +86,14 @@ def ap_components(payables: DataFrame) -> DataFrame:
 
     The cost of paying early is not stored: it is the impact less the three stored parts.
     """
-    parts = ("early_pay_discount_lost_amt", "surcharge_amt", "expedite_freight_amt")
-    stored = F.col(parts[0]) + F.col(parts[1]) + F.col(parts[2])
-    return (
-        payables.groupBy("payment_category")
-        .agg(
-            F.count(F.lit(1)).alias("payments"),
-            total("cash_impact_vs_plan_amt").alias("cash_out_vs_plan"),
-            total(parts[0]).alias("early_pay_discount_lost"),
-            total(parts[1]).alias("tariff_surcharge"),
-            total(parts[2]).alias("expedited_freight"),
-            total(F.col("cash_impact_vs_plan_amt") - stored).alias("early_payment"),
-        )
-        .orderBy(F.desc("cash_out_vs_plan"))
+    grouped = payables.groupBy("payment_category").agg(
+        F.expr("count(1) AS payments"),
+        total("cash_impact_vs_plan_amt").alias("cash_out_vs_plan"),
+        total("early_pay_discount_lost_amt").alias("early_pay_discount_lost"),
+        total("surcharge_amt").alias("tariff_surcharge"),
+        total("expedite_freight_amt").alias("expedited_freight"),
+    )
+    stored = "early_pay_discount_lost - tariff_surcharge - expedited_freight"
+    return grouped.selectExpr("*", f"CAST(cash_out_vs_plan - {stored} AS {TOTAL}) AS early_payment").orderBy(
+        F.desc("cash_out_vs_plan")
     )

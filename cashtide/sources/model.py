@@ -7,17 +7,17 @@ joins; a line item without its order has no day and is left out.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cashtide.functions.amounts import MONEY, money, rate
-from cashtide.functions.dates import calendar, day, saturdays
+from cashtide.functions.amounts import MONEY, RATE, TOTAL, total, total_sql
+from cashtide.functions.dates import calendar, date_sql, day_sql, saturdays, trailing, trailing_sql
 from cashtide.operators.ordered import daily_balance
+from cashtide.operators.projection import BASELINE, forecast_rows
 from cashtide.operators.snapshot import inventory_snapshot, valued_snapshot
 from cashtide.operators.star import Lookup, aggregate_by_attributes, sums
-from cashtide.operators.projection import BASELINE, forecast_rows
 from cashtide.sources.tables import stacked
 
 SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -33,9 +33,14 @@ CASH_OUT_SHARES = {
     "CAPEX": "0.04",
 }
 
-# How long a receipt counts as stock, and how many snapshots are kept.
+# How long a receipt counts as stock, how many snapshots are kept, and how far back payments count.
 STOCK_DAYS = 160
 SNAPSHOT_WEEKS = 12
+PAYMENT_DAYS = 90
+
+_GROSS = f"CAST(l_extendedprice AS {MONEY})"
+_SHIPPED = day_sql("l_shipdate")
+_ORDERED = day_sql("o_orderdate")
 
 
 class Model:
@@ -51,58 +56,59 @@ class Model:
 
     def dates(self) -> DataFrame:
         """The calendar from the first order to the quarter-end, or the last shipment if later."""
-        first = self.source["orders"].agg(F.min(day("o_orderdate")).alias("first_day"))
-        last = self.source["lineitem"].agg(F.max(day("l_shipdate")).alias("last_day"))
+        first = self.source["orders"].agg(F.expr(f"min({_ORDERED}) AS first_day"))
+        last = self.source["lineitem"].agg(F.expr(f"max({_SHIPPED}) AS last_day"))
         bounds = first.unionByName(last, allowMissingColumns=True).agg(
-            F.min("first_day").alias("first_day"),
-            F.greatest(F.max("last_day"), F.lit(self.quarter_end)).alias("last_day"),
+            F.expr("min(first_day) AS first_day"),
+            F.expr(f"greatest(max(last_day), {date_sql(self.quarter_end)}) AS last_day"),
         )
         return calendar(bounds)
 
     def products(self) -> DataFrame:
-        price = F.col("p_retailprice").cast("decimal(10,2)")
-        return self.source["part"].select(
-            F.col("p_partkey").alias("product_id"),
-            F.col("p_name").alias("product_name"),
-            F.col("p_type").alias("department"),
-            F.col("p_brand").alias("category"),
-            price.alias("unit_price"),
-            F.round(price * F.lit("0.50").cast("decimal(3,2)"), 2).cast("decimal(10,2)").alias("unit_cost"),
+        price = "CAST(p_retailprice AS DECIMAL(10,2))"
+        return self.source["part"].selectExpr(
+            "p_partkey AS product_id",
+            "p_name AS product_name",
+            "p_type AS department",
+            "p_brand AS category",
+            f"{price} AS unit_price",
+            f"CAST(round({price} * 0.50BD, 2) AS DECIMAL(10,2)) AS unit_cost",
         )
 
     def _places(self) -> DataFrame:
-        return self.source["nation"].join(
-            self.source["region"], F.col("n_regionkey") == F.col("r_regionkey"), "left"
-        ).select("n_nationkey", "n_name", "r_name")
+        places = self.source["nation"].join(self.source["region"], F.expr("n_regionkey = r_regionkey"), "left")
+        return places.select("n_nationkey", "n_name", "r_name")
 
     def stores(self) -> DataFrame:
-        kind = F.col("n_nationkey") % 5
-        return self._places().select(
-            F.col("n_nationkey").alias("store_id"),
-            F.col("n_name").alias("store_name"),
-            F.when(kind == 0, "DC").when(kind == 1, "ECOM").otherwise("STORE").alias("location_type"),
-            F.col("r_name").alias("region"),
+        return self._places().selectExpr(
+            "n_nationkey AS store_id",
+            "n_name AS store_name",
+            "CASE n_nationkey % 5 WHEN 0 THEN 'DC' WHEN 1 THEN 'ECOM' ELSE 'STORE' END AS location_type",
+            "r_name AS region",
         )
 
     def customers(self) -> DataFrame:
-        placed = self.source["customer"].join(self._places(), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-        return placed.select(
-            F.col("c_custkey").alias("customer_id"),
-            F.col("c_name").alias("customer_name"),
-            F.col("c_mktsegment").alias("channel"),
-            F.col("n_name").alias("segment"),
-            F.col("r_name").alias("region"),
+        placed = self.source["customer"].join(self._places(), F.expr("c_nationkey = n_nationkey"), "left")
+        return placed.selectExpr(
+            "c_custkey AS customer_id",
+            "c_name AS customer_name",
+            "c_mktsegment AS channel",
+            "n_name AS segment",
+            "r_name AS region",
         )
 
     def suppliers(self) -> DataFrame:
-        placed = self.source["supplier"].join(self._places(), F.col("s_nationkey") == F.col("n_nationkey"), "left")
-        return placed.select(
-            F.col("s_suppkey").alias("supplier_id"),
-            F.col("s_name").alias("supplier_name"),
-            F.col("n_name").alias("country"),
-            _terms(F.col("s_suppkey")).alias("default_terms_days"),
+        placed = self.source["supplier"].join(self._places(), F.expr("s_nationkey = n_nationkey"), "left")
+        return placed.selectExpr(
+            "s_suppkey AS supplier_id",
+            "s_name AS supplier_name",
+            "n_name AS country",
+            f"{_terms('s_suppkey')} AS default_terms_days",
         )
 
+    def _costs(self) -> DataFrame:
+        return self.products().select("product_id", "unit_cost")
+
     # facts ------------------------------------------------------------------------------------
 
     def sales(self, *columns: str) -> DataFrame:
@@ -111,33 +117,33 @@ class Model:
             "date_key", "product_id", "store_id", "units_sold",
             "gross_sales_amt", "discount_amt", "net_sales_amt", "cogs_amt",
         )
-        orders = self.source["orders"].select("o_orderkey", "o_custkey", day("o_orderdate").alias("date_key"))
+        orders = self.source["orders"].selectExpr("o_orderkey", "o_custkey", f"{_ORDERED} AS date_key")
         if "store_id" in wanted:
-            sellers = self.source["customer"].select("c_custkey", F.col("c_nationkey").alias("store_id"))
-            orders = orders.join(sellers, F.col("o_custkey") == F.col("c_custkey"), "left")
-        lines = self._priced_lines().join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+            sellers = self.source["customer"].selectExpr("c_custkey", "c_nationkey AS store_id")
+            orders = orders.join(sellers, F.expr("o_custkey = c_custkey"), "left")
+        lines = self._priced_lines().join(orders, F.expr("l_orderkey = o_orderkey"))
         if "cogs_amt" in wanted:
-            lines = lines.join(self.products().select("product_id", "unit_cost"), "product_id", "left").withColumn(
-                "cogs_amt", (F.col("units_sold") * F.col("unit_cost")).cast(MONEY)
-            )
+            lines = lines.join(self._costs(), "product_id", "left")
+            lines = lines.selectExpr("*", f"CAST(units_sold * unit_cost AS {MONEY}) AS cogs_amt")
         return lines.select(*wanted)
 
     def _priced_lines(self) -> DataFrame:
         """Line items with units, gross, discount and net."""
-        gross = money("l_extendedprice")
-        discount = F.round(gross * rate("l_discount"), 2).cast(MONEY)
-        return self.source["lineitem"].select(
-            "l_orderkey",
-            F.col("l_partkey").alias("product_id"),
-            F.col("l_quantity").cast("int").alias("units_sold"),
-            gross.alias("gross_sales_amt"),
-            discount.alias("discount_amt"),
-            (gross - discount).cast(MONEY).alias("net_sales_amt"),
+        return (
+            self.source["lineitem"]
+            .selectExpr(
+                "l_orderkey",
+                "l_partkey AS product_id",
+                "CAST(l_quantity AS INT) AS units_sold",
+                f"{_GROSS} AS gross_sales_amt",
+                f"CAST(round({_GROSS} * CAST(l_discount AS {RATE}), 2) AS {MONEY}) AS discount_amt",
+            )
+            .selectExpr("*", f"CAST(gross_sales_amt - discount_amt AS {MONEY}) AS net_sales_amt")
         )
 
     def sales_by_day(self) -> DataFrame:
         """Net sales per day. Lines add up per order first when orders are too big to broadcast."""
-        orders = self.source["orders"].select("o_orderkey", day("o_orderdate").alias("date_key"))
+        orders = self.source["orders"].selectExpr("o_orderkey", f"{_ORDERED} AS date_key")
         return aggregate_by_attributes(
             self._priced_lines(),
             [Lookup("orders", orders, "l_orderkey", "o_orderkey")],
@@ -147,174 +153,161 @@ class Model:
         )
 
     def receivables(self, with_channel: bool = True) -> DataFrame:
-        orders = self.source["orders"]
-        issued, key, amount = day("o_orderdate"), F.col("o_orderkey"), money("o_totalprice")
-        slips = key % 3 == 0
-        status = (
-            F.when(F.col("o_orderstatus") == "F", "PAID")
-            .when(F.col("o_orderstatus") == "O", "OPEN")
-            .when(slips, "SLIPPED")
-            .otherwise("DISPUTED")
-        )
-        invoices = orders.select(
-            key.alias("invoice_id"),
-            F.col("o_custkey").alias("customer_id"),
-            issued.alias("invoice_date"),
-            F.date_add(issued, 60).alias("due_date"),
-            amount.alias("amount"),
-            F.when(status == "PAID", F.date_add(issued, (55 + key % 15).cast("int"))).alias("paid_date"),
-            status.alias("status"),
-            F.date_add(issued, F.when(F.col("o_orderstatus") == "P", 105).otherwise(60)).alias("expected_cash_date"),
+        invoices = self.source["orders"].selectExpr(
+            "o_orderkey AS invoice_id",
+            "o_custkey AS customer_id",
+            f"{_ORDERED} AS invoice_date",
+            f"date_add({_ORDERED}, 60) AS due_date",
+            f"CAST(o_totalprice AS {MONEY}) AS amount",
+            f"if(o_orderstatus = 'F', date_add({_ORDERED}, CAST(55 + o_orderkey % 15 AS INT)), NULL) AS paid_date",
+            "CASE WHEN o_orderstatus = 'F' THEN 'PAID' WHEN o_orderstatus = 'O' THEN 'OPEN' "
+            "WHEN o_orderkey % 3 = 0 THEN 'SLIPPED' ELSE 'DISPUTED' END AS status",
+            f"date_add({_ORDERED}, if(o_orderstatus = 'P', 105, 60)) AS expected_cash_date",
         )
-        disputed = F.col("status") == "DISPUTED"
-        # The three reasons for a dispute.
-        reason = (
-            F.when(F.col("customer_id") % 3 == 0, "short-ship")
-            .when(F.col("customer_id") % 3 == 1, "quality defect")
-            .otherwise("pricing discrepancy")
-        )
-        late = F.col("status").isin("DISPUTED", "SLIPPED") & (F.col("expected_cash_date") > F.lit(self.quarter_end))
-        flip_from = F.lit(self.as_of - dt.timedelta(days=14))
-        invoices = (
-            invoices.withColumn("dispute_flag", disputed)
-            .withColumn("dispute_reason", F.when(disputed, reason))
-            .withColumn("cash_impact_vs_plan_amt", F.when(late, F.col("amount")).otherwise(F.lit(0)).cast(MONEY))
-            .withColumn(
-                "flipped_last_2wk",
-                disputed & (F.col("invoice_date") > flip_from) & (F.col("invoice_date") <= F.lit(self.as_of)),
-            )
+        late = f"status IN ('DISPUTED', 'SLIPPED') AND expected_cash_date > {date_sql(self.quarter_end)}"
+        flipped = f"status = 'DISPUTED' AND {trailing_sql('invoice_date', self.as_of, 14)}"
+        invoices = invoices.selectExpr(
+            "*",
+            "status = 'DISPUTED' AS dispute_flag",
+            # The three reasons for a dispute.
+            "CASE WHEN status = 'DISPUTED' THEN element_at("
+            "array('short-ship', 'quality defect', 'pricing discrepancy'), CAST(customer_id % 3 + 1 AS INT)) END "
+            "AS dispute_reason",
+            f"CAST(if({late}, amount, 0) AS {MONEY}) AS cash_impact_vs_plan_amt",
+            f"{flipped} AS flipped_last_2wk",
         )
         if not with_channel:
             return invoices
-        channels = self.source["customer"].select(
-            F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("channel")
-        )
+        channels = self.source["customer"].selectExpr("c_custkey AS customer_id", "c_mktsegment AS channel")
         return invoices.join(channels, "customer_id", "left")
 
     def payables(self) -> DataFrame:
         """Supplier payments; paid early: discount lost, surcharge and rushed freight are the extra cash out."""
-        invoice, none = money("l_extendedprice"), F.lit(0).cast(MONEY)
-        early = F.col("l_returnflag") == "R"
-        terms = _terms(F.col("l_suppkey"))
-        scheduled = F.date_add(day("l_shipdate"), terms)
-        paid = self.source["lineitem"].select(
-            F.col("l_suppkey").alias("supplier_id"),
-            invoice.alias("invoice_amt"),
-            scheduled.alias("scheduled_pay_date"),
-            F.when(early, F.date_sub(scheduled, 30)).otherwise(scheduled).alias("actual_pay_date"),
-            terms.alias("terms_days"),
-            F.when(early, 30).otherwise(0).alias("days_early"),
-            F.when(early, F.round(invoice * rate(F.lit("0.02")), 2).cast(MONEY))
-            .otherwise(none)
-            .alias("early_pay_discount_lost_amt"),
-            F.when(early, F.round(invoice * rate("l_tax"), 2).cast(MONEY)).otherwise(none).alias("surcharge_amt"),
-            F.when(early & (F.col("l_linestatus") == "O"), F.round(invoice * rate(F.lit("0.01")), 2).cast(MONEY))
-            .otherwise(none)
-            .alias("expedite_freight_amt"),
-            F.when(early, "ACCELERATED").otherwise("NORMAL").alias("payment_category"),
+        scheduled = f"date_add({_SHIPPED}, {_terms('l_suppkey')})"
+
+        rushed = "early AND l_linestatus = 'O'"
+
+        def extra(condition: str, share: str) -> str:
+            return f"CAST(if({condition}, round({_GROSS} * {share}, 2), 0) AS {MONEY})"
+
+        return (
+            self.source["lineitem"]
+            .selectExpr("*", "l_returnflag = 'R' AS early")
+            .selectExpr(
+                "l_suppkey AS supplier_id",
+                f"{_GROSS} AS invoice_amt",
+                f"{scheduled} AS scheduled_pay_date",
+                f"date_sub({scheduled}, if(early, 30, 0)) AS actual_pay_date",
+                f"{_terms('l_suppkey')} AS terms_days",
+                "if(early, 30, 0) AS days_early",
+                f"{extra('early', '0.02BD')} AS early_pay_discount_lost_amt",
+                f"{extra('early', f'CAST(l_tax AS {RATE})')} AS surcharge_amt",
+                f"{extra(rushed, '0.01BD')} AS expedite_freight_amt",
+                "if(early, 'ACCELERATED', 'NORMAL') AS payment_category",
+            )
+            .selectExpr(
+                "*",
+                "CAST(early_pay_discount_lost_amt + surcharge_amt + expedite_freight_amt "
+                f"AS {MONEY}) AS cash_impact_vs_plan_amt",
+            )
         )
-        extra = F.col("early_pay_discount_lost_amt") + F.col("surcharge_amt") + F.col("expedite_freight_amt")
-        return paid.withColumn("cash_impact_vs_plan_amt", extra.cast(MONEY))
 
     def purchase_orders(self, with_order_date: bool = True) -> DataFrame:
-        expected = day("l_shipdate")
-        lines = self.source["lineitem"].select(
+        lines = self.source["lineitem"].selectExpr(
             "l_orderkey",
-            F.col("l_suppkey").alias("supplier_id"),
-            F.col("l_partkey").alias("product_id"),
-            expected.alias("expected_receipt_date"),
-            F.when(F.col("l_returnflag") == "A", "CANCELLED")
-            .when(expected > F.lit(self.as_of), "OPEN")
-            .otherwise("RECEIVED")
-            .alias("status"),
-            F.col("l_quantity").cast("int").alias("ordered_units"),
-        )
-        lines = lines.join(self.products().select("product_id", "unit_cost"), "product_id", "left").withColumn(
-            "committed_cost", (F.col("ordered_units") * F.col("unit_cost")).cast(MONEY)
+            "l_suppkey AS supplier_id",
+            "l_partkey AS product_id",
+            f"{_SHIPPED} AS expected_receipt_date",
+            f"CASE WHEN l_returnflag = 'A' THEN 'CANCELLED' WHEN {_SHIPPED} > {date_sql(self.as_of)} THEN 'OPEN' "
+            "ELSE 'RECEIVED' END AS status",
+            "CAST(l_quantity AS INT) AS ordered_units",
         )
+        lines = lines.join(self._costs(), "product_id", "left")
+        lines = lines.selectExpr("*", f"CAST(ordered_units * unit_cost AS {MONEY}) AS committed_cost")
         if with_order_date:
-            placed = self.source["orders"].select("o_orderkey", day("o_orderdate").alias("order_date"))
-            lines = lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
+            placed = self.source["orders"].selectExpr("o_orderkey", f"{_ORDERED} AS order_date")
+            lines = lines.join(placed, F.expr("l_orderkey = o_orderkey")).drop("o_orderkey")
         return lines.drop("l_orderkey", "unit_cost")
 
     def snapshot_weeks(self) -> list[dt.date]:
         return saturdays(self.as_of - dt.timedelta(weeks=SNAPSHOT_WEEKS) + dt.timedelta(days=1), self.as_of)
 
-    def inventory(self, weeks: list[dt.date] | None = None) -> DataFrame:
+    def inventory(self, weeks: Sequence[dt.date] | None = None) -> DataFrame:
         """Stock per week, product and place, from unreturned receipts; costs join after the sums."""
-        places = self.source["supplier"].select("s_suppkey", F.col("s_nationkey").alias("store_id"))
+        places = self.source["supplier"].selectExpr("s_suppkey", "s_nationkey AS store_id")
         receipts = (
             self.source["lineitem"]
-            .filter(F.col("l_returnflag") == "N")
-            .select(
+            .filter("l_returnflag = 'N'")
+            .selectExpr(
                 "l_suppkey",
-                F.col("l_partkey").alias("product_id"),
-                day("l_shipdate").alias("receipt_date"),
-                F.col("l_quantity").cast("int").alias("units"),
+                "l_partkey AS product_id",
+                f"{_SHIPPED} AS receipt_date",
+                "CAST(l_quantity AS INT) AS units",
             )
-            .join(places, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+            .join(places, F.expr("l_suppkey = s_suppkey"), "left")
         )
         snapshot = inventory_snapshot(receipts, weeks or self.snapshot_weeks(), STOCK_DAYS)
         return valued_snapshot(snapshot, self.products())
 
     def ledger(self) -> DataFrame:
         """Cash by day and category; each flow is a sum per day before the flows meet."""
+        paid = self.receivables(False).filter("paid_date IS NOT NULL")
         flows = stacked(
             [
-                _flow(self.sales_by_day(), "date_key", "SALES_RECEIPTS", F.col("net_sales_amt"), None),
-                _flow(
-                    self.receivables(False).filter(F.col("paid_date").isNotNull()),
-                    "paid_date", "WHOLESALE_COLLECTIONS", F.col("amount"), None,
-                ),
-                _flow(self.payables(), "actual_pay_date", "SUPPLIER_PAYMENTS", None, F.col("invoice_amt")),
+                _flow(self.sales_by_day(), "date_key", "SALES_RECEIPTS", "net_sales_amt", None),
+                _flow(paid, "paid_date", "WHOLESALE_COLLECTIONS", "amount", None),
+                _flow(self.payables(), "actual_pay_date", "SUPPLIER_PAYMENTS", None, "invoice_amt"),
             ]
-        )
-        return daily_balance(
-            flows.withColumn("net_cash_amt", F.col("cash_in_amt") - F.col("cash_out_amt")),
-            "ledger_date", "net_cash_amt", name="running_cash_balance",
-        )
-
-    def forecast_amounts(self, runs: list[dt.date] | None = None) -> DataFrame:
-        """Plan and projection at quarter-end by run and driver, one aggregation per fact for all runs."""
-        runs = runs or [self.prior_run, self.as_of]
-        stock = self.inventory(runs).filter("is_aged").groupBy("week_ending_date").agg(F.sum("on_hand_cost").alias("v"))
-        late = self.receivables(False)
-        impact = F.col("cash_impact_vs_plan_amt")
-        slow = _per_run(late, runs, "COLLECTIONS_SLOWDOWN", lambda run: F.when(F.col("invoice_date") <= run, impact))
-        paid = F.col("actual_pay_date")
+        ).selectExpr("*", "cash_in_amt - cash_out_amt AS net_cash_amt")
+        return daily_balance(flows, "ledger_date", "net_cash_amt", name="running_cash_balance")
+
+    def cash_balance(self, end: dt.date) -> DataFrame:
+        """``(v)``: net cash up to a day, one row per kind of flow, without its history."""
+        limit = date_sql(end)
+        sold = self.sales_by_day().filter(f"date_key <= {limit}").agg(total("net_sales_amt").alias("v"))
+        paid = self.receivables(False).filter(f"paid_date <= {limit}").agg(total("amount").alias("v"))
+        out = self.payables().filter(f"actual_pay_date <= {limit}").agg(total("-invoice_amt").alias("v"))
+        return stacked([sold, paid, out])
+
+    def forecast_amounts(self, runs: Sequence[dt.date] | None = None) -> DataFrame:
+        """Plan and projection at quarter-end by run and driver, one aggregation per fact for all runs.
+
+        The baseline is one balance, at the as-of day, for every run.
+        """
+        runs = sorted(runs or [self.prior_run, self.as_of])
+        reach = PAYMENT_DAYS + (runs[-1] - runs[0]).days
+        owed = self.receivables(False).filter(f"cash_impact_vs_plan_amt > 0 AND invoice_date <= {date_sql(runs[-1])}")
+        paid = self.payables().filter(trailing("actual_pay_date", runs[-1], reach) & F.expr("days_early > 0"))
+        trap = (
+            self.inventory(runs)
+            .filter("is_aged")
+            .groupBy(F.expr("week_ending_date AS forecast_run_date"))
+            .agg(F.expr("'INVENTORY_TRAP' AS driver"), total("on_hand_cost").alias("v"))
+        )
+        slow = _per_run(owed, runs, "COLLECTIONS_SLOWDOWN", lambda run: f"invoice_date <= {date_sql(run)}")
         early = _per_run(
-            self.payables(), runs, "AP_ACCELERATION",
-            lambda run: F.when((paid > F.date_sub(run, 90)) & (paid <= run), impact),
-        )
-        trap = stock.select(
-            F.col("week_ending_date").alias("forecast_run_date"), F.lit("INVENTORY_TRAP").alias("driver"), "v"
+            paid, runs, "AP_ACCELERATION", lambda run: trailing_sql("actual_pay_date", run, PAYMENT_DAYS)
         )
-        base = (
-            self.cash_flows_until(self.as_of)
-            .agg(F.sum("net").alias("v"))
-            .select(F.explode(F.array(*map(F.lit, runs))).alias("forecast_run_date"), F.lit(BASELINE).alias("driver"), "v")
+        dates = ", ".join(map(date_sql, runs))
+        base = self.cash_balance(self.as_of).agg(F.expr("sum(v) AS v")).selectExpr(
+            f"explode(array({dates})) AS forecast_run_date", "v"
         )
-        # A run with no aged stock still has its row.
-        blank = base.select("forecast_run_date", F.lit("INVENTORY_TRAP").alias("driver"), F.lit(0).cast("decimal(28,2)").alias("v"))
-        rows = stacked([base, trap, blank, slow, early]).groupBy("forecast_run_date", "driver").agg(F.sum("v").alias("v"))
-        amount = F.coalesce(F.col("v"), F.lit(0)).cast("decimal(28,2)")
-        is_base = F.col("driver") == BASELINE
-        return rows.select(
+        # Each run has a row for its stock, aged or not.
+        blank = f"named_struct('driver', 'INVENTORY_TRAP', 'v', CAST(0 AS {TOTAL}))"
+        base = base.selectExpr(
+            "forecast_run_date", f"inline(array(named_struct('driver', '{BASELINE}', 'v', CAST(v AS {TOTAL})), {blank}))"
+        )
+        rows = stacked([base, trap, slow, early]).groupBy("forecast_run_date", "driver").agg(
+            F.expr(f"coalesce({total_sql('v')}, CAST(0 AS {TOTAL})) AS v")
+        )
+        return rows.selectExpr(
             "forecast_run_date",
             "driver",
-            F.when(is_base, amount).otherwise(F.lit(0)).cast("decimal(28,2)").alias("planned_amt"),
-            F.when(is_base, amount).otherwise(-amount).cast("decimal(28,2)").alias("projected_amt"),
+            f"CAST(if(driver = '{BASELINE}', v, 0) AS {TOTAL}) AS planned_amt",
+            f"CAST(if(driver = '{BASELINE}', v, -v) AS {TOTAL}) AS projected_amt",
         )
 
-    def cash_flows_until(self, end: dt.date) -> DataFrame:
-        """Net cash of each kind of flow up to a day: the balance without its history."""
-        limit = F.lit(end)
-        sales = self.sales_by_day().filter(F.col("date_key") <= limit).agg(F.sum("net_sales_amt").alias("net"))
-        paid = self.receivables(False).filter(F.col("paid_date") <= limit).agg(F.sum("amount").alias("net"))
-        out = self.payables().filter(F.col("actual_pay_date") <= limit).agg((-F.sum("invoice_amt")).alias("net"))
-        return stacked(df.select(F.col("net").cast("decimal(28,2)").alias("net")) for df in (sales, paid, out))
-
-    def forecast(self, runs: list[dt.date] | None = None) -> DataFrame:
+    def forecast(self, runs: Sequence[dt.date] | None = None) -> DataFrame:
         return forecast_rows(self.forecast_amounts(runs), self.quarter_end, self.quarter_end)
 
     def tables(self) -> dict[str, DataFrame]:
@@ -335,24 +328,23 @@ class Model:
         }
 
 
-def _terms(supplier: Column) -> Column:
-    return F.when(supplier % 3 == 0, 30).when(supplier % 3 == 1, 45).otherwise(60)
+def _terms(supplier: str) -> str:
+    return f"CASE {supplier} % 3 WHEN 0 THEN 30 WHEN 1 THEN 45 ELSE 60 END"
 
 
-def _flow(df: DataFrame, date: str, category: str, cash_in: Column | None, cash_out: Column | None) -> DataFrame:
-    none = F.lit(0).cast("decimal(28,2)")
+def _flow(df: DataFrame, date: str, category: str, cash_in: str | None, cash_out: str | None) -> DataFrame:
     sides = {"cash_in_amt": cash_in, "cash_out_amt": cash_out}
-    return df.groupBy(F.col(date).alias("ledger_date")).agg(
-        F.lit(category).alias("cash_category"),
-        *((F.sum(side).cast("decimal(28,2)") if side is not None else none).alias(name) for name, side in sides.items()),
+    return df.groupBy(F.expr(f"{date} AS ledger_date")).agg(
+        F.expr(f"'{category}' AS cash_category"),
+        *(F.expr(f"{total_sql(side) if side else f'CAST(0 AS {TOTAL})'} AS {name}") for name, side in sides.items()),
     )
 
 
-def _per_run(df: DataFrame, runs: list[dt.date], driver: str, counted) -> DataFrame:
-    """One sum per run, all in one pass, as rows ``(forecast_run_date, driver, v)``."""
-    wide = df.agg(*(F.sum(counted(F.lit(run))).alias(f"v{n}") for n, run in enumerate(runs)))
-    entries = (
-        F.struct(F.lit(run).alias("forecast_run_date"), F.lit(driver).alias("driver"), F.col(f"v{n}").cast("decimal(28,2)").alias("v"))
+def _per_run(df: DataFrame, runs: Sequence[dt.date], driver: str, counted) -> DataFrame:
+    """One sum of cash impact per run, all in one pass, as rows ``(forecast_run_date, driver, v)``."""
+    wide = df.agg(*(total("cash_impact_vs_plan_amt", counted(run)).alias(f"v{n}") for n, run in enumerate(runs)))
+    entries = ", ".join(
+        f"named_struct('forecast_run_date', {date_sql(run)}, 'driver', '{driver}', 'v', v{n})"
         for n, run in enumerate(runs)
     )
-    return wide.select(F.inline(F.array(*entries)))
+    return wide.selectExpr(f"inline(array({entries}))")
