@@ -10,40 +10,47 @@ from pyspark.sql import functions as F
 
 from cashtide.functions.amounts import AGE_BOUNDS, AGE_LABELS, TOTAL, band_sql
 from cashtide.functions.dates import date_sql, trailing, trailing_sql
+from cashtide.operators.star import Lookup, Partial, aggregate_by_attributes
 
 
 def inventory_snapshot(
-    receipts: DataFrame, weeks: Sequence[dt.date], window_days: int, by: Sequence[str] = ("product_id", "store_id")
+    receipts: DataFrame,
+    weeks: Sequence[dt.date],
+    window_days: int,
+    lookups: Sequence[Lookup] = (),
+    by: Sequence[tuple[str, str]] = (("product_id", "fact.product_id"), ("store_id", "fact.store_id")),
 ) -> DataFrame:
     """Units on hand and newest receipt for each week and group.
 
-    ``receipts`` has ``by``, ``receipt_date`` and ``units``; a receipt counts on a week's Saturday
-    for ``window_days`` days. All weeks are summed side by side in one pass, so the shuffle carries
-    a row per group and not one per receipt and week it covers.
+    ``receipts`` has ``receipt_date``, ``units`` and what ``by`` and ``lookups`` refer to; a receipt
+    counts on a week's Saturday for ``window_days`` days. All weeks are summed side by side in one
+    pass, so the shuffle carries a row per group and not one per receipt and week it covers.
     """
     weeks = sorted(weeks)
     span = window_days + (weeks[-1] - weeks[0]).days
-    aggregates, entries = [], []
+    partials, entries = [], []
     for n, week in enumerate(weeks):
-        counted = f"FILTER (WHERE {trailing_sql('receipt_date', week, window_days)})"
-        aggregates += [f"sum(units) {counted} AS units{n}", f"max(receipt_date) {counted} AS newest{n}"]
+        counted = f"FILTER (WHERE {trailing_sql('fact.receipt_date', week, window_days)})"
+        partials.append(Partial(f"units{n}", F.expr(f"sum(fact.units) {counted}"), "sum"))
+        partials.append(Partial(f"newest{n}", F.expr(f"max(fact.receipt_date) {counted}"), "max"))
         entries.append(
             f"named_struct('week_ending_date', {date_sql(week)}, "
             f"'on_hand_units', units{n}, 'last_receipt_date', newest{n})"
         )
-    wide = receipts.filter(trailing("receipt_date", weeks[-1], span)).groupBy(*by).agg(*map(F.expr, aggregates))
-    return wide.selectExpr(*by, f"inline(array({', '.join(entries)}))").filter("on_hand_units IS NOT NULL")
+    recent = receipts.filter(trailing("receipt_date", weeks[-1], span))
+    wide = aggregate_by_attributes(recent, lookups, by, partials)
+    names = [name for name, _ in by]
+    return wide.selectExpr(*names, f"inline(array({', '.join(entries)}))").filter("on_hand_units IS NOT NULL")
 
 
 def valued_snapshot(snapshot: DataFrame, products: DataFrame) -> DataFrame:
     """A snapshot with cost, age, band and expected markdown, from the products' unit cost."""
-    columns = [c for c in snapshot.columns]
     cost = f"CAST(on_hand_units * unit_cost AS {TOTAL})"
     aged = f"days_on_hand > {AGE_BOUNDS[-1]}"
     return (
         snapshot.join(products.select("product_id", "unit_cost"), "product_id", "left")
         .selectExpr(
-            *columns, f"{cost} AS on_hand_cost", "datediff(week_ending_date, last_receipt_date) AS days_on_hand"
+            *snapshot.columns, f"{cost} AS on_hand_cost", "datediff(week_ending_date, last_receipt_date) AS days_on_hand"
         )
         .selectExpr(
             "*",

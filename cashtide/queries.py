@@ -53,6 +53,10 @@ def _recent_sales(m: Model, *columns: str) -> DataFrame:
     return m.sales("date_key", *columns)
 
 
+def _recent_payments(m: Model) -> DataFrame:
+    return m.payables(m.as_of - dt.timedelta(days=90), m.as_of)
+
+
 def _stock(m: Model) -> DataFrame:
     """The newest snapshot only; its date is known, so no other week is computed."""
     return m.inventory([m.as_of])
@@ -64,8 +68,9 @@ def _rates(m: Model) -> DataFrame:
 
 def _cycle(m: Model) -> DataFrame:
     return kpis.working_capital_cycle(
-        _recent_sales(m, "net_sales_amt", "cogs_amt"), _stock(m), m.receivables(False), m.payables(), m.as_of, latest=m.as_of
-    )
+        _recent_sales(m, "net_sales_amt", "cogs_amt"), _stock(m), m.receivables(False), _recent_payments(m), m.as_of,
+        latest=m.as_of,
+    )
 
 
 def _moves(m: Model) -> DataFrame:
@@ -432,7 +437,7 @@ def q_cancel_pos(m: Model) -> DataFrame:
 
 @query
 def q_defer_payments(m: Model) -> DataFrame:
-    return actions.defer_payments(m.payables(), m.suppliers(), m.as_of, m.quarter_end)
+    return actions.defer_payments(m.payables(after=m.as_of), m.suppliers(), m.as_of, m.quarter_end)
 
 
 @query
@@ -466,9 +471,8 @@ def q_reconcile(m: Model) -> DataFrame:
     forecast, stock = stage(m.forecast(), "forecast"), stage(_stock(m), "stock")
     owed, paid = m.receivables(), m.payables()
     counted_owed = owed.filter(F.col("invoice_date") <= F.lit(m.as_of))
-    counted_paid = paid.filter(trailing("actual_pay_date", m.as_of, 90))
     checks = reconcile(
-        stock, counted_owed, counted_paid, m.ledger(), forecast, m.as_of, m.prior_run, m.quarter_end, m.as_of
+        stock, counted_owed, _recent_payments(m), m.ledger(), forecast, m.as_of, m.prior_run, m.quarter_end, m.as_of
     )
     cash = cash_forecast_view(forecast, m.quarter_end)
     held = inventory_view(stock, m.products(), m.stores(), m.as_of)
@@ -507,7 +511,7 @@ def q_briefing(m: Model) -> DataFrame:
         quarter_end_totals(forecast, m.as_of, m.prior_run, m.quarter_end),
         _cycle(m),
         actions.cancel_orders(m.purchase_orders(with_order_date=False), m.products(), rates, m.as_of, WEAK_RATE),
-        actions.defer_payments(m.payables(), m.suppliers(), m.as_of, m.quarter_end),
+        actions.defer_payments(m.payables(after=m.as_of), m.suppliers(), m.as_of, m.quarter_end),
         actions.chase_collections(m.receivables(False), m.customers(), m.as_of),
         _moves(m),
     )

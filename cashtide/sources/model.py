@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cashtide.functions.amounts import MONEY, RATE, TOTAL, total, total_sql
-from cashtide.functions.dates import calendar, date_sql, day_sql, saturdays, trailing, trailing_sql
+from cashtide.functions.dates import calendar, date_sql, day_sql, saturdays, trailing_sql
 from cashtide.operators.ordered import daily_balance
 from cashtide.operators.projection import BASELINE, forecast_rows
 from cashtide.operators.snapshot import inventory_snapshot, valued_snapshot
@@ -37,6 +37,7 @@ CASH_OUT_SHARES = {
 STOCK_DAYS = 160
 SNAPSHOT_WEEKS = 12
 PAYMENT_DAYS = 90
+LONGEST_TERMS = 60
 
 _GROSS = f"CAST(l_extendedprice AS {MONEY})"
 _SHIPPED = day_sql("l_shipdate")
@@ -181,8 +182,23 @@ class Model:
         channels = self.source["customer"].selectExpr("c_custkey AS customer_id", "c_mktsegment AS channel")
         return invoices.join(channels, "customer_id", "left")
 
-    def payables(self) -> DataFrame:
-        """Supplier payments; paid early: discount lost, surcharge and rushed freight are the extra cash out."""
+    def payables(self, after: dt.date | None = None, until: dt.date | None = None) -> DataFrame:
+        """Supplier payments; paid early: discount lost, surcharge and rushed freight are the extra cash out.
+
+        Payments made ``after`` one day and ``until`` another can be asked for. They fall between the
+        shipment and the longest terms, which bounds the days that have to be read.
+        """
+        lines = self.source["lineitem"]
+        if after is not None:
+            lines = lines.filter(f"{_SHIPPED} > {date_sql(after - dt.timedelta(days=LONGEST_TERMS))}")
+        if until is not None:
+            lines = lines.filter(f"{_SHIPPED} <= {date_sql(until)}")
+        paid = self._payments(lines)
+        if after is not None:
+            paid = paid.filter(f"actual_pay_date > {date_sql(after)}")
+        return paid if until is None else paid.filter(f"actual_pay_date <= {date_sql(until)}")
+
+    def _payments(self, lines: DataFrame) -> DataFrame:
         scheduled = f"date_add({_SHIPPED}, {_terms('l_suppkey')})"
 
         rushed = "early AND l_linestatus = 'O'"
@@ -191,8 +207,7 @@ class Model:
             return f"CAST(if({condition}, round({_GROSS} * {share}, 2), 0) AS {MONEY})"
 
         return (
-            self.source["lineitem"]
-            .selectExpr("*", "l_returnflag = 'R' AS early")
+            lines.selectExpr("*", "l_returnflag = 'R' AS early")
             .selectExpr(
                 "l_suppkey AS supplier_id",
                 f"{_GROSS} AS invoice_amt",
@@ -244,9 +259,14 @@ class Model:
                 f"{_SHIPPED} AS receipt_date",
                 "CAST(l_quantity AS INT) AS units",
             )
-            .join(places, F.expr("l_suppkey = s_suppkey"), "left")
         )
-        snapshot = inventory_snapshot(receipts, weeks or self.snapshot_weeks(), STOCK_DAYS)
+        snapshot = inventory_snapshot(
+            receipts,
+            weeks or self.snapshot_weeks(),
+            STOCK_DAYS,
+            [Lookup("place", places, "l_suppkey", "s_suppkey")],
+            [("product_id", "fact.product_id"), ("store_id", "place.store_id")],
+        )
         return valued_snapshot(snapshot, self.products())
 
     def ledger(self) -> DataFrame:
@@ -266,7 +286,7 @@ class Model:
         limit = date_sql(end)
         sold = self.sales_by_day().filter(f"date_key <= {limit}").agg(total("net_sales_amt").alias("v"))
         paid = self.receivables(False).filter(f"paid_date <= {limit}").agg(total("amount").alias("v"))
-        out = self.payables().filter(f"actual_pay_date <= {limit}").agg(total("-invoice_amt").alias("v"))
+        out = self.payables(until=end).agg(total("-invoice_amt").alias("v"))
         return stacked([sold, paid, out])
 
     def forecast_amounts(self, runs: Sequence[dt.date] | None = None) -> DataFrame:
@@ -277,7 +297,7 @@ class Model:
         runs = sorted(runs or [self.prior_run, self.as_of])
         reach = PAYMENT_DAYS + (runs[-1] - runs[0]).days
         owed = self.receivables(False).filter(f"cash_impact_vs_plan_amt > 0 AND invoice_date <= {date_sql(runs[-1])}")
-        paid = self.payables().filter(trailing("actual_pay_date", runs[-1], reach) & F.expr("days_early > 0"))
+        paid = self.payables(runs[-1] - dt.timedelta(days=reach), runs[-1]).filter("days_early > 0")
         trap = (
             self.inventory(runs)
             .filter("is_aged")
