@@ -26,11 +26,14 @@ class Rule:
     signs: tuple[str, ...] = ()
 
 
+# Lengths are bounded in every pattern, so that a long run of letters or digits costs time in
+# proportion to its length and not to its square.
+
 # Rules for dispute letters, remittance notes, and supplier contracts.
 FINANCE_RULES = (
-    Rule("amount", r"(?:\$|USD )[0-9][0-9,]*(?:\.[0-9]{2})?", signs=("$", "USD ")),
+    Rule("amount", r"(?:\$|USD )[0-9][0-9,]{0,30}(?:\.[0-9]{2})?", signs=("$", "USD ")),
     Rule("terms_days", r"[Nn]et[ -]([0-9]{1,3})", 1, signs=("et ", "et-")),
-    Rule("discount_pct", r"([0-9]+(?:\.[0-9]+)?) ?%", 1, signs=("%",)),
+    Rule("discount_pct", r"([0-9]{1,9}(?:\.[0-9]{1,9})?) ?%", 1, signs=("%",)),
     Rule("reason", r"(?i)short[- ]ship(?:ped|ment)?", finding="short-ship"),
     Rule("reason", r"(?i)(?:quality (?:defect|issue)|defective)", finding="quality defect"),
     Rule("reason", r"(?i)pric(?:e|ing) (?:discrepancy|difference|error)", finding="pricing discrepancy"),
@@ -38,7 +41,7 @@ FINANCE_RULES = (
 
 # Rules for what general prose holds.
 CONTACT_RULES = (
-    Rule("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", signs=("@",)),
+    Rule("email", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,24}", signs=("@",)),
     Rule("phone", r"[0-9]{3}-[0-9]{3}-[0-9]{4}", signs=("-",)),
     Rule(
         "licence",

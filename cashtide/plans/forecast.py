@@ -28,17 +28,19 @@ def balance_series(ledger: DataFrame, by_category: bool) -> DataFrame:
 def trend(series: DataFrame, first_day: dt.date) -> DataFrame:
     """Least-squares line through each segment's daily balances, days counted from ``first_day``.
 
-    The sums are taken in whole numbers (balances to the unit), so they do not depend on the order
-    of rows, and the line is the same on every run.
+    The sums are taken in whole numbers (balances to the unit, less the segment's first one), so
+    they do not depend on the order of rows, and squares of large balances stay in range.
     """
     whole = "DECIMAL(38,0)"
     points = series.selectExpr(
         "segment",
         f"CAST(datediff(day, {date_sql(first_day)}) AS BIGINT) AS x",
-        "CAST(round(balance, 0) AS DECIMAL(18,0)) AS y",
-    )
+        "CAST(round(balance, 0) AS DECIMAL(20,0)) AS level",
+    ).selectExpr("*", "first(level) OVER (PARTITION BY segment ORDER BY x) AS base")
+    points = points.selectExpr("segment", "x", "base", "CAST(level - base AS DECIMAL(18,0)) AS y")
     sums = points.groupBy("segment").agg(
         F.expr("count(1) AS n"),
+        F.expr("min(base) AS base"),
         F.expr("sum(x) AS sx"),
         F.expr("sum(x * x) AS sxx"),
         *(F.expr(f"CAST(sum(CAST({v} AS {whole})) AS {whole}) AS {name}") for v, name in (("y", "sy"), ("x * y", "sxy"), ("y * y", "syy"))),
@@ -58,7 +60,7 @@ def trend(series: DataFrame, first_day: dt.date) -> DataFrame:
             "sx",
             "dxx",
             "dxy / dxx AS slope",
-            "(CAST(sy AS DOUBLE) - (dxy / dxx) * sx) / n AS intercept",
+            "CAST(base AS DOUBLE) + (CAST(sy AS DOUBLE) - (dxy / dxx) * sx) / n AS intercept",
             "sqrt(greatest(0D, dyy - dxy * dxy / dxx) / n / (n - 2)) AS spread",
         )
     )

@@ -21,8 +21,9 @@ from cashtide.plans.forecast import balance_series, predict_cash_flow, rolling_w
 from cashtide.plans.metric_views import ap_view, ar_view, cash_forecast_view, inventory_view, sales_view
 from cashtide.plans.metrics import metric_query
 from cashtide.plans.reconcile import quarter_end_totals, reconcile, same_result
+from cashtide.schemas import TRADE_SCHEMAS
 from cashtide.session import configure, stage
-from cashtide.sources.model import CASH_IN_SHARES, CASH_OUT_SHARES, SOURCES, Model
+from cashtide.sources.model import CASH_IN_SHARES, CASH_OUT_SHARES, Model
 from cashtide.sources.tables import date_ranges, read_tables, stacked, table_counts
 
 AS_OF = dt.date(2001, 6, 30)
@@ -40,7 +41,7 @@ def query(build: Callable[[Model], DataFrame]) -> Callable[[Model], DataFrame]:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         configure(spark)
-        return build(Model(read_tables(spark, sf_dir, (*SOURCES, "documents")), AS_OF, QUARTER_END))
+        return build(Model(read_tables(spark, sf_dir, TRADE_SCHEMAS, TRADE_SCHEMAS), AS_OF, QUARTER_END))
 
     QUERIES[build.__name__] = run
     return build

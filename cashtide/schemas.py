@@ -187,6 +187,21 @@ _LAYOUT = {
     ),
 }
 
+# The trade tables the model is derived from.
+_TRADE = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
 FACT_DATES = {
     "fact_sales": "date_key",
     "fact_inventory_snapshot": "week_ending_date",
@@ -203,6 +218,9 @@ _TYPES = {
     "int": T.IntegerType(),
     "string": T.StringType(),
     "boolean": T.BooleanType(),
+    "bigint": T.LongType(),
+    "double": T.DoubleType(),
+    "timestamp_ntz": T.TimestampNTZType(),
     **{f"decimal({p},2)": T.DecimalType(p, 2) for p in (5, 10, 12, 14)},
 }
 
@@ -218,6 +236,10 @@ def _schema(layout: str) -> T.StructType:
 
 TABLE_COMMENTS = {name: comment for name, (comment, _) in _LAYOUT.items()}
 SCHEMAS = {name: _schema(layout) for name, (_, layout) in _LAYOUT.items()}
+TRADE_SCHEMAS = {
+    name: T.StructType([T.StructField(c, _TYPES[kind]) for c, kind in (part.split() for part in columns.split(", "))])
+    for name, columns in _TRADE.items()
+}
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -20,8 +20,6 @@ from cashtide.operators.snapshot import inventory_snapshot, valued_snapshot
 from cashtide.operators.star import Lookup, aggregate_by_attributes, sums
 from cashtide.sources.tables import stacked
 
-SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
-
 # Shares of a day's cash in and out by category.
 CASH_IN_SHARES = {"SALES_RECEIPTS": "0.74", "WHOLESALE_COLLECTIONS": "0.26"}
 CASH_OUT_SHARES = {

@@ -7,22 +7,32 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cashtide.schemas import FACT_DATES, SCHEMAS, TABLE_COMMENTS, conform
 
 
 class ParquetTables(Mapping):
-    """Parquet tables ``<folder>/<name>.parquet`` by name, each opened when first asked for."""
+    """Parquet tables ``<folder>/<name>.parquet`` by name, each opened when first asked for.
 
-    def __init__(self, spark: SparkSession, folder: str, names: Iterable[str]):
+    A table with a declared schema is opened without a job that looks into its files.
+    """
+
+    def __init__(
+        self, spark: SparkSession, folder: str, names: Iterable[str], schemas: Mapping[str, StructType] | None = None
+    ):
         self._spark, self._folder, self._names = spark, folder, tuple(names)
+        self._schemas = schemas or {}
         self._open: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._names:
             raise KeyError(name)
         if name not in self._open:
-            self._open[name] = self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+            reader = self._spark.read
+            if name in self._schemas:
+                reader = reader.schema(self._schemas[name])
+            self._open[name] = reader.parquet(f"{self._folder}/{name}.parquet")
         return self._open[name]
 
     def __iter__(self) -> Iterator[str]:
@@ -32,8 +42,10 @@ class ParquetTables(Mapping):
         return len(self._names)
 
 
-def read_tables(spark: SparkSession, folder: str, names: Iterable[str]) -> Mapping[str, DataFrame]:
-    return ParquetTables(spark, folder, names)
+def read_tables(
+    spark: SparkSession, folder: str, names: Iterable[str], schemas: Mapping[str, StructType] | None = None
+) -> Mapping[str, DataFrame]:
+    return ParquetTables(spark, folder, names, schemas)
 
 
 def read_catalog(spark: SparkSession, names: Iterable[str] = SCHEMAS) -> dict[str, DataFrame]:

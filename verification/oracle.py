@@ -353,13 +353,13 @@ _LEVELS = f"""SELECT {_total("planned_cash_amt", f"forecast_run_date = {AS_OF}")
 
 # Patterns as in the Spark rules; both engines read them the same way.
 _RULES = (
-    ("amount", r"(?:\$|USD )[0-9][0-9,]*(?:\.[0-9]{2})?", 0, None),
+    ("amount", r"(?:\$|USD )[0-9][0-9,]{0,30}(?:\.[0-9]{2})?", 0, None),
     ("terms_days", r"[Nn]et[ -]([0-9]{1,3})", 1, None),
-    ("discount_pct", r"([0-9]+(?:\.[0-9]+)?) ?%", 1, None),
+    ("discount_pct", r"([0-9]{1,9}(?:\.[0-9]{1,9})?) ?%", 1, None),
     ("reason", r"(?i)short[- ]ship(?:ped|ment)?", 0, "short-ship"),
     ("reason", r"(?i)(?:quality (?:defect|issue)|defective)", 0, "quality defect"),
     ("reason", r"(?i)pric(?:e|ing) (?:discrepancy|difference|error)", 0, "pricing discrepancy"),
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0, None),
+    ("email", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,24}", 0, None),
     ("phone", r"[0-9]{3}-[0-9]{3}-[0-9]{4}", 0, None),
     ("licence", r"(?:MIT License|Apache License|GNU General Public License|Creative Commons)", 0, None),
 )
