@@ -5,7 +5,7 @@ import pytest
 from conftest import rows
 
 from cashtide.operators.projection import forecast_rows
-from cashtide.plans.catalog import metric_views, register
+from cashtide.plans.catalog import metric_views, register, worksheet
 from cashtide.plans.metrics import Composed, Field, Measure, MetricView, flattened, metric_query
 
 # What the five views offer.
@@ -178,3 +178,16 @@ def test_sql_over_registered_names(spark, tables, views, clean_names):
     assert spark.sql("SELECT category FROM v_inventory_sell_through ORDER BY sell_through_rate").first()[0] == "Boots"
     flattened(views["mv_sales"]).createOrReplaceTempView("sales_rows")
     assert spark.sql("SELECT sum(net_sales_amt) FROM sales_rows WHERE region = 'National'").first()[0] == Decimal(20_800)
+
+
+def test_worksheet_by_name(spark, tables):
+    ledger = spark.sql("SELECT DATE'2026-11-05' AS ledger_date")
+    questions = worksheet({**tables, "fact_cash_ledger": ledger}, golden.AS_OF, golden.QUARTER_END, golden.LATEST)
+    assert len(questions) == 16
+    answers = {name: rows(ask()) for name, ask in questions.items()}
+    assert all(answers.values())
+    assert dict(answers["row_counts"])["fact_sales"] == 6
+    for view, base in (("view_cash", "driver_variance"), ("view_ar", "collections_by_channel"), ("view_ap", "ap_components")):
+        column = {"view_cash": 1, "view_ar": 1, "view_ap": 2}[view]
+        assert dict((r[0], r[1]) for r in answers[view]) == dict((r[0], r[column]) for r in answers[base])
+    assert answers["view_inventory"] == [r[:3] for r in answers["aged_inventory"]]
