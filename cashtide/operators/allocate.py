@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cashtide.functions.amounts import TOTAL, portion_sql
 from cashtide.operators.ordered import position
+from cashtide.operators.star import join_groups
 
 
 def allocate_exact(
@@ -20,15 +21,15 @@ def allocate_exact(
     sums and joins replace a window per group, so no task ever holds a whole group.
     """
     weights = rows.groupBy(*by).agg(F.sum(weight).alias("__whole"))
-    targets = totals.select(*by, F.col(total).cast(TOTAL).alias("__total")).join(weights, [*by])
+    targets = join_groups(totals.select(*by, F.col(total).cast(TOTAL).alias("__total")), weights, by)
     # Both weights in hundredths let the shares be computed in whole numbers.
     share = portion_sql("__total", f"{weight} * 100", "__whole * 100")
-    shares = rows.join(targets, [*by]).withColumn(name, F.expr(f"coalesce({share}, CAST(0 AS {TOTAL}))"))
+    shares = join_groups(rows, targets, by).withColumn(name, F.expr(f"coalesce({share}, CAST(0 AS {TOTAL}))"))
     leftover = shares.groupBy(*by).agg(
         (F.max("__total") - F.sum(name)).cast(TOTAL).alias("__leftover"), F.max(key).alias(key)
     )
     return (
-        shares.join(leftover, [*by, key], "left")
+        join_groups(shares, leftover, [*by, key], "left")
         .withColumn(name, (F.col(name) + F.coalesce("__leftover", F.lit(0))).cast(TOTAL))
         .select(*rows.columns, name)
     )
@@ -45,12 +46,12 @@ def even_split(
 ) -> DataFrame:
     """Split each group's whole-number total evenly; its first rows by ``key`` take one more each."""
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    targets = totals.select(*by, F.col(total).cast("bigint").alias("__total")).join(sizes, [*by])
+    targets = join_groups(totals.select(*by, F.col(total).cast("bigint").alias("__total")), sizes, by)
     extra = F.pmod("__total", "__n")
     base = F.call_function("div", F.col("__total") - extra, F.col("__n"))
     ranked = position(rows, by, key, "__position", slices)
     return (
-        ranked.join(targets, [*by])
+        join_groups(ranked, targets, by)
         .withColumn(name, base + F.when(F.col("__position") <= extra, 1).otherwise(0))
         .select(*rows.columns, name)
     )

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cashtide.operators.star import join_groups
 from cashtide.session import stage
 
 _SLICE = "__slice"
@@ -41,8 +42,7 @@ def running_total(
     offsets = offsets.select(*by, _SLICE, F.coalesce(F.sum("__sum").over(_before(by)), F.lit(0)).alias("__offset"))
     inside = Window.partitionBy(*by, _SLICE).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        cut.withColumn(name, F.sum(value).over(inside))
-        .join(offsets, [*by, _SLICE])
+        join_groups(cut.withColumn(name, F.sum(value).over(inside)), offsets, [*by, _SLICE])
         .withColumn(name, F.col(name) + F.col("__offset"))
         .drop(_SLICE, "__offset")
     )
@@ -60,14 +60,14 @@ def fill_nulls(
     direction = F.col(key).asc() if forward else F.col(key).desc()
     cut = _sliced(df, by, [direction], slices)
     value = F.col(column)
-    newest = F.max_by(value, F.col(key)) if forward else F.min_by(value, F.col(key))
-    carried = cut.filter(value.isNotNull()).groupBy(*by, _SLICE).agg(newest.alias("__last"))
-    carried = cut.select(*by, _SLICE).distinct().join(carried, [*by, _SLICE], "left")
+    known = F.when(value.isNotNull(), F.col(key))
+    newest = F.max_by(value, known) if forward else F.min_by(value, known)
+    carried = cut.groupBy(*by, _SLICE).agg(newest.alias("__last"))
     carried = carried.select(*by, _SLICE, F.last("__last", ignorenulls=True).over(_before(by)).alias("__carried"))
     inside = Window.partitionBy(*by, _SLICE).orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
+    filled = cut.withColumn("__filled", F.last(column, ignorenulls=True).over(inside))
     return (
-        cut.withColumn("__filled", F.last(column, ignorenulls=True).over(inside))
-        .join(carried, [*by, _SLICE])
+        join_groups(filled, carried, [*by, _SLICE])
         .withColumn(column, F.coalesce("__filled", "__carried"))
         .select(*df.columns)
     )

@@ -101,6 +101,15 @@ def aggregate_by_attributes(
     return joined.groupBy(*keys).agg(*(p.merged() for p in partials))
 
 
+def join_groups(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on group columns, NULL being a group like any other, so that no group is lost."""
+    if not by:
+        raise ValueError("at least one group column is needed")
+    renamed = right.withColumnsRenamed({c: f"__{c}" for c in by})
+    joined = left.join(renamed, F.expr(" AND ".join(f"`{c}` <=> `__{c}`" for c in by)), how)
+    return joined.drop(*(f"__{c}" for c in by))
+
+
 def at_latest(df: DataFrame, time_col: str, latest: dt.date | None = None) -> DataFrame:
     """Only the newest snapshot; pass ``latest`` where it is known, to save a pass over the table."""
     if latest is not None:

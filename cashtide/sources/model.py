@@ -276,7 +276,7 @@ class Model:
                 _flow(paid, "paid_date", "WHOLESALE_COLLECTIONS", "amount", None),
                 _flow(self.payables(), "actual_pay_date", "SUPPLIER_PAYMENTS", None, "invoice_amt"),
             ]
-        ).selectExpr("*", "cash_in_amt - cash_out_amt AS net_cash_amt")
+        ).selectExpr("*", f"CAST(cash_in_amt - cash_out_amt AS {TOTAL}) AS net_cash_amt")
         return daily_balance(flows, "ledger_date", "net_cash_amt", name="running_cash_balance")
 
     def cash_balance(self, end: dt.date) -> DataFrame:

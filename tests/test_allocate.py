@@ -41,8 +41,15 @@ def test_no_weight_leaves_the_total_with_the_last_row(spark):
     assert got == {1: Decimal(0), 2: Decimal("5.00")}
 
 
+def test_a_group_without_a_name_takes_part(spark):
+    rows_ = spark.createDataFrame([(None, 1, Decimal(1)), (None, 2, Decimal(3)), ("a", 1, Decimal(1))], "g string, k int, w decimal(12,2)")
+    totals = spark.createDataFrame([(None, Decimal("8.00")), ("a", Decimal("1.00"))], "g string, t decimal(12,2)")
+    got = {(r.g, r.k): int(r.allocated) for r in allocate_exact(rows_, totals, "t", "w", ["g"], "k").collect()}
+    assert got == {(None, 1): 2, (None, 2): 6, ("a", 1): 1}
+
+
 def test_even_split(spark):
-    sizes = {"few": (3, 2), "same": (4, 4), "rest": (3, 11), "hot": (200, 1234), "none": (2, 0)}
+    sizes = {None: (4, 6), "few": (3, 2), "same": (4, 4), "rest": (3, 11), "hot": (200, 1234), "none": (2, 0)}
     data = [(g, key) for g, (n, _) in sizes.items() for key in range(10, 10 + n)]
     totals = spark.createDataFrame([(g, t) for g, (_, t) in sizes.items()], "g string, t bigint")
     got = even_split(spark.createDataFrame(data, "g string, k int"), totals, "t", ["g"], "k", slices=6).collect()

@@ -21,7 +21,7 @@ def raw():
     """One group holds a third of the rows and spans many slices."""
     rng = random.Random(11)
     keys = rng.sample(range(10_000), 900)
-    return [("hot" if n % 3 == 0 else f"g{rng.randrange(40)}", k, rng.randrange(-50, 50), rng.choice([None, None, f"v{k}"])) for n, k in enumerate(keys)]
+    return [("hot" if n % 3 == 0 else rng.choice([None, f"g{rng.randrange(40)}"]), k, rng.randrange(-50, 50), rng.choice([None, None, f"v{k}"])) for n, k in enumerate(keys)]
 
 
 def frame(spark, raw):
