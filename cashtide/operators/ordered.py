@@ -23,9 +23,11 @@ def _sliced(df: DataFrame, by: Sequence[str], order: Sequence[Column], slices: i
     """``df`` with ``__slice``: rows of a lower slice come before those of a higher one.
 
     Slice numbers come from sampled bounds, so they are written down once and then only read.
+    Without a number of slices there are as many as shuffle partitions, and adaptive execution
+    merges neighbours while they are small.
     """
-    count = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(count, *(F.col(c) for c in by), *order)
+    columns = [*(F.col(c) for c in by), *order]
+    ranged = df.repartitionByRange(slices, *columns) if slices else df.repartitionByRange(*columns)
     return stage(ranged.withColumn(_SLICE, F.spark_partition_id()), "slices")
 
 

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from cashtide.functions.amounts import AGE_BOUNDS, AGE_LABELS, TOTAL, band_sql
 from cashtide.functions.dates import date_sql, trailing, trailing_sql
 from cashtide.operators.star import Lookup, Partial, aggregate_by_attributes
+from cashtide.sources.tables import stacked
+
+# Weeks whose sums still fit one generated aggregation.
+_BLOCK = 26
 
 
 def inventory_snapshot(
@@ -23,10 +27,14 @@ def inventory_snapshot(
     """Units on hand and newest receipt for each week and group.
 
     ``receipts`` has ``receipt_date``, ``units`` and what ``by`` and ``lookups`` refer to; a receipt
-    counts on a week's Saturday for ``window_days`` days. All weeks are summed side by side in one
-    pass, so the shuffle carries a row per group and not one per receipt and week it covers.
+    counts on a week's Saturday for ``window_days`` days. Up to half a year of weeks is summed side
+    by side in one pass, so the shuffle carries a row per group and not one per receipt and week it
+    covers; longer lists are taken in blocks, each of which reads only the receipts it needs.
     """
     weeks = sorted(weeks)
+    if len(weeks) > _BLOCK:
+        blocks = (weeks[n : n + _BLOCK] for n in range(0, len(weeks), _BLOCK))
+        return stacked(inventory_snapshot(receipts, block, window_days, lookups, by) for block in blocks)
     span = window_days + (weeks[-1] - weeks[0]).days
     partials, entries = [], []
     for n, week in enumerate(weeks):

@@ -28,7 +28,7 @@ def frame(spark, raw):
     return spark.createDataFrame(raw, "g string, k int, v int, s string").repartition(5)
 
 
-@pytest.mark.parametrize("slices", [1, 7, 40])
+@pytest.mark.parametrize("slices", [None, 1, 7, 40])
 def test_running_total(spark, raw, slices):
     want, sums = {}, {}
     for g, k, v, _ in sorted(raw, key=lambda r: r[1]):
@@ -39,6 +39,21 @@ def test_running_total(spark, raw, slices):
     assert {(r.g, r.k): r.t for r in got.collect()} == want
 
 
+def test_slices_merged_at_run_time_stay_in_order(spark):
+    """Enough rows for several merged slices of different sizes."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "40KB")
+    try:
+        df = spark.range(60_000).selectExpr("if(id % 3 = 0, 'hot', concat('g', id % 11)) AS g", "(id * 7919) % 60000 AS k", "1L AS v")
+        got = running_total(df, "v", ["g"], "k", "t")
+        wrong = got.selectExpr("t - row_number() OVER (PARTITION BY g ORDER BY k) AS off").filter("off <> 0")
+        assert got.count() == 60_000 and wrong.count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
 def test_position(spark, raw):
     want, n = {}, {}
     for g, k, *_ in sorted(raw, key=lambda r: r[1]):

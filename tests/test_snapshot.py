@@ -1,3 +1,5 @@
+import datetime as dt
+import random
 from decimal import Decimal
 
 from conftest import day
@@ -22,11 +24,23 @@ def test_a_receipt_counts_from_its_week_until_the_window_ends(spark):
     }
 
 
+def test_long_lists_of_weeks_are_taken_in_blocks(spark):
+    weeks = [day("2026-01-03") + dt.timedelta(weeks=n) for n in range(60)]
+    rng = random.Random(2)
+    data = [(rng.randrange(3), 1, str(weeks[0] + dt.timedelta(days=rng.randrange(-200, 430))), rng.randrange(1, 9)) for _ in range(150)]
+    want = {}
+    for product, _, received, units in data:
+        for week in weeks:
+            if week - dt.timedelta(days=160) < day(received) <= week:
+                held, newest = want.get((week, product), (0, day(received)))
+                want[week, product] = (held + units, max(newest, day(received)))
+    got = {(r.week_ending_date, r.product_id): (r.on_hand_units, r.last_receipt_date) for r in snapshot(spark, data, weeks).collect()}
+    assert got == want
+
+
 def test_value_age_and_markdown(spark):
     products = spark.createDataFrame([(1, Decimal("2.50"))], "product_id int, unit_cost decimal(10,2)")
     ages = {30: "0-30", 31: "31-60", 60: "31-60", 61: "61-90", 90: "61-90", 91: "90+"}
-    import datetime as dt
-
     data = [(1, age, str(WEEKS[1] - dt.timedelta(days=age)), 3) for age in ages]
     got = {r.store_id: r for r in valued_snapshot(snapshot(spark, data, WEEKS[1:]), products).collect()}
     assert {age: r.aging_bucket for age, r in got.items()} == ages

@@ -74,6 +74,26 @@ def test_overwrite_replaces_rows_and_columns(spark, schema):
     assert {c.name: c.description for c in spark.catalog.listColumns("scratch_rows")}["b"] == "a 'text'"
 
 
+def test_tables_bucketed_alike_join_without_a_shuffle(spark, schema, no_broadcast):
+    write_table(spark.range(500).selectExpr("id % 100 AS k", "id AS v"), "left_rows", bucket_by=(4, "k"))
+    write_table(spark.range(100).selectExpr("id AS k", "id * 2 AS w"), "right_rows", bucket_by=(4, "k"))
+    joined = spark.table("left_rows").join(spark.table("right_rows"), "k")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 500
+
+
+def test_a_hot_day_is_written_by_several_tasks(spark, schema):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "30KB")
+    try:
+        df = spark.range(0, 60_000, 1, 6).selectExpr("uuid() AS u", "if(id % 3 = 0, DATE'2026-01-01', date_add(DATE'2026-01-02', CAST(id % 5 AS INT))) AS d")
+        write_table(df, "hot_days", "d")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = [f for f in spark.table("hot_days").inputFiles() if "d=2026-01-01" in f]
+    assert len(files) > 1
+    assert spark.table("hot_days").count() == 60_000
+
+
 def test_stored_view(spark, schema):
     write_table(spark.range(5).toDF("n"), "numbers")
     create_view(spark, "big_numbers", "SELECT n FROM numbers WHERE n > 2", "above two")
