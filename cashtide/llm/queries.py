@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cashtide.llm import bpe, packing, transducer
 from cashtide.llm.common import table
 from cashtide.llm.exact_dedup import exact_dedup
+from cashtide.llm.near_dedup import near_dedup
 from cashtide.llm.secrets import secret_scan, span_digest
 from cashtide.llm.sharding import shard_rows
 
@@ -48,6 +51,29 @@ WINDOW best AS (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id)
 """
 
 
+@query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return transducer.token_counts(table(spark, sf_dir, "documents"), path)
+
+
+@query
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), words=2)
+
+
+@query
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.round_trip(table(spark, sf_dir, "documents"), path)
+
+
+@query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), path)
+
+
 @query
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_rows(table(spark, sf_dir, "documents"))
