@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cashtide.llm import bpe, packing, transducer
+from cashtide.llm import bpe, packing, toxicity, transducer
 from cashtide.llm.common import table
+from cashtide.llm.embeddings import near_vectors
 from cashtide.llm.exact_dedup import exact_dedup
 from cashtide.llm.near_dedup import near_dedup
 from cashtide.llm.secrets import secret_scan, span_digest
@@ -51,6 +52,11 @@ WINDOW best AS (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id)
 """
 
 
+@query
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -68,6 +74,15 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), path)
 
 
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tagged = toxicity.tag(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return tagged.select(
+        "doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 @query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
