@@ -12,6 +12,7 @@ from cashtide.llm import bpe, packing, toxicity, transducer
 from cashtide.llm.common import table
 from cashtide.llm.embeddings import near_vectors
 from cashtide.llm.exact_dedup import exact_dedup
+from cashtide.llm.licenses import license_scan
 from cashtide.llm.near_dedup import near_dedup
 from cashtide.llm.secrets import secret_scan, span_digest
 from cashtide.llm.sharding import shard_rows
@@ -96,3 +97,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
