@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cashtide.llm.common import staged, text_of
@@ -17,8 +17,9 @@ _SPACE = " \t\n\x0b\x0c\r"
 _KEY = ("digest", "check", "n_bytes")
 
 
-def _digests(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    original = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("t"))
+def _digests(docs: DataFrame, doc_id: str, text: str, row: Column | None = None) -> DataFrame:
+    number = F.monotonically_increasing_id() if row is None else row
+    original = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("t"), number.alias("seq"))
     bare = original.withColumn("bare", F.translate("t", _SPACE, ""))
     return bare.select(
         "doc_id",
@@ -26,6 +27,7 @@ def _digests(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         F.xxhash64("bare").alias("check"),
         F.octet_length("bare").cast("long").alias("n_bytes"),
         F.length("t").cast("long").alias("n_chars"),
+        "seq",
     )
 
 
@@ -67,12 +69,12 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merged(runs: DataFrame) -> DataFrame:
-    order = ["lane", *_KEY, F.desc("n_chars"), F.asc_nulls_last("doc_id")]
+    order = ["lane", *_KEY, F.desc("n_chars"), F.asc_nulls_last("doc_id"), "seq"]
     return runs.sortWithinPartitions(*order).mapInArrow(_merge, runs.schema)
 
 
 def digest_groups(digests: DataFrame, fan: int = 4, lanes: int | None = None) -> DataFrame:
-    """One row per distinct text: its key, the row that stays (doc_id, n_chars) and the group's size.
+    """One row per distinct text: its key, the row that stays (doc_id, n_chars, seq) and the group's size.
 
     Every partition sorts its digests into one run, in which a text occurs once. In each round
     ``fan`` lanes exchange runs: a lane keeps the digests whose next digit is its own and takes
@@ -106,21 +108,29 @@ def exact_dedup(
 
     Texts are equal when they are identical without white space (blank, tab to carriage return).
     The row with the most code points stays, then the one with the smallest id; a null id counts as
-    the largest. A null text is empty, and all empty texts are equal. Rows that repeat both id and
-    text are one document that was read twice: they count in group_size and get the same answer.
-    Equality is verified by SHA-256, a second hash and the length in bytes together. Columns of
-    ``docs`` other than the two named are neither read nor returned; an empty table gives no rows.
+    the largest, and of rows that repeat both id and text one stays. A null text is empty, and all
+    empty texts are equal. Equality is verified by SHA-256, a second hash and the length in bytes
+    together. Columns of ``docs`` other than the two named are neither read nor returned; an empty
+    table gives no rows.
     """
     digests = staged(_digests(docs, doc_id, text), "digests")
     groups = digest_groups(digests, fan, lanes).select(
-        *_KEY, F.col("doc_id").alias("keep_id"), F.col("n_chars").alias("keep_chars"), "group_size"
+        *_KEY, F.col("doc_id").alias("keep_id"), F.col("seq").alias("keep_seq"), "group_size"
     )
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))
     return digests.join(groups, list(_KEY)).select(
         "doc_id",
         "keep_id",
         "group_size",
-        kept.alias("kept"),
+        (F.col("seq") == F.col("keep_seq")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
         "n_chars",
     )
+
+
+def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
+    row = "__row"
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    digests = _digests(numbered, doc_id, text, F.col(row))
+    stay = digest_groups(staged(digests, "digests")).select(F.col("seq").alias(row))
+    return numbered.join(stay, row, "left_semi").select(*docs.columns)

@@ -224,3 +224,9 @@ def near_dedup(
     return out.unionByName(
         unknown.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     )
+
+
+def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` but those of documents that ``near_dedup`` does not keep, with all their columns."""
+    gone = near_dedup(docs, doc_id, text, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col(doc_id).cast("long") == F.col("__gone"), "left_anti")

@@ -337,3 +337,19 @@ def tag(docs: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "text
                 )
 
     return fields.mapInArrow(run, schema)
+
+
+def without_toxic(docs: DataFrame, field: Field, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score under ``least``, with all their columns; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            for a, b in portions(texts):
+                t = tokens(texts[a:b])
+                clean = model.scores(t, model.marginals(t)) < least
+                yield batch.slice(a, b - a).filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
