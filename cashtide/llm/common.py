@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,16 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors reach: ``spark.checkpoint.dir``, or one of this machine for a local session without it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="cashtide-"))
-    return context.getCheckpointDir()
+    """The folder all executors reach: ``spark.checkpoint.dir``, or where that is unset a folder in the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/staged"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -55,8 +46,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         # Large star: neighbours above a node go to its smallest neighbour.
         large = both.join(least, "a").where("b > a").selectExpr("b a", "m b")
-        roots = at.where("a = b")
-        down = large.union(roots).distinct()
+        # Written, as both the minima and the join below read it.
+        down = staged(large.union(at.where("a = b")), "stars")
         # Small star: what is left below a node, and the node itself, go to the smallest of them.
         floor = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(floor, "a").selectExpr("b a", "m b").union(floor.selectExpr("a", "m b")).where("a > b or a = b")
