@@ -38,7 +38,7 @@ class Tokens:
 
 
 def _slot(values: np.ndarray, kind: int) -> np.ndarray:
-    return (mix(values + np.uint64(kind * 0x1000003)) >> np.uint64(64 - _BITS)).astype(np.int64)
+    return (mix(values + np.uint64(kind * 0x1000003)) >> np.uint64(64 - _BITS)).astype(np.int32)
 
 
 def tokens(texts: Sequence[str]) -> Tokens:
@@ -59,7 +59,7 @@ def tokens(texts: Sequence[str]) -> Tokens:
     numbers = np.searchsorted(points, bounds)
     columns = 1 + len(_PREFIXES) + len(_SUFFIXES)
     if not len(starts):
-        return Tokens(np.zeros((0, columns), np.int64), np.zeros(0, np.int64), numbers, points, sizes, bounds)
+        return Tokens(np.zeros((0, columns), np.int32), np.zeros(0, np.int32), numbers, points, sizes, bounds)
     firsts, which = distinct(buf, starts, lens)
     s, n = starts[firsts], lens[firsts]
     found = [_slot(hashes(buf, s, n), 0)]
@@ -70,7 +70,7 @@ def tokens(texts: Sequence[str]) -> Tokens:
         m = np.minimum(n, k)
         (tail,) = loaded(buf, s + n - m, m, 1)
         found.append(_slot(tail, 16 + k))
-    return Tokens(np.stack(found, axis=1), which, numbers, points, sizes, bounds)
+    return Tokens(np.stack(found, axis=1), which.astype(np.int32), numbers, points.astype(np.int32), sizes.astype(np.int32), bounds)
 
 
 Matrix = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -229,7 +229,7 @@ def train(texts: Sequence[str], labels: Sequence[int], least: int = 5, odds: flo
         first = np.zeros(len(t.which), dtype=bool)
         heads = t.numbers[:-1]
         first[heads[heads < t.numbers[1:]]] = True
-        chains.append((t, toxic.astype(np.int64), first, used[doc]))
+        chains.append((t, toxic.astype(np.int8), first, used[doc]))
     rare = seen.sum(axis=0) < least  # too rare to weigh
     push = np.full(size, 1e-8)
     push_moves, push_start, push_bias = np.full((2, 2), 1e-8), np.full(2, 1e-8), 1e-8
@@ -255,7 +255,7 @@ def train(texts: Sequence[str], labels: Sequence[int], least: int = 5, odds: flo
             pair = [q * e[inner] * r for q, r, e in zip((1 - before, 1 - before, before, before), (1 - here, here, 1 - here, here), m, strict=True)]
             total = sum(pair)
             expected = np.array([(q / total).sum() for q in pair])
-            slope_moves += (expected - np.bincount(z[inner - 1] * 2 + z[inner], minlength=4)).reshape(2, 2)
+            slope_moves += (expected - np.bincount(2 * z[inner - 1] + z[inner], minlength=4)).reshape(2, 2)
             heads = np.flatnonzero(first & used)
             slope_start += np.array([(1 - p[heads]).sum(), p[heads].sum()]) - np.bincount(z[heads], minlength=2)
         slope[rare] = 0
@@ -288,7 +288,7 @@ def held_out(column: str):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 6000, longest: int = 20_000) -> Field:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 4000, longest: int = 20_000) -> Field:
     """A field trained on the driver from ``training_rows``: at most ``most`` x ``longest`` characters."""
     rows = training_rows(docs, labels, doc_id, text, label, most, longest).select("doc_id", "t", "y").collect()
     rows.sort(key=lambda r: str(r["doc_id"]))
