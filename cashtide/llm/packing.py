@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,29 +30,38 @@ class TokenIds:
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._cutter = Cutter(self._tokenizer.pre_tokenizer)
         self._characters = {b: c for c, b in byte_alphabet().items()}
-        self._known: dict[bytes, tuple[int, ...]] = {}
-
-    def _word(self, word: bytes) -> tuple[int, ...]:
-        ids = self._known.get(word)
-        if ids is None:
-            if len(self._known) > 300_000:
-                self._known.clear()
-            ids = tuple(t.id for t in self._tokenizer.model.tokenize(word.decode("latin-1").translate(self._characters)))
-            if len(word) <= 64:
-                self._known[word] = ids
-        return ids
+        # Ids of known words as bytes; a full cache becomes the old one, from which used words return.
+        self._known: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        found = list(map(self._known.get, words))
+        merge, old = self._tokenizer.model.tokenize, self._old
+        for i, ids in enumerate(found):
+            if ids is None:
+                word = words[i]
+                ids = old.get(word)
+                if ids is None:
+                    ids = array("I", [t.id for t in merge(word.decode("latin-1").translate(self._characters))]).tobytes()
+                found[i] = ids
+                if len(word) <= 64:
+                    self._known[word] = ids
+        if len(self._known) > 250_000:
+            self._known, self._old = {}, self._known
+        return found
 
     def of(self, texts: Sequence[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit numbers."""
         out: list[np.ndarray] = []
-        for a, b in portions(texts):
+        for a, b in portions(texts, 2_000_000):
             buf, starts, lens, numbers = self._cutter.words(texts[a:b])
             if len(starts):
                 firsts, which = distinct(buf, starts, lens)
                 data = buf.tobytes()
-                each = [self._word(data[s : s + n]) for s, n in zip(starts[firsts].tolist(), lens[firsts].tolist(), strict=True)]
-                sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
-                flat = np.fromiter(chain.from_iterable(each), dtype=np.uint32, count=int(sizes.sum()))
+                s = starts[firsts]
+                each = self._words([data[i:j] for i, j in zip(s.tolist(), (s + lens[firsts]).tolist(), strict=True)])
+                sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 4
+                flat = np.frombuffer(b"".join(each), dtype=np.uint32)
                 begin = np.cumsum(sizes) - sizes
                 ids = flat[ragged(begin[which], sizes[which])]
                 bounds = np.concatenate([[0], np.cumsum(sizes[which])])[numbers]
@@ -243,8 +252,8 @@ def pack(
 
         for batch in batches:
             kind = batch.schema.field("doc_id").type
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
                 found: list[tuple] = []
                 for doc, ids, plain in zip(
                     part.column("doc_id").to_pylist(),
