@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,27 +79,18 @@ def _hashed(vectors: DataFrame, shape: Projections) -> DataFrame:
     return vectors.mapInArrow(run, "vec_id long, u binary, keys array<int>")
 
 
-def _block(block: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Of one bucket, or two parts of one: for each member its links counted here, and one link that joins it to others.
+def _block(side: np.ndarray, ids: np.ndarray, copies: np.ndarray, units: np.ndarray, keys: np.ndarray, table: int, same: bool, least: float):
+    """Of one bucket, or two parts of one: its members, their links counted here, and for each one that joins it to others.
 
     A pair that agrees in several tables is counted in the first of them only.
     """
-    table = int(block["at"].iloc[0])
-    same = block["i"].iloc[0] == block["j"].iloc[0]
-    left = block if same else block[block["side"] == 0]
-    right = block if same else block[block["side"] == 1]
-    if left.empty or right.empty:
-        return pd.DataFrame({"vec_id": [], "links": [], "other": []}).astype("int64")
-    ids = np.concatenate([left["vec_id"].to_numpy(), right["vec_id"].to_numpy()])
-    n = len(left)
-    weight = np.concatenate([left["copies"].to_numpy(), right["copies"].to_numpy()])
-    units = [np.stack([np.frombuffer(u, np.float64) for u in side["u"]]) for side in (left, right)]
-    keys = [np.stack(side["keys"].to_list())[:, :table] for side in (left, right)]
-    near = units[0] @ units[1].T >= least
+    left = np.arange(len(ids)) if same else np.flatnonzero(side == 0)
+    right = left if same else np.flatnonzero(side == 1)
+    near = units[left] @ units[right].T >= least
     if same:
         near = np.triu(near, 1)
     links = np.zeros(len(ids), dtype=np.int64)
-    root = np.arange(len(ids))
+    root = list(range(len(ids)))
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -108,20 +98,57 @@ def _block(block: pd.DataFrame, least: float) -> pd.DataFrame:
         return x
 
     for row in np.flatnonzero(near.any(axis=1)):
-        cols = np.flatnonzero(near[row])
+        me, others = left[row], right[near[row]]
         for a, b in ((0, 8), (8, 32), (32, table)):  # most pairs agree within the first few tables
             b = min(b, table)
-            if a < b and len(cols):
-                cols = cols[~(keys[1][cols, a:b] == keys[0][row, a:b]).any(axis=1)]
-        links[row] += weight[n + cols].sum()
-        links[n + cols] += weight[row]
-        for c in cols:
-            a, b = find(row), find(n + c)
+            if a < b and len(others):
+                others = others[~(keys[others, a:b] == keys[me, a:b]).any(axis=1)]
+        links[me] += copies[others].sum()
+        links[others] += copies[me]
+        for other in others.tolist():
+            a, b = find(int(me)), find(other)
             if a != b:
                 root[max(a, b)] = min(a, b)
-    joined = np.array([ids[find(x)] for x in range(len(ids))])
-    hit = links > 0
-    return pd.DataFrame({"vec_id": ids[hit], "links": links[hit], "other": joined[hit]})
+    hit = np.flatnonzero(links)
+    return ids[hit], links[hit], ids[[find(x) for x in hit.tolist()]] if len(hit) else ids[hit]
+
+
+_BLOCK_KEY = ("at", "key", "dims", "i", "j")
+
+
+def _blocks(least: float):
+    """Rows sorted by block: each block, which may go on in the next batch, to the links found in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def found(rows: pa.Table, ends: np.ndarray) -> pa.RecordBatch:
+            plain = {c: rows.column(c).to_numpy() for c in ("side", "vec_id", "copies", "at", "dims", "i", "j")}
+            units, keys = rows.column("u").to_pylist(), rows.column("keys").combine_chunks()
+            keys = np.asarray(keys.flatten()).reshape(rows.num_rows, -1)
+            out = []
+            for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
+                matrix = np.frombuffer(b"".join(units[a:b]), np.float64).reshape(b - a, -1)
+                own = {c: v[a:b] for c, v in plain.items() if c in ("side", "vec_id", "copies")}
+                same = plain["i"][a] == plain["j"][a]
+                out.append(_block(own["side"], own["vec_id"], own["copies"], matrix, keys[a:b], int(plain["at"][a]), same, least))
+            columns = [pa.array(np.concatenate([o[k] for o in out]), pa.int64()) for k in range(3)]
+            return pa.RecordBatch.from_arrays(columns, names=["vec_id", "links", "other"])
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            key = [rows.column(c).to_numpy() for c in _BLOCK_KEY]
+            if not rows.num_rows:
+                continue
+            cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
+            if len(cuts):
+                yield found(rows.slice(0, int(cuts[-1])).combine_chunks(), cuts)
+            held = rows.slice(int(cuts[-1]) if len(cuts) else 0).combine_chunks()
+        if held is not None and held.num_rows:
+            yield found(held, np.array([held.num_rows]))
+
+    return run
 
 
 def near_vectors(
@@ -155,19 +182,21 @@ def near_vectors(
     same = hashed.groupBy("u").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     firsts = staged(hashed.join(same, "u").where("vec_id = rep").select("vec_id", "u", "keys", "copies"), "firsts")
 
-    cells = firsts.select("vec_id", F.posexplode("keys").alias("at", "key"))
-    buckets = cells.groupBy("at", "key").count().where("count > 1")
-    members = staged(cells.join(buckets, ["at", "key"]), "members")
+    bucket = ["at", "key", "dims"]
+    cells = firsts.select("vec_id", F.octet_length("u").alias("dims"), F.posexplode("keys").alias("at", "key"))
+    buckets = cells.groupBy(*bucket).count().where("count > 1")
+    members = staged(cells.join(buckets, bucket), "members")
     full = members.join(firsts, "vec_id")
     blocks = F.ceil(F.col("count") / part).cast("int")
     own = F.pmod(F.xxhash64("vec_id"), blocks).cast("int")
     spread = full.withColumn("blocks", blocks).withColumn("own", own)
     spread = spread.withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select(
-        "at", "key", F.least("own", "meets").alias("i"), F.greatest("own", "meets").alias("j"),
+        *bucket, F.least("own", "meets").alias("i"), F.greatest("own", "meets").alias("j"),
         (F.col("own") > F.col("meets")).cast("int").alias("side"), "vec_id", "u", "copies", "keys",
     )
-    found = spread.groupBy("at", "key", "i", "j").applyInPandas(lambda block: _block(block, least), "vec_id long, links long, other long")
+    dealt = spread.repartition(*_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY)
+    found = dealt.mapInArrow(_blocks(least), "vec_id long, links long, other long")
     found = staged(found, "found")
 
     counts = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
