@@ -72,7 +72,7 @@ def shard_rows(
     shards: int = 40,
     virtual: int = 64,
     slack: float = 0.0,
-    slice_rows: int = 200_000,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, shard, slot, arc.
 
@@ -83,8 +83,8 @@ def shard_rows(
     when a shard is added.
 
     Only one count per arc comes to the driver (shards x virtual numbers). Rows are numbered within
-    slices of an arc of about ``slice_rows`` rows, so that a text with a third of all rows is
-    numbered by many tasks. A null text has no bytes; rows that repeat an id are rows of their own,
+    slices of an arc, so that a text with a third of all rows is numbered by many tasks; a slice holds
+    about ``slice_rows`` rows, by default a quarter of what a shuffle partition gets of all rows. A null text has no bytes; rows that repeat an id are rows of their own,
     and which of them is which is open only among rows that agree in all returned columns. An empty
     table gives no rows.
     """
@@ -113,6 +113,8 @@ def shard_rows(
     counts = [0] * len(points)
     for r in rows.groupBy("arc").count().collect():
         counts[r["arc"]] = r["count"]
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slice_rows = slice_rows or max(1, sum(counts) // (4 * partitions))
     pieces = fill_ring(owners, counts, capacities(sum(counts), shards, slack))
     placed = [
         (arc, max(1, -(-counts[arc] // slice_rows)), [dict(zip(("from", "rows", "shard", "slot"), p, strict=True)) for p in ps])
