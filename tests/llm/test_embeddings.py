@@ -14,6 +14,7 @@ def brute(rows, least=0.9):
             continue
         a = np.array(v, dtype=np.float64)
         if np.isfinite(a).all() and a.any():
+            a = a / np.abs(a).max()
             usable[i] = a / np.linalg.norm(a)
     ids = sorted(usable)
     root = {i: i for i, _ in rows}
