@@ -41,11 +41,12 @@ def running_total(
     """Sum of ``value`` over a group's rows up to each row in the order of ``key``, unique in its group."""
     cut = _sliced(df, by, [F.col(key).asc()], slices)
     offsets = cut.groupBy(*by, _SLICE).agg(F.sum(value).alias("__sum"))
-    offsets = offsets.select(*by, _SLICE, F.coalesce(F.sum("__sum").over(_before(by)), F.lit(0)).alias("__offset"))
+    # NULL while nothing was seen, as in one window over the whole group.
+    offsets = offsets.select(*by, _SLICE, F.sum("__sum").over(_before(by)).alias("__offset"))
     inside = Window.partitionBy(*by, _SLICE).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     return (
         join_groups(cut.withColumn(name, F.sum(value).over(inside)), offsets, [*by, _SLICE])
-        .withColumn(name, F.col(name) + F.col("__offset"))
+        .withColumn(name, F.coalesce(F.col(name) + F.col("__offset"), name, "__offset"))
         .drop(_SLICE, "__offset")
     )
 

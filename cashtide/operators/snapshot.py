@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cashtide.functions.amounts import AGE_BOUNDS, AGE_LABELS, TOTAL, band_sql
-from cashtide.functions.dates import date_sql, trailing, trailing_sql
+from cashtide.functions.dates import date_sql
 from cashtide.operators.star import Lookup, Partial, aggregate_by_attributes
 from cashtide.sources.tables import stacked
 
@@ -17,38 +17,53 @@ from cashtide.sources.tables import stacked
 _BLOCK = 26
 
 
+def _by_week(
+    rows: DataFrame, date: str, weeks: Sequence[dt.date], lookups: Sequence[Lookup], by: Sequence[tuple[str, str]], sign: str
+) -> DataFrame:
+    """Units up to each week, and the newest day, side by side: one row per group."""
+    partials = []
+    for n, week in enumerate(weeks):
+        counted = f"FILTER (WHERE fact.{date} <= {date_sql(week)})"
+        partials.append(Partial(f"units{n}", F.expr(f"sum({sign}CAST(fact.units AS BIGINT)) {counted}"), "sum"))
+        partials.append(Partial(f"newest{n}", F.expr(f"max(fact.{date}) {counted}"), "max"))
+    return aggregate_by_attributes(rows.filter(f"{date} <= {date_sql(weeks[-1])}"), lookups, by, partials)
+
+
 def inventory_snapshot(
     receipts: DataFrame,
     weeks: Sequence[dt.date],
-    window_days: int,
     lookups: Sequence[Lookup] = (),
     by: Sequence[tuple[str, str]] = (("product_id", "fact.product_id"), ("store_id", "fact.store_id")),
+    sold: DataFrame | None = None,
 ) -> DataFrame:
-    """Units on hand and newest receipt for each week and group.
+    """Units on hand and newest receipt for each week and group: all receipts to date less all sales to date.
 
-    ``receipts`` has ``receipt_date``, ``units`` and what ``by`` and ``lookups`` refer to; a receipt
-    counts on a week's Saturday for ``window_days`` days. Up to half a year of weeks is summed side
-    by side in one pass, so the shuffle carries a row per group and not one per receipt and week it
-    covers; longer lists are taken in blocks, each of which reads only the receipts it needs.
+    ``receipts`` has ``receipt_date``, ``units`` and what ``by`` and ``lookups`` refer to; ``sold``
+    has ``date_key``, ``units`` and the group's columns. Groups that sold no less than they received
+    hold nothing and are left out. Up to half a year of weeks is summed side by side in one pass,
+    so the shuffle carries a row per group and not one per receipt and week; longer lists are
+    taken in blocks of weeks, each of which reads the receipts again.
     """
     weeks = sorted(weeks)
     if len(weeks) > _BLOCK:
         blocks = (weeks[n : n + _BLOCK] for n in range(0, len(weeks), _BLOCK))
-        return stacked(inventory_snapshot(receipts, block, window_days, lookups, by) for block in blocks)
-    span = window_days + (weeks[-1] - weeks[0]).days
-    partials, entries = [], []
-    for n, week in enumerate(weeks):
-        counted = f"FILTER (WHERE {trailing_sql('fact.receipt_date', week, window_days)})"
-        partials.append(Partial(f"units{n}", F.expr(f"sum(fact.units) {counted}"), "sum"))
-        partials.append(Partial(f"newest{n}", F.expr(f"max(fact.receipt_date) {counted}"), "max"))
-        entries.append(
-            f"named_struct('week_ending_date', {date_sql(week)}, "
-            f"'on_hand_units', units{n}, 'last_receipt_date', newest{n})"
-        )
-    recent = receipts.filter(trailing("receipt_date", weeks[-1], span))
-    wide = aggregate_by_attributes(recent, lookups, by, partials)
+        return stacked(inventory_snapshot(receipts, block, lookups, by, sold) for block in blocks)
     names = [name for name, _ in by]
-    return wide.selectExpr(*names, f"inline(array({', '.join(entries)}))").filter("on_hand_units IS NOT NULL")
+    sides = _by_week(receipts, "receipt_date", weeks, lookups, by, "")
+    if sold is not None:
+        gone = _by_week(sold, "date_key", weeks, (), [(n, f"fact.{n}") for n in names], "-")
+        gone = gone.selectExpr(*names, *(f"units{n}" for n in range(len(weeks))), *(f"CAST(NULL AS DATE) AS newest{n}" for n in range(len(weeks))))
+        both = sides.unionByName(gone)
+        sides = both.groupBy(*names).agg(
+            *(F.sum(f"units{n}").alias(f"units{n}") for n in range(len(weeks))),
+            *(F.max(f"newest{n}").alias(f"newest{n}") for n in range(len(weeks))),
+        )
+    entries = ", ".join(
+        f"named_struct('week_ending_date', {date_sql(week)}, 'on_hand_units', units{n}, 'last_receipt_date', newest{n})"
+        for n, week in enumerate(weeks)
+    )
+    listed = sides.selectExpr(*names, f"inline(array({entries}))")
+    return listed.filter("on_hand_units > 0 AND last_receipt_date IS NOT NULL")
 
 
 def valued_snapshot(snapshot: DataFrame, products: DataFrame) -> DataFrame:

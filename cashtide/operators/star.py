@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cashtide.session import fits_broadcast
-
 FACT = "fact"
 
 
@@ -31,6 +29,33 @@ def check_unique(df: DataFrame, key: str) -> None:
         raise ValueError(f"{key} is not unique: {repeated[0]!r} occurs more than once")
 
 
+def unique_by(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with one row per key; a key that repeats is an error when rows are computed.
+
+    Dimensions pass through one aggregation for this. The key itself carries the check, so column
+    pruning cannot remove it. NULL keys match nothing and may repeat.
+    """
+    others = [c for c in df.columns if c != key]
+    grouped = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), *(F.first(c).alias(c) for c in others))
+    message = F.concat(F.lit(f"{key} is not unique: "), F.col(key).cast("string"))
+    alone = F.when(F.col("__n") == 1, F.col(key)).when(F.col(key).isNotNull(), F.raise_error(message))
+    return grouped.withColumn(key, alone).select(*df.columns)
+
+
+def salted_lookup(fact: DataFrame, lookup: Lookup, columns: Sequence[str], salts: int = 32) -> DataFrame:
+    """``fact`` with ``columns`` of a small-grained dimension, row by row, for keys that hold many rows.
+
+    The rows of a key are spread over ``salts`` parts and the dimension is repeated as often, so a
+    key with a third of all rows is that many tasks, whatever the sizes.
+    """
+    dim = lookup.table.select(F.col(lookup.dim_key).alias("__key"), *columns)
+    dim = dim.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    own = F.pmod(F.xxhash64(*(F.col(c) for c in fact.columns)), F.lit(salts)).cast("int")
+    spread = fact.withColumn("__salt", own)
+    condition = (spread[lookup.fact_key] == dim["__key"]) & (spread["__salt"] == dim["__part"])
+    return spread.join(dim, condition, "left").drop("__key", "__part", "__salt")
+
+
 def star_join(fact: DataFrame, lookups: Iterable[Lookup], how: str = "left", check: bool = False) -> DataFrame:
     """Join dimensions to a fact, which is reached as ``fact.column``.
 
@@ -74,6 +99,7 @@ def aggregate_by_attributes(
     keep: Column | None = None,
     carry: Sequence[str] = (),
     how: str = "left",
+    grain_first: bool = True,
 ) -> DataFrame:
     """Aggregate a fact by attributes of the fact and its dimensions.
 
@@ -81,11 +107,13 @@ def aggregate_by_attributes(
     ``keep`` filters the joined rows and may use dimension columns and the fact columns in
     ``carry``.
 
-    While every dimension fits a broadcast, rows are joined in place and aggregated once. When one
-    does not, the fact is first aggregated at the grain of its foreign keys, so that a key holding
-    a third of the rows reaches the shuffled join as a single row.
+    The fact is first aggregated at the grain of its foreign keys, so that a key holding a third of
+    the rows reaches a shuffled join as a single row. A caller whose fact holds few rows per key
+    can pass ``grain_first=False``; then rows are joined and aggregated once. A dimension in which
+    a key repeats would multiply the fact, and is an error when the result is computed.
     """
-    if not lookups or all(fits_broadcast(lookup.table) for lookup in lookups):
+    lookups = [replace(lookup, table=unique_by(lookup.table, lookup.dim_key)) for lookup in lookups]
+    if not lookups or not grain_first:
         joined = star_join(fact, lookups, how)
         if keep is not None:
             joined = joined.filter(keep)

@@ -73,14 +73,14 @@ def predict_cash_flow(
     segment: str | None = None,
     by_category: bool = False,
     level: float = 0.95,
-    history_days: int = 90,
+    history_days: int | None = None,
 ) -> DataFrame:
     """Projected balance on each day of ``horizon`` with a prediction interval, per segment.
 
-    The trend is fitted to the last ``history_days`` days up to ``as_of``. A segment is a cash
-    category, or everything.
+    The trend is fitted to all days up to ``as_of``, or to the last ``history_days`` of them where
+    the caller names a window. A segment is a cash category, or everything.
     """
-    first_day = as_of - dt.timedelta(days=history_days - 1)
+    first_day = as_of - dt.timedelta(days=history_days - 1) if history_days else as_of
     series = balance_series(ledger.filter(f"ledger_date <= {date_sql(as_of)}"), by_category or segment is not None)
     if segment is not None:
         series = series.filter(F.col("segment") == segment)
@@ -88,7 +88,7 @@ def predict_cash_flow(
     z = NormalDist().inv_cdf(0.5 + level / 2)
     off_centre = "(x - CAST(sx AS DOUBLE) / n)"
     return (
-        trend(series.filter(f"day >= {date_sql(first_day)}"), first_day)
+        trend(series.filter(f"day >= {date_sql(first_day)}") if history_days else series, first_day)
         .selectExpr("*", f"inline(array({points}))")
         .selectExpr(
             "segment",
@@ -106,7 +106,7 @@ def predict_cash_flow(
     )
 
 
-def rolling_weeks(ledger: DataFrame, as_of: dt.date, weeks: int = 13, history_days: int = 90) -> DataFrame:
+def rolling_weeks(ledger: DataFrame, as_of: dt.date, weeks: int = 13, history_days: int | None = None) -> DataFrame:
     """The last ``weeks`` weeks as they were and the next ones as forecast, one row a week."""
     saturday = as_of + dt.timedelta(days=(5 - as_of.weekday()) % 7)
     ahead = [saturday + dt.timedelta(weeks=n) for n in range(1, weeks + 1)]

@@ -48,18 +48,21 @@ def cash_forecast_view(forecast: DataFrame, quarter_end: dt.date) -> MetricView:
                 label="Quarter-End Cash vs Plan", synonyms=("quarter end shortfall", "gap to plan"), format=_USD,
             ),
         ),
-        comment="Plan and projection by forecast run, week and driver.",
+        latest_by="forecast_week_ending",
+        latest=quarter_end,
+        comment="Plan and projection by forecast run, week and driver; a level, by default that of quarter-end.",
     )
 
 
-def ar_view(invoices: DataFrame, customers: DataFrame, as_of: dt.date) -> MetricView:
+def ar_view(invoices: DataFrame, customers: DataFrame, as_of: dt.date, channel: str = "fact.channel") -> MetricView:
+    """``channel`` may be ``customer.channel``, for invoices that do not hold it; they are then summed by customer first."""
     overdue = f"fact.status IN ('OPEN', 'DISPUTED', 'SLIPPED') AND fact.due_date < DATE'{as_of}'"
     return MetricView(
         "mv_ar",
         invoices,
         lookups=(Lookup("customer", customers, "customer_id", "customer_id"),),
         fields=(
-            Field("channel", "fact.channel", "Channel", ("ar channel",)),
+            Field("channel", channel, "Channel", ("ar channel",)),
             Field("status", "fact.status", "Invoice Status"),
             Field("dispute_reason", "fact.dispute_reason", "Dispute Reason"),
             Field("flipped_last_2wk", "fact.flipped_last_2wk", "Flipped To Disputed Last 2 Weeks"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cashtide.functions.amounts import TOTAL
 from cashtide.operators.star import Lookup, Partial, aggregate_by_attributes, at_latest, star_join
 
+_ANY = object()
 Condition = Any | Sequence[Any] | Callable[[Column], Column]
 
 
@@ -80,8 +81,9 @@ class Composed:
 class MetricView:
     """One fact with its lookups, fields and measures.
 
-    ``latest_by`` names the time field of a snapshot: a query that neither groups nor filters by it
-    is answered for the newest snapshot only, since levels do not add up over time.
+    ``latest_by`` names the time field of a snapshot: a query that does not group by it is answered
+    for one snapshot only, the newest that meets its filters, since levels do not add up over
+    time. Without a filter on it that is ``latest``, where given.
     """
 
     name: str
@@ -192,8 +194,15 @@ def metric_query(
     where = dict(where or {})
     used = [view.field(name) for name in (*dims, *where)]
     fact = view.source if view.filter is None else view.source.filter(view.filter)
-    if view.latest_by is not None and view.latest_by not in {f.name for f in used}:
-        fact = at_latest(fact, view.field(view.latest_by).source.split(".", 1)[1], view.latest)
+    if view.latest_by is not None and view.latest_by not in dims:
+        time = view.field(view.latest_by).source.split(".", 1)[1]
+        wanted = where.pop(view.latest_by, _ANY)
+        if wanted is _ANY:
+            fact = at_latest(fact, time, view.latest)
+        elif isinstance(wanted, dt.date):
+            fact = fact.filter(F.col(time) == F.lit(wanted))
+        else:
+            fact = at_latest(fact.filter(_condition(F.col(time), wanted)), time)
     # Conditions on the fact go first; the others need their dimension.
     own = [f for f in used if f.lookup == "fact"]
     outer: Column | None = None

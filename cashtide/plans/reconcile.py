@@ -44,11 +44,14 @@ def reconcile(
     latest: dt.date | None = None,
     targets: Mapping[str, Decimal] | None = None,
     tolerance: Decimal | int = 0,
+    apart: DataFrame | None = None,
 ) -> DataFrame:
     """``(check, actual, expected, diff, ok)``: facts against the forecast, or against given targets.
 
     ``receivables`` and ``payables`` hold what the forecast counts. Each fact is read once. Without
-    a ledger the plan needs a target.
+    a ledger the plan needs a target. ``apart`` is one row of sums taken without the forecast:
+    ``disputed_apart``, ``slipped_apart``, and ``prior_gap``, the drivers' total at the prior run;
+    without it the checks that need them compare the forecast with targets, or with NULL.
     """
     impact = "cash_impact_vs_plan_amt"
     facts = [
@@ -71,17 +74,22 @@ def reconcile(
                 F.expr(f"CAST(max_by(running_cash_balance, ledger_date) AS {TOTAL}) AS balance")
             )
         )
+    names = ("disputed_apart", "slipped_apart", "prior_gap")
+    if apart is not None:
+        facts.append(apart.selectExpr(*(f"CAST({n} AS {TOTAL}) AS {n}" for n in names)))
+    disputed, slipped, before = names if apart is not None else [f"CAST(NULL AS {TOTAL})"] * 3
+    gap = "(aged + disputed + slipped + accelerated)"
     checks = {
         "aged_inventory": ("aged", "-INVENTORY_TRAP"),
-        "disputed_receivables": ("disputed", "-COLLECTIONS_SLOWDOWN - slipped"),
-        "slipped_receivables": ("slipped", "-COLLECTIONS_SLOWDOWN - disputed"),
+        "disputed_receivables": ("disputed", disputed),
+        "slipped_receivables": ("slipped", slipped),
         "collections_total": ("disputed + slipped", "-COLLECTIONS_SLOWDOWN"),
         "accelerated_payments": ("accelerated", "-AP_ACCELERATION"),
-        "drivers_total": ("aged + disputed + slipped + accelerated", "plan - projected"),
+        "drivers_total": (gap, "plan - projected"),
         "plan_at_quarter_end": ("plan", balance),
-        "projected_at_quarter_end": ("projected", "plan - (aged + disputed + slipped + accelerated)"),
-        "prior_projected_at_quarter_end": ("prior_projected", "projected - moved"),
-        "deterioration": ("prior_projected - projected", "-moved"),
+        "projected_at_quarter_end": ("projected", f"plan - {gap}"),
+        "prior_projected_at_quarter_end": ("prior_projected", f"plan - {before}"),
+        "deterioration": ("-moved", f"{gap} - {before}"),
     }
     unknown = set(targets or {}) - set(checks)
     if unknown:

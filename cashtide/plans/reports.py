@@ -20,7 +20,7 @@ from cashtide.functions.amounts import (
 )
 from cashtide.functions.dates import date_sql, open_as_of, trailing, week_ending
 from cashtide.operators.projection import BASELINE, DRIVERS
-from cashtide.operators.star import Lookup, aggregate_by_attributes, at_latest, sums
+from cashtide.operators.star import Lookup, Partial, aggregate_by_attributes, at_latest, sums
 
 
 def waterfall(forecast: DataFrame, run: dt.date, quarter_end: dt.date) -> DataFrame:
@@ -50,14 +50,17 @@ def waterfall(forecast: DataFrame, run: dt.date, quarter_end: dt.date) -> DataFr
     )
 
 
-def ar_aging(receivables: DataFrame, as_of: dt.date) -> DataFrame:
-    """Open invoices by channel and days past due."""
+def ar_aging(receivables: DataFrame, as_of: dt.date, customers: DataFrame | None = None) -> DataFrame:
+    """Open invoices by channel and days past due; with ``customers`` summed by customer before the lookup."""
     past_due = band_sql(f"datediff({date_sql(as_of)}, due_date)", PAST_DUE_BOUNDS, PAST_DUE_LABELS)
-    return (
-        receivables.filter(open_as_of("invoice_date", "paid_date", as_of))
-        .groupBy("channel", F.expr(f"{past_due} AS past_due_bucket"))
-        .agg(F.expr("count(1) AS invoices"), total("amount").alias("open_amount"))
+    lookups = [Lookup("customer", customers, "customer_id", "customer_id")] if customers is not None else []
+    grouped = aggregate_by_attributes(
+        receivables.filter(open_as_of("invoice_date", "paid_date", as_of)).withColumn("past_due_bucket", F.expr(past_due)),
+        lookups,
+        [("channel", "customer.channel" if lookups else "fact.channel"), ("past_due_bucket", "fact.past_due_bucket")],
+        [*sums(open_amount="amount"), Partial("invoices", F.expr("count(1)"), "sum")],
     )
+    return grouped.selectExpr("channel", "past_due_bucket", "invoices", f"CAST(open_amount AS {TOTAL}) AS open_amount")
 
 
 def ap_schedule(payables: DataFrame, as_of: dt.date) -> DataFrame:

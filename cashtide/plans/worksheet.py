@@ -50,18 +50,22 @@ def po_by_status(purchase_orders: DataFrame) -> DataFrame:
     return grouped.orderBy(F.desc("committed_cost"))
 
 
-def collections_by_channel(receivables: DataFrame) -> DataFrame:
-    """Cash at risk, invoices and recent flips, by channel."""
-    grouped = (
-        receivables.filter("cash_impact_vs_plan_amt > 0")
-        .groupBy("channel")
-        .agg(
-            total("cash_impact_vs_plan_amt").alias("collections_at_risk"),
-            F.expr("count(1) AS invoices"),
-            F.expr("count_if(flipped_last_2wk) AS flipped_last_2wk"),
-        )
+def collections_by_channel(receivables: DataFrame, customers: DataFrame | None = None) -> DataFrame:
+    """Cash at risk, invoices and recent flips, by channel; with ``customers`` summed by customer before the lookup."""
+    lookups = [Lookup("customer", customers, "customer_id", "customer_id")] if customers is not None else []
+    grouped = aggregate_by_attributes(
+        receivables.filter("cash_impact_vs_plan_amt > 0"),
+        lookups,
+        [("channel", "customer.channel" if lookups else "fact.channel")],
+        [
+            *sums(collections_at_risk="cash_impact_vs_plan_amt"),
+            Partial("invoices", F.expr("count(1)"), "sum"),
+            Partial("flipped_last_2wk", F.expr("count_if(fact.flipped_last_2wk)"), "sum"),
+        ],
     )
-    return grouped.orderBy(F.desc("collections_at_risk"))
+    return grouped.selectExpr(
+        "channel", f"CAST(collections_at_risk AS {TOTAL}) AS collections_at_risk", "invoices", "flipped_last_2wk"
+    ).orderBy(F.desc("collections_at_risk"))
 
 
 def disputes(receivables: DataFrame, customers: DataFrame) -> DataFrame:

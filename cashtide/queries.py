@@ -13,16 +13,16 @@ from cashtide.functions.amounts import TOTAL, padded_id, swap_prefix, total
 from cashtide.functions.dates import fiscal_quarter, trailing, week_ending
 from cashtide.operators.allocate import allocate_exact, even_split, split_by_share
 from cashtide.operators.ordered import daily_change, daily_fill, fill_nulls, ordinal_fraction, position, running_total
-from cashtide.operators.star import Lookup, aggregate_by_attributes, sums
+from cashtide.operators.star import Lookup, aggregate_by_attributes, side_by_side, sums
 from cashtide.plans import actions, evidence, kpis, reports, worksheet
 from cashtide.plans.alerts import cash_alert
 from cashtide.plans.briefing import briefing
 from cashtide.plans.forecast import balance_series, predict_cash_flow, rolling_weeks
 from cashtide.plans.metric_views import ap_view, ar_view, cash_forecast_view, inventory_view, sales_view
-from cashtide.plans.metrics import metric_query
+from cashtide.plans.metrics import MetricView, metric_query
 from cashtide.plans.reconcile import quarter_end_totals, reconcile, same_result
 from cashtide.schemas import TRADE_SCHEMAS
-from cashtide.session import configure, stage
+from cashtide.session import stage
 from cashtide.sources.model import CASH_IN_SHARES, CASH_OUT_SHARES, Model
 from cashtide.sources.tables import date_ranges, read_tables, stacked, table_counts
 
@@ -40,7 +40,6 @@ def query(build: Callable[[Model], DataFrame]) -> Callable[[Model], DataFrame]:
     """Register a builder under its name."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        configure(spark)
         return build(Model(read_tables(spark, sf_dir, TRADE_SCHEMAS, TRADE_SCHEMAS), AS_OF, QUARTER_END))
 
     QUERIES[build.__name__] = run
@@ -58,6 +57,10 @@ def _recent_payments(m: Model) -> DataFrame:
     return m.payables(m.as_of - dt.timedelta(days=90), m.as_of)
 
 
+def _owed_view(m: Model) -> MetricView:
+    return ar_view(m.receivables(False), m.customers(), m.as_of, channel="customer.channel")
+
+
 def _stock(m: Model) -> DataFrame:
     """The newest snapshot only; its date is known, so no other week is computed."""
     return m.inventory([m.as_of])
@@ -88,7 +91,7 @@ def _runs(m: Model, count: int) -> list[dt.date]:
 
 @query
 def q_table_counts(m: Model) -> DataFrame:
-    return table_counts(m.tables())
+    return table_counts(m.counted())
 
 
 @query
@@ -160,7 +163,7 @@ def q_po_by_status(m: Model) -> DataFrame:
 
 @query
 def q_collections_by_channel(m: Model) -> DataFrame:
-    return worksheet.collections_by_channel(m.receivables())
+    return worksheet.collections_by_channel(m.receivables(False), m.customers())
 
 
 @query
@@ -209,6 +212,67 @@ def q_mv_inventory_weeks(m: Model) -> DataFrame:
     return metric_query(view, ["week_ending_date", "aging_bucket"], ["on_hand_units", "on_hand_cost"])
 
 
+@query
+def q_mv_inventory_two_weeks(m: Model) -> DataFrame:
+    """A filter that two weeks meet: a level is still that of one week, the newest of them."""
+    view = inventory_view(m.inventory(), m.products(), m.stores(), m.as_of)
+    weeks = [m.as_of - dt.timedelta(weeks=2), m.as_of - dt.timedelta(weeks=1)]
+    return metric_query(view, ["region"], ["on_hand_units", "on_hand_cost"], {"week_ending_date": weeks})
+
+
+@query
+def q_mv_inventory_goods(m: Model) -> DataFrame:
+    view = inventory_view(m.inventory([m.as_of]), m.products(), m.stores(), m.as_of)
+    return metric_query(view, ["subcategory", "season", "location_type", "store_name"], ["on_hand_units", "on_hand_cost"])
+
+
+@query
+def q_mv_sales_goods(m: Model) -> DataFrame:
+    view = sales_view(m.sales("date_key", "product_id", "store_id", "net_sales_amt", "units_sold"), m.products(), m.stores())
+    return metric_query(view, ["category", "season"], ["net_sales", "units_sold"])
+
+
+@query
+def q_mv_cash_weeks(m: Model) -> DataFrame:
+    view = cash_forecast_view(m.forecast(), m.quarter_end)
+    return metric_query(view, ["forecast_week_ending"], ["projected_cash", "cash_variance"], {"forecast_run_date": m.as_of})
+
+
+@query
+def q_mv_ar_status(m: Model) -> DataFrame:
+    dims = ["status", "dispute_reason", "flipped_last_2wk", "segment"]
+    return metric_query(_owed_view(m), dims, ["total_ar", "disputed_ar", "invoice_count"])
+
+
+@query
+def q_mv_ar_customers(m: Model) -> DataFrame:
+    """Open invoices by customer: filters on three dates before the sums."""
+    where = {
+        "due_date": lambda c: c <= F.lit(m.as_of),
+        "invoice_date": lambda c: trailing(c, m.as_of, 365),
+        "expected_cash_date": lambda c: c <= F.lit(m.quarter_end),
+        "status": ["OPEN", "SLIPPED"],
+    }
+    return metric_query(_owed_view(m), ["customer_name"], ["total_ar", "invoice_count"], where)
+
+
+@query
+def q_mv_ar_dates(m: Model) -> DataFrame:
+    return metric_query(_owed_view(m), ["invoice_date", "due_date", "expected_cash_date"], ["total_ar"])
+
+
+@query
+def q_mv_ap_suppliers(m: Model) -> DataFrame:
+    view = ap_view(m.payables(), m.suppliers())
+    return metric_query(view, ["supplier_name", "supplier_category"], ["total_ap_paid", "ap_paid_vs_plan"])
+
+
+@query
+def q_mv_ap_dates(m: Model) -> DataFrame:
+    view = ap_view(m.payables(), m.suppliers())
+    return metric_query(view, ["scheduled_pay_date", "actual_pay_date"], ["total_ap_paid"])
+
+
 @query
 def q_mv_aged(m: Model) -> DataFrame:
     view = inventory_view(m.inventory(), m.products(), m.stores(), m.as_of)
@@ -220,13 +284,13 @@ def q_mv_aged(m: Model) -> DataFrame:
 
 @query
 def q_mv_ar(m: Model) -> DataFrame:
-    view = ar_view(m.receivables(), m.customers(), m.as_of)
+    view = _owed_view(m)
     return metric_query(view, ["channel", "customer_region"], [x.name for x in view.measures])
 
 
 @query
 def q_mv_ar_channel(m: Model) -> DataFrame:
-    view = ar_view(m.receivables(), m.customers(), m.as_of)
+    view = _owed_view(m)
     return metric_query(view, ["channel"], ["collections_at_risk"]).orderBy(F.desc("collections_at_risk"))
 
 
@@ -277,10 +341,14 @@ def q_units_8wk(m: Model) -> DataFrame:
 @query
 def q_allocate_exact(m: Model) -> DataFrame:
     """Each channel's cash at risk over its customers, in proportion to what they were invoiced."""
-    owed = m.receivables()
-    weights = owed.groupBy("channel", "customer_id").agg(total("amount").alias("invoiced"))
-    risk = owed.groupBy("channel").agg(total("cash_impact_vs_plan_amt").alias("at_risk"))
-    return allocate_exact(weights, risk, "at_risk", "invoiced", ["channel"], "customer_id")
+    sums_of = m.receivables(False).groupBy("customer_id").agg(
+        total("amount").alias("invoiced"), total("cash_impact_vs_plan_amt").alias("risk")
+    )
+    channels = m.customers().select("customer_id", "channel")
+    # One row per customer feeds every step.
+    owed = stage(sums_of.join(channels, "customer_id", "left"), "owed")
+    risk = owed.groupBy("channel").agg(total("risk").alias("at_risk"))
+    return allocate_exact(owed.select("channel", "customer_id", "invoiced"), risk, "at_risk", "invoiced", ["channel"], "customer_id")
 
 
 @query
@@ -304,6 +372,15 @@ def q_running_total(m: Model) -> DataFrame:
     )
 
 
+@query
+def q_running_total_nulls(m: Model) -> DataFrame:
+    """Disputed so far per channel, at every invoice: NULL until the first dispute, and most invoices add nothing."""
+    owed = m.receivables().selectExpr("channel", "invoice_id", "if(dispute_flag, amount, NULL) AS amount")
+    return running_total(owed, "amount", ["channel"], "invoice_id", "disputed_so_far", 7).withColumn(
+        "disputed_so_far", F.col("disputed_so_far").cast(TOTAL)
+    )
+
+
 @query
 def q_position(m: Model) -> DataFrame:
     """Every invoice's number within its channel."""
@@ -382,7 +459,7 @@ def q_dso_target_ar(m: Model) -> DataFrame:
 
 @query
 def q_ar_aging(m: Model) -> DataFrame:
-    return reports.ar_aging(m.receivables(), m.as_of)
+    return reports.ar_aging(m.receivables(False), m.as_of, m.customers())
 
 
 @query
@@ -466,14 +543,38 @@ def q_evidence_summary(m: Model) -> DataFrame:
     return evidence.evidence_summary(evidence.extract_evidence(m.source["documents"], rules))
 
 
+@query
+def q_evidence_conversations(m: Model) -> DataFrame:
+    """Findings in messages by rule and value."""
+    rules, key = (*evidence.FINANCE_RULES, *evidence.CONTACT_RULES), ("conv_id", "turn")
+    return evidence.evidence_summary(evidence.extract_evidence(m.source["conversations"], rules, key), key)
+
+
+def _apart(m: Model) -> DataFrame:
+    """What the checks compare with, from the trade tables and the facts at the prior run, not from a forecast."""
+    late = f"o_orderstatus = 'P' AND o_orderdate < DATE'{m.as_of + dt.timedelta(days=1)}'"
+    late += f" AND o_orderdate >= DATE'{m.quarter_end - dt.timedelta(days=104)}'"
+    trade = m.source["orders"].filter(late).agg(
+        total("CAST(o_totalprice AS DECIMAL(12,2))", "o_orderkey % 3 <> 0").alias("disputed_apart"),
+        total("CAST(o_totalprice AS DECIMAL(12,2))", "o_orderkey % 3 = 0").alias("slipped_apart"),
+    )
+    trade = trade.selectExpr("coalesce(disputed_apart, 0) AS disputed_apart", "coalesce(slipped_apart, 0) AS slipped_apart")
+    run = m.prior_run
+    stock = m.inventory([run]).filter("is_aged").agg(total("on_hand_cost").alias("v"))
+    owed = m.receivables(False).filter(f"invoice_date <= DATE'{run}'").agg(total("cash_impact_vs_plan_amt").alias("v"))
+    paid = m.payables(until=run).agg(total("cash_impact_vs_plan_amt", "payment_category = 'ACCELERATED'").alias("v"))
+    gap = stacked([stock, owed, paid]).agg(F.expr("coalesce(sum(v), 0) AS prior_gap"))
+    return side_by_side([trade, gap])
+
+
 @query
 def q_reconcile(m: Model) -> DataFrame:
     """Facts against the forecast, and each metric view against its base-table query."""
     forecast, stock = stage(m.forecast(), "forecast"), stage(_stock(m), "stock")
-    owed, paid = m.receivables(), m.payables()
-    counted_owed = owed.filter(F.col("invoice_date") <= F.lit(m.as_of))
+    owed, paid = m.receivables(False), m.payables()
+    done = m.payables(until=m.as_of)
     checks = reconcile(
-        stock, counted_owed, _recent_payments(m), m.ledger(), forecast, m.as_of, m.prior_run, m.quarter_end, m.as_of
+        stock, owed, done, m.ledger(), forecast, m.as_of, m.prior_run, m.quarter_end, m.as_of, apart=_apart(m)
     )
     cash = cash_forecast_view(forecast, m.quarter_end)
     held = inventory_view(stock, m.products(), m.stores(), m.as_of)
@@ -492,8 +593,8 @@ def q_reconcile(m: Model) -> DataFrame:
         ),
         same_result(
             "ar_view",
-            metric_query(ar_view(owed, m.customers(), m.as_of), ["channel"], ["collections_at_risk"]),
-            worksheet.collections_by_channel(owed), ["channel"], "collections_at_risk",
+            metric_query(_owed_view(m), ["channel"], ["collections_at_risk"]),
+            worksheet.collections_by_channel(owed, m.customers()), ["channel"], "collections_at_risk",
         ),
         same_result(
             "ap_view",
@@ -502,7 +603,23 @@ def q_reconcile(m: Model) -> DataFrame:
             worksheet.ap_components(paid), ["payment_category"], "cash_out_vs_plan",
         ),
     ]
-    return stacked([checks, *pairs])
+    # Each view's total is its driver's.
+    now = {"forecast_run_date": m.as_of, "driver": "INVENTORY_TRAP"}
+    totals = [
+        (metric_query(held, [], ["aged_inventory_cost"]), "aged_inventory_cost", "INVENTORY_TRAP"),
+        (metric_query(_owed_view(m), [], ["collections_at_risk"]), "collections_at_risk", "COLLECTIONS_SLOWDOWN"),
+        (metric_query(ap_view(paid, m.suppliers()), [], ["ap_paid_vs_plan"], {"actual_pay_date": lambda c: c <= F.lit(m.as_of)}),
+         "ap_paid_vs_plan", "AP_ACCELERATION"),
+    ]
+    ties = [
+        same_result(
+            f"{driver.lower()}_total", found.selectExpr(f"'{driver}' AS driver", f"-{value} AS v"),
+            metric_query(cash, ["driver"], ["cash_vs_plan_variance"], now | {"driver": driver})
+            .withColumnRenamed("cash_vs_plan_variance", "v"), ["driver"], "v",
+        )
+        for found, value, driver in totals
+    ]
+    return stacked([checks, *pairs, *ties])
 
 
 @query

@@ -100,12 +100,12 @@ _LAYOUT = {
         product_id string | product held
         store_id string | holding location
         on_hand_units int | units held
-        on_hand_cost decimal(12,2) | units at cost
+        on_hand_cost decimal(28,2) | units at cost
         last_receipt_date date | newest receipt
         days_on_hand int | days since the newest receipt
         aging_bucket string | 0-30, 31-60, 61-90 or 90+
         is_aged boolean | in the 90+ band
-        markdown_liability_amt decimal(12,2) | expected markdown on this stock
+        markdown_liability_amt decimal(28,2) | expected markdown on this stock
         """,
     ),
     "fact_purchase_orders": (
@@ -168,10 +168,10 @@ _LAYOUT = {
         """
         ledger_date date | day
         cash_category string | kind of flow
-        cash_in_amt decimal(14,2) | in
-        cash_out_amt decimal(14,2) | out
-        net_cash_amt decimal(14,2) | in less out
-        running_cash_balance decimal(14,2) | balance at the end of the day, the same on each of its rows
+        cash_in_amt decimal(28,2) | in
+        cash_out_amt decimal(28,2) | out
+        net_cash_amt decimal(28,2) | in less out
+        running_cash_balance decimal(28,2) | balance at the end of the day, the same on each of its rows
         """,
     ),
     "fact_cash_forecast": (
@@ -180,9 +180,9 @@ _LAYOUT = {
         forecast_run_date date | day the forecast was made
         forecast_week_ending date | day forecast
         driver string | BASELINE, INVENTORY_TRAP, COLLECTIONS_SLOWDOWN or AP_ACCELERATION
-        planned_cash_amt decimal(14,2) | plan
-        projected_cash_amt decimal(14,2) | projection
-        variance_amt decimal(14,2) | projection less plan
+        planned_cash_amt decimal(28,2) | plan
+        projected_cash_amt decimal(28,2) | projection
+        variance_amt decimal(28,2) | projection less plan
         """,
     ),
 }
@@ -200,6 +200,7 @@ _TRADE = {
     "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
     "l_shipdate timestamp_ntz",
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
 
 FACT_DATES = {
@@ -221,7 +222,7 @@ _TYPES = {
     "bigint": T.LongType(),
     "double": T.DoubleType(),
     "timestamp_ntz": T.TimestampNTZType(),
-    **{f"decimal({p},2)": T.DecimalType(p, 2) for p in (5, 10, 12, 14)},
+    **{f"decimal({p},2)": T.DecimalType(p, 2) for p in (5, 10, 12, 28)},
 }
 
 

@@ -1,8 +1,7 @@
-"""Session settings, the shared folder, and Catalyst's size estimates."""
+"""Session settings and the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,26 +17,15 @@ _SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Turn on run-time replanning, which splits join partitions that hold a hot key."""
+    """Turn on run-time replanning, which splits join partitions that hold a hot key. No query calls it by itself."""
     for key, value in _SETTINGS.items():
         spark.conf.set(key, value)
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Only a local master may go without one: then a new temporary folder is taken and kept for
-    the rest of the session.
-    """
-    context = spark.sparkContext
-    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="cashtide-"))
-    return context.getCheckpointDir()
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else a folder in the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/staged"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -46,20 +34,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     Used where a result must not change between two reads (positions after a range shuffle) or
     where one small result feeds many branches. The copy outlives a lost executor.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cashtide/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/cashtide/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether Catalyst's own size estimate puts ``df`` under the automatic broadcast limit.
-
-    The answer only picks between two exact plans, so an unknown size counts as too big.
-    """
-    try:
-        limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    except AttributeError:
-        return False
-    return int(str(size)) <= limit
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -17,7 +17,7 @@ from cashtide.functions.dates import calendar, date_sql, day_sql, saturdays, tra
 from cashtide.operators.ordered import daily_balance
 from cashtide.operators.projection import BASELINE, forecast_rows
 from cashtide.operators.snapshot import inventory_snapshot, valued_snapshot
-from cashtide.operators.star import Lookup, aggregate_by_attributes, sums
+from cashtide.operators.star import Lookup, aggregate_by_attributes, salted_lookup, sums
 from cashtide.sources.tables import stacked
 
 # Shares of a day's cash in and out by category.
@@ -31,11 +31,10 @@ CASH_OUT_SHARES = {
     "CAPEX": "0.04",
 }
 
-# How long a receipt counts as stock, how many snapshots are kept, and how far back payments count.
-STOCK_DAYS = 160
+# How many weekly snapshots are kept.
 SNAPSHOT_WEEKS = 12
-PAYMENT_DAYS = 90
-LONGEST_TERMS = 60
+# Days to pay, by the remainder of a supplier's key.
+_TERMS = (30, 45, 60)
 
 _GROSS = f"CAST(l_extendedprice AS {MONEY})"
 _SHIPPED = day_sql("l_shipdate")
@@ -70,6 +69,10 @@ class Model:
             "p_name AS product_name",
             "p_type AS department",
             "p_brand AS category",
+            "concat('size ', p_size) AS subcategory",
+            # Large goods are the seasonal ones; core goods have no season.
+            "CASE WHEN p_size > 25 THEN element_at(array('SPRING', 'SUMMER', 'FALL', 'WINTER'), p_size % 4 + 1) END AS season",
+            "p_size > 25 AS is_seasonal",
             f"{price} AS unit_price",
             f"CAST(round({price} * 0.50BD, 2) AS DECIMAL(10,2)) AS unit_cost",
         )
@@ -101,6 +104,7 @@ class Model:
         return placed.selectExpr(
             "s_suppkey AS supplier_id",
             "s_name AS supplier_name",
+            "r_name AS category",
             "n_name AS country",
             f"{_terms('s_suppkey')} AS default_terms_days",
         )
@@ -152,7 +156,9 @@ class Model:
         )
 
     def receivables(self, with_channel: bool = True) -> DataFrame:
-        invoices = self.source["orders"].selectExpr(
+        """Invoices issued up to the as-of day. The channel is looked up row by row, in salted parts."""
+        issued = self.source["orders"].filter(f"{_ORDERED} <= {date_sql(self.as_of)}")
+        invoices = issued.selectExpr(
             "o_orderkey AS invoice_id",
             "o_custkey AS customer_id",
             f"{_ORDERED} AS invoice_date",
@@ -178,7 +184,7 @@ class Model:
         if not with_channel:
             return invoices
         channels = self.source["customer"].selectExpr("c_custkey AS customer_id", "c_mktsegment AS channel")
-        return invoices.join(channels, "customer_id", "left")
+        return salted_lookup(invoices, Lookup("customer", channels, "customer_id", "customer_id"), ["channel"])
 
     def payables(self, after: dt.date | None = None, until: dt.date | None = None) -> DataFrame:
         """Supplier payments; paid early: discount lost, surcharge and rushed freight are the extra cash out.
@@ -188,7 +194,7 @@ class Model:
         """
         lines = self.source["lineitem"]
         if after is not None:
-            lines = lines.filter(f"{_SHIPPED} > {date_sql(after - dt.timedelta(days=LONGEST_TERMS))}")
+            lines = lines.filter(f"{_SHIPPED} > {date_sql(after - dt.timedelta(days=max(_TERMS)))}")
         if until is not None:
             lines = lines.filter(f"{_SHIPPED} <= {date_sql(until)}")
         paid = self._payments(lines)
@@ -245,8 +251,8 @@ class Model:
     def snapshot_weeks(self) -> list[dt.date]:
         return saturdays(self.as_of - dt.timedelta(weeks=SNAPSHOT_WEEKS) + dt.timedelta(days=1), self.as_of)
 
-    def inventory(self, weeks: Sequence[dt.date] | None = None) -> DataFrame:
-        """Stock per week, product and place, from unreturned receipts; costs join after the sums."""
+    def inventory(self, weeks: Sequence[dt.date] | None = None, valued: bool = True) -> DataFrame:
+        """Stock per week, product and place: unreturned receipts less sales to date; costs join after the sums."""
         places = self.source["supplier"].selectExpr("s_suppkey", "s_nationkey AS store_id")
         receipts = (
             self.source["lineitem"]
@@ -261,14 +267,13 @@ class Model:
         snapshot = inventory_snapshot(
             receipts,
             weeks or self.snapshot_weeks(),
-            STOCK_DAYS,
             [Lookup("place", places, "l_suppkey", "s_suppkey")],
             [("product_id", "fact.product_id"), ("store_id", "place.store_id")],
+            self.sales("date_key", "product_id", "store_id", "units_sold").withColumnRenamed("units_sold", "units"),
         )
-        return valued_snapshot(snapshot, self.products())
+        return valued_snapshot(snapshot, self.products()) if valued else snapshot
 
-    def ledger(self) -> DataFrame:
-        """Cash by day and category; each flow is a sum per day before the flows meet."""
+    def _flows(self) -> DataFrame:
         paid = self.receivables(False).filter("paid_date IS NOT NULL")
         flows = stacked(
             [
@@ -277,7 +282,11 @@ class Model:
                 _flow(self.payables(), "actual_pay_date", "SUPPLIER_PAYMENTS", None, "invoice_amt"),
             ]
         ).selectExpr("*", f"CAST(cash_in_amt - cash_out_amt AS {TOTAL}) AS net_cash_amt")
-        return daily_balance(flows, "ledger_date", "net_cash_amt", name="running_cash_balance")
+        return flows
+
+    def ledger(self) -> DataFrame:
+        """Cash by day and category; each flow is a sum per day before the flows meet."""
+        return daily_balance(self._flows(), "ledger_date", "net_cash_amt", name="running_cash_balance")
 
     def cash_balance(self, end: dt.date) -> DataFrame:
         """``(v)``: net cash up to a day, one row per kind of flow, without its history."""
@@ -293,9 +302,8 @@ class Model:
         The baseline is one balance, at the as-of day, for every run.
         """
         runs = sorted(runs or [self.prior_run, self.as_of])
-        reach = PAYMENT_DAYS + (runs[-1] - runs[0]).days
         owed = self.receivables(False).filter(f"cash_impact_vs_plan_amt > 0 AND invoice_date <= {date_sql(runs[-1])}")
-        paid = self.payables(runs[-1] - dt.timedelta(days=reach), runs[-1]).filter("days_early > 0")
+        paid = self.payables(until=runs[-1]).filter("days_early > 0")
         trap = (
             self.inventory(runs)
             .filter("is_aged")
@@ -303,9 +311,7 @@ class Model:
             .agg(F.expr("'INVENTORY_TRAP' AS driver"), total("on_hand_cost").alias("v"))
         )
         slow = _per_run(owed, runs, "COLLECTIONS_SLOWDOWN", lambda run: f"invoice_date <= {date_sql(run)}")
-        early = _per_run(
-            paid, runs, "AP_ACCELERATION", lambda run: trailing_sql("actual_pay_date", run, PAYMENT_DAYS)
-        )
+        early = _per_run(paid, runs, "AP_ACCELERATION", lambda run: f"actual_pay_date <= {date_sql(run)}")
         dates = ", ".join(map(date_sql, runs))
         base = self.cash_balance(self.as_of).agg(F.expr("sum(v) AS v")).selectExpr(
             f"explode(array({dates})) AS forecast_run_date", "v"
@@ -328,6 +334,24 @@ class Model:
     def forecast(self, runs: Sequence[dt.date] | None = None) -> DataFrame:
         return forecast_rows(self.forecast_amounts(runs), self.quarter_end, self.quarter_end)
 
+    def counted(self) -> dict[str, DataFrame]:
+        """Frames with as many rows as ``tables``, without the lookups and values that only add columns."""
+        lines = self.sales("date_key")
+        return {
+            "dim_date": self.dates(),
+            "dim_product": self.source["part"],
+            "dim_store": self.source["nation"],
+            "dim_customer": self.source["customer"],
+            "dim_supplier": self.source["supplier"],
+            "fact_sales": lines,
+            "fact_inventory_snapshot": self.inventory(valued=False),
+            "fact_purchase_orders": lines,
+            "fact_ap_payments": self.source["lineitem"],
+            "fact_ar_invoices": self.receivables(False),
+            "fact_cash_ledger": self._flows(),
+            "fact_cash_forecast": self.forecast(),
+        }
+
     def tables(self) -> dict[str, DataFrame]:
         """All twelve, by their names."""
         return {
@@ -347,7 +371,7 @@ class Model:
 
 
 def _terms(supplier: str) -> str:
-    return f"CASE {supplier} % 3 WHEN 0 THEN 30 WHEN 1 THEN 45 ELSE 60 END"
+    return f"CASE {supplier} % 3 WHEN 0 THEN {_TERMS[0]} WHEN 1 THEN {_TERMS[1]} ELSE {_TERMS[2]} END"
 
 
 def _flow(df: DataFrame, date: str, category: str, cash_in: str | None, cash_out: str | None) -> DataFrame:

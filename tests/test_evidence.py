@@ -50,3 +50,18 @@ def test_summary(spark):
     assert sorted(got) == [
         ("reason", "pricing discrepancy", 1, 1), ("reason", "quality defect", 2, 2), ("reason", "short-ship", 2, 1),
     ]
+
+
+def test_whole_values_of_any_length_and_case(spark):
+    long = "1" * 5000
+    texts = [
+        (1, f"{long}% and net {long} days, mail {'a' * 80}@{'b' * 300}.example"),
+        (2, "planet 30, internet 24, NET 30, Net30, usd 5 and 3.50 EUR, 1,200.00eur"),
+        (3, "1,2,3,4," * 20_000 + "a@" * 20_000),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted((r.doc_id, r.rule, r.value) for r in extract_evidence(docs, (*FINANCE_RULES, *CONTACT_RULES)).collect())
+    assert got == sorted([
+        (1, "discount_pct", long), (1, "terms_days", long), (1, "email", f"{'a' * 80}@{'b' * 300}.example"),
+        (2, "terms_days", "30"), (2, "terms_days", "30"), (2, "amount", "usd 5"), (2, "amount", "3.50 EUR"), (2, "amount", "1,200.00eur"),
+    ])

@@ -162,6 +162,35 @@ def test_a_cent_off_is_seen(spark, forecast):
         reconcile(golden.inventory(spark), golden.receivables(spark), golden.payables(spark), None, forecast, golden.AS_OF, golden.PRIOR, golden.QUARTER_END, targets={"nonsense": Decimal(1)})
 
 
+def test_a_broken_fact_fails_its_checks(spark, forecast):
+    """Against sums taken apart from the forecast, each change of a fact is seen."""
+    apart = spark.sql("SELECT 0 AS disputed_apart, 0 AS slipped_apart, 0 AS prior_gap")
+
+    def failed(apart, targets=golden.TARGETS, **changed):
+        facts = {"inventory": golden.inventory(spark), "receivables": golden.receivables(spark), "payables": golden.payables(spark).filter("actual_pay_date <= DATE'2026-11-05'")}
+        found = reconcile(
+            *(changed.get(k, df) for k, df in facts.items()), None, forecast, golden.AS_OF, golden.PRIOR,
+            golden.QUARTER_END, targets=targets, apart=apart,
+        )
+        return {r.check for r in found.collect() if not r.ok}
+
+    assert failed(apart) == set()
+    own = {k: v for k, v in golden.TARGETS.items() if k == "plan_at_quarter_end"}
+    # With sums of nothing to compare with, what rests on them fails.
+    assert failed(apart, own) == {"disputed_receivables", "slipped_receivables", "prior_projected_at_quarter_end", "deterioration"}
+    right = spark.sql(
+        f"SELECT {golden.TARGETS['disputed_receivables']} AS disputed_apart, {golden.TARGETS['slipped_receivables']} AS slipped_apart, "
+        f"{golden.TARGETS['drivers_total'] - golden.TARGETS['deterioration']} AS prior_gap"
+    )
+    assert failed(right, own) == set()
+    none = golden.inventory(spark).filter("not is_aged")
+    assert {"aged_inventory", "drivers_total", "projected_at_quarter_end", "deterioration"} <= failed(right, own, inventory=none)
+    owed = golden.receivables(spark)
+    assert "disputed_receivables" in failed(right, own, receivables=owed.filter("status <> 'DISPUTED'"))
+    assert {"slipped_receivables", "collections_total"} <= failed(right, own, receivables=owed.filter("status <> 'SLIPPED'"))
+    assert "accelerated_payments" in failed(right, own, payables=golden.payables(spark).filter("days_early = 0"))
+
+
 def test_same_result(spark):
     one = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     other = spark.createDataFrame([("a", 1), ("b", 3), ("c", 4)], "k string, v int")

@@ -2,7 +2,8 @@ from decimal import Decimal
 
 import golden
 import pytest
-from conftest import rows
+from conftest import day, rows
+from pyspark.sql import functions as F
 
 from cashtide.operators.projection import forecast_rows
 from cashtide.plans.catalog import metric_views, register, worksheet
@@ -191,3 +192,22 @@ def test_worksheet_by_name(spark, tables):
         column = {"view_cash": 1, "view_ar": 1, "view_ap": 2}[view]
         assert dict((r[0], r[1]) for r in answers[view]) == dict((r[0], r[column]) for r in answers[base])
     assert answers["view_inventory"] == [r[:3] for r in answers["aged_inventory"]]
+
+
+def test_a_level_is_that_of_one_snapshot_under_any_filter(spark):
+    data = [("2026-10-17", "a", 1), ("2026-10-24", "a", 10), ("2026-10-24", "b", 20), ("2026-10-31", "a", 100)]
+    held = spark.createDataFrame([(day(d), k, v) for d, k, v in data], "week date, kind string, units int")
+    view = MetricView(
+        "held", held, (Field("week", "fact.week"), Field("kind", "fact.kind")), (Measure("units", "sum", "units", type="bigint"),),
+        latest_by="week",
+    )
+
+    def units(where=None, dims=()):
+        return sorted(tuple(r) for r in metric_query(view, list(dims), ["units"], where).collect())
+
+    assert units() == [(100,)]
+    assert units({"week": [day("2026-10-17"), day("2026-10-24")]}) == [(30,)]
+    assert units({"week": lambda c: c < F.lit(day("2026-10-31"))}) == [(30,)]
+    assert units({"week": day("2026-10-17")}) == [(1,)]
+    assert units({"kind": "a", "week": lambda c: c >= F.lit(day("2026-10-17"))}) == [(100,)]
+    assert units(None, ["week"]) == [(day("2026-10-17"), 1), (day("2026-10-24"), 30), (day("2026-10-31"), 100)]

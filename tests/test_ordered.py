@@ -118,3 +118,12 @@ def test_ordinal_fraction(spark):
         ("a", 5, 1.0),
         ("b", 2, 1.0),
     ]
+
+
+@pytest.mark.parametrize("slices", [1, 5, 10])
+def test_running_total_where_values_are_missing(spark, slices):
+    data = [("a", n, 5 if 3 <= n < 10 else None) for n in range(20)] + [("b", n, None) for n in range(6)]
+    df = spark.createDataFrame(data, "g string, k int, v int")
+    got = {(r.g, r.k): r.total for r in running_total(df, "v", ["g"], "k", "total", slices).collect()}
+    want = {(g, k): None if g == "b" or k < 3 else 5 * (min(k, 9) - 2) for g, k, _ in data}
+    assert got == want

@@ -5,10 +5,11 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from cashtide.queries import QUERIES
 from verification.compare import compare, connect
+from verification.oracle import ORACLE_SQL as SQL
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -18,6 +19,7 @@ def duck():
 
 def test_each_query_has_its_sql():
     assert set(SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 def plan_of(df):
@@ -42,15 +44,23 @@ def test_limits_reach_the_scan(spark):
     try:
         assert "GreaterThanOrEqual(o_orderdate" in plan_of(QUERIES["q_units_8wk"](spark, FOLDER))
         plan = plan_of(QUERIES["q_aged_inventory"](spark, FOLDER))
-        assert "GreaterThanOrEqual(l_shipdate" in plan and "EqualTo(l_returnflag,N)" in plan
+        assert "LessThan(l_shipdate" in plan and "EqualTo(l_returnflag,N)" in plan
     finally:
         spark.conf.unset("spark.sql.maxMetadataStringLength")
 
 
-def test_all_sides_too_big_to_broadcast(spark, duck, no_broadcast):
-    for name in ("q_working_capital", "q_mv_sales", "q_mv_ar", "q_disputes", "q_ledger", "q_reflow", "q_allocate_exact"):
-        same, note, *_ = compare(QUERIES[name](spark, FOLDER), duck, SQL[name])
-        assert same, f"{name}: {note}"
+@pytest.mark.parametrize("name", list(QUERIES))
+def test_all_sides_too_big_to_broadcast(spark, duck, no_broadcast, name):
+    same, note, *_ = compare(QUERIES[name](spark, FOLDER), duck, SQL[name])
+    assert same, note
+
+
+@pytest.mark.parametrize("name", ["q_collections_by_channel", "q_mv_ar", "q_mv_ar_channel", "q_ar_aging"])
+def test_invoices_are_summed_before_their_customer_is_looked_up(spark, no_broadcast, name):
+    plan = plan_of(QUERIES[name](spark, FOLDER))
+    join = plan[plan.index("SortMergeJoin") :]
+    orders = join[: join.index("orders.parquet")]
+    assert "HashAggregate" in orders.rsplit("Exchange", 2)[1] or orders.count("HashAggregate") >= 2
 
 
 def test_entry(spark):

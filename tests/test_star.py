@@ -9,11 +9,12 @@ from cashtide.operators.star import (
     aggregate_by_attributes,
     at_latest,
     check_unique,
+    salted_lookup,
     side_by_side,
     star_join,
     sums,
 )
-from cashtide.session import configure, fits_broadcast
+from cashtide.session import configure
 
 
 @pytest.fixture
@@ -38,20 +39,19 @@ def test_repeated_keys_are_refused(spark, fact, dim):
         star_join(fact, [Lookup("d", twice, "id", "id")], check=True)
 
 
-def grouped(fact, dim, keep=None):
+def grouped(fact, dim, keep=None, grain_first=True):
     found = aggregate_by_attributes(
-        fact, [Lookup("d", dim, "id", "id")], [("name", "d.name")], sums(v="v", twice="fact.v * 2"), keep
+        fact, [Lookup("d", dim, "id", "id")], [("name", "d.name")], sums(v="v", twice="fact.v * 2"), keep, grain_first=grain_first
     )
     return sorted(rows(found.select("name", "v", "twice")), key=str)
 
 
 def test_both_ways_of_aggregating_agree(spark, fact, dim, request):
     want = [("a", 15, 30), ("b", 7, 14), (None, 3, 6)]
-    assert fits_broadcast(dim)
-    assert grouped(fact, dim) == sorted(want, key=str)
-    assert grouped(fact, dim, F.col("d.name") == "a") == [("a", 15, 30)]
+    for first in (True, False):
+        assert grouped(fact, dim, grain_first=first) == sorted(want, key=str)
+        assert grouped(fact, dim, F.col("d.name") == "a", first) == [("a", 15, 30)]
     request.getfixturevalue("no_broadcast")
-    assert not fits_broadcast(dim)
     assert grouped(fact, dim) == sorted(want, key=str)
     assert grouped(fact, dim, F.col("d.name") == "a") == [("a", 15, 30)]
 
@@ -105,3 +105,19 @@ def test_side_by_side(spark):
     one = spark.createDataFrame([(1,)], "a int")
     two = spark.createDataFrame([(None, "x")], "b int, c string")
     assert rows(side_by_side([one, two])) == [(1, None, "x")]
+
+
+def test_a_repeated_key_is_refused(spark, fact, dim):
+    twice = dim.union(dim)
+    for first in (True, False):
+        with pytest.raises(Exception, match="not unique"):
+            grouped(fact, twice, grain_first=first)
+    nothing = dim.union(spark.createDataFrame([(None, "x"), (None, "y")], "id int, name string"))
+    assert grouped(fact, nothing) == grouped(fact, dim)
+
+
+def test_salted_lookup(spark, fact, dim):
+    found = salted_lookup(fact, Lookup("d", dim, "id", "id"), ["name"], 5)
+    plain = fact.join(dim, "id", "left").select(*fact.columns, "name")
+    assert found.columns == plain.columns
+    assert sorted(rows(found), key=str) == sorted(rows(plain), key=str)

@@ -32,7 +32,7 @@ def schema(spark):
 def test_twelve_tables_are_declared():
     assert len(SCHEMAS) == len(TABLE_COMMENTS) == 12
     assert SCHEMAS["fact_sales"]["net_sales_amt"].dataType.simpleString() == "decimal(12,2)"
-    assert SCHEMAS["fact_cash_ledger"]["running_cash_balance"].dataType.simpleString() == "decimal(14,2)"
+    assert SCHEMAS["fact_cash_ledger"]["running_cash_balance"].dataType.simpleString() == "decimal(28,2)"
     assert all(f.metadata["comment"] for s in SCHEMAS.values() for f in s.fields)
     assert sum(len(s.fields) for s in SCHEMAS.values()) == 117
 
@@ -127,20 +127,17 @@ def test_staged_copies_go_to_the_shared_folder(spark):
     assert os.path.isdir(folder.removeprefix("file:"))
 
 
-def test_a_cluster_must_name_its_shared_folder():
-    class Context:
-        master = "yarn"
-
-        def getCheckpointDir(self):
-            return None
-
+def test_without_a_named_folder_the_warehouse_is_shared():
     class Session:
-        sparkContext = Context()
-
         class conf:
             @staticmethod
             def get(key, default=None):
-                return default
+                return "file:/shared/warehouse" if key == "spark.sql.warehouse.dir" else default
+
+    assert shared_dir(Session) == "file:/shared/warehouse/staged"
+
+
+def test_balances_of_any_size_conform(spark):
+    big = spark.sql("SELECT DATE'2026-11-05' AS ledger_date, 'X' AS cash_category, CAST(1e15 AS DECIMAL(28,2)) AS running_cash_balance")
+    assert conform(big, SCHEMAS["fact_cash_ledger"]).first().running_cash_balance == 10**15
 
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_dir(Session())

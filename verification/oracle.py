@@ -43,6 +43,8 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "product": (
         (),
         """SELECT p_partkey AS product_id, p_name AS product_name, p_type AS department, p_brand AS category,
+             'size ' || p_size AS subcategory,
+             CASE WHEN p_size > 25 THEN ['SPRING', 'SUMMER', 'FALL', 'WINTER'][p_size % 4 + 1] END AS season,
              CAST(p_retailprice AS DECIMAL(10,2)) AS unit_price,
              CAST(round(CAST(p_retailprice AS DECIMAL(10,2)) * CAST(0.50 AS DECIMAL(3,2)), 2) AS DECIMAL(10,2)) AS unit_cost
            FROM part""",
@@ -60,7 +62,7 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "vendor": (
         ("place",),
-        """SELECT s_suppkey AS supplier_id, s_name AS supplier_name, n_name AS country, s_nationkey,
+        """SELECT s_suppkey AS supplier_id, s_name AS supplier_name, r_name AS category, n_name AS country, s_nationkey,
              CASE s_suppkey % 3 WHEN 0 THEN 30 WHEN 1 THEN 45 ELSE 60 END AS default_terms_days
            FROM supplier LEFT JOIN place ON s_nationkey = n_nationkey""",
     ),
@@ -91,7 +93,7 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
                 CASE WHEN o_orderstatus = 'F' THEN 'PAID' WHEN o_orderstatus = 'O' THEN 'OPEN'
                   WHEN o_orderkey % 3 = 0 THEN 'SLIPPED' ELSE 'DISPUTED' END AS status,
                 CAST(o_orderdate AS DATE) + CASE WHEN o_orderstatus = 'P' THEN 105 ELSE 60 END AS expected_cash_date
-              FROM orders) i LEFT JOIN customer ON customer_id = c_custkey""",
+              FROM orders WHERE CAST(o_orderdate AS DATE) <= {AS_OF}) i LEFT JOIN customer ON customer_id = c_custkey""",
     ),
     "payment": (
         (),
@@ -122,21 +124,23 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
         f"SELECT CAST({AS_OF} - CAST(7 * n AS INT) AS DATE) AS week_ending_date FROM range(12) AS r(n)",
     ),
     "stock": (
-        ("product", "week"),
+        ("product", "week", "sales"),
         f"""SELECT s.week_ending_date, s.product_id, s.store_id, s.on_hand_units, s.on_hand_cost, s.last_receipt_date,
               s.days_on_hand, {_band("s.days_on_hand", (30, 60, 90), ("0-30", "31-60", "61-90", "90+"))} AS aging_bucket,
               s.days_on_hand > 90 AS is_aged,
               CAST(round(s.on_hand_cost * CASE WHEN s.days_on_hand > 90 THEN CAST(0.45 AS DECIMAL(4,2))
                 ELSE CAST(0.05 AS DECIMAL(4,2)) END, 2) AS {TOTAL}) AS markdown_liability_amt
-            FROM (SELECT week_ending_date, l_partkey AS product_id, s_nationkey AS store_id,
-                CAST(sum(CAST(l_quantity AS INT)) AS BIGINT) AS on_hand_units,
-                CAST(sum(CAST(l_quantity AS INT) * unit_cost) AS {TOTAL}) AS on_hand_cost,
-                max(CAST(l_shipdate AS DATE)) AS last_receipt_date,
-                date_diff('day', max(CAST(l_shipdate AS DATE)), week_ending_date) AS days_on_hand
-              FROM week JOIN lineitem ON l_returnflag = 'N' AND CAST(l_shipdate AS DATE) > week_ending_date - 160
-                AND CAST(l_shipdate AS DATE) <= week_ending_date
-              LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN product ON l_partkey = product_id
-              GROUP BY week_ending_date, l_partkey, s_nationkey) s""",
+            FROM (SELECT week_ending_date, product_id, store_id, on_hand_units, last_receipt_date,
+                CAST(on_hand_units * unit_cost AS {TOTAL}) AS on_hand_cost,
+                date_diff('day', last_receipt_date, week_ending_date) AS days_on_hand
+              FROM (SELECT week_ending_date, product_id, store_id, CAST(sum(units) AS BIGINT) AS on_hand_units, max(received) AS last_receipt_date
+                FROM week JOIN (
+                  SELECT l_partkey AS product_id, s_nationkey AS store_id, CAST(l_quantity AS INT) AS units,
+                    CAST(l_shipdate AS DATE) AS received, CAST(l_shipdate AS DATE) AS day
+                  FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'N'
+                  UNION ALL SELECT product_id, store_id, -units_sold, NULL, date_key FROM sales) ON day <= week_ending_date
+                GROUP BY ALL HAVING sum(units) > 0 AND max(received) IS NOT NULL)
+              LEFT JOIN product USING (product_id)) s""",
     ),
     "latest_stock": (("stock",), f"SELECT * FROM stock WHERE week_ending_date = {AS_OF}"),
     "ledger": (
@@ -160,13 +164,9 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
 
 
 def _forecast(runs: str) -> str:
-    aged = f"""(SELECT coalesce(sum(cost), 0) FROM (
-        SELECT sum(CAST(l_quantity AS INT) * unit_cost) AS cost, max(CAST(l_shipdate AS DATE)) AS newest
-        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN product ON l_partkey = product_id
-        WHERE l_returnflag = 'N' AND CAST(l_shipdate AS DATE) > run - 160 AND CAST(l_shipdate AS DATE) <= run
-        GROUP BY l_partkey, s_nationkey) WHERE date_diff('day', newest, run) > 90)"""
+    aged = "(SELECT coalesce(sum(on_hand_cost), 0) FROM stock WHERE is_aged AND week_ending_date = run)"
     slow = "(SELECT coalesce(sum(cash_impact_vs_plan_amt), 0) FROM invoice WHERE invoice_date <= run)"
-    early = "(SELECT coalesce(sum(cash_impact_vs_plan_amt), 0) FROM payment WHERE actual_pay_date > run - 90 AND actual_pay_date <= run)"
+    early = "(SELECT coalesce(sum(cash_impact_vs_plan_amt), 0) FROM payment WHERE actual_pay_date <= run)"
     base = f"(SELECT balance FROM daily WHERE day <= {AS_OF} ORDER BY day DESC LIMIT 1)"
     return f"""SELECT run AS forecast_run_date, week AS forecast_week_ending, driver,
           CASE WHEN driver = 'BASELINE' AND i > 0 THEN {_portion("planned", "(94 * n + 6 * i)", "(100 * n)")} ELSE planned END AS planned_cash_amt,
@@ -184,7 +184,7 @@ def _forecast(runs: str) -> str:
 
 
 for _name, _runs in (("forecast", "run"), ("forecast6", "run6")):
-    _CTES[_name + "_levels"] = (("product", "invoice", "payment", "daily", _runs), _forecast(_runs))
+    _CTES[_name + "_levels"] = (("stock", "invoice", "payment", "daily", _runs), _forecast(_runs))
     _CTES[_name] = (
         (_name + "_levels",),
         f"SELECT *, CAST(projected_cash_amt - planned_cash_amt AS {TOTAL}) AS variance_amt FROM {_name}_levels",
@@ -270,11 +270,10 @@ _CTES["trend"] = (
         FROM (SELECT *, CAST(n * sxx - sx * sx AS DOUBLE) AS dxx, CAST(n * sxy - sx * sy AS DOUBLE) AS dxy,
             CAST(n * syy - sy * sy AS DOUBLE) AS dyy
           FROM (SELECT segment, count(*) AS n, sum(x) AS sx, sum(x * x) AS sxx, sum(y) AS sy, sum(x * y) AS sxy, sum(y * y) AS syy
-            FROM (SELECT segment, CAST(date_diff('day', {AS_OF} - 89, day) AS HUGEINT) AS x, CAST(round(balance, 0) AS HUGEINT) AS y
+            FROM (SELECT segment, CAST(date_diff('day', {AS_OF}, day) AS HUGEINT) AS x, CAST(round(balance, 0) AS HUGEINT) AS y
               FROM (SELECT segment, day, sum(net) OVER (PARTITION BY segment ORDER BY day) AS balance
                 FROM (SELECT 'ALL' AS segment, ledger_date AS day, sum(net_cash_amt) AS net FROM ledger WHERE ledger_date <= {AS_OF} GROUP BY ALL
-                  UNION ALL SELECT cash_category, ledger_date, net_cash_amt FROM ledger WHERE ledger_date <= {AS_OF}))
-              WHERE day > {AS_OF} - 90)
+                  UNION ALL SELECT cash_category, ledger_date, net_cash_amt FROM ledger WHERE ledger_date <= {AS_OF})))
             GROUP BY segment))""",
 )
 
@@ -286,7 +285,7 @@ def _projected(points: str, where: str = "true") -> str:
           CAST(round(mid - width, 0) AS {TOTAL}) AS lower_bound, CAST(round(mid + width, 0) AS {TOTAL}) AS upper_bound
         FROM (SELECT segment, d, intercept + slope * x AS mid,
             CAST({z} AS DOUBLE) * spread * sqrt(1 + CAST(1.0 AS DOUBLE) / n + (x - CAST(sx AS DOUBLE) / n) * (x - CAST(sx AS DOUBLE) / n) / (dxx / n)) AS width
-          FROM (SELECT *, CAST(date_diff('day', {AS_OF} - 89, d) AS DOUBLE) AS x FROM trend, {points} WHERE {where}))"""
+          FROM (SELECT *, CAST(date_diff('day', {AS_OF}, d) AS DOUBLE) AS x FROM trend, {points} WHERE {where}))"""
 
 
 def _sql(body: str, *needs: str) -> str:
@@ -351,28 +350,30 @@ _LEVELS = f"""SELECT {_total("planned_cash_amt", f"forecast_run_date = {AS_OF}")
       {_total("variance_amt", f"forecast_run_date = {AS_OF} AND driver = 'AP_ACCELERATION'")} AS ap
     FROM at_end"""
 
-# Patterns as in the Spark rules; both engines read them the same way.
+# The Spark rules without look-behind and possessive quantifiers, which only save time there.
 _RULES = (
-    ("amount", r"(?:\$|USD )[0-9][0-9,]{0,30}(?:\.[0-9]{2})?", 0, None),
-    ("terms_days", r"[Nn]et[ -]([0-9]{1,3})", 1, None),
-    ("discount_pct", r"([0-9]{1,9}(?:\.[0-9]{1,9})?) ?%", 1, None),
+    ("amount", r"(?:\$|\b(?i:USD|EUR) ?)[0-9][0-9,]*(?:\.[0-9]+)?", 0, None),
+    ("amount", r"[0-9](?:[0-9,.]*[0-9])? ?(?i:USD|EUR)\b", 0, None),
+    ("terms_days", r"\b(?i:net)[ -]?([0-9]+)", 1, None),
+    ("discount_pct", r"([0-9]+(?:\.[0-9]+)?) ?%", 1, None),
     ("reason", r"(?i)short[- ]ship(?:ped|ment)?", 0, "short-ship"),
     ("reason", r"(?i)(?:quality (?:defect|issue)|defective)", 0, "quality defect"),
     ("reason", r"(?i)pric(?:e|ing) (?:discrepancy|difference|error)", 0, "pricing discrepancy"),
-    ("email", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,24}", 0, None),
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0, None),
     ("phone", r"[0-9]{3}-[0-9]{3}-[0-9]{4}", 0, None),
     ("licence", r"(?:MIT License|Apache License|GNU General Public License|Creative Commons)", 0, None),
 )
 
 
-def _found(rule: str, pattern: str, group: int, finding: str | None) -> str:
+def _found(rule: str, pattern: str, group: int, finding: str | None, table: str = "documents", key: str = "doc_id") -> str:
     hits = f"regexp_extract_all(text, '{pattern}', {group})"
     value = "value" if finding is None else f"'{finding}'"
-    return f"""SELECT doc_id, '{rule}' AS rule, CAST(occurrence AS INT) AS occurrence, {value} AS value
-      FROM (SELECT doc_id, unnest({hits}) AS value, generate_subscripts({hits}, 1) AS occurrence FROM documents)"""
+    return f"""SELECT {key}, '{rule}' AS rule, CAST(occurrence AS INT) AS occurrence, {value} AS value
+      FROM (SELECT {key}, unnest({hits}) AS value, generate_subscripts({hits}, 1) AS occurrence FROM {table})"""
 
 
 _EVIDENCE = " UNION ALL ".join(_found(*rule) for rule in _RULES)
+_MESSAGES = " UNION ALL ".join(_found(*rule, "conversations", "conv_id, turn") for rule in _RULES)
 
 _IN_SHARES = (("SALES_RECEIPTS", "0.74"), ("WHOLESALE_COLLECTIONS", "0.26"))
 _OUT_SHARES = (
@@ -445,7 +446,53 @@ ORACLE_SQL: dict[str, str] = {
              round(dso + dio - dpo, 1) AS ccc_days FROM cycle""",
         "cycle",
     ),
-    "q_mv_cash": _sql(f"SELECT forecast_run_date, driver, {_CASH_MEASURES} FROM forecast GROUP BY 1, 2", "forecast"),
+    "q_mv_cash": _sql(f"SELECT forecast_run_date, driver, {_CASH_MEASURES} FROM at_end GROUP BY 1, 2", "at_end"),
+    "q_mv_cash_weeks": _sql(
+        f"""SELECT forecast_week_ending, {_total("projected_cash_amt")} AS projected_cash, {_total("variance_amt")} AS cash_variance
+            FROM forecast WHERE forecast_run_date = {AS_OF} GROUP BY 1""",
+        "forecast",
+    ),
+    "q_mv_inventory_two_weeks": _sql(
+        f"""SELECT region, CAST(sum(on_hand_units) AS BIGINT) AS on_hand_units, {_total("on_hand_cost")} AS on_hand_cost
+            FROM stock LEFT JOIN store USING (store_id) WHERE week_ending_date = {AS_OF} - 7 GROUP BY 1""",
+        "stock", "store",
+    ),
+    "q_mv_inventory_goods": _sql(
+        f"""SELECT subcategory, season, location_type, store_name, CAST(sum(on_hand_units) AS BIGINT) AS on_hand_units,
+              {_total("on_hand_cost")} AS on_hand_cost
+            FROM latest_stock LEFT JOIN product USING (product_id) LEFT JOIN store USING (store_id) GROUP BY 1, 2, 3, 4""",
+        "latest_stock", "product", "store",
+    ),
+    "q_mv_sales_goods": _sql(
+        f"""SELECT category, season, {_total("net_sales_amt")} AS net_sales, CAST(sum(units_sold) AS BIGINT) AS units_sold
+            FROM sales LEFT JOIN product USING (product_id) GROUP BY 1, 2""",
+        "sales", "product",
+    ),
+    "q_mv_ar_status": _sql(
+        f"""SELECT status, dispute_reason, flipped_last_2wk, segment, {_total("amount")} AS total_ar,
+              {_total("amount", "dispute_flag")} AS disputed_ar, count(*) AS invoice_count
+            FROM invoice LEFT JOIN (SELECT customer_id, segment FROM account) USING (customer_id) GROUP BY 1, 2, 3, 4""",
+        "invoice", "account",
+    ),
+    "q_mv_ar_customers": _sql(
+        f"""SELECT customer_name, {_total("amount")} AS total_ar, count(*) AS invoice_count
+            FROM invoice LEFT JOIN (SELECT customer_id, customer_name FROM account) USING (customer_id)
+            WHERE due_date <= {AS_OF} AND invoice_date > {AS_OF} - 365 AND expected_cash_date <= {QUARTER_END}
+              AND status IN ('OPEN', 'SLIPPED') GROUP BY 1""",
+        "invoice", "account",
+    ),
+    "q_mv_ar_dates": _sql(
+        f"SELECT invoice_date, due_date, expected_cash_date, {_total('amount')} AS total_ar FROM invoice GROUP BY 1, 2, 3", "invoice"
+    ),
+    "q_mv_ap_suppliers": _sql(
+        f"""SELECT supplier_name, category AS supplier_category, {_total("invoice_amt")} AS total_ap_paid,
+              {_total("cash_impact_vs_plan_amt")} AS ap_paid_vs_plan
+            FROM payment LEFT JOIN vendor USING (supplier_id) GROUP BY 1, 2""",
+        "payment", "vendor",
+    ),
+    "q_mv_ap_dates": _sql(
+        f"SELECT scheduled_pay_date, actual_pay_date, {_total('invoice_amt')} AS total_ap_paid FROM payment GROUP BY 1, 2", "payment"
+    ),
     "q_mv_cash_current": _sql(
         f"SELECT driver, {_total('variance_amt')} AS quarter_end_variance FROM at_end WHERE forecast_run_date = {AS_OF} GROUP BY 1",
         "at_end",
@@ -528,6 +575,12 @@ ORACLE_SQL: dict[str, str] = {
               CAST(sum(amount) OVER (PARTITION BY channel ORDER BY invoice_id) AS {TOTAL}) AS invoiced_so_far FROM invoice""",
         "invoice",
     ),
+    "q_running_total_nulls": _sql(
+        f"""SELECT channel, invoice_id, CASE WHEN dispute_flag THEN amount END AS amount,
+              CAST(sum(CASE WHEN dispute_flag THEN amount END) OVER (PARTITION BY channel ORDER BY invoice_id) AS {TOTAL}) AS disputed_so_far
+            FROM invoice""",
+        "invoice",
+    ),
     "q_position": _sql(
         "SELECT channel, invoice_id, row_number() OVER (PARTITION BY channel ORDER BY invoice_id) AS place FROM invoice", "invoice"
     ),
@@ -637,28 +690,38 @@ ORACLE_SQL: dict[str, str] = {
     "q_evidence": _EVIDENCE,
     "q_evidence_summary": f"""SELECT rule, value, count(*) AS findings, count(DISTINCT doc_id) AS documents
         FROM ({_EVIDENCE}) GROUP BY 1, 2""",
+    "q_evidence_conversations": f"""SELECT rule, value, count(*) AS findings, count(DISTINCT (conv_id, turn)) AS documents
+        FROM ({_MESSAGES}) GROUP BY 1, 2""",
     "q_reconcile": _sql(
         f"""SELECT "check", CAST(actual AS {TOTAL}) AS actual, CAST(expected AS {TOTAL}) AS expected,
               CAST(actual - expected AS {TOTAL}) AS diff, abs(actual - expected) <= 0 AS ok
             FROM (SELECT unnest([
                 {{'check': 'aged_inventory', 'actual': aged, 'expected': -inv}},
-                {{'check': 'disputed_receivables', 'actual': disputed, 'expected': -coll - slipped}},
-                {{'check': 'slipped_receivables', 'actual': slipped, 'expected': -coll - disputed}},
+                {{'check': 'disputed_receivables', 'actual': disputed, 'expected': disputed_apart}},
+                {{'check': 'slipped_receivables', 'actual': slipped, 'expected': slipped_apart}},
                 {{'check': 'collections_total', 'actual': disputed + slipped, 'expected': -coll}},
                 {{'check': 'accelerated_payments', 'actual': early, 'expected': -ap}},
                 {{'check': 'drivers_total', 'actual': aged + disputed + slipped + early, 'expected': plan - projected}},
                 {{'check': 'plan_at_quarter_end', 'actual': plan, 'expected': balance}},
                 {{'check': 'projected_at_quarter_end', 'actual': projected, 'expected': plan - aged - disputed - slipped - early}},
-                {{'check': 'prior_projected_at_quarter_end', 'actual': prior, 'expected': projected - moved}},
-                {{'check': 'deterioration', 'actual': prior - projected, 'expected': -moved}},
+                {{'check': 'prior_projected_at_quarter_end', 'actual': prior, 'expected': plan - prior_gap}},
+                {{'check': 'deterioration', 'actual': -moved, 'expected': aged + disputed + slipped + early - prior_gap}},
                 {{'check': 'cash_view', 'actual': 0, 'expected': 0}}, {{'check': 'inventory_view', 'actual': 0, 'expected': 0}},
-                {{'check': 'ar_view', 'actual': 0, 'expected': 0}}, {{'check': 'ap_view', 'actual': 0, 'expected': 0}}], recursive := true)
+                {{'check': 'ar_view', 'actual': 0, 'expected': 0}}, {{'check': 'ap_view', 'actual': 0, 'expected': 0}},
+                {{'check': 'inventory_trap_total', 'actual': 0, 'expected': 0}}, {{'check': 'collections_slowdown_total', 'actual': 0, 'expected': 0}},
+                {{'check': 'ap_acceleration_total', 'actual': 0, 'expected': 0}}], recursive := true)
               FROM ({_LEVELS}),
                 (SELECT {_zero(_total("on_hand_cost", "is_aged"))} AS aged FROM latest_stock),
                 (SELECT {_zero(_total("cash_impact_vs_plan_amt", "status = 'DISPUTED'"))} AS disputed,
                   {_zero(_total("cash_impact_vs_plan_amt", "status = 'SLIPPED'"))} AS slipped FROM invoice WHERE invoice_date <= {AS_OF}),
                 (SELECT {_zero(_total("cash_impact_vs_plan_amt", "payment_category = 'ACCELERATED'"))} AS early FROM payment
-                  WHERE actual_pay_date > {AS_OF} - 90 AND actual_pay_date <= {AS_OF}),
+                  WHERE actual_pay_date <= {AS_OF}),
+                (SELECT {_zero(_total("CAST(o_totalprice AS DECIMAL(12,2))", "o_orderkey % 3 <> 0"))} AS disputed_apart,
+                  {_zero(_total("CAST(o_totalprice AS DECIMAL(12,2))", "o_orderkey % 3 = 0"))} AS slipped_apart FROM orders
+                  WHERE o_orderstatus = 'P' AND CAST(o_orderdate AS DATE) <= {AS_OF} AND CAST(o_orderdate AS DATE) + 105 > {QUARTER_END}),
+                (SELECT (SELECT coalesce(sum(on_hand_cost), 0) FROM stock WHERE is_aged AND week_ending_date = {PRIOR_RUN})
+                  + (SELECT coalesce(sum(cash_impact_vs_plan_amt), 0) FROM invoice WHERE invoice_date <= {PRIOR_RUN})
+                  + (SELECT coalesce(sum(cash_impact_vs_plan_amt), 0) FROM payment WHERE days_early > 0 AND actual_pay_date <= {PRIOR_RUN}) AS prior_gap),
                 (SELECT balance FROM daily WHERE day <= {AS_OF} ORDER BY day DESC LIMIT 1),
                 (SELECT deterioration_2wk AS moved FROM change WHERE current_run_date = {AS_OF}))""",
         "at_end", "latest_stock", "invoice", "payment", "daily", "change",
