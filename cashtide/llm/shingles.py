@@ -23,7 +23,8 @@ def shingle_sets(texts: Sequence[str], words: int) -> Iterator[np.ndarray]:
         h = hashes(buf, starts, lens) if len(starts) else np.zeros(0, dtype=np.uint64)
         joined = h.copy()
         for j in range(1, words):
-            joined[: len(h) - j] = mix(joined[: len(h) - j] * _STEP + h[j:])
+            n = max(0, len(h) - j)
+            joined[:n] = mix(joined[:n] * _STEP + h[j:])
         for first, last in zip(numbers[:-1].tolist(), numbers[1:].tolist(), strict=True):
             if last - first >= words:
                 yield np.unique(joined[first : last - words + 1])
