@@ -66,6 +66,32 @@ def trend(series: DataFrame, first_day: dt.date) -> DataFrame:
     )
 
 
+def weekday_effects(series: DataFrame, line: DataFrame, first_day: dt.date) -> DataFrame:
+    """``line`` with ``effects``, the mean distance from it by day of week, and the spread that is left after them.
+
+    Distances are taken in whole units, so that their sums do not depend on the order of rows.
+    """
+    whole = "DECIMAL(38,0)"
+    away = series.join(line, "segment").selectExpr(
+        "segment",
+        "weekday(day) AS d",
+        f"CAST(round(CAST(balance AS DOUBLE) - (intercept + slope * datediff(day, {date_sql(first_day)})), 0) AS DECIMAL(18,0)) AS r",
+    )
+    by_day = away.groupBy("segment", "d").agg(
+        F.expr("count(1) AS m"), F.expr(f"CAST(sum(CAST(r AS {whole})) AS {whole}) AS s"),
+        F.expr(f"CAST(sum(CAST(r * r AS {whole})) AS {whole}) AS ss"),
+    )
+    found = by_day.groupBy("segment").agg(
+        F.expr("map_from_entries(array_sort(collect_list(struct(d, CAST(s AS DOUBLE) / m)))) AS effects"),
+        F.expr(f"CAST(sum(ss) AS {whole}) AS rr"),
+        F.expr("array_sort(collect_list(struct(d, CAST(s AS DOUBLE) * CAST(s AS DOUBLE) / m AS part))) AS parts"),
+        F.expr("count(1) AS days"),
+    )
+    explained = "aggregate(parts, 0D, (a, p) -> a + p.part)"
+    left = f"sqrt(greatest(0D, CAST(rr AS DOUBLE) - {explained}) / greatest(1, n - 1 - days))"
+    return line.join(found, "segment").selectExpr("segment", "n", "sx", "dxx", "slope", "intercept", f"{left} AS spread", "effects")
+
+
 def predict_cash_flow(
     ledger: DataFrame,
     as_of: dt.date,
@@ -74,26 +100,36 @@ def predict_cash_flow(
     by_category: bool = False,
     level: float = 0.95,
     history_days: int | None = None,
+    seasonal: bool = False,
 ) -> DataFrame:
     """Projected balance on each day of ``horizon`` with a prediction interval, per segment.
 
     The trend is fitted to all days up to ``as_of``, or to the last ``history_days`` of them where
-    the caller names a window. A segment is a cash category, or everything.
+    the caller names a window. A segment is a cash category, or everything. With ``seasonal`` each day
+    of the week adds its mean distance from the trend, and the interval is that of what remains.
     """
     first_day = as_of - dt.timedelta(days=history_days - 1) if history_days else as_of
     series = balance_series(ledger.filter(f"ledger_date <= {date_sql(as_of)}"), by_category or segment is not None)
     if segment is not None:
         series = series.filter(F.col("segment") == segment)
-    points = ", ".join(f"named_struct('d', {date_sql(d)}, 'x', {float((d - first_day).days)}D)" for d in horizon)
+    points = ", ".join(
+        f"named_struct('d', {date_sql(d)}, 'x', {float((d - first_day).days)}D, 'wd', {d.weekday()})" for d in horizon
+    )
+    if history_days:
+        series = series.filter(f"day >= {date_sql(first_day)}")
+    line = trend(series, first_day)
+    if seasonal:
+        line = weekday_effects(series, line, first_day)
+    else:
+        line = line.selectExpr("*", "CAST(map() AS MAP<INT, DOUBLE>) AS effects")
     z = NormalDist().inv_cdf(0.5 + level / 2)
     off_centre = "(x - CAST(sx AS DOUBLE) / n)"
     return (
-        trend(series.filter(f"day >= {date_sql(first_day)}") if history_days else series, first_day)
-        .selectExpr("*", f"inline(array({points}))")
+        line.selectExpr("*", f"inline(array({points}))")
         .selectExpr(
             "segment",
             "d AS forecast_date",
-            "intercept + slope * x AS middle",
+            "intercept + slope * x + coalesce(element_at(effects, wd), 0D) AS middle",
             f"{z!r}D * spread * sqrt(1 + 1D / n + {off_centre} * {off_centre} / (dxx / n)) AS width",
         )
         .selectExpr(

@@ -495,6 +495,13 @@ def q_forecast(m: Model) -> DataFrame:
     return stacked([predict_cash_flow(ledger, m.as_of, ends), predict_cash_flow(ledger, m.as_of, ends, by_category=True)])
 
 
+@query
+def q_forecast_seasonal(m: Model) -> DataFrame:
+    """The next two weeks day by day, with effects of the day of the week, from the last year."""
+    ahead = [m.as_of + dt.timedelta(days=n) for n in range(1, 15)]
+    return predict_cash_flow(stage(m.ledger(), "ledger"), m.as_of, ahead, history_days=365, seasonal=True)
+
+
 @query
 def q_rolling_weeks(m: Model) -> DataFrame:
     return rolling_weeks(stage(m.ledger(), "ledger"), m.as_of)

@@ -664,6 +664,26 @@ ORACLE_SQL: dict[str, str] = {
     "q_forecast": _sql(
         _projected(f"(SELECT unnest([DATE '2001-07-31', DATE '2001-08-31', {QUARTER_END}]) AS d)"), "trend"
     ),
+    "q_forecast_seasonal": _sql(
+        f"""SELECT * FROM (WITH points AS (SELECT day, CAST(date_diff('day', {AS_OF} - 364, day) AS HUGEINT) AS x, balance,
+              CAST(round(balance, 0) AS HUGEINT) - first_value(CAST(round(balance, 0) AS HUGEINT)) OVER (ORDER BY day) AS y,
+              first_value(CAST(round(balance, 0) AS HUGEINT)) OVER (ORDER BY day) AS base
+            FROM daily WHERE day <= {AS_OF} AND day > {AS_OF} - 365),
+          sums AS (SELECT count(*) AS n, min(base) AS base, sum(x) AS sx, sum(y) AS sy, CAST(count(*) * sum(x * x) - sum(x) * sum(x) AS DOUBLE) AS dxx,
+              CAST(count(*) * sum(x * y) - sum(x) * sum(y) AS DOUBLE) AS dxy FROM points),
+          line AS (SELECT *, dxy / dxx AS slope, CAST(base AS DOUBLE) + (CAST(sy AS DOUBLE) - (dxy / dxx) * sx) / n AS intercept FROM sums),
+          away AS (SELECT isodow(day) AS wd, CAST(round(CAST(balance AS DOUBLE) - (intercept + slope * x), 0) AS HUGEINT) AS r FROM points, line),
+          effect AS (SELECT wd, count(*) AS m, sum(r) AS s, sum(r * r) AS ss FROM away GROUP BY wd),
+          whole AS (SELECT sqrt(greatest(0.0, CAST(sum(ss) AS DOUBLE) - sum(CAST(s AS DOUBLE) * CAST(s AS DOUBLE) / m ORDER BY wd)) / (min(n) - 1 - count(*))) AS spread
+            FROM effect, line)
+          SELECT 'ALL' AS segment, d AS forecast_date, CAST(round(mid, 0) AS {TOTAL}) AS projected_balance,
+            CAST(round(mid - width, 0) AS {TOTAL}) AS lower_bound, CAST(round(mid + width, 0) AS {TOTAL}) AS upper_bound
+          FROM (SELECT d, intercept + slope * x + CAST(s AS DOUBLE) / m AS mid, CAST({NormalDist().inv_cdf(0.975)!r} AS DOUBLE) * spread
+                * sqrt(1 + CAST(1.0 AS DOUBLE) / n + (x - CAST(sx AS DOUBLE) / n) * (x - CAST(sx AS DOUBLE) / n) / (dxx / n)) AS width
+              FROM line, whole, (SELECT CAST({AS_OF} + CAST(k AS INT) AS DATE) AS d, CAST(364 + k AS DOUBLE) AS x FROM range(1, 15) AS r(k))
+              JOIN effect ON wd = isodow(d)))""",
+        "daily",
+    ),
     "q_rolling_weeks": _sql(
         f"""SELECT {_saturday("ledger_date")} AS week_ending_date, 'ACTUAL' AS kind, {_total("cash_in_amt")} AS cash_in, {_total("cash_out_amt")} AS cash_out,
               CAST(arg_max(running_cash_balance, ledger_date) AS {TOTAL}) AS closing_balance, CAST(NULL AS {TOTAL}) AS lower_bound, CAST(NULL AS {TOTAL}) AS upper_bound
