@@ -45,9 +45,9 @@ def stages(spark, sample, tmp_path_factory):
 
 
 def test_stages_against_brute_force(stages):
-    from test_exact_dedup import expected
-    from test_near_dedup import brute
-    from test_secrets import plain
+    from .test_exact_dedup import expected
+    from .test_near_dedup import brute
+    from .test_secrets import plain
 
     for before, after in stages[:3]:
         assert {r.doc_id for r in after} <= {r.doc_id for r in before}
