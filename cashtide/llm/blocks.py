@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -27,6 +28,13 @@ def portions(texts: Sequence[str], size: int = 1_000_000) -> Iterator[tuple[int,
         yield first, len(texts)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, so that few texts at a time are Python objects."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     h = h ^ (h >> np.uint64(32))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cashtide.llm.blocks import slices
 from cashtide.llm.common import components, staged, text_of
 from cashtide.llm.shingles import MinMax, common, set_digest, shingle_sets
 
@@ -21,35 +22,31 @@ def _signatures(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame
     signer = MinMax(rows, bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                sets = list(shingle_sets(part.column("t").to_pylist(), words))
-                full = [s for s in sets if len(s)]
-                keys = iter(signer.keys(full).view(np.int64).tolist() if full else [])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([set_digest(s) for s in sets], pa.binary()),
-                        pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
-                    ],
-                    names=["doc_id", "n_shingles", "digest", "keys"],
-                )
+        for part in slices(batches, 500):
+            sets = list(shingle_sets(part.column("t").to_pylist(), words))
+            full = [s for s in sets if len(s)]
+            keys = iter(signer.keys(full).view(np.int64) if full else [])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("doc_id"),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([set_digest(s) for s in sets], pa.binary()),
+                    pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "n_shingles", "digest", "keys"],
+            )
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                sets = list(shingle_sets(part.column("t").to_pylist(), words))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["doc_id", "n_shingles", "shingles"],
-                )
+        for part in slices(batches, 500):
+            sets = list(shingle_sets(part.column("t").to_pylist(), words))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["doc_id", "n_shingles", "shingles"],
+            )
 
     return docs.mapInArrow(run, _SETS)
 
@@ -69,7 +66,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(left, "a").join(right, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 500):
             linked = []
             for n, m, s, t in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "s_a", "s_b")), strict=True):
                 possible = 100 * min(n, m) >= percent * max(n, m)
@@ -163,8 +160,9 @@ def near_dedup(
     Texts are sets of distinct shingles of ``words`` words; two are linked if their intersection is at
     least ``percent`` hundredths of their union. component_id is the smallest id reachable by links,
     kept is true for it. An empty or null text has no shingles and is linked with nothing; nor is a
-    row whose id is null (component_id null, kept true). Rows that repeat an id are one node. Ids are
-    whole numbers. Other columns are not read. An empty table gives no rows.
+    row whose id is null (component_id null, kept true). Rows that repeat an id are one node, and of
+    their texts one stands for the id where it is compared. Ids are whole numbers. Other columns
+    are not read. An empty table gives no rows.
 
     Equal sets count once. Others become candidates where a band of min-max values agrees, and every
     candidate pair is either confirmed on the full sets or already connected through confirmed
@@ -192,8 +190,8 @@ def near_dedup(
     led = members.join(best, "key").groupBy("doc_id").agg((-F.max("rank")["minus"]).alias("leader"))
     led = staged(led, "leaders")
 
-    sets = staged(_sets(known.join(led.select("doc_id"), "doc_id", "left_semi"), words), "sets")
-    sets = sets.dropDuplicates(["doc_id"])
+    compared = known.join(led.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = staged(_sets(compared, words), "sets")
     tried = led.where("leader <> doc_id").select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
     tried = staged(_confirmed(tried, sets, percent), "led")
     grouped = tried.select(F.col("b").alias("leader"), F.col("a").alias("doc_id"), (~F.col("linked")).alias("stray"))

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cashtide.llm.blocks import slices
 from cashtide.llm.common import text_of
 
 _I = re.ASCII | re.IGNORECASE
@@ -191,7 +192,7 @@ def without_secrets(docs: DataFrame, text: str = "text", length: str | None = No
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for t in batch.column(batch.schema.get_field_index(text)).to_pylist():
                 found.append(t if t is None else redact(t, sum(scan_text(t, reach), [])))

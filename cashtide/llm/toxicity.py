@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cashtide.llm.blocks import distinct, hashes, loaded, mix, padded, portions
+from cashtide.llm.blocks import distinct, hashes, loaded, mix, padded, portions, slices
 from cashtide.llm.common import text_of
 
 _BITS = 20
@@ -309,7 +309,7 @@ def tag(docs: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("t").to_pylist()
             for a, b in portions(texts):
                 t = tokens(texts[a:b])
@@ -345,7 +345,7 @@ def without_toxic(docs: DataFrame, field: Field, text: str = "text", least: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             for a, b in portions(texts):
                 t = tokens(texts[a:b])
