@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers that see this folder import the package, wherever the session was started.
+
+    A cluster whose workers do not see it gets the package by ``--py-files``, as usual.
+    """
+    root, workers = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = [p for p in workers.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        workers["PYTHONPATH"] = os.pathsep.join([*known, root])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
