@@ -54,23 +54,32 @@ class Projections:
 
 
 def _hashed(vectors: DataFrame, shape: Projections) -> DataFrame:
-    """vec_id, the unit vector as bytes, and its keys; only vectors with a direction."""
+    """vec_id, the unit vector as bytes, and its keys, one row per row; both null without an id or a direction."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
                 by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
+                rest: list[int | None] = []
                 for i, v in zip(part.column("vec_id").to_pylist(), part.column("v").to_pylist(), strict=True):
                     v = None if v is None or None in v else np.array(v, dtype=np.float64)
-                    if usable(v):
+                    if i is not None and usable(v):
                         by_size.setdefault(len(v), []).append((i, v))
+                    else:
+                        rest.append(i)
+                if rest:
+                    none = [None] * len(rest)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(rest, pa.int64()), pa.array(none, pa.binary()), pa.array(none, pa.list_(pa.int32()))],
+                        names=["vec_id", "u", "keys"],
+                    )
                 for found in by_size.values():
                     units = unit(np.stack([v for _, v in found]))
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([i for i, _ in found], pa.int64()),
-                            pa.array([u.tobytes() for u in units], pa.binary()),
+                            pa.array([u.tobytes() for u in units + 0.0], pa.binary()),
                             pa.array(list(shape.keys(units)), pa.list_(pa.int32())),
                         ],
                         names=["vec_id", "u", "keys"],
@@ -123,17 +132,17 @@ def _blocks(least: float):
         held: pa.Table | None = None
 
         def found(rows: pa.Table, ends: np.ndarray) -> pa.RecordBatch:
-            plain = {c: rows.column(c).to_numpy() for c in ("side", "vec_id", "copies", "at", "dims", "i", "j")}
+            plain = {c: rows.column(c).to_numpy() for c in ("side", "node", "copies", "at", "dims", "i", "j")}
             units, keys = rows.column("u").to_pylist(), rows.column("keys").combine_chunks()
             keys = np.asarray(keys.flatten()).reshape(rows.num_rows, -1)
             out = []
             for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
                 matrix = np.frombuffer(b"".join(units[a:b]), np.float64).reshape(b - a, -1)
-                own = {c: v[a:b] for c, v in plain.items() if c in ("side", "vec_id", "copies")}
+                own = {c: v[a:b] for c, v in plain.items() if c in ("side", "node", "copies")}
                 same = plain["i"][a] == plain["j"][a]
-                out.append(_block(own["side"], own["vec_id"], own["copies"], matrix, keys[a:b], int(plain["at"][a]), same, least))
+                out.append(_block(own["side"], own["node"], own["copies"], matrix, keys[a:b], int(plain["at"][a]), same, least))
             columns = [pa.array(np.concatenate([o[k] for o in out]), pa.int64()) for k in range(3)]
-            return pa.RecordBatch.from_arrays(columns, names=["vec_id", "links", "other"])
+            return pa.RecordBatch.from_arrays(columns, names=["node", "links", "other"])
 
         for batch in batches:
             rows = pa.Table.from_batches([batch])
@@ -167,8 +176,10 @@ def near_vectors(
     other vectors linked directly, component_id is the smallest id reachable, kept is true for it.
     Null, empty and zero vectors and those with null or non-finite components are linked with
     nothing, nor are vectors of different lengths. A row with a null id is linked with nothing: no
-    links, component_id null, kept true. Ids are whole numbers that occur once. Other columns
-    are not read. An empty table gives no rows.
+    links, component_id null, kept true. Ids are whole numbers. Rows that repeat an id and a unit
+    vector (in doubles) are one vector: it counts once, each of them gets its answer. Rows of one id with
+    different directions are different vectors, each linked by its own direction only, and count as
+    others to each other. Other columns are not read. An empty table gives no rows.
 
     Vectors of one direction are one until the end, where their number counts. A bucket's members
     meet in blocks of at most ``part`` rows, each a task of its own for large buckets, and give a count
@@ -178,39 +189,42 @@ def near_vectors(
     """
     shape = Projections(tables, parts, width)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("v"))
-    hashed = staged(_hashed(rows.where("vec_id is not null"), shape), "hashed")
-    same = hashed.groupBy("u").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    firsts = staged(hashed.join(same, "u").where("vec_id = rep").select("vec_id", "u", "keys", "copies"), "firsts")
+    hashed = staged(_hashed(rows, shape).withColumn("row", F.monotonically_increasing_id()), "hashed")
+    usable_rows = hashed.where("u is not null")
+    # Each direction is a node, of the row that stands for it. Nodes are numbered in the order of
+    # their smallest ids, so that the smallest node of a component has its smallest id.
+    vectors_once = usable_rows.groupBy("u", "vec_id").agg(F.min("row").alias("row"))
+    same = vectors_once.groupBy("u").agg(F.min(F.struct("vec_id", "row")).alias("first"), F.count("*").alias("copies"))
+    same = same.select("u", F.col("first.vec_id").alias("rep"), F.col("first.row").alias("row"), "copies")
+    same = staged(same.orderBy("rep", "u").withColumn("node", F.monotonically_increasing_id()), "directions")
+    keyed = usable_rows.select("row", "keys").join(same.select("row", "u", "node", "copies"), "row")
+    firsts = staged(keyed.select("node", "u", "keys", "copies"), "firsts")
 
     bucket = ["at", "key", "dims"]
-    cells = firsts.select("vec_id", F.octet_length("u").alias("dims"), F.posexplode("keys").alias("at", "key"))
+    cells = firsts.select("node", F.octet_length("u").alias("dims"), F.posexplode("keys").alias("at", "key"))
     buckets = cells.groupBy(*bucket).count().where("count > 1")
     members = staged(cells.join(buckets, bucket), "members")
-    full = members.join(firsts, "vec_id")
+    full = members.join(firsts, "node")
     blocks = F.ceil(F.col("count") / part).cast("int")
-    own = F.pmod(F.xxhash64("vec_id"), blocks).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     spread = full.withColumn("blocks", blocks).withColumn("own", own)
     spread = spread.withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select(
         *bucket, F.least("own", "meets").alias("i"), F.greatest("own", "meets").alias("j"),
-        (F.col("own") > F.col("meets")).cast("int").alias("side"), "vec_id", "u", "copies", "keys",
+        (F.col("own") > F.col("meets")).cast("int").alias("side"), "node", "u", "copies", "keys",
     )
     dealt = spread.repartition(*_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY)
-    found = dealt.mapInArrow(_blocks(least), "vec_id long, links long, other long")
+    found = dealt.mapInArrow(_blocks(least), "node long, links long, other long")
     found = staged(found, "found")
 
-    counts = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
-    joined = found.where("vec_id <> other").selectExpr("vec_id a", "other b").distinct()
-    roots = components(joined).withColumnRenamed("node", "rep")
-    grouped = same.join(counts.withColumnRenamed("vec_id", "rep"), "rep", "left").join(roots, "rep", "left")
-    answers = hashed.select("vec_id", "u").join(
-        grouped.select("u", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root")),
-        "u",
+    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+    joined = found.where("node <> other").selectExpr("node a", "other b").distinct()
+    roots = components(joined).join(same.selectExpr("node root", "rep component"), "root").select("node", "component")
+    grouped = same.join(counts, "node", "left").join(roots, "node", "left").select(
+        "u", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
     )
-    component = F.coalesce("root", "vec_id")
-    return rows.select("vec_id").join(answers.select("vec_id", "n_links", "root"), "vec_id", "left").select(
-        "vec_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        F.col("vec_id").eqNullSafe(component).alias("kept"),
+    linked = usable_rows.select("vec_id", "u").join(grouped, "u").select("vec_id", "n_links", "component_id")
+    alone = hashed.where("u is null").select("vec_id", F.lit(0).alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).select(
+        "vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")
     )

@@ -68,3 +68,34 @@ def test_recall_on_given_vectors(spark, sample):
     near = [(1000 + i, (np.array(v) + 0.02 * np.random.default_rng(i).standard_normal(len(v))).tolist()) for i, v in rows[:100]]
     df = spark.createDataFrame(rows + near, "vec_id long, embedding array<double>")
     assert result(near_vectors(df)) == brute(rows + near)
+
+
+def brute_vectors(rows, least=0.9):
+    """As ``brute`` where ids repeat: of each (id, direction) one vector, and an answer for every row."""
+    unit = [tuple(np.array(v) / np.abs(v).max() / np.linalg.norm(np.array(v) / np.abs(v).max())) for _, v in rows]
+    once = sorted({(i, u) for (i, _), u in zip(rows, unit, strict=True)})
+    near = np.array([u for _, u in once]) @ np.array([u for _, u in once]).T >= least
+    low = np.array([i for i, _ in once])
+    for _ in once:
+        low = np.where(near, low, low.max()).min(axis=1)
+    answer = {x: (int(near[n].sum()) - 1, int(low[n])) for n, x in enumerate(once)}
+    return sorted(((i, *answer[i, u]) for (i, _), u in zip(rows, unit, strict=True)), key=str)
+
+
+@pytest.mark.parametrize("part", [512, 7])
+def test_repeated_ids_against_brute_force(spark, part):
+    draw = np.random.default_rng(5)
+    bases = draw.standard_normal((6, 24))
+    rows = [(100 - n, (bases[n % 6] + 0.04 * draw.standard_normal(24)).tolist()) for n in range(60)]
+    rows += [rows[3]] * 4 + [rows[59]] * 2  # whole rows again; 59 is the smallest id
+    rows += [(rows[3][0], [4 * x for x in rows[3][1]])]  # the same direction
+    rows += [(41, bases[k].tolist()) for k in (0, 1, 5)]  # one id with vectors of several groups, the smallest of them
+    rows += [(7, rows[10][1]), (7, rows[11][1]), (8, rows[10][1]), (8, (-bases[2]).tolist()), (8, bases[3].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    assert result(near_vectors(df, part=part)) == brute_vectors(rows)
+
+
+def test_repeated_row_keeps_its_number(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (2, [1.0, 0.1]), (3, None), (3, None), (3, [0.0, 1.0]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert result(near_vectors(df)) == sorted([(1, 1, 1), (2, 1, 1), (2, 1, 1), (3, 0, 3), (3, 0, 3), (3, 0, 3), (None, 0, None)], key=str)
