@@ -124,7 +124,7 @@ def _block_links(block: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def _group_links(grouped: DataFrame, sets: DataFrame, percent: int, stray_part: int, part: int) -> DataFrame:
-    """Links of strays to the members of their leader's group (leader, doc_id, stray), found in blocks.
+    """Links of strays to the members of their leader's group or bucket (leader, doc_id, stray), found in blocks.
 
     A group is cut into parts of bounded total set size; each part of strays meets each part of members
     in a task of its own, as a product of matrices, so a group of any size is many bounded tasks and
@@ -154,6 +154,7 @@ def near_dedup(
     bands: int = 40,
     stray_part: int = 250_000,
     part: int = 500_000,
+    few_most: int = 16,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -169,7 +170,8 @@ def near_dedup(
     links; a pair at a similarity of exactly 0.8 is missed in about 5 cases of a million. Nothing
     forms all pairs of a group: a document is first compared with one leader, that of its buckets
     which meets most others; those that the leader does not link are compared with its group in
-    blocks; last come the few pairs in one bucket whose leaders differ.
+    blocks; last come the pairs in one bucket whose leaders differ: as rows where at most ``few_most``
+    members stand outside the bucket's largest group, which bounds them by the members, else in blocks.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("t"))
     known = source.where("doc_id is not null")
@@ -206,11 +208,18 @@ def near_dedup(
     placed = staged(placed.join(mixed.select("key"), "key", "left_semi"), "mixed")
     # Pairs whose leaders differ: all members of a bucket against those outside its largest group.
     largest = placed.groupBy("key", "leader").count().groupBy("key").agg(F.max_by("leader", "count").alias("most"))
-    few = placed.join(largest, "key").where("leader <> most").selectExpr("key", "doc_id a", "leader la", "root ra")
-    many = placed.selectExpr("key", "doc_id b", "leader lb", "root rb")
+    apart = placed.join(largest, "key").withColumn("stray", F.col("leader") != F.col("most"))
+    apart = staged(apart.select("key", "doc_id", "leader", "root", "stray"), "apart")
+    crowded = apart.where("stray").groupBy("key").count().where(F.col("count") > few_most).select("key")
+    pairwise = apart.join(crowded, "key", "left_anti")
+    few = pairwise.where("stray").selectExpr("key", "doc_id a", "leader la", "root ra")
+    many = pairwise.selectExpr("key", "doc_id b", "leader lb", "root rb")
     left = few.join(many, "key").where("la <> lb and ra <> rb and a <> lb and b <> la")
     left = left.selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
     late = _confirmed(left, sets, percent).where("linked").select("a", "b")
+    # A bucket with more of them is compared in blocks, as a leader's group is.
+    crowds = apart.join(crowded, "key", "left_semi").selectExpr("key leader", "doc_id", "stray")
+    late = late.union(_group_links(crowds, sets, percent, stray_part, part))
 
     # Repeated ids with different sets are one node too.
     edges = links.union(late).union(copies.select("doc_id", "rep"))

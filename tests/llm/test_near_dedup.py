@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from cashtide.llm import near_dedup as module
 from cashtide.llm.common import components, table
 from cashtide.llm.near_dedup import _counts, near_dedup, without_near_copies
 from cashtide.llm.shingles import MinMax, common, shingle_sets
@@ -63,6 +64,22 @@ def test_families_against_brute_force(awkward, words, part):
     assert result(found) == brute(rows, words)
 
 
+def test_shared_boilerplate_forms_no_pairs_of_a_bucket(awkward, monkeypatch):
+    """Many documents at a similarity of about 0.5, of which few are linked: rows to compare stay near the documents' number."""
+    shared = " ".join(f"s{i}" for i in range(60))
+    rows = [(i, shared + " " + " ".join(f"u{i}x{k}" for k in range(30))) for i in range(500)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 500, 25)]
+    pairs = []
+
+    def spy(candidates, *args, confirmed=module._confirmed):
+        pairs.append(candidates.count())
+        return confirmed(candidates, *args)
+
+    monkeypatch.setattr(module, "_confirmed", spy)
+    assert result(near_dedup(awkward(rows), words=2, few_most=2)) == brute(rows, 2)
+    assert sum(pairs) < 6 * len(rows), pairs
+
+
 def test_awkward_rows(awkward):
     long = " ".join(f"w{i}" for i in range(40_000))
     rows = [(1, None), (2, ""), (3, long), (4, long + " end"), (None, "a b c"), (5, "a b c"), (6, "A b c"), (6, "A b c"), (7, "x y"), (7, "p q r")]
