@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cashtide.llm import bpe, packing, toxicity, transducer
+from cashtide.llm import bpe, packing, rules, spelling, toxicity, transducer
 from cashtide.llm.common import table
 from cashtide.llm.embeddings import near_vectors
 from cashtide.llm.exact_dedup import exact_dedup
 from cashtide.llm.licenses import license_scan
 from cashtide.llm.near_dedup import near_dedup
+from cashtide.llm.periodic import periodic_runs, run_digest
 from cashtide.llm.secrets import secret_scan, span_digest
 from cashtide.llm.sharding import shard_rows
 
@@ -102,3 +103,47 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
+
+
+def checksum(*parts):
+    """crc32 of the parts' text in UTF-8, joined; a null part counts as the empty text."""
+    return F.crc32(F.concat(*(F.coalesce(part.cast("string"), F.lit("")) for part in parts)).cast("binary"))
+
+
+def misspelt(runs: DataFrame) -> DataFrame:
+    """(word) of runs (doc_id, word), where every 31st by checksum lacks one code point."""
+    h = checksum(F.col("doc_id"), F.lit(":"), F.col("word"))
+    at = F.col("h") % F.length("word")
+    less = F.concat(F.expr("substring(word, 1, at)"), F.expr("substring(word, at + 2)"))
+    numbered = runs.withColumn("h", h).withColumn("at", at.cast("int"))
+    return numbered.select(F.when(F.col("h") % 31 == 0, less).otherwise(F.col("word")).alias("word"))
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = misspelt(spelling.letter_runs(table(spark, sf_dir, "documents")))
+    return spelling.variants(spelling.vocabulary(runs))
+
+
+@query
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rated = rules.rate(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
+    return rated.select(
+        "doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def repeating(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of documents, where each tenth by checksum repeats a passage to its end."""
+    chosen = docs.select("doc_id", "text", checksum(F.col("doc_id")).alias("h"))
+    words = F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    listed = chosen.withColumn("w", words).withColumn("n", F.size("w")).withColumn("g", F.expr("h div 10"))
+    placed = listed.withColumn("a", F.expr("if(n > 0, g % n, 0)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    again = F.expr("array_join(transform(sequence(0, n - 1), i -> w[CAST(if(i < a, i, a + (i - a) % p) AS INT)]), ' ')")
+    return placed.select("doc_id", F.when(F.col("n") > 0, again).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(periodic_runs(repeating(table(spark, sf_dir, "documents"))))
