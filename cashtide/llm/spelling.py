@@ -20,8 +20,10 @@ _OTHERS = 14
 _DIMS = 26 + _OTHERS
 #: Words up to this length are compared as rows of code points, longer ones one by one.
 _WIDE = 64
+#: Counts that a set of bits tells apart: at least 1, 2 and 3 of a letter.
+_LEVELS = 3
 #: Distances that one step of a leaf works out.
-_STEP = 1 << 22
+_STEP = 1 << 20
 
 
 def vectors(words: list[str]) -> np.ndarray:
@@ -34,6 +36,15 @@ def vectors(words: list[str]) -> np.ndarray:
     return np.minimum(flat, 255).astype(np.uint8).reshape(len(words), _DIMS)
 
 
+def _bits(points: np.ndarray) -> np.ndarray:
+    """Counts as sets of bits, one for each letter and level: what one has more than the other is their difference."""
+    reached = points[:, :, None] >= np.arange(1, _LEVELS + 1, dtype=np.uint8)
+    packed = np.packbits(reached.reshape(len(points), -1), axis=1)
+    out = np.zeros((len(points), -(-packed.shape[1] // 8) * 8), dtype=np.uint8)
+    out[:, : packed.shape[1]] = packed
+    return out.view(np.uint64)
+
+
 @dataclass
 class Tree:
     """A k-d tree: inner nodes split a dimension at ``<= cut``, leaves are numbered; boxes are of whole space."""
@@ -152,28 +163,33 @@ def _verified(a: list[str], b: list[str], i: np.ndarray, j: np.ndarray) -> np.nd
     return out
 
 
-def near_pairs(stored: list[str], asked: list[str], leaf: int = 48) -> tuple[np.ndarray, np.ndarray]:
+def near_pairs(stored: list[str], asked: list[str], leaf: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of asked and stored words one edit apart, by a range search in a k-d tree of the stored ones.
 
-    Stored words have one length, asked ones the same length or one character less.
+    Stored words have one length, asked ones the same length or one character less. In a leaf the
+    stored counts may exceed the asked ones by one letter in all; with the lengths given, that bounds
+    the L1 distance by two, or by one. Counts above three are taken for three there, which only
+    lowers distances.
     """
     if not stored or not asked:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     down = 1 if len(stored[0]) == len(asked[0]) else 0
     points, queries = vectors(stored), vectors(asked)
     tree = Tree.build(points, leaf, keep=True)
+    has, lacks = _bits(points), ~_bits(queries)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for number, rows in tree.reach(queries, down):
         own = tree.members[number]
-        most = max(1, _STEP // (_DIMS * len(rows)))
+        most = max(1, _STEP // len(rows))
         for first in range(0, len(own), most):
             part = own[first : first + most]
-            for at in range(0, len(rows), max(1, _STEP // (_DIMS * len(part)))):
-                some = rows[at : at + max(1, _STEP // (_DIMS * len(part)))]
-                gap = points[part][None, :, :].astype(np.int16) - queries[some][:, None, :]
-                ups = np.maximum(gap, 0).sum(axis=2)
-                downs = ups - gap.sum(axis=2)
-                q, p = np.nonzero((ups <= 1) & (downs <= down))
+            wide = max(1, _STEP // len(part))
+            for at in range(0, len(rows), wide):
+                some = rows[at : at + wide]
+                more = np.zeros((len(some), len(part)), dtype=np.uint8)
+                for word in range(has.shape[1]):
+                    more += np.bitwise_count(lacks[some, word][:, None] & has[part, word][None, :])
+                q, p = np.nonzero(more <= 1)
                 found.append((some[q], part[p]))
     i = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
     j = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
@@ -226,7 +242,7 @@ def cells(words: DataFrame, sample: int, cell: int) -> dict[int, Tree]:
     return {int(n): Tree.build(flat[sizes == n], most, keep=False) for n in np.unique(sizes)}
 
 
-def near_words(words: DataFrame, sample: int = 100_000, cell: int = 2048) -> DataFrame:
+def near_words(words: DataFrame, sample: int = 100_000, cell: int = 8192) -> DataFrame:
     """(word, n, near, near_n): every ordered pair of words of (word, n) that are one edit apart.
 
     One edit is one character inserted, deleted or replaced. It changes the L1 distance of letter counts
@@ -308,7 +324,7 @@ def hash_of(word: str) -> int:
     return out
 
 
-def variants(words: DataFrame, times: int = 10, sample: int = 100_000, cell: int = 2048) -> DataFrame:
+def variants(words: DataFrame, times: int = 10, sample: int = 100_000, cell: int = 8192) -> DataFrame:
     """For each row of ``words`` (word, n; distinct words): form, root, n_near and form_n.
 
     Near words are one edit apart. A word's form is the near word with the largest n, the smallest in
