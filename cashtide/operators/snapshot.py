@@ -5,28 +5,18 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cashtide.functions.amounts import AGE_BOUNDS, AGE_LABELS, TOTAL, band_sql
 from cashtide.functions.dates import date_sql
-from cashtide.operators.star import Lookup, Partial, aggregate_by_attributes
-from cashtide.sources.tables import stacked
+from cashtide.operators.star import Lookup, Partial, aggregate_by_attributes, unique_by
 
-# Weeks whose sums still fit one generated aggregation.
-_BLOCK = 26
-
-
-def _by_week(
-    rows: DataFrame, date: str, weeks: Sequence[dt.date], lookups: Sequence[Lookup], by: Sequence[tuple[str, str]], sign: str
-) -> DataFrame:
-    """Units up to each week, and the newest day, side by side: one row per group."""
-    partials = []
-    for n, week in enumerate(weeks):
-        counted = f"FILTER (WHERE fact.{date} <= {date_sql(week)})"
-        partials.append(Partial(f"units{n}", F.expr(f"sum({sign}CAST(fact.units AS BIGINT)) {counted}"), "sum"))
-        partials.append(Partial(f"newest{n}", F.expr(f"max(fact.{date}) {counted}"), "max"))
-    return aggregate_by_attributes(rows.filter(f"{date} <= {date_sql(weeks[-1])}"), lookups, by, partials)
+def _bucketed(rows: DataFrame, date: str, weeks: Sequence[dt.date]) -> DataFrame:
+    """Rows up to the last week with ``__week``, the number of the first week on or after their day."""
+    whens = " ".join(f"WHEN {date} <= {date_sql(week)} THEN {n}" for n, week in enumerate(weeks[:-1]))
+    number = f"CASE {whens} ELSE {len(weeks) - 1} END" if whens else "0"
+    return rows.filter(f"{date} <= {date_sql(weeks[-1])}").selectExpr("*", f"{number} AS __week")
 
 
 def inventory_snapshot(
@@ -40,30 +30,42 @@ def inventory_snapshot(
 
     ``receipts`` has ``receipt_date``, ``units`` and what ``by`` and ``lookups`` refer to; ``sold``
     has ``date_key``, ``units`` and the group's columns. Groups that sold no less than they received
-    hold nothing and are left out. Up to half a year of weeks is summed side by side in one pass,
-    so the shuffle carries a row per group and not one per receipt and week; longer lists are
-    taken in blocks of weeks, each of which reads the receipts again.
+    hold nothing and are left out. Each receipt and each sale is put into the first week on or
+    after its day and summed once; a running sum over the weeks in which something moved gives all
+    weeks, and a level stands until the next of them. What is shuffled is a row per group and week
+    with a movement, however many weeks are asked for.
     """
-    weeks = sorted(weeks)
-    if len(weeks) > _BLOCK:
-        blocks = (weeks[n : n + _BLOCK] for n in range(0, len(weeks), _BLOCK))
-        return stacked(inventory_snapshot(receipts, block, lookups, by, sold) for block in blocks)
+    weeks = sorted(set(weeks))
     names = [name for name, _ in by]
-    sides = _by_week(receipts, "receipt_date", weeks, lookups, by, "")
+    moved = [Partial("units", F.expr("sum(CAST(fact.units AS BIGINT))"), "sum"), Partial("newest", F.expr("max(fact.receipt_date)"), "max")]
+    moves = aggregate_by_attributes(_bucketed(receipts, "receipt_date", weeks), lookups, [*by, ("__week", "fact.__week")], moved)
     if sold is not None:
-        gone = _by_week(sold, "date_key", weeks, (), [(n, f"fact.{n}") for n in names], "-")
-        gone = gone.selectExpr(*names, *(f"units{n}" for n in range(len(weeks))), *(f"CAST(NULL AS DATE) AS newest{n}" for n in range(len(weeks))))
-        both = sides.unionByName(gone)
-        sides = both.groupBy(*names).agg(
-            *(F.sum(f"units{n}").alias(f"units{n}") for n in range(len(weeks))),
-            *(F.max(f"newest{n}").alias(f"newest{n}") for n in range(len(weeks))),
+        gone = _bucketed(sold, "date_key", weeks).selectExpr(
+            *names, "__week", "-CAST(units AS BIGINT) AS units", "CAST(NULL AS DATE) AS newest"
+        )
+        both = moves.select(*names, "__week", "units", "newest").unionByName(gone)
+        moves = both.groupBy(*names, "__week").agg(F.sum("units").alias("units"), F.max("newest").alias("newest"))
+    if len(weeks) > 1:
+        # A group has one row a week at most.
+        group = Window.partitionBy(*names).orderBy("__week")
+        so_far = group.rowsBetween(Window.unboundedPreceding, 0)
+        moves = moves.select(
+            *names,
+            "__week",
+            F.sum("units").over(so_far).alias("units"),
+            F.max("newest").over(so_far).alias("newest"),
+            F.lead("__week", 1, len(weeks)).over(group).alias("__next"),
         )
-    entries = ", ".join(
-        f"named_struct('week_ending_date', {date_sql(week)}, 'on_hand_units', units{n}, 'last_receipt_date', newest{n})"
-        for n, week in enumerate(weeks)
+    else:
+        moves = moves.withColumn("__next", F.lit(1))
+    held = moves.filter("units > 0 AND newest IS NOT NULL")
+    listed = ", ".join(map(date_sql, weeks))
+    return held.selectExpr(
+        *names,
+        f"explode(slice(array({listed}), __week + 1, __next - __week)) AS week_ending_date",
+        "units AS on_hand_units",
+        "newest AS last_receipt_date",
     )
-    listed = sides.selectExpr(*names, f"inline(array({entries}))")
-    return listed.filter("on_hand_units > 0 AND last_receipt_date IS NOT NULL")
 
 
 def valued_snapshot(snapshot: DataFrame, products: DataFrame) -> DataFrame:
@@ -71,7 +73,7 @@ def valued_snapshot(snapshot: DataFrame, products: DataFrame) -> DataFrame:
     cost = f"CAST(on_hand_units * unit_cost AS {TOTAL})"
     aged = f"days_on_hand > {AGE_BOUNDS[-1]}"
     return (
-        snapshot.join(products.select("product_id", "unit_cost"), "product_id", "left")
+        snapshot.join(unique_by(products.select("product_id", "unit_cost"), "product_id"), "product_id", "left")
         .selectExpr(
             *snapshot.columns, f"{cost} AS on_hand_cost", "datediff(week_ending_date, last_receipt_date) AS days_on_hand"
         )

@@ -37,7 +37,7 @@ def unique_by(df: DataFrame, key: str) -> DataFrame:
     """
     others = [c for c in df.columns if c != key]
     grouped = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), *(F.first(c).alias(c) for c in others))
-    message = F.concat(F.lit(f"{key} is not unique: "), F.col(key).cast("string"))
+    message = F.concat(F.lit(f"{key.strip('_')} is not unique: "), F.col(key).cast("string"))
     alone = F.when(F.col("__n") == 1, F.col(key)).when(F.col(key).isNotNull(), F.raise_error(message))
     return grouped.withColumn(key, alone).select(*df.columns)
 
@@ -46,9 +46,10 @@ def salted_lookup(fact: DataFrame, lookup: Lookup, columns: Sequence[str], salts
     """``fact`` with ``columns`` of a small-grained dimension, row by row, for keys that hold many rows.
 
     The rows of a key are spread over ``salts`` parts and the dimension is repeated as often, so a
-    key with a third of all rows is that many tasks, whatever the sizes.
+    key with a third of all rows is that many tasks, whatever the sizes. A key that repeats in the
+    dimension is an error when the result is computed.
     """
-    dim = lookup.table.select(F.col(lookup.dim_key).alias("__key"), *columns)
+    dim = unique_by(lookup.table.select(F.col(lookup.dim_key).alias("__key"), *columns), "__key")
     dim = dim.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     own = F.pmod(F.xxhash64(*(F.col(c) for c in fact.columns)), F.lit(salts)).cast("int")
     spread = fact.withColumn("__salt", own)

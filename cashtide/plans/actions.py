@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cashtide.functions.amounts import total, total_or_zero
 from cashtide.functions.dates import date_sql, trailing
+from cashtide.operators.star import unique_by
 
 
 def cancel_orders(
@@ -29,7 +30,7 @@ def cancel_orders(
         )
     )
     weak = rates.filter(f"sell_through_rate < {float(below)}D").select("department", "category", "sell_through_rate")
-    placed = products.select("product_id", "department", "category").join(weak, ["department", "category"])
+    placed = unique_by(products.select("product_id", "department", "category"), "product_id").join(weak, ["department", "category"])
     return inbound.join(placed, "product_id").orderBy(F.desc("committed_cost"), "product_id", "supplier_id")
 
 
@@ -49,24 +50,63 @@ def defer_payments(payables: DataFrame, suppliers: DataFrame, as_of: dt.date, qu
             F.expr("min(actual_pay_date) AS next_pay_date"),
         )
     )
-    names = suppliers.select("supplier_id", "supplier_name")
+    names = unique_by(suppliers.select("supplier_id", "supplier_name"), "supplier_id")
     return due.join(names, "supplier_id", "left").orderBy(F.desc("deferrable_cash"), "supplier_id")
 
 
-def chase_collections(receivables: DataFrame, customers: DataFrame, as_of: dt.date) -> DataFrame:
-    """Overdue and undisputed: what each customer owes, and for how long."""
+def on_time_low(paid: str, on_time: str, z: float = 1.96) -> str:
+    """The lower end of the Wilson interval of a share, as SQL; NULL without any invoice.
+
+    Few invoices make the interval wide, so a customer needs a record, not one lucky payment.
+    """
+    n, share = f"CAST({paid} AS DOUBLE)", f"(CAST({on_time} AS DOUBLE) / nullif({paid}, 0))"
+    zz = float(z) * float(z)
+    spread = f"sqrt({share} * (1D - {share}) / {n} + {zz / 4!r}D / ({n} * {n}))"
+    return f"if({paid} = 0, NULL, ({share} + {zz / 2!r}D / {n} - {float(z)!r}D * {spread}) / (1D + {zz!r}D / {n}))"
+
+
+def chase_collections(
+    receivables: DataFrame, customers: DataFrame, as_of: dt.date, confident: float = 0.5, only_confident: bool = False
+) -> DataFrame:
+    """Overdue and undisputed: what each customer owes, for how long, and how surely it will be collected.
+
+    The record of a customer is the share of its paid invoices that were paid by their due date.
+    Confidence is HIGH where the lower end of that share's 95% interval is at least ``confident``,
+    LOW where it is not, UNKNOWN for customers that never paid; ``reason`` says why. Debts and
+    record come from one pass over the invoices.
+    """
     today = date_sql(as_of)
+    overdue = f"status = 'OPEN' AND NOT dispute_flag AND due_date < {today}"
+    paid = f"paid_date <= {today}"
     owed = (
-        receivables.filter(f"status = 'OPEN' AND NOT dispute_flag AND due_date < {today}")
-        .groupBy("customer_id")
+        receivables.groupBy("customer_id")
         .agg(
-            F.expr("count(1) AS invoices"),
-            total("amount").alias("overdue_amount"),
-            F.expr("min(due_date) AS oldest_due_date"),
-            F.expr(f"datediff({today}, min(due_date)) AS days_past_due"),
+            F.expr(f"count(1) FILTER (WHERE {overdue}) AS invoices"),
+            total("amount", overdue).alias("overdue_amount"),
+            F.expr(f"min(due_date) FILTER (WHERE {overdue}) AS oldest_due_date"),
+            F.expr(f"count(1) FILTER (WHERE {paid}) AS paid_invoices"),
+            F.expr(f"count(1) FILTER (WHERE {paid} AND paid_date <= due_date) AS paid_on_time"),
+        )
+        .filter("invoices > 0")
+        .selectExpr(
+            "customer_id",
+            "invoices",
+            "overdue_amount",
+            "oldest_due_date",
+            f"datediff({today}, oldest_due_date) AS days_past_due",
+            "paid_invoices",
+            "paid_on_time",
+            f"round({on_time_low('paid_invoices', 'paid_on_time')}, 4) AS on_time_low",
+        )
+        .selectExpr(
+            "*",
+            f"CASE WHEN on_time_low IS NULL THEN 'UNKNOWN' WHEN on_time_low >= {float(confident)}D THEN 'HIGH' ELSE 'LOW' END AS confidence",
+            "if(paid_invoices = 0, 'nothing paid so far', concat(paid_on_time, ' of ', paid_invoices, ' paid on time')) AS reason",
         )
     )
-    names = customers.select("customer_id", "customer_name")
+    if only_confident:
+        owed = owed.filter("confidence = 'HIGH'")
+    names = unique_by(customers.select("customer_id", "customer_name"), "customer_id")
     return owed.join(names, "customer_id", "left").orderBy(F.desc("overdue_amount"), "customer_id")
 
 

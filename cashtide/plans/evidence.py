@@ -32,8 +32,8 @@ class Rule:
 
 # Rules for dispute letters, remittance notes, and supplier contracts.
 FINANCE_RULES = (
-    Rule("amount", r"(?:\$|(?<![A-Za-z0-9_])(?i:USD|EUR) ?)[0-9][0-9,]*+(?:\.[0-9]++)?"),
-    Rule("amount", r"(?<![0-9])(?<![0-9][,.])[0-9](?:[0-9,.]*[0-9])? ?(?i:USD|EUR)(?![A-Za-z0-9_])"),
+    Rule("amount", r"(?:\$|(?<![A-Za-z0-9_])(?i:USD|EUR) ?)[0-9]++(?:,[0-9]++)*+(?:\.[0-9]++)?+"),
+    Rule("amount", r"(?<![0-9])(?<![0-9][,.])[0-9]++(?:[,.][0-9]++)*+ ?(?i:USD|EUR)(?![A-Za-z0-9_])"),
     Rule("terms_days", r"(?<![A-Za-z0-9_])(?i:net)[ -]?([0-9]++)", 1),
     Rule("discount_pct", r"(?<![0-9])([0-9]++(?:\.[0-9]++)?) ?%", 1, signs=("%",)),
     Rule("reason", r"(?i)short[- ]ship(?:ped|ment)?", finding="short-ship"),
@@ -44,7 +44,7 @@ FINANCE_RULES = (
 # Rules for what general prose holds.
 CONTACT_RULES = (
     Rule("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", signs=("@",)),
-    Rule("phone", r"[0-9]{3}-[0-9]{3}-[0-9]{4}", signs=("-",)),
+    Rule("phone", r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![A-Za-z0-9_])", signs=("-",)),
     Rule(
         "licence",
         r"(?:MIT License|Apache License|GNU General Public License|Creative Commons)",

@@ -25,33 +25,40 @@ def balance_series(ledger: DataFrame, by_category: bool) -> DataFrame:
     return daily_balance(daily, "day", "net", by=["segment"]).drop("net")
 
 
-def trend(series: DataFrame, first_day: dt.date) -> DataFrame:
-    """Least-squares line through each segment's daily balances, days counted from ``first_day``.
-
-    The sums are taken in whole numbers (balances to the unit, less the segment's first one), so
-    they do not depend on the order of rows, and squares of large balances stay in range.
-    """
-    whole = "DECIMAL(38,0)"
+_WHOLE = "DECIMAL(38,0)"
+#: Sums behind a line, by name: the aggregate and the type it comes in.
+_SUMS = {
+    "n": ("count(1)", "BIGINT"),
+    "base": ("min(first_level)", "DECIMAL(20,0)"),
+    "sx": ("sum(x)", "BIGINT"),
+    "sxx": ("sum(x * x)", "BIGINT"),
+    "sy": (f"sum(CAST(y AS {_WHOLE}))", _WHOLE),
+    "sxy": (f"sum(CAST(x * y AS {_WHOLE}))", _WHOLE),
+    "syy": (f"sum(CAST(y * y AS {_WHOLE}))", _WHOLE),
+}
+
+
+def _points(series: DataFrame, first_day: dt.date) -> DataFrame:
+    """Days since ``first_day`` and balances to the unit, less the segment's first one."""
     points = series.selectExpr(
         "segment",
+        "day",
+        "balance",
         f"CAST(datediff(day, {date_sql(first_day)}) AS BIGINT) AS x",
         "CAST(round(balance, 0) AS DECIMAL(20,0)) AS level",
-    ).selectExpr("*", "first(level) OVER (PARTITION BY segment ORDER BY x) AS base")
-    points = points.selectExpr("segment", "x", "base", "CAST(level - base AS DECIMAL(18,0)) AS y")
-    sums = points.groupBy("segment").agg(
-        F.expr("count(1) AS n"),
-        F.expr("min(base) AS base"),
-        F.expr("sum(x) AS sx"),
-        F.expr("sum(x * x) AS sxx"),
-        *(F.expr(f"CAST(sum(CAST({v} AS {whole})) AS {whole}) AS {name}") for v, name in (("y", "sy"), ("x * y", "sxy"), ("y * y", "syy"))),
-    )
+    ).selectExpr("*", "first(level) OVER (PARTITION BY segment ORDER BY x) AS first_level")
+    return points.selectExpr("segment", "day", "balance", "x", "first_level", "CAST(level - first_level AS DECIMAL(18,0)) AS y")
+
+
+def _fitted(summed: DataFrame, *others: str) -> DataFrame:
+    """Slope, intercept and spread from the sums of a line, on each row that carries them."""
     return (
-        sums.filter("n > 2")
+        summed.filter("n > 2")
         .selectExpr(
             "*",
             "CAST(n * sxx - sx * sx AS DOUBLE) AS dxx",
-            f"CAST(CAST(n * sxy AS {whole}) - CAST(sx * sy AS {whole}) AS DOUBLE) AS dxy",
-            f"CAST(CAST(n * syy AS {whole}) - CAST(sy * sy AS {whole}) AS DOUBLE) AS dyy",
+            f"CAST(CAST(n * sxy AS {_WHOLE}) - CAST(sx * sy AS {_WHOLE}) AS DOUBLE) AS dxy",
+            f"CAST(CAST(n * syy AS {_WHOLE}) - CAST(sy * sy AS {_WHOLE}) AS DOUBLE) AS dyy",
         )
         .filter("dxx > 0")
         .selectExpr(
@@ -62,34 +69,49 @@ def trend(series: DataFrame, first_day: dt.date) -> DataFrame:
             "dxy / dxx AS slope",
             "CAST(base AS DOUBLE) + (CAST(sy AS DOUBLE) - (dxy / dxx) * sx) / n AS intercept",
             "sqrt(greatest(0D, dyy - dxy * dxy / dxx) / n / (n - 2)) AS spread",
+            *others,
         )
     )
 
 
-def weekday_effects(series: DataFrame, line: DataFrame, first_day: dt.date) -> DataFrame:
-    """``line`` with ``effects``, the mean distance from it by day of week, and the spread that is left after them.
+def trend(series: DataFrame, first_day: dt.date) -> DataFrame:
+    """Least-squares line through each segment's daily balances, days counted from ``first_day``.
 
-    Distances are taken in whole units, so that their sums do not depend on the order of rows.
+    The sums are taken in whole numbers (balances to the unit, less the segment's first one), so
+    they do not depend on the order of rows, and squares of large balances stay in range.
     """
-    whole = "DECIMAL(38,0)"
-    away = series.join(line, "segment").selectExpr(
-        "segment",
-        "weekday(day) AS d",
-        f"CAST(round(CAST(balance AS DOUBLE) - (intercept + slope * datediff(day, {date_sql(first_day)})), 0) AS DECIMAL(18,0)) AS r",
-    )
-    by_day = away.groupBy("segment", "d").agg(
-        F.expr("count(1) AS m"), F.expr(f"CAST(sum(CAST(r AS {whole})) AS {whole}) AS s"),
-        F.expr(f"CAST(sum(CAST(r * r AS {whole})) AS {whole}) AS ss"),
+    sums = (F.expr(f"CAST({how} AS {kind})").alias(name) for name, (how, kind) in _SUMS.items())
+    return _fitted(_points(series, first_day).groupBy("segment").agg(*sums))
+
+
+def seasonal_trend(series: DataFrame, first_day: dt.date) -> DataFrame:
+    """``trend`` with ``effects``, the mean distance from it by day of week, and the spread that is left after them.
+
+    Each day carries its segment's sums, from a window over a frame of days, so the line meets its
+    points without a join. Distances are taken in whole units, so that their sums do not depend
+    on the order of rows.
+    """
+    sums = (f"CAST({how} OVER (PARTITION BY segment) AS {kind}) AS {name}" for name, (how, kind) in _SUMS.items())
+    away = "CAST(round(CAST(balance AS DOUBLE) - (intercept + slope * x), 0) AS DECIMAL(18,0)) AS r"
+    days = _fitted(_points(series, first_day).selectExpr("*", *sums), "day", "balance", "x")
+    days = days.selectExpr("*", "weekday(day) AS d", away)
+    line = ("n", "sx", "dxx", "slope", "intercept")
+    by_day = days.groupBy("segment", "d").agg(
+        F.expr("count(1) AS m"), F.expr(f"CAST(sum(CAST(r AS {_WHOLE})) AS {_WHOLE}) AS s"),
+        F.expr(f"CAST(sum(CAST(r * r AS {_WHOLE})) AS {_WHOLE}) AS ss"),
+        # All rows of a segment carry the same line.
+        *(F.min(name).alias(name) for name in line),
     )
     found = by_day.groupBy("segment").agg(
         F.expr("map_from_entries(array_sort(collect_list(struct(d, CAST(s AS DOUBLE) / m)))) AS effects"),
-        F.expr(f"CAST(sum(ss) AS {whole}) AS rr"),
+        F.expr(f"CAST(sum(ss) AS {_WHOLE}) AS rr"),
         F.expr("array_sort(collect_list(struct(d, CAST(s AS DOUBLE) * CAST(s AS DOUBLE) / m AS part))) AS parts"),
         F.expr("count(1) AS days"),
+        *(F.min(name).alias(name) for name in line),
     )
     explained = "aggregate(parts, 0D, (a, p) -> a + p.part)"
     left = f"sqrt(greatest(0D, CAST(rr AS DOUBLE) - {explained}) / greatest(1, n - 1 - days))"
-    return line.join(found, "segment").selectExpr("segment", "n", "sx", "dxx", "slope", "intercept", f"{left} AS spread", "effects")
+    return found.selectExpr("segment", *line, f"{left} AS spread", "effects")
 
 
 def predict_cash_flow(
@@ -117,11 +139,10 @@ def predict_cash_flow(
     )
     if history_days:
         series = series.filter(f"day >= {date_sql(first_day)}")
-    line = trend(series, first_day)
     if seasonal:
-        line = weekday_effects(series, line, first_day)
+        line = seasonal_trend(series, first_day)
     else:
-        line = line.selectExpr("*", "CAST(map() AS MAP<INT, DOUBLE>) AS effects")
+        line = trend(series, first_day).selectExpr("*", "CAST(map() AS MAP<INT, DOUBLE>) AS effects")
     z = NormalDist().inv_cdf(0.5 + level / 2)
     off_centre = "(x - CAST(sx AS DOUBLE) / n)"
     return (

@@ -20,7 +20,7 @@ from cashtide.functions.amounts import (
 )
 from cashtide.functions.dates import date_sql, open_as_of, trailing, week_ending
 from cashtide.operators.projection import BASELINE, DRIVERS
-from cashtide.operators.star import Lookup, Partial, aggregate_by_attributes, at_latest, sums
+from cashtide.operators.star import Lookup, Partial, aggregate_by_attributes, at_latest, sums, unique_by
 
 
 def waterfall(forecast: DataFrame, run: dt.date, quarter_end: dt.date) -> DataFrame:
@@ -119,7 +119,7 @@ def terms_variance(payables: DataFrame, suppliers: DataFrame) -> DataFrame:
         total("invoice_amt * terms_days").alias("applied"),
         total("invoice_amt * (terms_days - days_early)").alias("kept"),
     )
-    terms = suppliers.select("supplier_id", "supplier_name", "default_terms_days")
+    terms = unique_by(suppliers.select("supplier_id", "supplier_name", "default_terms_days"), "supplier_id")
     return (
         paid.join(terms, "supplier_id", "left")
         .selectExpr(

@@ -13,7 +13,7 @@ from cashtide.functions.amounts import TOTAL, padded_id, swap_prefix, total
 from cashtide.functions.dates import fiscal_quarter, trailing, week_ending
 from cashtide.operators.allocate import allocate_exact, even_split, split_by_share
 from cashtide.operators.ordered import daily_change, daily_fill, fill_nulls, ordinal_fraction, position, running_total
-from cashtide.operators.star import Lookup, aggregate_by_attributes, side_by_side, sums
+from cashtide.operators.star import Lookup, aggregate_by_attributes, side_by_side, sums, unique_by
 from cashtide.plans import actions, evidence, kpis, reports, worksheet
 from cashtide.plans.alerts import cash_alert
 from cashtide.plans.briefing import briefing
@@ -31,6 +31,7 @@ QUARTER_END = dt.date(2001, 9, 30)
 PLAN_RATE = 0.70
 WEAK_RATE = 0.50
 TARGET_WEEKS = 6
+CONFIDENT = 0.25
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -344,7 +345,7 @@ def q_allocate_exact(m: Model) -> DataFrame:
     sums_of = m.receivables(False).groupBy("customer_id").agg(
         total("amount").alias("invoiced"), total("cash_impact_vs_plan_amt").alias("risk")
     )
-    channels = m.customers().select("customer_id", "channel")
+    channels = unique_by(m.customers().select("customer_id", "channel"), "customer_id")
     # One row per customer feeds every step.
     owed = stage(sums_of.join(channels, "customer_id", "left"), "owed")
     risk = owed.groupBy("channel").agg(total("risk").alias("at_risk"))
@@ -527,7 +528,7 @@ def q_defer_payments(m: Model) -> DataFrame:
 
 @query
 def q_chase_collections(m: Model) -> DataFrame:
-    return actions.chase_collections(m.receivables(False), m.customers(), m.as_of)
+    return actions.chase_collections(m.receivables(False), m.customers(), m.as_of, CONFIDENT)
 
 
 @query

@@ -17,7 +17,7 @@ from cashtide.functions.dates import calendar, date_sql, day_sql, saturdays, tra
 from cashtide.operators.ordered import daily_balance
 from cashtide.operators.projection import BASELINE, forecast_rows
 from cashtide.operators.snapshot import inventory_snapshot, valued_snapshot
-from cashtide.operators.star import Lookup, aggregate_by_attributes, salted_lookup, sums
+from cashtide.operators.star import Lookup, aggregate_by_attributes, salted_lookup, sums, unique_by
 from cashtide.sources.tables import stacked
 
 # Shares of a day's cash in and out by category.
@@ -110,7 +110,7 @@ class Model:
         )
 
     def _costs(self) -> DataFrame:
-        return self.products().select("product_id", "unit_cost")
+        return unique_by(self.products().select("product_id", "unit_cost"), "product_id")
 
     # facts ------------------------------------------------------------------------------------
 
@@ -123,7 +123,7 @@ class Model:
         orders = self.source["orders"].selectExpr("o_orderkey", "o_custkey", f"{_ORDERED} AS date_key")
         if "store_id" in wanted:
             sellers = self.source["customer"].selectExpr("c_custkey", "c_nationkey AS store_id")
-            orders = orders.join(sellers, F.expr("o_custkey = c_custkey"), "left")
+            orders = orders.join(unique_by(sellers, "c_custkey"), F.expr("o_custkey = c_custkey"), "left")
         lines = self._priced_lines().join(orders, F.expr("l_orderkey = o_orderkey"))
         if "cogs_amt" in wanted:
             lines = lines.join(self._costs(), "product_id", "left")

@@ -238,10 +238,19 @@ _CTES["deferral"] = (
 )
 _CTES["overdue"] = (
     ("invoice", "account"),
-    f"""SELECT customer_id, count(*) AS invoices, {_total("amount")} AS overdue_amount, min(due_date) AS oldest_due_date,
-          CAST(date_diff('day', min(due_date), {AS_OF}) AS INT) AS days_past_due, customer_name
-        FROM invoice LEFT JOIN (SELECT customer_id, customer_name FROM account) USING (customer_id)
-        WHERE status = 'OPEN' AND due_date < {AS_OF} GROUP BY customer_id, customer_name""",
+    f"""SELECT customer_id, invoices, overdue_amount, oldest_due_date, days_past_due, customer_name,
+          coalesce(paid_invoices, 0) AS paid_invoices, coalesce(paid_on_time, 0) AS paid_on_time, on_time_low,
+          CASE WHEN on_time_low IS NULL THEN 'UNKNOWN' WHEN on_time_low >= 0.25 THEN 'HIGH' ELSE 'LOW' END AS confidence,
+          CASE WHEN paid_invoices IS NULL THEN 'nothing paid so far' ELSE paid_on_time || ' of ' || paid_invoices || ' paid on time' END AS reason
+        FROM (SELECT customer_id, count(*) AS invoices, {_total("amount")} AS overdue_amount, min(due_date) AS oldest_due_date,
+            CAST(date_diff('day', min(due_date), {AS_OF}) AS INT) AS days_past_due
+          FROM invoice WHERE status = 'OPEN' AND due_date < {AS_OF} GROUP BY customer_id)
+        LEFT JOIN (SELECT customer_id, customer_name FROM account) USING (customer_id)
+        LEFT JOIN (SELECT customer_id, n AS paid_invoices, k AS paid_on_time,
+            round((p + 3.8416 / 2 / n - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 4) AS on_time_low
+          FROM (SELECT customer_id, count(*) AS n, count(*) FILTER (WHERE paid_date <= due_date) AS k,
+              CAST(count(*) FILTER (WHERE paid_date <= due_date) AS DOUBLE) / count(*) AS p
+            FROM invoice WHERE paid_date <= {AS_OF} GROUP BY customer_id)) USING (customer_id)""",
 )
 _CTES["over"] = (
     ("latest_stock", "sales"),
@@ -352,15 +361,15 @@ _LEVELS = f"""SELECT {_total("planned_cash_amt", f"forecast_run_date = {AS_OF}")
 
 # The Spark rules without look-behind and possessive quantifiers, which only save time there.
 _RULES = (
-    ("amount", r"(?:\$|\b(?i:USD|EUR) ?)[0-9][0-9,]*(?:\.[0-9]+)?", 0, None),
-    ("amount", r"[0-9](?:[0-9,.]*[0-9])? ?(?i:USD|EUR)\b", 0, None),
+    ("amount", r"(?:\$|\b(?i:USD|EUR) ?)[0-9]+(?:,[0-9]+)*(?:\.[0-9]+)?", 0, None),
+    ("amount", r"[0-9]+(?:[,.][0-9]+)* ?(?i:USD|EUR)\b", 0, None),
     ("terms_days", r"\b(?i:net)[ -]?([0-9]+)", 1, None),
     ("discount_pct", r"([0-9]+(?:\.[0-9]+)?) ?%", 1, None),
     ("reason", r"(?i)short[- ]ship(?:ped|ment)?", 0, "short-ship"),
     ("reason", r"(?i)(?:quality (?:defect|issue)|defective)", 0, "quality defect"),
     ("reason", r"(?i)pric(?:e|ing) (?:discrepancy|difference|error)", 0, "pricing discrepancy"),
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0, None),
-    ("phone", r"[0-9]{3}-[0-9]{3}-[0-9]{4}", 0, None),
+    ("phone", r"\b[0-9]{3}-[0-9]{3}-[0-9]{4}\b", 0, None),
     ("licence", r"(?:MIT License|Apache License|GNU General Public License|Creative Commons)", 0, None),
 )
 
