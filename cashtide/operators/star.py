@@ -80,8 +80,10 @@ class Partial:
     first: Column
     again: str  # "sum", "min", "max"
 
-    def merged(self) -> Column:
-        return {"sum": F.sum, "min": F.min, "max": F.max}[self.again](F.col(self.name)).alias(self.name)
+    def merged(self, where: Column | None = None) -> Column:
+        """The second step, of the first step's results that meet a condition."""
+        value = F.col(self.name) if where is None else F.when(where, F.col(self.name))
+        return {"sum": F.sum, "min": F.min, "max": F.max}[self.again](value).alias(self.name)
 
 
 def sums(**inputs: str) -> list[Partial]:
@@ -130,6 +132,49 @@ def aggregate_by_attributes(
     return joined.groupBy(*keys).agg(*(p.merged() for p in partials))
 
 
+def aggregate_by_sets(
+    fact: DataFrame,
+    lookups: Sequence[Lookup],
+    by: Sequence[tuple[str, str]],
+    sets: Sequence[Sequence[str]],
+    partials: Sequence[Partial],
+    keep: Column | None = None,
+    carry: Sequence[str] = (),
+    level: tuple[str, Column] | None = None,
+) -> DataFrame:
+    """``aggregate_by_attributes`` at several grains in one pass, with ``grouping_id`` to tell them apart.
+
+    ``sets`` names the fields of ``by`` of each grain. The fact is first summed at the finest grain;
+    each of those sums is then repeated once per set and summed again, so no set reads the fact
+    anew. Bit k of ``grouping_id``, counted from the last field, is set where a grain leaves that field
+    out: its NULL then means all values, where otherwise it means an unknown one.
+
+    ``level`` is for sums that do not add up over time: the time field's name and a condition on it
+    that the newest rows meet. A grain without the time field sums those rows only, and has no group
+    where there are none.
+    """
+    names = [name for name, _ in by]
+    unknown = {name for group in sets for name in group} - set(names)
+    if unknown or len({frozenset(group) for group in sets}) < len(sets) or not sets:
+        raise ValueError(f"sets of fields must be different and name fields of the query: {sorted(unknown)}")
+    fine = aggregate_by_attributes(fact, lookups, by, partials, keep, carry)
+    # The fields come again under other names: the repeated ones are NULL where a set leaves them out.
+    inner = fine.select(*(F.col(name).alias(f"__{name}") for name in names), *(F.col(name) for name in names), *(p.name for p in partials))
+    grouped = inner.groupingSets([[F.col(f"__{name}") for name in group] for group in sets], *(F.col(f"__{name}") for name in names))
+    number = F.grouping_id(*(F.col(f"__{name}") for name in names)).cast("bigint").alias("grouping_id")
+    if level is None:
+        found = grouped.agg(number, *(p.merged() for p in partials))
+    else:
+        time, newest = level
+        every = [p.merged().alias(f"__all_{p.name}") for p in partials]
+        latest = [p.merged(newest).alias(f"__new_{p.name}") for p in partials]
+        found = grouped.agg(number, F.count(F.when(newest, 1)).alias("__seen"), F.grouping(f"__{time}").alias("__over"), *every, *latest)
+        found = found.filter("__over = 0 OR __seen > 0").withColumns(
+            {p.name: F.when(F.col("__over") == 0, F.col(f"__all_{p.name}")).otherwise(F.col(f"__new_{p.name}")) for p in partials}
+        )
+    return found.select(*(F.col(f"__{name}").alias(name) for name in names), "grouping_id", *(p.name for p in partials))
+
+
 def join_groups(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on group columns, NULL being a group like any other, so that no group is lost."""
     if not by:

@@ -6,6 +6,7 @@ Fixed values: names, sources, filters, display names, synonyms and formats of fi
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 
@@ -122,7 +123,12 @@ def ap_view(payments: DataFrame, suppliers: DataFrame) -> MetricView:
 
 
 def inventory_view(
-    snapshot: DataFrame, products: DataFrame, stores: DataFrame, latest: dt.date | None = None
+    snapshot: DataFrame,
+    products: DataFrame,
+    stores: DataFrame,
+    latest: dt.date | None = None,
+    builder: Callable[[Sequence[dt.date]], DataFrame] | None = None,
+    weeks: Sequence[dt.date] = (),
 ) -> MetricView:
     return MetricView(
         "mv_inventory",
@@ -166,6 +172,8 @@ def inventory_view(
         ),
         latest_by="week_ending_date",
         latest=latest,
+        builder=builder,
+        weeks=tuple(weeks),
         comment="Weekly stock at cost, its age and its expected markdown.",
     )
 

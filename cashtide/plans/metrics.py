@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cashtide.functions.amounts import TOTAL
-from cashtide.operators.star import Lookup, Partial, aggregate_by_attributes, at_latest, star_join
+from cashtide.operators.star import Lookup, Partial, aggregate_by_attributes, aggregate_by_sets, at_latest, star_join
 
 _ANY = object()
 Condition = Any | Sequence[Any] | Callable[[Column], Column]
@@ -83,7 +83,8 @@ class MetricView:
 
     ``latest_by`` names the time field of a snapshot: a query that does not group by it is answered
     for one snapshot only, the newest that meets its filters, since levels do not add up over
-    time. Without a filter on it that is ``latest``, where given.
+    time. Without a filter on it that is ``latest``, where given. A view whose snapshots are worked
+    out on demand has ``builder``, which makes the fact for some of ``weeks``; ``source`` has all of them.
     """
 
     name: str
@@ -94,6 +95,8 @@ class MetricView:
     filter: str | None = None
     latest_by: str | None = None
     latest: dt.date | None = None
+    builder: Callable[[Sequence[dt.date]], DataFrame] | None = None
+    weeks: tuple[dt.date, ...] = ()
     comment: str = ""
     _index: Mapping[str, Any] = field(init=False, repr=False, compare=False, default=None)
 
@@ -181,19 +184,38 @@ def _metadata(item: Field | Measure | Composed) -> dict[str, Any]:
     }
 
 
+def _weeks(view: MetricView, dims: Sequence[str], wanted: Condition) -> list[dt.date] | None:
+    """The snapshots that a query needs, where its filter names them; None for all."""
+    listed = list(wanted) if isinstance(wanted, (list, tuple, set, frozenset)) else [wanted]
+    if wanted is not _ANY and not all(isinstance(d, dt.date) for d in listed):
+        return None
+    known = sorted(view.weeks if wanted is _ANY else set(listed) & set(view.weeks))
+    return known if view.latest_by in dims else known[-1:]
+
+
 def metric_query(
     view: MetricView,
     dims: Sequence[str],
     measures: Sequence[str],
     where: Mapping[str, Condition] | None = None,
+    sets: Sequence[Sequence[str]] | None = None,
 ) -> DataFrame:
     """Group a view by fields and evaluate measures; only the lookups in use are joined.
 
     ``where`` maps fields to a value, a list of values, or a function from a column to a condition.
+    ``sets`` asks for several grains at once, each a subset of ``dims``: the result then has
+    ``grouping_id`` behind its fields (see ``aggregate_by_sets``), composed measures are taken at every
+    grain, and a level is that of one snapshot at each grain that does not name the time.
     """
     where = dict(where or {})
     used = [view.field(name) for name in (*dims, *where)]
-    fact = view.source if view.filter is None else view.source.filter(view.filter)
+    source = view.source
+    if view.latest_by is not None and view.builder is not None:
+        weeks = _weeks(view, dims, where.get(view.latest_by, _ANY))
+        # Only the snapshots that the query asks for are worked out.
+        source = source if weeks is None else view.builder(weeks) if weeks else source.limit(0)
+    fact = source if view.filter is None else source.filter(view.filter)
+    level = None
     if view.latest_by is not None and view.latest_by not in dims:
         time = view.field(view.latest_by).source.split(".", 1)[1]
         wanted = where.pop(view.latest_by, _ANY)
@@ -201,8 +223,21 @@ def metric_query(
             fact = at_latest(fact, time, view.latest)
         elif isinstance(wanted, dt.date):
             fact = fact.filter(F.col(time) == F.lit(wanted))
+        elif view.builder is not None and weeks:
+            fact = fact.filter(F.col(time) == F.lit(weeks[-1]))
         else:
             fact = at_latest(fact.filter(_condition(F.col(time), wanted)), time)
+    elif view.latest_by is not None and sets is not None and not all(view.latest_by in group for group in sets):
+        time = view.field(view.latest_by).source.split(".", 1)[1]
+        wanted = where.get(view.latest_by, _ANY)
+        if wanted is _ANY and view.latest is not None:
+            newest = F.lit(view.latest)
+        elif isinstance(wanted, dt.date):
+            newest = F.lit(wanted)
+        else:
+            kept = fact if wanted is _ANY else fact.filter(_condition(F.col(time), wanted))
+            newest = kept.agg(F.max(time)).scalar()
+        level = (view.latest_by, F.col(view.latest_by) == newest)
     # Conditions on the fact go first; the others need their dimension.
     own = [f for f in used if f.lookup == "fact"]
     outer: Column | None = None
@@ -217,17 +252,17 @@ def metric_query(
     needed = {f.lookup for f in used} - {"fact"}
     lookups = [lookup for lookup in view.lookups if lookup.name in needed]
     atoms = _atoms(view, measures)
-    grouped = aggregate_by_attributes(
-        fact,
-        lookups,
-        [(name, view.field(name).source) for name in dims],
-        [partial for atom in atoms for partial in atom.partials()],
-        keep=outer,
-    )
-    plain = grouped.selectExpr(*dims, *(atom.result() for atom in atoms))
+    by = [(name, view.field(name).source) for name in dims]
+    partials = [partial for atom in atoms for partial in atom.partials()]
+    if sets is None:
+        grouped, keys = aggregate_by_attributes(fact, lookups, by, partials, keep=outer), list(dims)
+    else:
+        grouped, keys = aggregate_by_sets(fact, lookups, by, sets, partials, keep=outer, level=level), [*dims, "grouping_id"]
+    plain = grouped.selectExpr(*keys, *(atom.result() for atom in atoms))
     evaluated = _evaluate(view, plain, measures, set())
     return evaluated.select(
         *(F.col(name).alias(name, metadata=_metadata(view.field(name))) for name in dims),
+        *keys[len(dims) :],
         *(F.col(name).alias(name, metadata=_metadata(view.measure(name))) for name in measures),
     )
 

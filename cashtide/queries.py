@@ -24,7 +24,7 @@ from cashtide.plans.reconcile import quarter_end_totals, reconcile, same_result
 from cashtide.schemas import TRADE_SCHEMAS
 from cashtide.session import stage
 from cashtide.sources.model import CASH_IN_SHARES, CASH_OUT_SHARES, Model
-from cashtide.sources.tables import date_ranges, read_tables, stacked, table_counts
+from cashtide.sources.tables import date_ranges, read_tables, saved_copy, stacked, table_counts
 
 AS_OF = dt.date(2001, 6, 30)
 QUARTER_END = dt.date(2001, 9, 30)
@@ -67,6 +67,11 @@ def _stock(m: Model) -> DataFrame:
     return m.inventory([m.as_of])
 
 
+def _stock_view(m: Model) -> MetricView:
+    """Twelve weeks of snapshots, of which a query works out those it asks for."""
+    return inventory_view(m.inventory(), m.products(), m.stores(), m.as_of, m.inventory, m.snapshot_weeks())
+
+
 def _rates(m: Model) -> DataFrame:
     return kpis.sell_through(_recent_sales(m, "product_id", "units_sold"), _stock(m), m.products(), m.as_of)
 
@@ -201,7 +206,7 @@ def q_mv_cash_current(m: Model) -> DataFrame:
 @query
 def q_mv_inventory(m: Model) -> DataFrame:
     """Twelve weeks of snapshots; without a week in the query only the newest counts."""
-    view = inventory_view(m.inventory(), m.products(), m.stores(), m.as_of)
+    view = _stock_view(m)
     found = metric_query(view, ["department", "category", "region"], [x.name for x in view.measures])
     return found.withColumn("inventory_aged_pct", F.round("inventory_aged_pct", 4))
 
@@ -209,14 +214,14 @@ def q_mv_inventory(m: Model) -> DataFrame:
 @query
 def q_mv_inventory_weeks(m: Model) -> DataFrame:
     """Grouped by week, every snapshot counts once."""
-    view = inventory_view(m.inventory(), m.products(), m.stores(), m.as_of)
+    view = _stock_view(m)
     return metric_query(view, ["week_ending_date", "aging_bucket"], ["on_hand_units", "on_hand_cost"])
 
 
 @query
 def q_mv_inventory_two_weeks(m: Model) -> DataFrame:
     """A filter that two weeks meet: a level is still that of one week, the newest of them."""
-    view = inventory_view(m.inventory(), m.products(), m.stores(), m.as_of)
+    view = _stock_view(m)
     weeks = [m.as_of - dt.timedelta(weeks=2), m.as_of - dt.timedelta(weeks=1)]
     return metric_query(view, ["region"], ["on_hand_units", "on_hand_cost"], {"week_ending_date": weeks})
 
@@ -276,7 +281,7 @@ def q_mv_ap_dates(m: Model) -> DataFrame:
 
 @query
 def q_mv_aged(m: Model) -> DataFrame:
-    view = inventory_view(m.inventory(), m.products(), m.stores(), m.as_of)
+    view = _stock_view(m)
     found = metric_query(
         view, ["department", "category"], ["aged_inventory_cost"], {"week_ending_date": m.as_of, "is_aged": True}
     )
@@ -315,6 +320,24 @@ def q_mv_sales(m: Model) -> DataFrame:
     return metric_query(view, ["department", "region", "location_type"], [x.name for x in view.measures])
 
 
+@query
+def q_mv_sales_sets(m: Model) -> DataFrame:
+    """Sales by department and region, by each alone, and in all, in one pass."""
+    view = sales_view(m.sales("date_key", "product_id", "store_id", "net_sales_amt", "units_sold"), m.products(), m.stores())
+    sets = [["category", "region"], ["category"], ["region"], []]
+    return metric_query(view, ["category", "region"], ["net_sales", "units_sold"], sets=sets)
+
+
+@query
+def q_mv_inventory_sets(m: Model) -> DataFrame:
+    """Stock and its aged share by week and region; without the week only the newest one counts."""
+    sets = [["week_ending_date", "region"], ["week_ending_date"], ["region"], []]
+    found = metric_query(
+        _stock_view(m), ["week_ending_date", "region"], ["on_hand_units", "on_hand_cost", "inventory_aged_pct"], sets=sets
+    )
+    return found.withColumn("inventory_aged_pct", F.round("inventory_aged_pct", 4))
+
+
 @query
 def q_metric_filtered(m: Model) -> DataFrame:
     """Filters on a dimension field and on a fact field, before aggregation."""
@@ -323,6 +346,25 @@ def q_metric_filtered(m: Model) -> DataFrame:
     return metric_query(view, ["store_name"], ["net_sales", "units_sold"], where)
 
 
+@query
+def q_saved_model(m: Model) -> DataFrame:
+    """The working-capital cycle over facts that were written by date and read back by name.
+
+    Written are the quarter's sales and payments and twelve weeks of snapshots, which are what the
+    cycle reads of them; a folder per day of all years takes minutes on one machine.
+    """
+    facts = {
+        "fact_sales": m.sales().filter(trailing("date_key", m.as_of, 90)),
+        "fact_inventory_snapshot": m.inventory(),
+        "fact_ap_payments": _recent_payments(m),
+    }
+    _, saved = saved_copy(facts)
+    return kpis.working_capital_cycle(
+        saved["fact_sales"], saved["fact_inventory_snapshot"], m.receivables(False), saved["fact_ap_payments"], m.as_of,
+        latest=m.as_of,
+    )
+
+
 # preparation --------------------------------------------------------------------------------------
 
 
@@ -561,7 +603,7 @@ def q_evidence_conversations(m: Model) -> DataFrame:
 def _apart(m: Model) -> DataFrame:
     """What the checks compare with, from the trade tables and the facts at the prior run, not from a forecast."""
     late = f"o_orderstatus = 'P' AND o_orderdate < DATE'{m.as_of + dt.timedelta(days=1)}'"
-    late += f" AND o_orderdate >= DATE'{m.quarter_end - dt.timedelta(days=104)}'"
+    late += f" AND o_orderdate >= DATE'{m.quarter_end - dt.timedelta(days=104)}' AND {Model.invoiced('o_custkey')}"
     trade = m.source["orders"].filter(late).agg(
         total("CAST(o_totalprice AS DECIMAL(12,2))", "o_orderkey % 3 <> 0").alias("disputed_apart"),
         total("CAST(o_totalprice AS DECIMAL(12,2))", "o_orderkey % 3 = 0").alias("slipped_apart"),
@@ -575,6 +617,24 @@ def _apart(m: Model) -> DataFrame:
     return side_by_side([trade, gap])
 
 
+def _booked_once(m: Model) -> DataFrame:
+    """Cash in by category as the ledger has it, and order by order: an order is sold for cash or invoiced."""
+    booked = m.ledger().groupBy("cash_category").agg(total("cash_in_amt").alias("v")).filter("v <> 0")
+    net = (
+        "CAST(l_extendedprice AS DECIMAL(12,2)) "
+        "- CAST(round(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(4,2)), 2) AS DECIMAL(12,2))"
+    )
+    lines = m.source["lineitem"].groupBy("l_orderkey").agg(total(net).alias("sold"))
+    invoiced = Model.invoiced("o_custkey")
+    paid = f"o_orderstatus = 'F' AND o_orderdate < DATE'{m.as_of + dt.timedelta(days=1)}'"
+    each = m.source["orders"].join(lines, F.expr("o_orderkey = l_orderkey"), "left").selectExpr(
+        f"if({invoiced}, 'WHOLESALE_COLLECTIONS', 'SALES_RECEIPTS') AS cash_category",
+        f"CASE WHEN NOT ({invoiced}) THEN sold WHEN {paid} THEN CAST(o_totalprice AS DECIMAL(12,2)) END AS v",
+    )
+    apart = each.groupBy("cash_category").agg(total("v").alias("v")).filter("v <> 0")
+    return same_result("cash_in_booked_once", booked, apart, ["cash_category"], "v")
+
+
 @query
 def q_reconcile(m: Model) -> DataFrame:
     """Facts against the forecast, and each metric view against its base-table query."""
@@ -627,7 +687,7 @@ def q_reconcile(m: Model) -> DataFrame:
         )
         for found, value, driver in totals
     ]
-    return stacked([checks, *pairs, *ties])
+    return stacked([checks, *pairs, *ties, _booked_once(m)])
 
 
 @query

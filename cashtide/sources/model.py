@@ -144,9 +144,20 @@ class Model:
             .selectExpr("*", f"CAST(gross_sales_amt - discount_amt AS {MONEY}) AS net_sales_amt")
         )
 
-    def sales_by_day(self) -> DataFrame:
-        """Net sales per day. Lines add up per order first when orders are too big to broadcast."""
-        orders = self.source["orders"].selectExpr("o_orderkey", f"{_ORDERED} AS date_key")
+    @staticmethod
+    def invoiced(customer: str) -> str:
+        """Whether a customer buys on account: its orders are invoiced and collected, all others are paid at once.
+
+        Every order is one of the two, so that its value comes in once. Each fourth customer has an account.
+        """
+        return f"coalesce({customer} % 4 = 0, false)"
+
+    def sales_by_day(self, paid_at_once: bool = False) -> DataFrame:
+        """Net sales per day, all or those paid at once. Lines add up per order first when orders are too big to broadcast."""
+        orders = self.source["orders"]
+        if paid_at_once:
+            orders = orders.filter(f"NOT ({self.invoiced('o_custkey')})")
+        orders = orders.selectExpr("o_orderkey", f"{_ORDERED} AS date_key")
         return aggregate_by_attributes(
             self._priced_lines(),
             [Lookup("orders", orders, "l_orderkey", "o_orderkey")],
@@ -156,8 +167,8 @@ class Model:
         )
 
     def receivables(self, with_channel: bool = True) -> DataFrame:
-        """Invoices issued up to the as-of day. The channel is looked up row by row, in salted parts."""
-        issued = self.source["orders"].filter(f"{_ORDERED} <= {date_sql(self.as_of)}")
+        """Invoices of customers with an account, issued up to the as-of day. The channel is looked up row by row, in salted parts."""
+        issued = self.source["orders"].filter(f"{_ORDERED} <= {date_sql(self.as_of)} AND {self.invoiced('o_custkey')}")
         invoices = issued.selectExpr(
             "o_orderkey AS invoice_id",
             "o_custkey AS customer_id",
@@ -277,7 +288,7 @@ class Model:
         paid = self.receivables(False).filter("paid_date IS NOT NULL")
         flows = stacked(
             [
-                _flow(self.sales_by_day(), "date_key", "SALES_RECEIPTS", "net_sales_amt", None),
+                _flow(self.sales_by_day(paid_at_once=True), "date_key", "SALES_RECEIPTS", "net_sales_amt", None),
                 _flow(paid, "paid_date", "WHOLESALE_COLLECTIONS", "amount", None),
                 _flow(self.payables(), "actual_pay_date", "SUPPLIER_PAYMENTS", None, "invoice_amt"),
             ]
@@ -291,7 +302,7 @@ class Model:
     def cash_balance(self, end: dt.date) -> DataFrame:
         """``(v)``: net cash up to a day, one row per kind of flow, without its history."""
         limit = date_sql(end)
-        sold = self.sales_by_day().filter(f"date_key <= {limit}").agg(total("net_sales_amt").alias("v"))
+        sold = self.sales_by_day(paid_at_once=True).filter(f"date_key <= {limit}").agg(total("net_sales_amt").alias("v"))
         paid = self.receivables(False).filter(f"paid_date <= {limit}").agg(total("amount").alias("v"))
         out = self.payables(until=end).agg(total("-invoice_amt").alias("v"))
         return stacked([sold, paid, out])

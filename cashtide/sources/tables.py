@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator, Mapping
 from functools import reduce
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cashtide.schemas import FACT_DATES, SCHEMAS, TABLE_COMMENTS, conform
+from cashtide.session import shared_dir
 
 
 class ParquetTables(Mapping):
@@ -89,11 +91,26 @@ def write_table(
     writer.saveAsTable(name)
 
 
-def save_model(tables: Mapping[str, DataFrame]) -> None:
-    """Write model tables in their declared types, facts by date, with all comments."""
+def save_model(tables: Mapping[str, DataFrame], schema: str | None = None) -> None:
+    """Write model tables in their declared types, facts by date, with all comments, into a schema or the current one."""
     for name, df in tables.items():
-        write_table(conform(df, SCHEMAS[name]), name, FACT_DATES.get(name))
-        comment_table(df.sparkSession, name, TABLE_COMMENTS[name])
+        full = name if schema is None else f"{schema}.{name}"
+        write_table(conform(df, SCHEMAS[name]), full, FACT_DATES.get(name))
+        comment_table(df.sparkSession, full, TABLE_COMMENTS[name])
+
+
+def saved_copy(tables: Mapping[str, DataFrame]) -> tuple[str, dict[str, DataFrame]]:
+    """The name of a new schema in the shared folder, and tables written there by ``save_model``, read back by name.
+
+    Each call has a schema of its own, to be dropped with ``DROP SCHEMA ... CASCADE`` when it is no
+    longer read. Facts come back partitioned by date, so that a condition on their date reads the
+    folders of those days and no others.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    schema = f"model_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE SCHEMA {schema} LOCATION {_quoted(f'{shared_dir(spark)}/cashtide/{schema}')}")
+    save_model(tables, schema)
+    return schema, {name: spark.table(f"{schema}.{name}") for name in tables}
 
 
 def create_view(spark: SparkSession, name: str, query: str, comment: str) -> None:

@@ -68,7 +68,7 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "sales": (
         ("product",),
-        f"""SELECT CAST(o_orderdate AS DATE) AS date_key, l_partkey AS product_id, c_nationkey AS store_id,
+        f"""SELECT CAST(o_orderdate AS DATE) AS date_key, l_partkey AS product_id, c_nationkey AS store_id, o_custkey % 4 = 0 AS invoiced,
               CAST(l_quantity AS INT) AS units_sold, CAST(l_extendedprice AS {MONEY}) AS gross_sales_amt,
               CAST(round(CAST(l_extendedprice AS {MONEY}) * CAST(l_discount AS DECIMAL(4,2)), 2) AS {MONEY}) AS discount_amt,
               CAST(CAST(l_extendedprice AS {MONEY})
@@ -93,7 +93,7 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
                 CASE WHEN o_orderstatus = 'F' THEN 'PAID' WHEN o_orderstatus = 'O' THEN 'OPEN'
                   WHEN o_orderkey % 3 = 0 THEN 'SLIPPED' ELSE 'DISPUTED' END AS status,
                 CAST(o_orderdate AS DATE) + CASE WHEN o_orderstatus = 'P' THEN 105 ELSE 60 END AS expected_cash_date
-              FROM orders WHERE CAST(o_orderdate AS DATE) <= {AS_OF}) i LEFT JOIN customer ON customer_id = c_custkey""",
+              FROM orders WHERE CAST(o_orderdate AS DATE) <= {AS_OF} AND o_custkey % 4 = 0) i LEFT JOIN customer ON customer_id = c_custkey""",
     ),
     "payment": (
         (),
@@ -148,12 +148,12 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
         f"""SELECT ledger_date, cash_category, cash_in_amt, cash_out_amt, CAST(cash_in_amt - cash_out_amt AS {TOTAL}) AS net_cash_amt,
               CAST(day_balance AS {TOTAL}) AS running_cash_balance
             FROM (
-              SELECT date_key AS ledger_date, 'SALES_RECEIPTS' AS cash_category, {_total("net_sales_amt")} AS cash_in_amt, CAST(0 AS {TOTAL}) AS cash_out_amt FROM sales GROUP BY 1
+              SELECT date_key AS ledger_date, 'SALES_RECEIPTS' AS cash_category, {_total("net_sales_amt")} AS cash_in_amt, CAST(0 AS {TOTAL}) AS cash_out_amt FROM sales WHERE NOT invoiced GROUP BY 1
               UNION ALL SELECT paid_date, 'WHOLESALE_COLLECTIONS', {_total("amount")}, 0 FROM invoice WHERE paid_date IS NOT NULL GROUP BY 1
               UNION ALL SELECT actual_pay_date, 'SUPPLIER_PAYMENTS', 0, {_total("invoice_amt")} FROM payment GROUP BY 1) f
             JOIN (SELECT d, sum(net) OVER (ORDER BY d) AS day_balance FROM (
                 SELECT d, sum(net) AS net FROM (
-                  SELECT date_key AS d, net_sales_amt AS net FROM sales
+                  SELECT date_key AS d, net_sales_amt AS net FROM sales WHERE NOT invoiced
                   UNION ALL SELECT paid_date, amount FROM invoice WHERE paid_date IS NOT NULL
                   UNION ALL SELECT actual_pay_date, -invoice_amt FROM payment) GROUP BY d)) b ON d = ledger_date""",
     ),
@@ -455,6 +455,11 @@ ORACLE_SQL: dict[str, str] = {
              round(dso + dio - dpo, 1) AS ccc_days FROM cycle""",
         "cycle",
     ),
+    "q_saved_model": _sql(
+        """SELECT round(dso, 1) AS dso_days, round(dpo, 1) AS dpo_days, round(dio, 1) AS dio_days,
+             round(dso + dio - dpo, 1) AS ccc_days FROM cycle""",
+        "cycle",
+    ),
     "q_mv_cash": _sql(f"SELECT forecast_run_date, driver, {_CASH_MEASURES} FROM at_end GROUP BY 1, 2", "at_end"),
     "q_mv_cash_weeks": _sql(
         f"""SELECT forecast_week_ending, {_total("projected_cash_amt")} AS projected_cash, {_total("variance_amt")} AS cash_variance
@@ -548,6 +553,28 @@ ORACLE_SQL: dict[str, str] = {
             FROM sales LEFT JOIN product USING (product_id) LEFT JOIN store USING (store_id) GROUP BY 1, 2, 3""",
         "sales", "product", "store",
     ),
+    "q_mv_sales_sets": _sql(
+        f"""SELECT category, region, grouping(category, region) AS grouping_id, {_total("net_sales_amt")} AS net_sales,
+              CAST(sum(units_sold) AS BIGINT) AS units_sold
+            FROM sales LEFT JOIN product USING (product_id) LEFT JOIN store USING (store_id)
+            GROUP BY GROUPING SETS ((category, region), (category), (region), ())""",
+        "sales", "product", "store",
+    ),
+    "q_mv_inventory_sets": _sql(
+        " UNION ALL ".join(
+            f"""SELECT {week} AS week_ending_date, {region} AS region, CAST({number} AS BIGINT) AS grouping_id,
+                  CAST(sum(on_hand_units) AS BIGINT) AS on_hand_units, {_total("on_hand_cost")} AS on_hand_cost,
+                  round(CAST({_total("on_hand_cost", "is_aged")} AS DOUBLE) / nullif(CAST({_total("on_hand_cost")} AS DOUBLE), 0), 4) AS inventory_aged_pct
+                FROM {source} LEFT JOIN store s USING (store_id) {grain}"""
+            for week, region, number, source, grain in (
+                ("week_ending_date", "s.region", 0, "stock", "GROUP BY week_ending_date, s.region"),
+                ("week_ending_date", "CAST(NULL AS VARCHAR)", 1, "stock", "GROUP BY week_ending_date"),
+                ("CAST(NULL AS DATE)", "s.region", 2, "latest_stock", "GROUP BY s.region"),
+                ("CAST(NULL AS DATE)", "CAST(NULL AS VARCHAR)", 3, "latest_stock", ""),
+            )
+        ),
+        "stock", "latest_stock", "store",
+    ),
     "q_metric_filtered": _sql(
         f"""SELECT store_name, {_total("net_sales_amt")} AS net_sales, CAST(sum(units_sold) AS BIGINT) AS units_sold
             FROM sales LEFT JOIN store USING (store_id)
@@ -738,7 +765,7 @@ ORACLE_SQL: dict[str, str] = {
                 {{'check': 'cash_view', 'actual': 0, 'expected': 0}}, {{'check': 'inventory_view', 'actual': 0, 'expected': 0}},
                 {{'check': 'ar_view', 'actual': 0, 'expected': 0}}, {{'check': 'ap_view', 'actual': 0, 'expected': 0}},
                 {{'check': 'inventory_trap_total', 'actual': 0, 'expected': 0}}, {{'check': 'collections_slowdown_total', 'actual': 0, 'expected': 0}},
-                {{'check': 'ap_acceleration_total', 'actual': 0, 'expected': 0}}], recursive := true)
+                {{'check': 'ap_acceleration_total', 'actual': 0, 'expected': 0}}, {{'check': 'cash_in_booked_once', 'actual': 0, 'expected': 0}}], recursive := true)
               FROM ({_LEVELS}),
                 (SELECT {_zero(_total("on_hand_cost", "is_aged"))} AS aged FROM latest_stock),
                 (SELECT {_zero(_total("cash_impact_vs_plan_amt", "status = 'DISPUTED'"))} AS disputed,
@@ -747,7 +774,7 @@ ORACLE_SQL: dict[str, str] = {
                   WHERE actual_pay_date <= {AS_OF}),
                 (SELECT {_zero(_total("CAST(o_totalprice AS DECIMAL(12,2))", "o_orderkey % 3 <> 0"))} AS disputed_apart,
                   {_zero(_total("CAST(o_totalprice AS DECIMAL(12,2))", "o_orderkey % 3 = 0"))} AS slipped_apart FROM orders
-                  WHERE o_orderstatus = 'P' AND CAST(o_orderdate AS DATE) <= {AS_OF} AND CAST(o_orderdate AS DATE) + 105 > {QUARTER_END}),
+                  WHERE o_orderstatus = 'P' AND o_custkey % 4 = 0 AND CAST(o_orderdate AS DATE) <= {AS_OF} AND CAST(o_orderdate AS DATE) + 105 > {QUARTER_END}),
                 (SELECT (SELECT coalesce(sum(on_hand_cost), 0) FROM stock WHERE is_aged AND week_ending_date = {PRIOR_RUN})
                   + (SELECT coalesce(sum(cash_impact_vs_plan_amt), 0) FROM invoice WHERE invoice_date <= {PRIOR_RUN})
                   + (SELECT coalesce(sum(cash_impact_vs_plan_amt), 0) FROM payment WHERE days_early > 0 AND actual_pay_date <= {PRIOR_RUN}) AS prior_gap),
