@@ -39,6 +39,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, made longer until ``df`` has no column that is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(column: str):
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

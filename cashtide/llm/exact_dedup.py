@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cashtide.llm.common import staged, text_of
+from cashtide.llm.common import fresh, staged, text_of
 
 #: What white space is to this operator.
 _SPACE = " \t\n\x0b\x0c\r"
@@ -128,8 +128,8 @@ def exact_dedup(
 
 
 def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
-    row = "__row"
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns, whatever these are called."""
+    row = fresh("__row", docs)
     numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     digests = _digests(numbered, doc_id, text, F.col(row))
     stay = digest_groups(staged(digests, "digests")).select(F.col("seq").alias(row))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cashtide.llm.blocks import slices
-from cashtide.llm.common import components, staged, text_of
+from cashtide.llm.common import components, fresh, staged, text_of
 from cashtide.llm.shingles import MinMax, common, set_digest, shingle_sets
 
 _SETS = "doc_id long, n_shingles long, shingles binary"
@@ -141,7 +141,24 @@ def _group_links(grouped: DataFrame, sets: DataFrame, percent: int, stray_part:
     fields = ["leader", "doc_id", "n_shingles", "shingles"]
     strays = dealt.where("stray").select(*fields, F.lit(True).alias("stray"), own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
     members = dealt.select(*fields, F.lit(False).alias("stray"), F.explode(F.sequence(F.lit(0), F.col("strays") - 1)).alias("i"), place.alias("j"))
-    return strays.unionByName(members).groupBy("leader", "i", "j").applyInPandas(lambda block: _block_links(block, percent), "a long, b long")
+    # Dealt by block, also where a join before it was by leader: that would count as grouped by block already.
+    blocks = strays.unionByName(members).repartition("leader", "i", "j")
+    return blocks.groupBy("leader", "i", "j").applyInPandas(lambda block: _block_links(block, percent), "a long, b long")
+
+
+def _by_row(source: DataFrame, words: int, **options) -> DataFrame:
+    """``near_dedup`` where ids repeat with different texts: of rows, each with a number, then of ids through their rows."""
+    numbered = staged(source.where("doc_id is not null").withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = staged(near_dedup(numbered, "row", "t", words, **options), "by-row")
+    ids = numbered.select(F.col("doc_id").alias("id"), F.col("row").alias("doc_id"))
+    rows = staged(found.join(ids, "doc_id").select(F.col("doc_id").alias("row"), "id", "n_shingles", "component_id"), "ids")
+    # A component of rows stands for its rows; those of one id are tied to the first of them.
+    first = rows.groupBy("id").agg(F.min("component_id").alias("least"), F.max("component_id").alias("most")).where("least <> most")
+    ties = rows.join(first, "id").selectExpr("component_id a", "least b").where("a <> b")
+    joined = rows.join(components(ties).withColumnRenamed("node", "component_id"), "component_id", "left")
+    joined = staged(joined.select("id", "n_shingles", F.coalesce("root", "component_id").alias("root")), "joined")
+    least = joined.groupBy("root").agg(F.min("id").alias("component_id"))
+    return joined.join(least, "root").select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
 def near_dedup(
@@ -161,9 +178,9 @@ def near_dedup(
     Texts are sets of distinct shingles of ``words`` words; two are linked if their intersection is at
     least ``percent`` hundredths of their union. component_id is the smallest id reachable by links,
     kept is true for it. An empty or null text has no shingles and is linked with nothing; nor is a
-    row whose id is null (component_id null, kept true). Rows that repeat an id are one node, and of
-    their texts one stands for the id where it is compared. Ids are whole numbers. Other columns
-    are not read. An empty table gives no rows.
+    row whose id is null (component_id null, kept true). Rows that repeat an id are one node with the
+    links of all their texts, in whatever order they come. Ids are whole numbers. Other columns are
+    not read. An empty table gives no rows.
 
     Equal sets count once. Others become candidates where a band of min-max values agrees, and every
     candidate pair is either confirmed on the full sets or already connected through confirmed
@@ -175,6 +192,12 @@ def near_dedup(
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("t"))
     known = source.where("doc_id is not null")
+    unknown = _sets(source.where("doc_id is null"), words).select(
+        "doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")
+    )
+    texts = known.select("doc_id", F.xxhash64("t").alias("h")).groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    if not texts.where("low <> high").isEmpty():
+        return _by_row(source, words, percent=percent, rows=rows, bands=bands, stray_part=stray_part, part=part, few_most=few_most).unionByName(unknown)
     signed = staged(_signatures(known, words, rows, bands), "signatures")
     full = signed.where("n_shingles > 0")
     # Of equal sets the smallest id goes on.
@@ -221,19 +244,16 @@ def near_dedup(
     crowds = apart.join(crowded, "key", "left_semi").selectExpr("key leader", "doc_id", "stray")
     late = late.union(_group_links(crowds, sets, percent, stray_part, part))
 
-    # Repeated ids with different sets are one node too.
     edges = links.union(late).union(copies.select("doc_id", "rep"))
     found = components(edges).withColumnRenamed("node", "doc_id")
     joined = signed.select("doc_id", "n_shingles").join(found, "doc_id", "left")
     component = F.coalesce("root", "doc_id")
     out = joined.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
-    unknown = _sets(source.where("doc_id is null"), words)
-    return out.unionByName(
-        unknown.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    )
+    return out.unionByName(unknown)
 
 
 def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` but those of documents that ``near_dedup`` does not keep, with all their columns."""
-    gone = near_dedup(docs, doc_id, text, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(doc_id).cast("long") == F.col("__gone"), "left_anti")
+    name = fresh("__gone", docs)
+    gone = near_dedup(docs, doc_id, text, **options).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs[doc_id].cast("long") == gone[name], "left_anti")

@@ -50,3 +50,8 @@ def test_without_copies_keeps_columns(awkward):
     kept = without_copies(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(2, "a b"), (5, "c "), (6, None)]
+
+
+def test_columns_called_like_helpers_stay(spark):
+    docs = spark.createDataFrame([(1, "a b", 7, 1), (2, "ab", 8, 2), (3, "c", 9, 3)], "doc_id long, text string, __ROW int, __row_ int")
+    assert sorted(tuple(r) for r in without_copies(docs).collect()) == [(1, "a b", 7, 1), (3, "c", 9, 3)]

@@ -132,3 +132,43 @@ def test_components_of_chains_and_stars(spark):
     assert all(found[i] == 0 for i in range(61)) and all(found[i] == 100 for i in range(100, 150))
     assert found.get(300, 300) == 300
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_ids_with_several_texts_in_any_order(awkward):
+    """One id links what its texts link, whichever row comes first."""
+    draw = random.Random(8)
+    one, two, three = (" ".join(f"{k}{n}" for n in range(40)) for k in "abc")
+    rows = [(6, one), (5, one + " x"), (6, two), (7, two + " y"), (9, three), (9, ""), (8, three), (None, one), (9, three), (4, "alone")]
+    want = brute(rows, 5)
+    assert {r[2] for r in want if r[0] in (5, 6, 7)} == {5}
+    for _ in range(2):
+        draw.shuffle(rows)
+        assert result(near_dedup(awkward(rows).repartition(3))) == want
+    kept = without_near_copies(awkward(rows))
+    assert sorted({r.doc_id for r in kept.collect()}, key=str) == [4, 5, 8, None]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeated_ids_against_brute_force(awkward, seed):
+    draw = random.Random(seed)
+    bases = [[f"w{draw.randint(0, 400)}" for _ in range(draw.randint(8, 60))] for _ in range(12)]
+    rows = [(draw.randrange(40), edited(draw, draw.choice(bases), draw.choice([0, 0.02, 0.5]))) for _ in range(120)]
+    assert result(near_dedup(awkward(rows), words=2)) == brute(rows, 2)
+
+
+def test_columns_called_like_helpers_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c", 7), (2, "a b c", 8)], "doc_id long, text string, __GONE int")
+    assert [tuple(r) for r in without_near_copies(docs).collect()] == [(1, "a b c", 7)]
+
+
+def test_blocks_of_one_leader_are_dealt_out(spark):
+    """Also where the join on the leader before them becomes a broadcast at run time."""
+    sets = spark.range(400).selectExpr("id AS doc_id", "50L AS n_shingles", "CAST(repeat('abcdefgh', 50) AS BINARY) AS shingles")
+    grouped = spark.range(400).selectExpr("0L AS leader", "id AS doc_id", "id % 2 = 0 AS stray")
+    found = module._group_links(grouped, sets, 80, 500, 500)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    plan = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    before = plan[plan.index("FlatMapGroupsInPandas") :]
+    before = before[: before.index("Union")]
+    assert "hashpartitioning(leader" in before and ", j" in before
