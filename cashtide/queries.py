@@ -17,7 +17,7 @@ from cashtide.operators.star import Lookup, aggregate_by_attributes, side_by_sid
 from cashtide.plans import actions, evidence, kpis, reports, worksheet
 from cashtide.plans.alerts import cash_alert
 from cashtide.plans.briefing import briefing
-from cashtide.plans.forecast import balance_series, predict_cash_flow, rolling_weeks
+from cashtide.plans.forecast import backtested_forecast, balance_series, predict_cash_flow, rolling_weeks
 from cashtide.plans.metric_views import ap_view, ar_view, cash_forecast_view, inventory_view, sales_view
 from cashtide.plans.metrics import MetricView, metric_query
 from cashtide.plans.reconcile import quarter_end_totals, reconcile, same_result
@@ -545,6 +545,12 @@ def q_forecast_seasonal(m: Model) -> DataFrame:
     return predict_cash_flow(stage(m.ledger(), "ledger"), m.as_of, ahead, history_days=365, seasonal=True)
 
 
+@query
+def q_forecast_backtest(m: Model) -> DataFrame:
+    """The next thirteen weeks, with intervals from how far past forecasts were off."""
+    return backtested_forecast(m.ledger(), m.as_of, [7 * n for n in range(1, 14)])
+
+
 @query
 def q_rolling_weeks(m: Model) -> DataFrame:
     return rolling_weeks(stage(m.ledger(), "ledger"), m.as_of)

@@ -65,3 +65,17 @@ def test_whole_values_of_any_length_and_case(spark):
         (1, "discount_pct", long), (1, "terms_days", long), (1, "email", f"{'a' * 80}@{'b' * 300}.example"),
         (2, "terms_days", "30"), (2, "terms_days", "30"), (2, "amount", "usd 5"), (2, "amount", "3.50 EUR"), (2, "amount", "1,200.00eur"),
     ])
+
+
+def test_amounts_end_with_a_digit_and_phones_stand_alone(spark):
+    text = "$1,200, then USD 5, or 1.234.567,89 EUR and $3. Call 555-123-4567. Not 12345-678-90123 nor 1555-123-45678."
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    got = [(r.rule, r.value) for r in extract_evidence(docs, (*FINANCE_RULES, *CONTACT_RULES)).collect()]
+    assert got == [("amount", "$1,200"), ("amount", "USD 5"), ("amount", "$3"), ("amount", "1.234.567,89 EUR"), ("phone", "555-123-4567")]
+
+
+def test_time_is_in_proportion_to_length(spark):
+    """Ten million characters that begin an amount at every third place; in quadratic time they would take days."""
+    for piece in ("1,,", "1,", "$1", "1-"):
+        docs = spark.range(1).selectExpr("id AS doc_id", f"repeat('{piece}', {10_000_000 // len(piece)}) AS text")
+        assert extract_evidence(docs, FINANCE_RULES[:2] + CONTACT_RULES[1:2]).filter("rule = 'phone'").count() == 0

@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import random
 import statistics
 from decimal import Decimal
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cashtide.operators.projection import forecast_rows
 from cashtide.plans.alerts import cash_alert
-from cashtide.plans.forecast import predict_cash_flow, register_forecast, rolling_weeks
+from cashtide.plans.forecast import backtested_forecast, predict_cash_flow, register_forecast, rolling_weeks
 from cashtide.plans.kpis import deterioration
 from cashtide.plans.reports import waterfall
 from cashtide.plans.worksheet import driver_variance, plan_vs_projected
@@ -178,3 +179,35 @@ def test_rolling_weeks(spark):
     ]
     assert [int(r.closing_balance) for r in got] == [860, 790, 720, 650, 580, 510]
     assert [int(r.cash_out) for r in got[:3]] == [70, 70, 70]
+
+
+def test_intervals_are_as_wide_as_forecasts_were_wrong(spark):
+    """Against plain fits at every origin, on days with gaps."""
+    draw = random.Random(6)
+    days = [x for x in range(-150, 1) if draw.random() < 0.8 or x in (-150, 0)]
+    net = {x: draw.randrange(-500, 700) for x in days}
+    ledger = spark.createDataFrame([(golden.AS_OF + dt.timedelta(days=x), "ANY", Decimal(v)) for x, v in net.items()], "ledger_date date, cash_category string, net_cash_amt decimal(12,2)")
+    balance = {x: sum(net[y] for y in days if y <= x) for x in days}
+
+    def line(upto):
+        xs = [x for x in days if x <= upto]
+        ys = [balance[x] for x in xs]
+        n, mx, my = len(xs), sum(xs) / len(xs), sum(ys) / len(xs)
+        slope = sum((x - mx) * (y - my) for x, y in zip(xs, ys, strict=True)) / sum((x - mx) ** 2 for x in xs)
+        return n, slope, my - slope * mx
+
+    got = {r.horizon_days: r for r in backtested_forecast(ledger, golden.AS_OF, [1, 20, 400], level=0.9, least=30).collect()}
+    _, slope, intercept = line(0)
+    for h in (1, 20):
+        away = []
+        for x in days:
+            if len([d for d in days if d <= x]) >= 30 and x + h <= 0:
+                _, s, i = line(x)
+                away.append(abs(round(balance[max(d for d in days if d <= x + h)] - (i + s * (x + h)))))
+        away.sort()
+        width = away[math.ceil(0.9 * len(away)) - 1]
+        middle = round(intercept + slope * h)
+        assert got[h].origins == len(away)
+        assert [int(got[h][c]) for c in ("projected_balance", "lower_bound", "upper_bound")] == [middle, middle - width, middle + width]
+    # Nothing is known about so far ahead.
+    assert got[400].origins == 0 and got[400].lower_bound is None and got[400].projected_balance is not None

@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 from decimal import Decimal
 
@@ -214,3 +215,23 @@ def test_briefing(spark, forecast):
     assert got["change since the last forecast"].value == Decimal("-3000000.00")
     assert (got["AP_ACCELERATION"].lever, got["AP_ACCELERATION"].value) == ("defer payments", Decimal("-2000000.00"))
     assert got["open orders in weak categories"].value == Decimal("7500.00")
+
+
+def test_confidence_follows_the_payment_record(spark):
+    d = golden.AS_OF
+    old = d - dt.timedelta(days=90)
+    schema = "customer_id string, amount decimal(12,2), status string, dispute_flag boolean, due_date date, paid_date date"
+    paid = [(c, 1, "PAID", False, old, old + dt.timedelta(days=late)) for c, lates in (("A", [0] * 50), ("B", [0]), ("C", [0, 9] * 20)) for late in lates]
+    future = [("D", 1, "PAID", False, old, d + dt.timedelta(days=1))]
+    due = [(c, 10, "OPEN", False, old, None) for c in "ABCD"] + [("E", 10, "OPEN", True, old, None), ("F", 10, "OPEN", False, d, None)]
+    rows = [(c, Decimal(a), *rest) for c, a, *rest in paid + future + due]
+    invoices = spark.createDataFrame(rows, schema)
+    customers = spark.createDataFrame([(c, c.lower()) for c in "ABCDEF"], "customer_id string, customer_name string")
+    got = {r.customer_id: (r.confidence, r.reason, r.on_time_low) for r in actions.chase_collections(invoices, customers, d).collect()}
+    assert set(got) == set("ABCD")
+    assert got["A"][:2] == ("HIGH", "50 of 50 paid on time") and got["A"][2] == pytest.approx(0.9287, abs=1e-4)
+    # One payment on time is no record.
+    assert got["B"][0] == "LOW" and got["B"][2] == pytest.approx(0.2065, abs=1e-4)
+    assert got["C"][0] == "LOW" and got["D"] == ("UNKNOWN", "nothing paid so far", None)
+    only = actions.chase_collections(invoices, customers, d, 0.2, only_confident=True)
+    assert [r.customer_id for r in only.collect()] == ["A", "B", "C"]

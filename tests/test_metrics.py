@@ -1,3 +1,4 @@
+import datetime as dt
 from decimal import Decimal
 
 import golden
@@ -211,3 +212,69 @@ def test_a_level_is_that_of_one_snapshot_under_any_filter(spark):
     assert units({"week": day("2026-10-17")}) == [(1,)]
     assert units({"kind": "a", "week": lambda c: c >= F.lit(day("2026-10-17"))}) == [(100,)]
     assert units(None, ["week"]) == [(day("2026-10-17"), 1), (day("2026-10-24"), 30), (day("2026-10-31"), 100)]
+
+
+SALES = [("N", "a", 1, 10), ("N", "b", 2, 20), ("S", "a", 3, 30), (None, "a", 4, None)]
+
+
+def sales_by_area(spark):
+    fact = spark.createDataFrame(SALES, "area string, kind string, n int, v int")
+    return MetricView(
+        "m", fact,
+        fields=(Field("area", "fact.area"), Field("kind", "fact.kind")),
+        measures=(Measure("total", "sum", "v", type="bigint"), Measure("mean", "avg", "v"), Measure("rows", "count"), Composed("per_row", "total / rows", ("total", "rows"))),
+    )
+
+
+def test_each_set_is_a_query_of_its_own(spark):
+    view, names = sales_by_area(spark), ["total", "mean", "rows", "per_row"]
+    sets = [["area", "kind"], ["kind"], ["area"], []]
+    got = metric_query(view, ["area", "kind"], names, sets=sets).collect()
+    for number, group in enumerate(sets):
+        alone = metric_query(view, group, names).collect()
+        mine = [r for r in got if r["grouping_id"] == {0: 0, 1: 2, 2: 1, 3: 3}[number]]
+        assert sorted((tuple(r[c] for c in [*group, *names]) for r in mine), key=str) == sorted(map(tuple, alone), key=str)
+    # An unknown area is told from all areas.
+    assert {r["grouping_id"] for r in got if r["area"] is None and r["kind"] == "a"} == {0, 2}
+
+
+def test_sets_read_the_fact_once(spark):
+    plan = metric_query(sales_by_area(spark), ["area", "kind"], ["total"], sets=[["area"], ["kind"], []])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Expand") == 1 and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
+@pytest.mark.parametrize("sets", [[], [["area"], ["area"]], [["city"]]])
+def test_sets_are_checked(spark, sets):
+    with pytest.raises(ValueError, match="sets of fields"):
+        metric_query(sales_by_area(spark), ["area", "kind"], ["total"], sets=sets)
+
+
+@pytest.mark.parametrize("latest", [None, dt.date(2026, 1, 10)])
+def test_a_level_in_a_set_without_its_week_is_that_of_the_newest(spark, latest):
+    weeks = [dt.date(2026, 1, 3), dt.date(2026, 1, 10)]
+    rows = [(weeks[0], "x", 5), (weeks[0], "gone", 9), (weeks[1], "x", 7)]
+    fact = spark.createDataFrame(rows, "week date, place string, units int")
+    view = MetricView("s", fact, fields=(Field("week", "fact.week"), Field("place", "fact.place")),
+                      measures=(Measure("units", "sum", "units", type="bigint"),), latest_by="week", latest=latest)
+    got = {(r.week, r.place, r.grouping_id): r.units for r in metric_query(view, ["week", "place"], ["units"], sets=[["week"], ["place"], []]).collect()}
+    assert got == {(weeks[0], None, 1): 14, (weeks[1], None, 1): 7, (None, "x", 2): 7, (None, None, 3): 7}
+    older = metric_query(view, ["week", "place"], ["units"], {"week": weeks[0]}, sets=[["place"], []])
+    assert {(r.place, r.units) for r in older.collect()} == {("x", 5), ("gone", 9), (None, 14)}
+
+
+def test_only_the_snapshots_asked_for_are_built(spark):
+    weeks = tuple(dt.date(2026, 1, 3) + dt.timedelta(weeks=n) for n in range(4))
+    asked = []
+
+    def build(some):
+        asked.append(list(some))
+        return spark.createDataFrame([(w, n) for n, w in enumerate(some)], "week date, units int")
+
+    view = MetricView("s", build(weeks), fields=(Field("week", "fact.week"),), measures=(Measure("units", "sum", "units", type="bigint"),),
+                      latest_by="week", latest=weeks[-1], builder=build, weeks=weeks)
+    assert metric_query(view, [], ["units"]).collect()[0][0] == 0
+    assert metric_query(view, [], ["units"], {"week": list(weeks[:2])}).count() == 1
+    assert metric_query(view, ["week"], ["units"], {"week": weeks[1]}).count() == 1
+    assert metric_query(view, ["week"], ["units"]).count() == 4
+    assert metric_query(view, ["week"], ["units"], {"week": dt.date(2020, 1, 4)}).count() == 0
+    assert asked[1:] == [[weeks[3]], [weeks[1]], [weeks[1]], list(weeks)]

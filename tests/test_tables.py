@@ -1,3 +1,4 @@
+import datetime as dt
 import os
 
 import golden
@@ -15,6 +16,7 @@ from cashtide.sources.tables import (
     read_catalog,
     read_tables,
     save_model,
+    saved_copy,
     table_counts,
     write_table,
 )
@@ -141,3 +143,22 @@ def test_balances_of_any_size_conform(spark):
     big = spark.sql("SELECT DATE'2026-11-05' AS ledger_date, 'X' AS cash_category, CAST(1e15 AS DECIMAL(28,2)) AS running_cash_balance")
     assert conform(big, SCHEMAS["fact_cash_ledger"]).first().running_cash_balance == 10**15
 
+
+
+def test_a_saved_copy_is_read_by_the_days_asked_for(spark):
+    days = [dt.date(2026, 1, 3), dt.date(2026, 1, 10)]
+    columns = SCHEMAS["fact_sales"].fields
+    rows = spark.createDataFrame([(d, n) for n, d in enumerate(days * 2)], "date_key date, n int")
+    full = rows.select(*(F.col("date_key") if f.name == "date_key" else F.col("n").cast("string").cast(f.dataType).alias(f.name) for f in columns))
+    schema, saved = saved_copy({"fact_sales": full})
+    try:
+        newest = saved["fact_sales"].filter(F.col("date_key") == F.lit(days[1]))
+        plan = newest._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(date_key" in plan
+        assert newest.count() == 2 and len(newest.inputFiles()) < len(saved["fact_sales"].inputFiles())
+        assert saved["fact_sales"].schema.fieldNames()[-1] == "date_key"
+        other, _ = saved_copy({"fact_sales": full})
+        assert other != schema
+        spark.sql(f"DROP SCHEMA {other} CASCADE")
+    finally:
+        spark.sql(f"DROP SCHEMA {schema} CASCADE")

@@ -720,6 +720,33 @@ ORACLE_SQL: dict[str, str] = {
               JOIN effect ON wd = isodow(d)))""",
         "daily",
     ),
+    "q_forecast_backtest": _sql(
+        f"""SELECT * FROM (WITH points AS (SELECT CAST(date_diff('day', {AS_OF}, day) AS HUGEINT) AS x, balance,
+              CAST(round(balance, 0) AS HUGEINT) - first_value(CAST(round(balance, 0) AS HUGEINT)) OVER (ORDER BY day) AS y,
+              first_value(CAST(round(balance, 0) AS HUGEINT)) OVER (ORDER BY day) AS base FROM daily WHERE day <= {AS_OF}),
+          sums AS (SELECT x, balance, base, count(*) OVER o AS n, sum(x) OVER o AS sx, sum(x * x) OVER o AS sxx, sum(y) OVER o AS sy,
+              sum(x * y) OVER o AS sxy, sum(y * y) OVER o AS syy FROM points WINDOW o AS (ORDER BY x ROWS UNBOUNDED PRECEDING)),
+          line AS (SELECT *, CAST(base AS DOUBLE) + (CAST(sy AS DOUBLE) - slope * sx) / n AS intercept FROM (
+            SELECT *, CAST(n * sxx - sx * sx AS DOUBLE) AS dxx,
+              CAST(n * sxy - sx * sy AS DOUBLE) / CAST(n * sxx - sx * sx AS DOUBLE) AS slope,
+              sqrt(greatest(0.0, CAST(n * syy - sy * sy AS DOUBLE) - CAST(n * sxy - sx * sy AS DOUBLE) * CAST(n * sxy - sx * sy AS DOUBLE)
+                / CAST(n * sxx - sx * sx AS DOUBLE)) / n / (n - 2)) AS spread
+            FROM sums WHERE n > 2)),
+          ahead AS (SELECT CAST(7 * k AS HUGEINT) AS h FROM range(1, 14) AS r(k)),
+          tried AS (SELECT h, n, sx, dxx, spread, l.x + h AS xa, intercept + slope * CAST(l.x + h AS DOUBLE) AS mid,
+              (SELECT balance FROM points p WHERE p.x <= l.x + h ORDER BY p.x DESC LIMIT 1) AS came
+            FROM line l, ahead WHERE n >= 60 AND l.x + h <= (SELECT max(x) FROM points)),
+          scored AS (SELECT h, count(*) AS origins, quantile_disc(abs(CAST(round(CAST(came AS DOUBLE) - mid, 0) AS HUGEINT)), 0.95) AS width,
+              count(*) FILTER (WHERE abs(CAST(came AS DOUBLE) - mid) <= CAST({NormalDist().inv_cdf(0.975)!r} AS DOUBLE) * spread
+                * sqrt(1 + CAST(1.0 AS DOUBLE) / n + (xa - CAST(sx AS DOUBLE) / n) * (xa - CAST(sx AS DOUBLE) / n) / (dxx / n))) AS held
+            FROM tried GROUP BY h)
+          SELECT 'ALL' AS segment, CAST(h AS INT) AS horizon_days, CAST({AS_OF} + CAST(h AS INT) AS DATE) AS forecast_date,
+            CAST(mid AS {TOTAL}) AS projected_balance, CAST(mid - width AS {TOTAL}) AS lower_bound, CAST(mid + width AS {TOTAL}) AS upper_bound,
+            coalesce(origins, 0) AS origins, round(CAST(held AS DOUBLE) / origins, 4) AS coverage
+          FROM (SELECT h, CAST(round(intercept + slope * CAST(h AS DOUBLE), 0) AS HUGEINT) AS mid FROM ahead, (SELECT * FROM line ORDER BY x DESC LIMIT 1))
+          LEFT JOIN scored USING (h))""",
+        "daily",
+    ),
     "q_rolling_weeks": _sql(
         f"""SELECT {_saturday("ledger_date")} AS week_ending_date, 'ACTUAL' AS kind, {_total("cash_in_amt")} AS cash_in, {_total("cash_out_amt")} AS cash_out,
               CAST(arg_max(running_cash_balance, ledger_date) AS {TOTAL}) AS closing_balance, CAST(NULL AS {TOTAL}) AS lower_bound, CAST(NULL AS {TOTAL}) AS upper_bound
