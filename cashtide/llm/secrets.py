@@ -35,7 +35,8 @@ _PART = {"assign": "secret", "access": "ident", "hex": "secret", "ident": "ident
 Span = tuple[str, int, int]
 
 _HINT = re.compile("passw|secret|token|api", _I)
-_USER = re.compile("user|login|account|client|access", _I)
+#: What every identifier or endpoint has in it.
+_OTHER = re.compile("user|login|account|client|access|://|[0-9][.][0-9]", _I)
 
 
 def base_spans(text: str) -> list[Span]:
@@ -52,9 +53,9 @@ def base_spans(text: str) -> list[Span]:
 def weak_spans(text: str, base: list[Span]) -> list[Span]:
     """Spans that may be part of a credential, without those that overlap a plain one.
 
-    None without an identifier in the text, as then none of them can be linked.
+    None in a text without an identifier or an endpoint, as then none of them can be linked.
     """
-    if not any(k == "access" for k, _, _ in base) and not (_USER.search(text) and _WEAK["ident"].search(text)):
+    if not any(k == "access" for k, _, _ in base) and not _OTHER.search(text):
         return []
     found = sorted((m.start(), m.end(), kind) for kind, pattern in _WEAK.items() for m in pattern.finditer(text))
     merged: list[list[int]] = []  # plain spans as disjoint intervals, so that starts and ends both ascend
@@ -72,18 +73,19 @@ def weak_spans(text: str, base: list[Span]) -> list[Span]:
     return out
 
 
-def linked(base: list[Span], weak: list[Span], reach: int, breaks: list[int]) -> list[Span]:
+def linked(base: list[Span], weak: list[Span], breaks: list[int], reach: int | None = None) -> list[Span]:
     """The weak spans beside which a complementary part stands.
 
-    An interval join by parts: each part is widened by ``reach`` code points on both sides and cut
-    at its scope, a paragraph. A weak secret or endpoint needs an identifier in its interval, a weak
-    identifier needs a secret. Spans of a part are swept in order, so the join costs a search per
-    weak span and forms no pairs.
+    An interval join by parts within scopes, which are paragraphs of any length; with ``reach``, only
+    of parts that many code points apart at most. A weak secret needs an identifier or an endpoint
+    in its interval, a weak identifier or endpoint needs a secret. Spans of a part are swept in
+    order, so the join costs a search per weak span and forms no pairs.
     """
     of: dict[str, list[tuple[int, int]]] = {"ident": [], "secret": [], "endpoint": []}
     for kind, a, b in [*base, *weak]:
         of[_PART[kind]].append((a, b))
     index = {}
+    last = 1 + max((b for _, _, b in [*base, *weak]), default=0)
     for part, spans in of.items():
         spans.sort()
         ends, high = [], 0
@@ -93,22 +95,24 @@ def linked(base: list[Span], weak: list[Span], reach: int, breaks: list[int]) ->
 
     def near(part: str, a: int, b: int) -> bool:
         scope = bisect.bisect_right(breaks, a)
-        low = max(a - reach, breaks[scope - 1] if scope else 0)
-        high = min(b + reach, breaks[scope] if scope < len(breaks) else b + reach)
+        low = breaks[scope - 1] if scope else 0
+        high = breaks[scope] if scope < len(breaks) else last
+        if reach is not None:
+            low, high = max(a - reach, low), min(b + reach, high)
         starts, ends = index[part]
         i = bisect.bisect_left(starts, high) - 1  # of those that start in time, the one that ends last
         return i >= 0 and ends[i] > low
 
-    needs = {"ident": ("secret",), "secret": ("ident",), "endpoint": ("ident", "secret")}
-    return [(k, a, b) for k, a, b in weak if all(near(p, a, b) for p in needs[_PART[k]])]
+    needs = {"ident": ("secret",), "secret": ("ident", "endpoint"), "endpoint": ("secret",)}
+    return [(k, a, b) for k, a, b in weak if any(near(p, a, b) for p in needs[_PART[k]])]
 
 
-def scan_text(text: str, reach: int = 200) -> tuple[list[Span], list[Span]]:
+def scan_text(text: str, reach: int | None = None) -> tuple[list[Span], list[Span]]:
     """The plain spans of a text, and the weak ones that complement each other."""
     base = base_spans(text)
     weak = weak_spans(text, base)
     if weak:
-        weak = linked(base, weak, reach, [m.start() for m in re.finditer(r"\n[ \t\r]*\n", text)])
+        weak = linked(base, weak, [m.start() for m in re.finditer(r"\n[ \t\r]*\n", text)], reach)
     return base, weak
 
 
@@ -116,7 +120,7 @@ def listed(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], _ALL.index(s[0]), s[2])))
 
 
-def secret_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reach: int = 200) -> DataFrame:
+def secret_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reach: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, kinds, starts, ends of all spans, and n_base of them plain.
 
     Whole texts are read, each in the task that reads its row: the scopes of the interval join are
@@ -185,7 +189,7 @@ def redact(text: str, spans: list[Span], mark: str = "[secret]") -> str:
     return "".join(out) + text[at:]
 
 
-def without_secrets(docs: DataFrame, text: str = "text", length: str | None = None, reach: int = 200) -> DataFrame:
+def without_secrets(docs: DataFrame, text: str = "text", length: str | None = None, reach: int | None = None) -> DataFrame:
     """All rows of ``docs`` with every span replaced in ``text``, and ``length``, if named, set to the new length.
 
     A null text stays null. Nothing is shuffled.
