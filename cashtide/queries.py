@@ -15,11 +15,12 @@ from cashtide.operators.allocate import allocate_exact, even_split, split_by_sha
 from cashtide.operators.ordered import daily_change, daily_fill, fill_nulls, ordinal_fraction, position, running_total
 from cashtide.operators.star import Lookup, aggregate_by_attributes, side_by_side, sums, unique_by
 from cashtide.plans import actions, evidence, kpis, reports, worksheet
-from cashtide.plans.alerts import cash_alert
+from cashtide.plans.alerts import cash_alert, drift_alert
 from cashtide.plans.briefing import briefing
 from cashtide.plans.forecast import backtested_forecast, balance_series, predict_cash_flow, rolling_weeks
 from cashtide.plans.metric_views import ap_view, ar_view, cash_forecast_view, inventory_view, sales_view
 from cashtide.plans.metrics import MetricView, metric_query
+from cashtide.plans.path import historic_path, quarter_profile
 from cashtide.plans.reconcile import quarter_end_totals, reconcile, same_result
 from cashtide.schemas import TRADE_SCHEMAS
 from cashtide.session import stage
@@ -490,6 +491,19 @@ def q_forecast_rows(m: Model) -> DataFrame:
     return m.forecast()
 
 
+@query
+def q_quarter_profile(m: Model) -> DataFrame:
+    """By which week of a quarter how much of its change in cash has come, as past quarters went."""
+    return quarter_profile(balance_series(m.ledger(), False).select("day", "balance"), m.prior_run)
+
+
+@query
+def q_forecast_path(m: Model) -> DataFrame:
+    """Weekly plan and projection of all cash, along the profile of past quarters."""
+    daily = balance_series(m.ledger(), False).select("day", "balance")
+    return historic_path(m.forecast_amounts(), daily, [m.prior_run, m.as_of], m.quarter_end)
+
+
 @query
 def q_dso_target_ar(m: Model) -> DataFrame:
     return reports.open_ar_target(
@@ -561,6 +575,12 @@ def q_alert(m: Model) -> DataFrame:
     return cash_alert(m.forecast(_runs(m, 6)), m.quarter_end, 1_000_000, 100_000)
 
 
+@query
+def q_alert_drift(m: Model) -> DataFrame:
+    """Runs whose small losses have added up."""
+    return drift_alert(m.forecast(_runs(m, 6)), m.quarter_end, 50_000, 250_000)
+
+
 # actions ------------------------------------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ from conftest import day, rows
 from pyspark.sql import functions as F
 
 from cashtide.operators.projection import forecast_rows
-from cashtide.plans.alerts import cash_alert
+from cashtide.plans.alerts import cash_alert, drift_alert
 from cashtide.plans.forecast import backtested_forecast, predict_cash_flow, register_forecast, rolling_weeks
 from cashtide.plans.kpis import deterioration
 from cashtide.plans.reports import waterfall
@@ -104,6 +104,60 @@ def test_alert_stays_quiet_inside_the_control_limits(spark):
     assert alerts(spark, *usual, 1100, level=-10_000)[-1] == (True, True, True)
 
 
+def drifts(spark, *levels, **how):
+    how = {"slack": 10, "limit": 100, **how}
+    found = drift_alert(runs(spark, *levels), golden.QUARTER_END, **how).collect()
+    dates = [r.forecast_run_date for r in found]
+    at = {None: None, **{d: n for n, d in enumerate(dates)}}
+    return [(int(r.falling), at[r.falling_since], int(r.rising), at[r.rising_since], r.signal) for r in found]
+
+
+def test_small_losses_add_up_to_a_signal(spark):
+    slow = [1000 - 40 * n for n in range(6)]
+    assert drifts(spark, *slow) == [
+        (0, None, 0, None, None),
+        (30, 1, 0, None, None),
+        (60, 1, 0, None, None),
+        (90, 1, 0, None, None),
+        (120, 1, 0, None, "FALLING"),
+        (30, 5, 0, None, None),  # starts again
+    ]
+    # The same losses never leave the control limits.
+    assert not any(alert for *_, alert in alerts(spark, *slow, level=-10_000))
+
+
+def test_a_recovery_ends_the_excursion(spark):
+    assert drifts(spark, 1000, 950, 1000, 950) == [
+        (0, None, 0, None, None),
+        (40, 1, 0, None, None),
+        (0, None, 40, 2, None),
+        (40, 3, 0, None, None),
+    ]
+    assert drifts(spark, 1000, 1300)[-1] == (0, None, 290, 1, "RISING")
+    # What is expected is no drift.
+    assert drifts(spark, 1000, 950, 900, 850, expected=-50) == [(0, None, 0, None, None)] * 4
+
+
+def test_drift_of_few_runs(spark):
+    assert drifts(spark, 1000) == [(0, None, 0, None, None)]
+    assert drift_alert(runs(spark, 1000).limit(0), golden.QUARTER_END, 1, 1).filter("forecast_run_date IS NOT NULL").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_drift_equals_a_loop(spark, seed):
+    made = random.Random(seed)
+    levels = [1000]
+    for _ in range(30):
+        levels.append(levels[-1] + made.randint(-60, 50))
+    falling = rising = 0
+    expected = [(0, 0, None)]
+    for a, b in zip(levels, levels[1:], strict=False):
+        falling = max(0, (0 if falling > 100 else falling) - (b - a) - 10)
+        rising = max(0, (0 if rising > 100 else rising) + (b - a) - 10)
+        expected.append((falling, rising, "FALLING" if falling > 100 else "RISING" if rising > 100 else None))
+    assert [(f, r, s) for f, _, r, _, s in drifts(spark, *levels)] == expected
+
+
 def test_waterfall(forecast):
     got = [(r.item, int(r.amount), int(r.running)) for r in waterfall(forecast, golden.AS_OF, golden.QUARTER_END).collect()]
     assert got == [

@@ -159,10 +159,32 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "daily": (("ledger",), "SELECT DISTINCT ledger_date AS day, running_cash_balance AS balance FROM ledger"),
     "run": ((), f"SELECT unnest([{PRIOR_RUN}, {AS_OF}]) AS run"),
+    "profile": (
+        ("daily",),
+        f"""WITH q AS (
+              SELECT quarter, ending, opening FROM (
+                SELECT quarter, ending, lag(ending) OVER (ORDER BY quarter) AS opening FROM (
+                  SELECT date_trunc('quarter', day)::DATE AS quarter, arg_max(balance, day) AS ending FROM daily WHERE day <= {PRIOR_RUN} GROUP BY 1))
+              WHERE opening <> ending AND (quarter + INTERVAL 3 MONTH)::DATE - 1 <= {PRIOR_RUN}),
+            come AS (
+              SELECT quarter, w, ending - opening AS moved, coalesce((SELECT arg_max(balance, day) FROM daily
+                WHERE day >= quarter AND day < (quarter + INTERVAL 3 MONTH)::DATE AND (w = 13 OR day < quarter + CAST(7 * w AS INT))), opening) - opening AS come
+              FROM q, range(14) AS r(w)),
+            shares AS (
+              SELECT w, CASE WHEN come = 0 OR sign(come) <> sign(moved) THEN 0 WHEN abs(come) >= abs(moved) THEN 1000000
+                ELSE CAST(abs(come) * 100 AS HUGEINT) * 1000000 // CAST(abs(moved) * 100 AS HUGEINT) END AS share FROM come)
+            SELECT CAST(w AS INT) AS week, max(middle) OVER (ORDER BY w) AS reached, quarters
+            FROM (SELECT w, CAST(2 * median(CAST(share AS BIGINT)) AS BIGINT) AS middle, count(*) AS quarters FROM shares GROUP BY w)""",
+    ),
     "run6": ((), f"SELECT CAST({AS_OF} - CAST(14 * n AS INT) AS DATE) AS run FROM range(6) AS r(n)"),
 }
 
 
+def _level(amount: str) -> str:
+    """The path at one of its days: the amount at quarter-end, before it what is there and a part of what is left."""
+    return f"CASE WHEN forecast_week_ending = {QUARTER_END} THEN {amount} ELSE opening + {_portion(f'({amount} - opening)', 'part', 'whole')} END"
+
+
 def _forecast(runs: str) -> str:
     aged = "(SELECT coalesce(sum(on_hand_cost), 0) FROM stock WHERE is_aged AND week_ending_date = run)"
     slow = "(SELECT coalesce(sum(cash_impact_vs_plan_amt), 0) FROM invoice WHERE invoice_date <= run)"
@@ -646,6 +668,25 @@ ORACLE_SQL: dict[str, str] = {
         "sales",
     ),
     "q_forecast_rows": _sql("SELECT * FROM forecast", "forecast"),
+    "q_quarter_profile": _sql("SELECT * FROM profile", "profile"),
+    "q_forecast_path": _sql(
+        f"""SELECT forecast_run_date, forecast_week_ending, known AS from_history, CAST(opening AS {TOTAL}) AS opening_balance,
+              CAST({_level("planned")} AS {TOTAL}) AS planned_cash_amt, CAST({_level("projected")} AS {TOTAL}) AS projected_cash_amt,
+              CAST({_level("projected")} - {_level("planned")} AS {TOTAL}) AS variance_amt
+            FROM (
+              SELECT *, CASE WHEN known THEN p.reached - p0.reached ELSE forecast_week_ending - forecast_run_date END AS part,
+                CASE WHEN known THEN 2000000 - p0.reached ELSE {QUARTER_END} - forecast_run_date END AS whole
+              FROM (
+                SELECT forecast_run_date, forecast_week_ending, planned, projected,
+                  coalesce((SELECT arg_max(balance, day) FROM daily WHERE day <= forecast_run_date), 0) AS opening,
+                  greatest(0, least(13, (forecast_run_date - DATE '2001-07-01' + 1) // 7)) AS w0,
+                  CASE WHEN forecast_week_ending < DATE '2001-07-01' THEN 0 ELSE least(13, (forecast_week_ending - DATE '2001-07-01' + 1) // 7) END AS w1
+                FROM (SELECT DISTINCT forecast_run_date, forecast_week_ending FROM forecast)
+                JOIN (SELECT forecast_run_date, sum(planned_cash_amt) AS planned, sum(projected_cash_amt) AS projected FROM at_end GROUP BY 1) USING (forecast_run_date))
+              LEFT JOIN profile p0 ON p0.week = w0 LEFT JOIN profile p ON p.week = w1,
+              LATERAL (SELECT coalesce(p0.reached < 2000000 AND p.reached IS NOT NULL, false) AS known))""",
+        "at_end", "profile",
+    ),
     "q_dso_target_ar": _sql(
         f"""SELECT net_sales, target AS outstanding_target, CAST(greatest(250000, target - 2500000) AS {TOTAL}) AS open_target
             FROM (SELECT net_sales, {_portion("net_sales", "45", "90")} AS target FROM (
@@ -766,6 +807,27 @@ ORACLE_SQL: dict[str, str] = {
               WINDOW earlier AS (ORDER BY forecast_run_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
         "forecast6",
     ),
+    "q_alert_drift": _sql(
+        f"""SELECT * FROM (WITH RECURSIVE moves AS (
+              SELECT n, run, CAST(projected - lag(projected) OVER (ORDER BY n) AS {TOTAL}) AS change FROM (
+                SELECT forecast_run_date AS run, row_number() OVER (ORDER BY forecast_run_date) AS n, {_total("projected_cash_amt")} AS projected
+                FROM forecast6 WHERE forecast_week_ending = {QUARTER_END} GROUP BY 1)),
+            sums AS (
+              SELECT n, run, change, CAST(0 AS {TOTAL}) AS falling, CAST(0 AS {TOTAL}) AS rising,
+                CAST(NULL AS DATE) AS falling_since, CAST(NULL AS DATE) AS rising_since FROM moves WHERE n = 1
+              UNION ALL
+              SELECT n, run, change, falling, rising,
+                CASE WHEN falling > 0 THEN CASE WHEN down > 0 THEN falling_since ELSE run END END,
+                CASE WHEN rising > 0 THEN CASE WHEN up > 0 THEN rising_since ELSE run END END
+              FROM (
+                SELECT m.n, m.run, m.change, down, up, falling_since, rising_since,
+                  CAST(greatest(0, down - m.change - 50000) AS {TOTAL}) AS falling, CAST(greatest(0, up + m.change - 50000) AS {TOTAL}) AS rising
+                FROM (SELECT *, CASE WHEN falling > 250000 THEN 0 ELSE falling END AS down, CASE WHEN rising > 250000 THEN 0 ELSE rising END AS up FROM sums) s
+                JOIN moves m ON m.n = s.n + 1))
+            SELECT run AS forecast_run_date, change AS deterioration, falling, falling_since, rising, rising_since,
+              CASE WHEN falling > 250000 THEN 'FALLING' WHEN rising > 250000 THEN 'RISING' END AS signal FROM sums)""",
+        "forecast6",
+    ),
     "q_cancel_pos": _sql("SELECT * FROM cancel", "cancel"),
     "q_defer_payments": _sql("SELECT * FROM deferral", "deferral"),
     "q_chase_collections": _sql("SELECT * FROM overdue", "overdue"),
