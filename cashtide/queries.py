@@ -578,7 +578,7 @@ def q_alert(m: Model) -> DataFrame:
 @query
 def q_alert_drift(m: Model) -> DataFrame:
     """Runs whose small losses have added up."""
-    return drift_alert(m.forecast(_runs(m, 6)), m.quarter_end, 50_000, 250_000)
+    return drift_alert(m.forecast(_runs(m, 6)), m.quarter_end, 500_000, 1_000_000)
 
 
 # actions ------------------------------------------------------------------------------------------

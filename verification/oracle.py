@@ -821,11 +821,11 @@ ORACLE_SQL: dict[str, str] = {
                 CASE WHEN rising > 0 THEN CASE WHEN up > 0 THEN rising_since ELSE run END END
               FROM (
                 SELECT m.n, m.run, m.change, down, up, falling_since, rising_since,
-                  CAST(greatest(0, down - m.change - 50000) AS {TOTAL}) AS falling, CAST(greatest(0, up + m.change - 50000) AS {TOTAL}) AS rising
-                FROM (SELECT *, CASE WHEN falling > 250000 THEN 0 ELSE falling END AS down, CASE WHEN rising > 250000 THEN 0 ELSE rising END AS up FROM sums) s
+                  CAST(greatest(0, down - m.change - 500000) AS {TOTAL}) AS falling, CAST(greatest(0, up + m.change - 500000) AS {TOTAL}) AS rising
+                FROM (SELECT *, CASE WHEN falling > 1000000 THEN 0 ELSE falling END AS down, CASE WHEN rising > 1000000 THEN 0 ELSE rising END AS up FROM sums) s
                 JOIN moves m ON m.n = s.n + 1))
             SELECT run AS forecast_run_date, change AS deterioration, falling, falling_since, rising, rising_since,
-              CASE WHEN falling > 250000 THEN 'FALLING' WHEN rising > 250000 THEN 'RISING' END AS signal FROM sums)""",
+              CASE WHEN falling > 1000000 THEN 'FALLING' WHEN rising > 1000000 THEN 'RISING' END AS signal FROM sums)""",
         "forecast6",
     ),
     "q_cancel_pos": _sql("SELECT * FROM cancel", "cancel"),
