@@ -83,7 +83,7 @@ def shard_rows(
     when a shard is added.
 
     Only one count per arc comes to the driver (shards x virtual numbers). Rows are numbered within
-    slices of an arc, so that a text with a third of all rows is numbered by many tasks; a slice holds
+    slices of an arc, so that a text or an id with a third of all rows is numbered by many tasks (copies of both together by one); a slice holds
     about ``slice_rows`` rows, by default a quarter of what a shuffle partition gets of all rows. A null text has no bytes; rows that repeat an id are rows of their own,
     and which of them is which is open only among rows that agree in all returned columns. An empty
     table gives no rows.
@@ -123,7 +123,7 @@ def shard_rows(
     ]
     plan = spark.createDataFrame(placed, 'arc int, slices int, pieces array<struct<`from`: long, rows: long, shard: int, slot: long>>')
     # At most one piece per arc and one more per shard that fills up: shards x (virtual + 1) in all.
-    cut = rows.join(F.broadcast(plan), "arc").withColumn("slice", F.pmod(F.xxhash64("doc_id"), "slices").cast("int"))
+    cut = rows.join(F.broadcast(plan), "arc").withColumn("slice", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), "slices").cast("int"))
     inside = Window.partitionBy("arc", "slice").orderBy("doc_id", "size", "text_crc32")
     before = Window.partitionBy("arc").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut.groupBy("arc", "slice").count().select(

@@ -53,6 +53,11 @@ def test_awkward_rows(awkward, slice_rows):
     assert shard_rows(awkward([]), shards=6, virtual=5).count() == 0
 
 
+def test_one_id_on_many_texts(awkward):
+    rows = [(7 if i % 3 == 0 else i, f"text {i % 50}") for i in range(300)] + [(None, f"text {i}") for i in range(100)]
+    check(shard_rows(awkward(rows), shards=6, virtual=5, slice_rows=5).collect(), rows, 6)
+
+
 def test_few_rows_for_many_shards(awkward):
     check(shard_rows(awkward([(1, "a"), (2, "b")])).collect(), [(1, "a"), (2, "b")], 40)
 

@@ -29,6 +29,24 @@ def test_counts_match_library():
     assert TokenCounter(BYTES).counts(some).tolist() == expected
 
 
+def test_given_documents_match_library(spark):
+    """Counts, ids and decoded texts of every document are the library's."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    given = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    by_bytes, by_words = Tokenizer.from_file(BYTES), Tokenizer.from_file(WORDS)
+
+    def sha(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    counted = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts(docs, BYTES).collect()}
+    assert counted == {i: (len(t.encode()), len(by_bytes.encode(t, add_special_tokens=False).ids)) for i, t in given.items()}
+    expected = {}
+    for i, t in given.items():
+        ids = by_words.encode(t, add_special_tokens=False).ids
+        expected[i] = (len(ids), sha(" ".join(map(str, ids))), sha(by_words.decode(ids, skip_special_tokens=False)))
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip(docs, WORDS).collect()} == expected
+
+
 def test_chunks_compose_to_the_same_words():
     from cashtide.llm.transducer import Cutter
 
