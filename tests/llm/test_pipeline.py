@@ -9,7 +9,7 @@ from cashtide.llm.queries import ORACLE_SQL, QUERIES
 
 def test_one_query_per_operator():
     numbers = [int(name[2:].split("_")[0]) for name in QUERIES]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES)
     entry = importlib.import_module("__spark_entry__")
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
