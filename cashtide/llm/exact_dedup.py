@@ -97,7 +97,8 @@ def digest_groups(digests: DataFrame, fan: int = 4, lanes: int | None = None) ->
         digit = F.floor(F.col("lane") / unit) % fan
         own = F.floor(home / unit) % fan
         runs = runs.withColumn("lane", (F.col("lane") + (own - digit) * unit).cast("int"))
-        runs = _merged(runs.repartition(count, "lane"))
+        # A lane is a partition; hashed lane numbers would share some and leave others empty.
+        runs = _merged(runs.repartitionById(count, "lane"))
     return runs.drop("lane")
 
 

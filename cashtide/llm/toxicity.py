@@ -274,11 +274,17 @@ def train(texts: Sequence[str], labels: Sequence[int], least: int = 5, odds: flo
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, most: int, longest: int) -> DataFrame:
-    """Up to ``most`` labelled documents of at most ``longest`` characters, by a hash of their ids; none that is held out."""
+    """Up to ``most`` labelled documents of at most ``longest`` characters, by a hash of their ids; none that is held out.
+
+    A bound on the hash, set from the number of labelled ids, leaves about half as many again before
+    the least are taken, so that no task reads more than that few ids however many partitions there are.
+    """
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("y").alias("y"))
+    share = min(1.0, 1.5 * most / max(1, known.count()))
+    bound = min(2**63 - 1, int(share * 2**64) - 2**63)
     # ``most`` rows at most, of two numbers each.
-    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    drawn = known.where(F.xxhash64("doc_id") <= bound).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("t")).join(F.broadcast(drawn), "doc_id")
     return rows.where(F.length("t") <= longest).dropDuplicates(["doc_id"])
 
