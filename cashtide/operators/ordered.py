@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cashtide.functions.amounts import ratio
 from cashtide.operators.star import join_groups
 from cashtide.session import stage
 
@@ -88,6 +89,19 @@ def daily_balance(
     return daily.withColumn(name, (start + F.sum(net).over(span)).cast("decimal(28,2)"))
 
 
+def trailing_share(
+    daily: DataFrame, day: str, amount: str, category: str, days: int, by: Sequence[str] = (), name: str = "share"
+) -> DataFrame:
+    """A category's part of all categories' amounts in the ``days`` days up to and with its day.
+
+    The frame has one row per day and category; NULL where the amounts of those days add up to zero.
+    """
+    reach = Window.orderBy(F.unix_date(day)).rangeBetween(1 - days, Window.currentRow)
+    own, whole = F.sum(amount).over(reach.partitionBy(*by, category)), F.sum(amount).over(reach.partitionBy(*by))
+    sums = daily.withColumn("__own", own).withColumn("__whole", whole)
+    return sums.withColumn(name, ratio("__own", "__whole")).drop("__own", "__whole")
+
+
 def daily_change(daily: DataFrame, day: str, balance: str, by: Sequence[str] = (), name: str = "change") -> DataFrame:
     """A daily balance less the one before; NULL on the first day."""
     return daily.withColumn(

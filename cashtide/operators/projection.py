@@ -14,12 +14,13 @@ BASELINE = "BASELINE"
 DRIVERS = (BASELINE, "INVENTORY_TRAP", "COLLECTIONS_SLOWDOWN", "AP_ACCELERATION")
 
 
-def forecast_rows(amounts: DataFrame, quarter_end: dt.date, horizon: dt.date) -> DataFrame:
+def forecast_rows(amounts: DataFrame, quarter_end: dt.date, horizon: dt.date, start_pct: int = 94) -> DataFrame:
     """Weekly path of each run and driver to its quarter-end amounts, plus the quarter-end itself.
 
     ``amounts`` has ``forecast_run_date``, ``driver``, ``planned_amt`` and ``projected_amt``. Weeks
     are the Saturdays after the run up to ``horizon``. In week ``i`` of ``n`` the baseline stands at
-    94% plus 6% of ``i/n``, a driver's plan at its full amount and its projection at ``i/n``.
+    ``start_pct`` percent plus ``i/n`` of the rest, a driver's plan at its full amount and its
+    projection at ``i/n``. ``historic_path`` learns the way there from past quarters instead.
     """
     end, saturday = date_sql(quarter_end), "next_day(forecast_run_date, 'SAT')"
     # Week 0 stands for the quarter-end. One that falls on a Saturday is not listed twice.
@@ -30,7 +31,7 @@ def forecast_rows(amounts: DataFrame, quarter_end: dt.date, horizon: dt.date) ->
     spread = amounts.selectExpr(
         "*", f"CAST(greatest(0, (datediff({date_sql(horizon)}, {saturday}) + 7) div 7) AS INT) AS n"
     ).selectExpr("*", f"inline(concat({weekly}, array(named_struct('week', {end}, 'i', 0))))")
-    ramp = "94 * n + 6 * i", "100 * n"
+    ramp = f"{start_pct} * n + {100 - start_pct} * i", "100 * n"
     return spread.selectExpr(
         "forecast_run_date",
         "week AS forecast_week_ending",

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from cashtide.functions.amounts import TOTAL, padded_id, swap_prefix, total
 from cashtide.functions.dates import fiscal_quarter, trailing, week_ending
-from cashtide.operators.allocate import allocate_exact, even_split, split_by_share
-from cashtide.operators.ordered import daily_change, daily_fill, fill_nulls, ordinal_fraction, position, running_total
+from cashtide.operators.allocate import allocate_exact, even_split
+from cashtide.operators.ordered import daily_change, daily_fill, fill_nulls, ordinal_fraction, position, running_total, trailing_share
 from cashtide.operators.star import Lookup, aggregate_by_attributes, side_by_side, sums, unique_by
 from cashtide.plans import actions, evidence, kpis, reports, worksheet
 from cashtide.plans.alerts import cash_alert, drift_alert
@@ -24,7 +24,7 @@ from cashtide.plans.path import historic_path, quarter_profile
 from cashtide.plans.reconcile import quarter_end_totals, reconcile, same_result
 from cashtide.schemas import TRADE_SCHEMAS
 from cashtide.session import stage
-from cashtide.sources.model import CASH_IN_SHARES, CASH_OUT_SHARES, Model
+from cashtide.sources.model import Model
 from cashtide.sources.tables import date_ranges, read_tables, saved_copy, stacked, table_counts
 
 AS_OF = dt.date(2001, 6, 30)
@@ -445,15 +445,10 @@ def q_ledger(m: Model) -> DataFrame:
 
 @query
 def q_category_shares(m: Model) -> DataFrame:
-    """A day's cash in and out over the fixed categories."""
-    daily = m.ledger().groupBy("ledger_date").agg(total("cash_in_amt").alias("total_in"), total("cash_out_amt").alias("total_out"))
-    parts = (
-        split_by_share(daily.select("ledger_date", column), column, shares, "amount", "cash_category").withColumn(
-            "direction", F.lit(direction)
-        )
-        for column, shares, direction in (("total_in", CASH_IN_SHARES, "IN"), ("total_out", CASH_OUT_SHARES, "OUT"))
-    )
-    return stacked(parts)
+    """A day's cash in and out by category, with the category's share of its direction over 13 weeks."""
+    sides = "inline(array(named_struct('direction', 'IN', 'amount', cash_in_amt), named_struct('direction', 'OUT', 'amount', cash_out_amt)))"
+    daily = m.ledger().selectExpr("ledger_date", "cash_category", sides).filter("amount <> 0")
+    return trailing_share(daily, "ledger_date", "amount", "cash_category", 91, ["direction"])
 
 
 @query

@@ -24,8 +24,11 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, else a folder in the warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/staged"
+    """The folder every executor can reach: ``spark.checkpoint.dir``; in local mode, where that is unset, a folder in the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+    return folder or spark.conf.get("spark.sql.warehouse.dir") + "/staged"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

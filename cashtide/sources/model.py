@@ -20,17 +20,6 @@ from cashtide.operators.snapshot import inventory_snapshot, valued_snapshot
 from cashtide.operators.star import Lookup, aggregate_by_attributes, salted_lookup, sums, unique_by
 from cashtide.sources.tables import stacked
 
-# Shares of a day's cash in and out by category.
-CASH_IN_SHARES = {"SALES_RECEIPTS": "0.74", "WHOLESALE_COLLECTIONS": "0.26"}
-CASH_OUT_SHARES = {
-    "SUPPLIER_PAYMENTS": "0.47",
-    "PAYROLL": "0.20",
-    "RENT": "0.07",
-    "OTHER_OPEX": "0.16",
-    "TAX": "0.06",
-    "CAPEX": "0.04",
-}
-
 # How many weekly snapshots are kept.
 SNAPSHOT_WEEKS = 12
 # Days to pay, by the remainder of a supplier's key.

@@ -52,6 +52,12 @@ def test_ramp(forecast):
         assert r.variance_amt == r.projected_cash_amt - r.planned_cash_amt
 
 
+def test_the_start_of_the_path_is_an_argument(spark):
+    got = forecast_rows(golden.amounts(spark).filter("driver = 'BASELINE'"), golden.QUARTER_END, golden.HORIZON, start_pct=40)
+    first = got.filter(F.col("forecast_run_date") == F.lit(golden.AS_OF)).orderBy("forecast_week_ending").first()
+    assert first.planned_cash_amt == (30_000_000 * (Decimal("0.4") + Decimal("0.6") / 9)).quantize(Decimal("0.01"))
+
+
 def test_a_saturday_quarter_end_has_one_row(spark):
     end = day("2026-10-31")
     got = forecast_rows(golden.amounts(spark).filter("driver = 'BASELINE'"), end, end)

@@ -13,6 +13,7 @@ from cashtide.operators.ordered import (
     ordinal_fraction,
     position,
     running_total,
+    trailing_share,
 )
 
 
@@ -127,3 +128,11 @@ def test_running_total_where_values_are_missing(spark, slices):
     got = {(r.g, r.k): r.total for r in running_total(df, "v", ["g"], "k", "total", slices).collect()}
     want = {(g, k): None if g == "b" or k < 3 else 5 * (min(k, 9) - 2) for g, k, _ in data}
     assert got == want
+
+
+def test_trailing_share_forgets_and_guards(spark):
+    data = [("IN", 1, "a", 30), ("IN", 1, "b", 10), ("IN", 5, "b", 10), ("IN", 10, "a", 5), ("IN", 10, "b", -5), ("OUT", 5, "c", 7)]
+    df = spark.createDataFrame([(d, day(f"2026-01-{n:02d}"), c, Decimal(v)) for d, n, c, v in data], "side string, day date, who string, v decimal(28,2)")
+    got = {(r.side, r.day.day, r.who): r.share for r in trailing_share(df, "day", "v", "who", 5, ["side"]).collect()}
+    # On the tenth, only that day is within five days, and its amounts cancel.
+    assert got == {("IN", 1, "a"): 0.75, ("IN", 1, "b"): 0.25, ("IN", 5, "b"): 0.4, ("IN", 10, "a"): None, ("IN", 10, "b"): None, ("OUT", 5, "c"): 1.0}

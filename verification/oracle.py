@@ -406,21 +406,6 @@ def _found(rule: str, pattern: str, group: int, finding: str | None, table: str
 _EVIDENCE = " UNION ALL ".join(_found(*rule) for rule in _RULES)
 _MESSAGES = " UNION ALL ".join(_found(*rule, "conversations", "conv_id, turn") for rule in _RULES)
 
-_IN_SHARES = (("SALES_RECEIPTS", "0.74"), ("WHOLESALE_COLLECTIONS", "0.26"))
-_OUT_SHARES = (
-    ("SUPPLIER_PAYMENTS", "0.47"), ("PAYROLL", "0.20"), ("RENT", "0.07"),
-    ("OTHER_OPEX", "0.16"), ("TAX", "0.06"), ("CAPEX", "0.04"),
-)
-
-
-def _shares(column: str, direction: str, shares: tuple[tuple[str, str], ...]) -> str:
-    return " UNION ALL ".join(
-        f"""SELECT ledger_date, '{who}' AS cash_category, '{direction}' AS direction,
-          CAST(round(sum({column}) * CAST({share} AS DECIMAL(6,4)), 2) AS {TOTAL}) AS amount FROM ledger GROUP BY 1"""
-        for who, share in shares
-    )
-
-
 ORACLE_SQL: dict[str, str] = {
     "q_table_counts": _sql(
         " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {r}" for t, r in _COUNTED.items()),
@@ -649,7 +634,12 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "q_ledger": _sql("SELECT * FROM ledger", "ledger"),
     "q_category_shares": _sql(
-        f"{_shares('cash_in_amt', 'IN', _IN_SHARES)} UNION ALL {_shares('cash_out_amt', 'OUT', _OUT_SHARES)}", "ledger"
+        """SELECT ledger_date, cash_category, direction, amount,
+             CAST(sum(amount) OVER (PARTITION BY direction, cash_category ORDER BY ledger_date RANGE BETWEEN INTERVAL 90 DAYS PRECEDING AND CURRENT ROW) AS DOUBLE)
+             / nullif(CAST(sum(amount) OVER (PARTITION BY direction ORDER BY ledger_date RANGE BETWEEN INTERVAL 90 DAYS PRECEDING AND CURRENT ROW) AS DOUBLE), 0) AS share
+           FROM (SELECT ledger_date, cash_category, 'IN' AS direction, cash_in_amt AS amount FROM ledger WHERE cash_in_amt <> 0
+             UNION ALL SELECT ledger_date, cash_category, 'OUT', cash_out_amt FROM ledger WHERE cash_out_amt <> 0)""",
+        "ledger",
     ),
     "q_balance_fill": _sql(
         """SELECT day, coalesce(first_value(noted IGNORE NULLS) OVER (ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
