@@ -175,7 +175,8 @@ def q_collections_by_channel(m: Model) -> DataFrame:
 
 @query
 def q_disputes(m: Model) -> DataFrame:
-    return worksheet.disputes(m.receivables(False), m.customers())
+    """Disputes of all customers: an order that was paid at once can be disputed like an invoice."""
+    return worksheet.disputes(m.receivables(False, paid_at_once=True), m.customers())
 
 
 @query

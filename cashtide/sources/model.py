@@ -155,9 +155,14 @@ class Model:
             how="inner",
         )
 
-    def receivables(self, with_channel: bool = True) -> DataFrame:
-        """Invoices of customers with an account, issued up to the as-of day. The channel is looked up row by row, in salted parts."""
-        issued = self.source["orders"].filter(f"{_ORDERED} <= {date_sql(self.as_of)} AND {self.invoiced('o_custkey')}")
+    def receivables(self, with_channel: bool = True, paid_at_once: bool = False) -> DataFrame:
+        """Invoices of customers with an account, issued up to the as-of day. The channel is looked up row by row, in salted parts.
+
+        With ``paid_at_once`` the orders of all other customers stand beside them, as claims of theirs do.
+        """
+        issued = self.source["orders"].filter(f"{_ORDERED} <= {date_sql(self.as_of)}")
+        if not paid_at_once:
+            issued = issued.filter(self.invoiced("o_custkey"))
         invoices = issued.selectExpr(
             "o_orderkey AS invoice_id",
             "o_custkey AS customer_id",
