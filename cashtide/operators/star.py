@@ -42,17 +42,36 @@ def unique_by(df: DataFrame, key: str) -> DataFrame:
     return grouped.withColumn(key, alone).select(*df.columns)
 
 
+#: A key that holds more than one in this many rows is hot, so there are fewer hot keys than that.
+HOT = 1024
+
+
+def _salted(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, salts: int) -> tuple[DataFrame, DataFrame]:
+    """``fact`` with ``__salt`` and ``dim`` with ``__part``: 0 but for hot keys, whose rows are spread and repeated."""
+    keys = fact.select(F.col(fact_key).alias("__hot"))
+    rows = keys.agg(F.count(F.lit(1))).scalar()
+    hot = keys.filter("__hot IS NOT NULL").groupBy("__hot").agg(F.count(F.lit(1)).alias("__n"))
+    # Bounded by HOT, whatever the tables.
+    hot = F.broadcast(hot.filter(F.col("__n") * HOT > rows).select("__hot"))
+    parts = F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    dim = dim.join(hot, F.col(dim_key) == F.col("__hot"), "left").withColumn("__part", F.explode(parts)).drop("__hot")
+    own = F.pmod(F.xxhash64(*(F.col(c) for c in fact.columns)), F.lit(salts)).cast("int")
+    spread = fact.join(hot, F.col(fact_key) == F.col("__hot"), "left")
+    alone = F.col(fact_key).isNotNull() & F.col("__hot").isNull()
+    return spread.withColumn("__salt", F.when(alone, 0).otherwise(own)).drop("__hot"), dim
+
+
 def salted_lookup(fact: DataFrame, lookup: Lookup, columns: Sequence[str], salts: int = 32) -> DataFrame:
     """``fact`` with ``columns`` of a small-grained dimension, row by row, for keys that hold many rows.
 
-    The rows of a key are spread over ``salts`` parts and the dimension is repeated as often, so a
-    key with a third of all rows is that many tasks, whatever the sizes. A key that repeats in the
-    dimension is an error when the result is computed.
+    Rows of a hot key, and those without a key, are spread over ``salts`` parts, and the dimension's
+    rows of hot keys are repeated as often, so a key with a third of all rows is that many tasks.
+    All other keys stay one row of the dimension, whose size is then what Spark takes it for when it
+    decides on a broadcast. Keys are counted in a pass of their own, over the key alone. A key that
+    repeats in the dimension is an error when the result is computed.
     """
     dim = unique_by(lookup.table.select(F.col(lookup.dim_key).alias("__key"), *columns), "__key")
-    dim = dim.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    own = F.pmod(F.xxhash64(*(F.col(c) for c in fact.columns)), F.lit(salts)).cast("int")
-    spread = fact.withColumn("__salt", own)
+    spread, dim = _salted(fact, dim, lookup.fact_key, "__key", salts)
     condition = (spread[lookup.fact_key] == dim["__key"]) & (spread["__salt"] == dim["__part"])
     return spread.join(dim, condition, "left").drop("__key", "__part", "__salt")
 

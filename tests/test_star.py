@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cashtide.operators.star import (
     Lookup,
+    _salted,
     aggregate_by_attributes,
     at_latest,
     check_unique,
@@ -121,3 +122,16 @@ def test_salted_lookup(spark, fact, dim):
     plain = fact.join(dim, "id", "left").select(*fact.columns, "name")
     assert found.columns == plain.columns
     assert sorted(rows(found), key=str) == sorted(rows(plain), key=str)
+
+
+def test_only_hot_keys_are_repeated(spark, no_broadcast):
+    """The dimension that reaches the join has a row a key, and one a part of each hot key."""
+    fact = spark.range(9000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN id END AS id", "id AS v")
+    dim = spark.range(5000).selectExpr("id", "concat('n', id) AS name")
+    spread, repeated = _salted(fact, dim, "id", "id", 32)
+    assert repeated.count() == 5000 + 31
+    parts = {r.id: r.n for r in spread.groupBy("id").agg(F.countDistinct("__salt").alias("n")).collect()}
+    assert parts.pop(7) == 32 and parts.pop(None) == 32 and set(parts.values()) == {1}
+    found = salted_lookup(fact, Lookup("d", dim, "id", "id"), ["name"])
+    plain = fact.join(dim, "id", "left").select(*fact.columns, "name")
+    assert found.exceptAll(plain).count() == 0 and found.count() == 9000
