@@ -639,9 +639,9 @@ def _apart(m: Model) -> DataFrame:
     return side_by_side([trade, gap])
 
 
-def _booked_once(m: Model) -> DataFrame:
+def _booked_once(m: Model, ledger: DataFrame) -> DataFrame:
     """Cash in by category as the ledger has it, and order by order: an order is sold for cash or invoiced."""
-    booked = m.ledger().groupBy("cash_category").agg(total("cash_in_amt").alias("v")).filter("v <> 0")
+    booked = ledger.groupBy("cash_category").agg(total("cash_in_amt").alias("v")).filter("v <> 0")
     net = (
         "CAST(l_extendedprice AS DECIMAL(12,2)) "
         "- CAST(round(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(4,2)), 2) AS DECIMAL(12,2))"
@@ -659,12 +659,16 @@ def _booked_once(m: Model) -> DataFrame:
 
 @query
 def q_reconcile(m: Model) -> DataFrame:
-    """Facts against the forecast, and each metric view against its base-table query."""
-    forecast, stock = stage(m.forecast(), "forecast"), stage(_stock(m), "stock")
+    """Facts against the forecast, and each metric view against its base-table query.
+
+    Stock at both runs and the ledger are facts that several checks read: each is worked out once.
+    """
+    m = m.with_stock([m.prior_run, m.as_of])
+    forecast, stock, ledger = stage(m.forecast(), "forecast"), _stock(m), stage(m.ledger(), "ledger")
     owed, paid = m.receivables(False), m.payables()
     done = m.payables(until=m.as_of)
     checks = reconcile(
-        stock, owed, done, m.ledger(), forecast, m.as_of, m.prior_run, m.quarter_end, m.as_of, apart=_apart(m)
+        stock, owed, done, ledger, forecast, m.as_of, m.prior_run, m.quarter_end, m.as_of, apart=_apart(m)
     )
     cash = cash_forecast_view(forecast, m.quarter_end)
     held = inventory_view(stock, m.products(), m.stores(), m.as_of)
@@ -709,7 +713,7 @@ def q_reconcile(m: Model) -> DataFrame:
         )
         for found, value, driver in totals
     ]
-    return stacked([checks, *pairs, *ties, _booked_once(m)])
+    return stacked([checks, *pairs, *ties, _booked_once(m, ledger)])
 
 
 @query

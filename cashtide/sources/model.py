@@ -18,6 +18,7 @@ from cashtide.operators.ordered import daily_balance
 from cashtide.operators.projection import BASELINE, forecast_rows
 from cashtide.operators.snapshot import inventory_snapshot, valued_snapshot
 from cashtide.operators.star import Lookup, aggregate_by_attributes, salted_lookup, sums, unique_by
+from cashtide.session import stage
 from cashtide.sources.tables import stacked
 
 # How many weekly snapshots are kept.
@@ -38,6 +39,13 @@ class Model:
         self.as_of = as_of
         self.quarter_end = quarter_end
         self.prior_run = as_of - dt.timedelta(days=14)
+        self._stock: tuple[set[dt.date], DataFrame] | None = None
+
+    def with_stock(self, weeks: Sequence[dt.date]) -> Model:
+        """This model with the snapshots of these weeks worked out once and written down, for all that read them."""
+        model = Model(self.source, self.as_of, self.quarter_end)
+        model._stock = set(weeks), stage(self.inventory(weeks), "stock")
+        return model
 
     # dimensions -------------------------------------------------------------------------------
 
@@ -258,6 +266,8 @@ class Model:
 
     def inventory(self, weeks: Sequence[dt.date] | None = None, valued: bool = True) -> DataFrame:
         """Stock per week, product and place: unreturned receipts less sales to date; costs join after the sums."""
+        if valued and weeks and self._stock is not None and set(weeks) <= self._stock[0]:
+            return self._stock[1].filter(F.col("week_ending_date").isin(*weeks))
         places = self.source["supplier"].selectExpr("s_suppkey", "s_nationkey AS store_id")
         receipts = (
             self.source["lineitem"]

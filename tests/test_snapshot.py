@@ -62,3 +62,22 @@ def test_cost_of_an_unknown_product_is_unknown(spark):
     products = spark.createDataFrame([(5, Decimal("2.50"))], "product_id int, unit_cost decimal(10,2)")
     got = valued_snapshot(snapshot(spark, [(1, 1, "2026-10-30", 3)]), products).collect()
     assert [(r.on_hand_units, r.on_hand_cost) for r in got] == [(3, None)]
+
+
+def test_stock_worked_out_once_is_the_stock_of_each_week(spark):
+    """What one model reads for a week, alone or with others, is what it works out for that week."""
+    from cashtide import queries
+    from cashtide.schemas import TRADE_SCHEMAS
+    from cashtide.sources.model import Model
+    from cashtide.sources.tables import read_tables
+
+    m = Model(read_tables(spark, "/root/testdata/sf0.001", TRADE_SCHEMAS, TRADE_SCHEMAS), queries.AS_OF, queries.QUARTER_END)
+    both = [m.prior_run, m.as_of]
+    once = m.with_stock(both)
+    for weeks in ([m.prior_run], [m.as_of], both):
+        kept, worked_out = once.inventory(weeks), m.inventory(weeks)
+        assert kept.columns == worked_out.columns and kept.count() == worked_out.count() > 0
+        assert kept.exceptAll(worked_out).count() == 0
+        assert "lineitem" not in kept._jdf.queryExecution().executedPlan().toString()
+    # A week that was not asked for is worked out as ever.
+    assert once.inventory().count() == m.inventory().count()
