@@ -152,29 +152,33 @@ def _pairs(words: list[str]) -> list[str]:
 WHOLE, PART = 0.75, 0.6
 
 
-def _shares(df: DataFrame) -> DataFrame:
-    """``df`` (words) with ``own``, its word pairs, and ``each`` template (share, fits, k, family), by number ``k`` from 1.
+def _each(own: Column, n: Column, words: Column, code=str) -> Column:
+    """Per template (share, fits, k, family), by number ``k`` from 1, of ``n`` word pairs, of which ``own`` are compared, and words.
 
     The share is that of the word pairs of the shorter of the two, at least two pairs, that the other
     holds too. A template with words that name its family fits from 0.6 on if these words are all
     there. One without fits if 0.75 of its own pairs, and its marks, are there, as licences borrow
-    each other's sentences. The templates stand in the expression as literals.
+    each other's sentences. The templates stand in the expression as literals, in the given code.
     """
-    paired = NGram(n=2, inputCol="words", outputCol="own").transform(df).withColumn("own", F.array_distinct("own"))
-    own = F.col("own")
     each = []
     for k, (family, notice) in enumerate(TEMPLATES):
-        words = re.findall(r"[^\W_]+", notice.lower())
-        pairs, names = _pairs(words), sorted(set(_NAMES[family].split()) & set(words))
-        marks = sorted(set(_MARKS.get(family, "").split()) & set(words))
-        both = F.size(F.array_intersect(own, F.array(*map(F.lit, pairs))))
-        share = both / F.greatest(F.lit(2), F.least(F.size(own), F.lit(len(pairs))))
+        spoken = re.findall(r"[^\W_]+", notice.lower())
+        pairs, names = _pairs(spoken), sorted(set(_NAMES[family].split()) & set(spoken))
+        marks = sorted(set(_MARKS.get(family, "").split()) & set(spoken))
+        both = F.size(F.array_intersect(own, F.array(*(F.lit(code(x)) for x in pairs))))
+        share = both / F.greatest(F.lit(2), F.least(n, F.lit(len(pairs))))
         fits = share >= PART if names else both >= WHOLE * len(pairs)
         if names or marks:
             # Words are compared only where enough pairs agree.
-            fits = fits & (F.size(F.array_except(F.array(*map(F.lit, names + marks)), F.col("words"))) == 0)
+            fits = fits & (F.size(F.array_except(F.array(*(F.lit(code(x)) for x in names + marks)), words)) == 0)
         each.append(F.struct(share.alias("share"), fits.alias("fits"), F.lit(k + 1).alias("k"), F.lit(family).alias("family")))
-    return paired.withColumn("each", F.array(*each))
+    return F.array(*each)
+
+
+def _shares(df: DataFrame) -> DataFrame:
+    """``df`` (words) with ``own``, its word pairs, and ``each`` template as ``_each`` has it."""
+    paired = NGram(n=2, inputCol="words", outputCol="own").transform(df).withColumn("own", F.array_distinct("own"))
+    return paired.withColumn("each", _each(F.col("own"), F.size("own"), F.col("words")))
 
 
 def _matched(df: DataFrame, families: list[str]) -> DataFrame:
@@ -220,23 +224,73 @@ class Classifier:
     threshold: float
 
 
-def _vocabulary(templates: DataFrame, plain: DataFrame, most: float) -> tuple[list[str], list[str]]:
+def _spoken(templates: DataFrame) -> list[str]:
+    """All words of the notices, then all their word pairs."""
+    grams = _grams(templates).select(F.explode("grams").alias("gram")).distinct().collect()
+    return sorted((r["gram"] for r in grams), key=lambda gram: (" " in gram, gram))
+
+
+def _plain(paragraphs: DataFrame, spoken: list[str]) -> DataFrame:
+    """(half, held, n): how many windows that are no notices hold the same of the ``spoken`` grams, by their numbers from 0.
+
+    Notices are those that a template fits, and may be those with 0.4 of its pairs. ``half`` is 0 or 1, by the document.
+    """
+    code = {gram: k for k, gram in enumerate(spoken)}
+    first = sum(" " not in gram for gram in spoken)
+    paired = NGram(n=2, inputCol="words", outputCol="pairs").transform(paragraphs)
+    paired = paired.withColumn("grams", F.concat("words", "pairs")).withColumn("size", F.size(F.array_distinct("pairs")))
+    counted = CountVectorizerModel.from_vocabulary(spoken, inputCol="grams", outputCol="found").setBinary(True).transform(paired)
+    held = counted.select(
+        F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half"), F.unwrap_udt("found")["indices"].alias("held"), "size"
+    )
+    # Without a pair of the notices the number of pairs does not matter.
+    own = F.filter("held", lambda k: k >= first)
+    size = F.when(F.size(own) > 0, F.col("size")).otherwise(0)
+    held = held.select("half", "held", size.alias("size")).groupBy("half", "held", "size").agg(F.count(F.lit(1)).alias("n"))
+    held = staged(held, "held").withColumn("own", own)
+    each = _each(F.col("own"), F.col("size"), F.col("held"), code.__getitem__)
+    plain = (F.size("own") == 0) | ~F.exists(each, lambda x: x["fits"] | (x["share"] >= 0.4))
+    return held.where(plain).groupBy("half", "held").agg(F.sum("n").alias("n"))
+
+
+def _vocabulary(spoken: list[str], plain: DataFrame, most: float) -> tuple[list[str], list[str]]:
     """Words and word pairs of the notices that tell them from plain paragraphs, and the single words among them.
 
     A word counts if fewer than ``most`` of the plain paragraphs hold it, a pair if one of its words
     counts. Both lists are bounded by the templates.
     """
-    spoken = _grams(templates).select(F.explode("grams").alias("gram")).distinct()
-    total = plain.agg(F.count("*").alias("total"))
-    heard = plain.select(F.explode(F.array_distinct("words")).alias("gram")).groupBy("gram").count()
-    known = spoken.join(heard, "gram", "left").select("gram", F.coalesce("count", F.lit(0)).alias("n")).collect()
-    count = total.first()[0]
-    words = sorted(r["gram"] for r in known if " " not in r["gram"] and r["n"] <= most * count)
+    count = plain.agg(F.sum("n")).first()[0] or 0
+    heard = {r["k"]: r["n"] for r in plain.select(F.explode("held").alias("k"), "n").groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    words = [gram for k, gram in enumerate(spoken) if " " not in gram and heard.get(k, 0) <= most * count]
     kept = set(words)
-    pairs = sorted(r["gram"] for r in known if " " in r["gram"] and kept & set(r["gram"].split(" ")))
+    pairs = [gram for gram in spoken if " " in gram and kept & set(gram.split(" "))]
     return words + pairs, words
 
 
+def _of_vocabulary(plain: DataFrame, spoken: list[str], vocabulary: list[str]) -> DataFrame:
+    """(grams, n): how many windows hold the same grams of the vocabulary."""
+    kept = set(vocabulary)
+    listed = F.array(*(F.lit(gram if gram in kept else None) for gram in spoken)).cast("array<string>")
+    grams = F.filter(F.transform("held", lambda k: F.element_at(listed, k + 1)), lambda gram: gram.isNotNull())
+    return plain.select(grams.alias("grams"), "n").groupBy("grams").agg(F.sum("n").alias("n"))
+
+
+#: Steps of the probability in which its distribution over unknown windows is held.
+STEPS = 10_000
+
+
+def _level(scored: DataFrame, part: float) -> float | None:
+    """The least probability, to a step, that ``part`` of the windows (noticed, n) do not exceed; None without any."""
+    steps = scored.groupBy(F.floor(F.col("noticed") * STEPS).alias("step")).agg(F.sum("n").alias("n"), F.max("noticed").alias("noticed"))
+    rows = sorted(steps.collect(), key=lambda r: r["step"])
+    whole, so_far = sum(r["n"] for r in rows), 0
+    for r in rows:
+        so_far += r["n"]
+        if so_far >= part * whole:
+            return r["noticed"]
+    return None
+
+
 def _drawn(docs: DataFrame, doc_id: str, text: str, sample: int, longest: int) -> DataFrame:
     """(doc_id, t) of at most ``sample`` ids of the least hashes, one text each (the least) of up to ``longest`` characters.
 
@@ -251,39 +305,44 @@ def _drawn(docs: DataFrame, doc_id: str, text: str, sample: int, longest: int) -
     return few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = 300, longest: int = 20_000, most: float = 0.005) -> Classifier:
-    """Train on runs of the templates, and as unknown on decoys and on paragraphs of a bounded sample of documents.
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int | None = None, longest: int = 20_000, most: float = 0.005) -> Classifier:
+    """Train on runs of the templates, and as unknown on decoys and on the paragraphs of all documents.
 
     Features are the words and word pairs of the templates but for words that a share of ``most`` of
-    the sample's paragraphs hold. A window without any of these words has no features and is
-    unknown, so that scans can pass over it without changing a result.
-
-    The sample holds at most ``sample`` documents of up to ``longest`` characters, by a hash of their
-    ids. Its windows, those with words of licences too, are unknown unless a template fits them or
-    0.4 of its pairs are there, as they may be notices. Half of the documents train; on the other
-    half the probability of a notice of any family is found that 99.9 of 100 unknown windows stay
-    under, and windows below it count as unknown. Without any such window the level is 0.5.
+    the paragraphs hold. A window without any of these words has no features and is unknown, so that
+    scans can pass over it without changing a result.
+
+    All windows of all rows count, each once; they are grouped by what they hold of the templates'
+    words and pairs, and a group weighs as much as it has windows. Those with words of licences too
+    are unknown unless a template fits them or 0.4 of its pairs are there, as they may be notices.
+    The half of the documents that trains weighs no more than the notices do, whatever its number;
+    on the other half the probability of a notice of any family is found that 99.9 of 100 unknown
+    windows do not exceed, and windows below it count as unknown. Without any such window the level
+    is 0.5. A caller can have a ``sample`` of at most so many documents of up to ``longest``
+    characters, by a hash of their ids, in place of all.
     """
     spark = docs.sparkSession
     templates = _templates(spark)
-    plain = _shares(_paragraphs(_drawn(docs, doc_id, text, sample, longest), "doc_id", "t"))
-    plain = plain.where(~F.exists("each", lambda x: x["fits"] | (x["share"] >= 0.4)))
-    plain = plain.select(F.lit(UNKNOWN).alias("family"), "words", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half"))
+    read = _paragraphs(docs, doc_id, text) if sample is None else _paragraphs(_drawn(docs, doc_id, text, sample, longest), "doc_id", "t")
+    spoken = _spoken(templates)
+    plain = staged(_plain(read, spoken), "plain")
     decoys = spark.range(1).select(F.explode(F.array(*map(F.lit, _DECOYS))).alias("t")).select(F.lit(UNKNOWN).alias("family"), words_of(F.col("t")).alias("words"))
     families = [UNKNOWN, *sorted({f for f, _ in TEMPLATES})]
     number = F.array_position(F.array(*map(F.lit, families)), F.col("family")) - 1
-    plain = staged(plain, "plain")
-    vocabulary, words = _vocabulary(templates, plain.where("half = 0"), most)
+    vocabulary, words = _vocabulary(spoken, plain.where("half = 0"), most)
     vectorizer = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features").setBinary(True)
-    blank = spark.range(50).select(F.lit(UNKNOWN).alias("family"), F.array().cast("array<string>").alias("words"))
-    rows = _windows_of_templates(templates).unionByName(decoys).unionByName(blank)
-    rows = rows.unionByName(plain.where("half = 0").select("family", "words"))
-    rows = vectorizer.transform(_grams(rows.withColumn("label", number.cast("double")))).select("label", "features")
-    weighed = rows.withColumn("weight", F.when(F.col("label") == 0, 1.0).otherwise(2.0)).coalesce(1)
+    examples = _grams(_windows_of_templates(templates).unionByName(decoys)).select("family", "grams", F.when(F.col("family") == UNKNOWN, 1.0).otherwise(2.0).alias("weight"))
+    weights = examples.where(F.col("family") != UNKNOWN).agg(F.sum("weight")).first()[0]
+    seen = _of_vocabulary(plain.where("half = 0"), spoken, vocabulary)
+    share = min(1.0, weights / max(1, seen.agg(F.sum("n")).first()[0] or 0))
+    seen = seen.select(F.lit(UNKNOWN).alias("family"), "grams", (F.col("n") * share).alias("weight"))
+    blank = spark.range(1).select(F.lit(UNKNOWN).alias("family"), F.array().cast("array<string>").alias("grams"), F.lit(50.0).alias("weight"))
+    rows = examples.unionByName(blank).coalesce(1).unionByName(seen).withColumn("label", number.cast("double"))
+    weighed = vectorizer.transform(rows).select("label", "features", "weight")
     model = LogisticRegression(maxIter=40, regParam=1e-3, family="multinomial", weightCol="weight").fit(weighed)
-    scored = model.transform(vectorizer.transform(_grams(plain.where("half = 1"))))
+    others = vectorizer.transform(_of_vocabulary(plain.where("half = 1"), spoken, vocabulary))
     noticed = 1 - F.element_at(vector_to_array("probability"), 1)
-    level = scored.agg(F.percentile_approx(noticed, 0.999, 10_000)).first()[0]
+    level = _level(model.transform(others).select(noticed.alias("noticed"), "n"), 0.999)
     return Classifier(model, vectorizer, words, families, 0.5 if level is None else level)
 
 

@@ -3,7 +3,7 @@ import textwrap
 import pytest
 
 from cashtide.llm.common import table
-from cashtide.llm.licenses import TEMPLATES, _drawn, fit, license_scan, notices
+from cashtide.llm.licenses import TEMPLATES, _drawn, _level, fit, license_scan, notices
 
 LINES = {
     "Licensed under the Apache License, Version 2.0.": "apache",
@@ -107,3 +107,18 @@ def test_given_tables(spark, sample, model):
 def test_plan_has_no_python(spark, sample, model):
     plan = license_scan(table(spark, sample, "documents"), classifier=model)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+def test_every_document_counts_in_training(spark, awkward):
+    """A word of the notices that most paragraphs hold is no feature, however few documents of a sample hold it."""
+    # Nine of ten texts are longer than any that a sample drew, or are on ids it would not have drawn.
+    rows = [(i, ("The driver saw a sublicense there. " * 800) if i % 10 else "The river ran on past the old mill.") for i in range(600)]
+    docs = awkward(rows)
+    model = fit(docs)
+    assert "sublicense" not in model.words and "mozilla" in model.words
+    assert "sublicense" in fit(docs, sample=300).words
+
+
+def test_level_is_of_all_windows(spark):
+    scored = spark.createDataFrame([(0.1, 900), (0.2, 98), (0.5, 1), (0.9, 1)], "noticed double, n long")
+    assert _level(scored, 0.999) == 0.5 and _level(scored, 0.99) == 0.2 and _level(scored.limit(0), 0.999) is None
